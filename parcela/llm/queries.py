@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, fingerprint, sharding
 
-QUERIES = {"op5_exact_dedup": exact_dedup.query}
+QUERIES = {
+    "op3_sharding": sharding.query,
+    "op5_exact_dedup": exact_dedup.query,
+    "op8_fingerprint": fingerprint.query,
+}
 
 SQL = {"op5_exact_dedup": exact_dedup.SQL}
