@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, sharding
+from . import exact_dedup, fingerprint, line_dedup, sharding, url_filter
 
 QUERIES = {
     "op3_sharding": sharding.query,
+    "op4_url_filter": url_filter.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op7_line_dedup": line_dedup.query,
     "op8_fingerprint": fingerprint.query,
 }
 
-SQL = {"op5_exact_dedup": exact_dedup.SQL}
+SQL = {"op4_url_filter": url_filter.SQL, "op5_exact_dedup": exact_dedup.SQL, "op7_line_dedup": line_dedup.SQL}
