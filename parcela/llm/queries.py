@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, line_dedup, sharding, url_filter
+from . import exact_dedup, fingerprint, line_dedup, mixing, packing, sharding, token_output, url_filter
 
 QUERIES = {
+    "op2_mixing": mixing.query,
     "op3_sharding": sharding.query,
     "op4_url_filter": url_filter.query,
     "op5_exact_dedup": exact_dedup.query,
     "op7_line_dedup": line_dedup.query,
     "op8_fingerprint": fingerprint.query,
+    "op9_best_fit_packing": packing.query,
+    "op10_token_output": token_output.query,
 }
 
 SQL = {"op4_url_filter": url_filter.SQL, "op5_exact_dedup": exact_dedup.SQL, "op7_line_dedup": line_dedup.SQL}
