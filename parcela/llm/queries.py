@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, line_dedup, mixing, packing, sharding, token_output, url_filter
+from . import exact_dedup, fingerprint, line_dedup, mixing, near_dedup, packing, sharding, token_output, url_filter
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.query,
     "op2_mixing": mixing.query,
     "op3_sharding": sharding.query,
     "op4_url_filter": url_filter.query,
