@@ -73,18 +73,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Shingle sets of UTF-8 texts, computed over whole groups of texts at a time."""
 
-    def __init__(self, words: int):
-        self.words = words
+    def __init__(self, words: int, space: np.ndarray = _SPACE):
+        self.words, self.space = words, space
         self.up = self.down = np.ones(0, np.uint64)
         rng = np.random.default_rng(1)
         self.coef = rng.integers(1, 2**63, words + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def _word_hashes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def word_hashes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash and start of each word."""
         n = len(data)
         if len(self.up) < n + 1:
             self.up, self.down = _powers(_P, 2 * n + 1), _powers(_PINV, 2 * n + 1)
-        space = _SPACE[data]
+        space = self.space[data]
         edge = np.diff(np.concatenate([[True], space, [True]]).view(np.int8))
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         with np.errstate(over="ignore"):
@@ -94,7 +94,7 @@ class Shingler:
 
     def _group(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         data = np.frombuffer(b"\n".join(texts), np.uint8)
-        h, at = self._word_hashes(data)
+        h, at = self.word_hashes(data)
         bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
         first = np.searchsorted(at, bounds)
         k, c = self.words, self.coef

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, line_dedup, mixing, near_dedup, packing, sharding, token_output, url_filter
+from . import exact_dedup, fingerprint, line_dedup, mixing, near_dedup, packing, sharding, token_output, toxicity, url_filter
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sharding": sharding.query,
     "op4_url_filter": url_filter.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op6_toxicity": toxicity.query,
     "op7_line_dedup": line_dedup.query,
     "op8_fingerprint": fingerprint.query,
     "op9_best_fit_packing": packing.query,
