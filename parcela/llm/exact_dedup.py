@@ -29,11 +29,13 @@ BLOCK_BYTES = 4096
 
 def _blocks(text: Column, size: int) -> Column:
     """Array of binary blocks, one empty block for an empty text."""
-    data = text.cast("binary")
-    return F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(data) - 1) / size).cast("int"))),
-        lambda i: F.substring(data, i * size + 1, F.lit(size)),
-    )
+
+    def cut(data: Column) -> Column:
+        last = F.greatest(F.lit(0), F.floor((F.length(data) - 1) / size).cast("int"))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(data, i * size + 1, F.lit(size)))
+
+    # bound by an outer transform, else the text would be normalised again for every block
+    return F.get(F.transform(F.array(text.cast("binary")), cut), F.lit(0))
 
 
 def _names(keys: DataFrame) -> DataFrame:
@@ -108,6 +110,7 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     groups = ids.groupBy("level", "name").agg(
         F.min(F.struct(F.col("id").isNull().alias("n"), "id", "rid")).alias("first"), F.count("*").alias("group_size")
     )
+    groups = written(groups, "groups")  # so that a hot group's rows are a side of the join that can be split
     return ids.join(groups, ["level", "name"]).select(
         "rid", "id", F.col("first.id").alias("keep_id"), F.col("first.rid").alias("keep_rid"), "group_size",
         (F.col("rid") == F.col("first.rid")).alias("kept"), "sha",
