@@ -86,9 +86,13 @@ def _element(lane: Column, value: Column) -> Column:
 
 def _likeness_elements(paragraph: Column, base: Column) -> Column:
     """(lane, +1 or -1) for each three-word shingle; a shorter paragraph is one shingle, a blank one none."""
-    words = F.split(F.trim(paragraph, F.lit(SPACE_CHARS)), SPACE)
-    last = F.greatest(F.lit(0), F.size(words) - SHINGLE)
-    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get(words, i), *[F.get(words, i + j) for j in range(1, SHINGLE)]))
+
+    def shingles(words: Column) -> Column:
+        last = F.greatest(F.lit(0), F.size(words) - SHINGLE)
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(SHINGLE)]))
+
+    # bound by an outer transform, else the split would run again for every shingle
+    hashes = F.get(F.transform(F.array(F.split(F.trim(paragraph, F.lit(SPACE_CHARS)), SPACE)), shingles), F.lit(0))
     elements = F.transform(hashes, lambda h: _element(base + h.bitwiseAND(N_LANES - 1), F.shiftright(h, 16).bitwiseAND(1) * 2 - 1))
     return F.when(F.trim(paragraph, F.lit(SPACE_CHARS)) == "", F.array().cast("array<struct<lane:int,val:bigint>>")).otherwise(elements)
 
