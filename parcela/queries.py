@@ -591,7 +591,7 @@ register("c1_population", "SELECT plan_id, bool_and(pop BETWEEN ceil(0.9 * t / 5
 UNITC = "uc AS (SELECT plan_id, county, count(DISTINCT district) AS k, sum(pop) AS pop FROM plans JOIN nodes ON id = node GROUP BY 1, 2)"
 register(
     "c2_pack_nodes",
-    "SELECT plan_id, bool_and(coalesce(packed, 0) >= target) AS ok FROM (SELECT plan_id, county, target FROM (SELECT DISTINCT plan_id FROM plans), (SELECT county, floor(sum(pop) / 150.0) - 1 AS target FROM nodes GROUP BY 1) WHERE target > 0) LEFT JOIN pk USING (plan_id, county) GROUP BY 1",
+    "SELECT plan_id, bool_and(target <= 0 OR coalesce(packed, 0) >= target) AS ok FROM (SELECT plan_id, county, target FROM (SELECT DISTINCT plan_id FROM plans), (SELECT county, floor(sum(pop) / 150.0) - 1 AS target FROM nodes GROUP BY 1)) LEFT JOIN pk USING (plan_id, county) GROUP BY 1",
     NATION, "pk AS (SELECT plan_id, county, count(*) AS packed FROM (SELECT plan_id, district, min(county) AS county FROM plans JOIN nodes ON id = node GROUP BY 1, 2 HAVING count(DISTINCT county) = 1) GROUP BY 1, 2)",
 )(nation(lambda g, p: C.PackNodes("county", 150.0, 1).check(g.nodes, p)))
 QUERIES["c3_contiguous_traversals"] = nation(lambda g, p: C.ContiguousTraversals("county").check(g.nodes, p, g.edges))
