@@ -66,11 +66,11 @@ def identities(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         shared = counts.filter("k > 1").select("h")
         known = blocks.join(shared, "h", "left_semi").distinct().withColumnRenamed("block", "b")
         named = _names(counts.filter("k = 1").select("h", F.lit(None).cast("binary").alias("b")).unionByName(known))
-        at = docs.select(F.monotonically_increasing_id().alias("rid"), F.posexplode(_blocks(text, block_bytes)).alias("pos", "block"))
-        at = at.select("rid", "pos", F.xxhash64("block").alias("h"), "block")
+        at = rows.select("rid", F.posexplode(_blocks(F.col("t"), block_bytes)).alias("pos", "block")).select("rid", "pos", F.xxhash64("block").alias("h"), "block")
         plain = at.join(counts.filter("k > 1"), "h", "left_anti").select("rid", "pos", "h", F.lit(None).cast("binary").alias("b"))
         clash = at.join(shared, "h", "left_semi").select("rid", "pos", "h", F.col("block").alias("b"))
-        level = plain.unionByName(clash).join(named, (plain.h == named.h) & plain.b.eqNullSafe(named.b)).select("rid", "pos", "name")
+        by = named.select(F.col("h").alias("nh"), F.col("b").alias("nb"), "name")
+        level = plain.unionByName(clash).join(by, (F.col("h") == F.col("nh")) & F.col("b").eqNullSafe(F.col("nb"))).select("rid", "pos", "name")
     else:
         named = _names(counts.select("h"))
         level = base.select("rid", F.posexplode("hs").alias("pos", "h")).join(named, "h").select("rid", "pos", "name")
@@ -121,7 +121,7 @@ def drop_exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str =
     """The rows of ``docs`` that stay, with all their columns. ``docs`` must be a stored table: it is scanned in the same order again."""
     cols = docs.columns
     kept = exact_dedup(docs, text_col, id_col).filter("kept").select(F.col("rid").alias("__rid"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(kept, "__rid", "left_semi").select(*cols)
+    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(kept.hint("merge"), "__rid", "left_semi").select(*cols)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
