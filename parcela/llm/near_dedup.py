@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_written, table, written
 from .components import components
+from .wordhash import SPACE, P, WordHasher, mix
 
 BANDS, ROWS = 56, 8
 BLOCK_DOCS, BLOCK_BYTES = 2048, 32 << 20
@@ -44,53 +45,18 @@ PERCENT = 80
 CHUNK = 2048
 GROUP_TEXT = 1 << 20
 
-_BYTE = np.arange(256, dtype=np.uint8)
-_BYTE[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-_P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    with np.errstate(over="ignore"):
-        step = 1
-        while step < n:  # doubling
-            m = min(step, n - step)
-            out[step : step + m] = out[:m] * np.uint64(pow(base, step, 1 << 64))
-            step *= 2
-    return out
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 class Shingler:
     """Shingle sets of UTF-8 texts, computed over whole groups of texts at a time."""
 
-    def __init__(self, words: int, space: np.ndarray = _SPACE):
-        self.words, self.space = words, space
-        self.up = self.down = np.ones(0, np.uint64)
+    def __init__(self, words: int, separators: np.ndarray = SPACE):
+        self.words, self.hasher = words, WordHasher(separators)
         rng = np.random.default_rng(1)
         self.coef = rng.integers(1, 2**63, words + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def word_hashes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash and start of each word."""
-        n = len(data)
-        if len(self.up) < n + 1:
-            self.up, self.down = _powers(_P, 2 * n + 1), _powers(_PINV, 2 * n + 1)
-        space = self.space[data]
-        edge = np.diff(np.concatenate([[True], space, [True]]).view(np.int8))
-        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        with np.errstate(over="ignore"):
-            total = np.concatenate([[np.uint64(0)], np.cumsum((_BYTE[data].astype(np.uint64) + np.uint64(1)) * self.up[:n])])
-            h = (total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64)
-        return _mix(h), starts
+        starts, ends = self.hasher.bounds(data)
+        return self.hasher.hashes(data, starts, ends), starts
 
     def _group(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         data = np.frombuffer(b"\n".join(texts), np.uint8)
@@ -102,13 +68,13 @@ class Shingler:
             full = h[: max(0, len(h) - k + 1)] * c[0]
             for j in range(1, k):
                 full = full + h[j : j + len(full)] * c[j]
-            full = _mix(full)
+            full = mix(full)
             for a, b in zip(first[:-1], first[1:], strict=True):
                 n = b - a
                 if n >= k:
                     yield np.unique(full[a : b - k + 1])
                 elif n:
-                    yield _mix((h[a:b] * c[:n]).sum(keepdims=True) + c[k] * np.uint64(n))
+                    yield mix((h[a:b] * c[:n]).sum(keepdims=True) + c[k] * np.uint64(n))
                 else:
                     yield np.zeros(0, np.uint64)
 
@@ -144,8 +110,8 @@ class MinHasher:
     def bands(self, minima: np.ndarray) -> np.ndarray:
         """A 64-bit key for each band, other keys for other bands."""
         with np.errstate(over="ignore"):
-            s = (minima.reshape(BANDS, ROWS).astype(np.uint64) * self.coef).sum(1) + np.arange(BANDS, dtype=np.uint64) * np.uint64(_P)
-        return _mix(s)
+            s = (minima.reshape(BANDS, ROWS).astype(np.uint64) * self.coef).sum(1) + np.arange(BANDS, dtype=np.uint64) * np.uint64(P)
+        return mix(s)
 
 
 def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
