@@ -187,7 +187,8 @@ def near_duplicates(docs: DataFrame, words: int, percent: int = PERCENT, text_co
     signed = written(raw.mapInArrow(lambda b: _signed(b, words), "rid long, doc_id long, n long, print binary, bands array<long>"), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     classes = written(signed.filter("n > 0").groupBy("print").agg(first), "classes").select("print", "first", F.col("first.rid").alias("rep"))
-    reps = signed.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
+    # merge joins at every size, as none of these sides has a bound
+    reps = signed.join(classes.select(F.col("rep").alias("rid")).hint("merge"), "rid", "left_semi")
     banded = reps.select("rid", F.explode("bands").alias("band"))
     buckets = written(banded.groupBy("band").agg(F.min("rid").alias("least"), F.count("*").alias("k")).filter("k > 1").drop("k"), "buckets")
     stars = banded.join(buckets, "band").filter("rid <> least").select(F.col("rid").alias("a"), F.col("least").alias("b")).distinct()
@@ -197,7 +198,7 @@ def near_duplicates(docs: DataFrame, words: int, percent: int = PERCENT, text_co
     groups = written(groups.join(written(weight, "weight"), "grp"), "sized")
     rows = groups.agg(F.coalesce(F.sum("nb"), F.lit(0))).first()[0]
     bins = max(1, -(-rows // 512))
-    searched = raw.select("rid", "text").join(groups, "rid").select("rid", "text", "grp", "nb")
+    searched = raw.select("rid", "text").join(groups.hint("merge"), "rid").select("rid", "text", "grp", "nb")
     sets = searched.mapInArrow(lambda b: _sets(b, words), "rid long, grp long, nb int, shingles binary, sig binary")
     sets = sets.withColumn("block", F.pmod(F.xxhash64("rid"), "nb").cast("int"))
     paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -208,7 +209,7 @@ def near_duplicates(docs: DataFrame, words: int, percent: int = PERCENT, text_co
     labelled = classes.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = written(labelled.groupBy("root").agg(F.min("first").alias("least")), "least")
     labelled = written(labelled.join(least, "root").select("print", "least"), "labelled")
-    out = signed.select("rid", "doc_id", "n", "print").join(labelled, "print", "left")
+    out = signed.select("rid", "doc_id", "n", "print").join(labelled.hint("merge"), "print", "left")
     drop_written(buckets)
     alone = F.col("n") == 0
     return out.select(
@@ -222,7 +223,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT
     """One row of each component, with all columns. ``docs`` must be a stored table."""
     cols = docs.columns
     kept = near_duplicates(docs, words, percent, text_col, id_col).filter("rid = keep_rid").select(F.col("rid").alias("__rid"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(kept, "__rid", "left_semi").select(*cols)
+    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(kept.hint("merge"), "__rid", "left_semi").select(*cols)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
