@@ -37,7 +37,6 @@ SMALL_ROWS = 16384
 OWN, EDITED = 0, N_LANES
 IDENT = 2 * N_LANES  # own, then edited
 SHA, META = IDENT + 2 * N_IDENT, IDENT + 2 * N_IDENT + 8
-WIDTH = META + 2
 
 
 def _neighbours(ids: DataFrame) -> DataFrame:
@@ -122,7 +121,7 @@ def likeness(a: Column, b: Column) -> Column:
     """Of two structs (lanes, ident): 1 if equal, else the cosine of their likeness lanes, cut to 0..1."""
     norm = F.sqrt(_dot(a["lanes"], a["lanes"]).cast("double")) * F.sqrt(_dot(b["lanes"], b["lanes"]).cast("double"))
     cosine = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(_dot(a["lanes"], b["lanes"]).cast("double"), norm)))
-    return F.when(a == b, F.lit(1.0)).otherwise(F.coalesce(cosine, F.lit(0.0)))
+    return F.when(a == b, F.lit(1.0)).when(norm == 0, F.lit(0.0)).otherwise(cosine)
 
 
 def as_hex(fp: Column) -> Column:
@@ -155,7 +154,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     both = both.select("b", "k", "look", "doc_id", "n", F.sha2("e", 256).alias("sha"), F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("t").alias("x")), F.struct(F.lit(1).alias("v"), F.col("e").alias("x")))).alias("p"))
     both = both.filter(F.col("p.x").isNotNull())
     paragraphs = both.select("b", "k", "look", "doc_id", "n", "sha", F.col("p.v").alias("v"), F.posexplode(F.split("p.x", "\n")).alias("pos", "par"))
-    zeros = F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: _element(i, F.lit(0)))
+    zeros = F.transform(F.sequence(F.lit(0), F.lit(META - 1)), lambda i: _element(i, F.lit(0)))
     words = [_element(F.lit(SHA + i), F.conv(F.substring("sha", 8 * i + 1, 8), 16, 10)) for i in range(8)]
     meta = F.concat(zeros, F.array(*words, _element(F.lit(META), F.col("doc_id")), _element(F.lit(META + 1), F.col("n"))))
     none = F.array().cast("array<struct<lane:int,val:bigint>>")
