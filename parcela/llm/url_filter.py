@@ -2,9 +2,10 @@
 
 Labelled outcomes of pages (1: bad) are counted for each host. Going down from
 all pages to suffix, registered domain and host, each level's rates are drawn
-from a beta prior whose mean is the posterior mean one level up and whose
-strength is fitted to the level's own over-dispersion by moments. A host is
-blocked when the lower posterior bound (normal approximation, ``z`` standard
+from a beta prior whose mean is the posterior mean one level up (without the
+unit's own outcomes) and whose strength is fitted to the level's own
+over-dispersion by moments (at least the weight of one page). A host is blocked
+when the lower posterior bound (normal approximation, ``z`` standard
 deviations) of its bad rate is over ``threshold``: few or mixed outcomes never
 block.
 
@@ -54,11 +55,15 @@ def _strength(units: DataFrame) -> float:
     v, p = F.col("prior") * (1 - F.col("prior")), F.col("bad") / F.col("n")
     a, e, d = units.filter("n > 0").agg(F.sum(F.col("n") * (p - F.col("prior")) ** 2), F.sum(v), F.sum(v * (F.col("n") - 1))).first()
     rho = (a - e) / d if d else 0.0
-    return 1 / min(max(rho, 1e-4), 0.999) - 1
+    return 1 / min(max(rho, 1e-4), 0.5) - 1
 
 
-def _posterior(units: DataFrame, strength: float) -> Column:
-    return (strength * F.col("prior") + F.col("bad")) / (strength + F.col("n"))
+def _priors(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """``children`` with prior: the posterior mean of their parent without the child's own outcomes, which would count twice."""
+    s = _strength(parents)
+    up = parents.select(key, *[F.col(c).alias(f"up_{c}") for c in ("n", "bad", "prior")])
+    prior = (s * F.col("up_prior") + F.col("up_bad") - F.col("bad")) / (s + F.col("up_n") - F.col("n"))
+    return children.join(up, key).withColumn("prior", prior).drop("up_n", "up_bad", "up_prior")
 
 
 def host_reputation(pages: DataFrame, z: float = Z) -> DataFrame:
@@ -68,13 +73,12 @@ def host_reputation(pages: DataFrame, z: float = Z) -> DataFrame:
         hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1)), "hosts"
     )
     total, bad = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("prior", F.lit((bad + 1) / (total + 2)))
-    suffixes = suffixes.select("suffix", _posterior(suffixes, _strength(suffixes)).alias("prior"))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(suffixes, "suffix")
-    domains = domains.select("domain", _posterior(domains, _strength(domains)).alias("prior"))
-    hosts = hosts.join(domains, "domain")
+    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    suffixes = suffixes.withColumn("prior", (bad - F.col("bad") + 1) / (total - F.col("n") + 2))
+    domains = _priors(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), suffixes, "suffix")
+    hosts = _priors(hosts.drop("suffix"), domains, "domain")
     s = _strength(hosts)
-    rate = _posterior(hosts, s)
+    rate = (s * F.col("prior") + F.col("bad")) / (s + F.col("n"))
     return hosts.select("host", "n", "bad", rate.alias("rate"), (rate - z * F.sqrt(rate * (1 - rate) / (s + F.col("n") + 1))).alias("bound"))
 
 
@@ -113,15 +117,13 @@ lab AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END)
 o AS (SELECT page_id, max(bad) AS bad FROM p JOIN lab ON doc_id = try_cast(regexp_extract(path, '/(\d{1,18})(?:\D|$)', 1) AS BIGINT) GROUP BY page_id),
 h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
       FROM p LEFT JOIN o USING (page_id) GROUP BY host),
-s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM h) AS prior FROM h GROUP BY suffix),
-k0 AS (SELECT 1 / least(greatest(coalesce((sum(n * (bad / n - prior) ** 2) - sum(prior * (1 - prior))) / nullif(sum(prior * (1 - prior) * (n - 1)), 0), 0), 1e-4), 0.999) - 1 AS s FROM s0 WHERE n > 0),
-s1 AS (SELECT suffix, (s * prior + bad) / (s + n) AS prior FROM s0, k0),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, ((SELECT sum(bad) FROM h) - sum(bad) + 1) / ((SELECT sum(n) FROM h) - sum(n) + 2) AS prior FROM h GROUP BY suffix),
+k0 AS (SELECT 1 / least(greatest(coalesce((sum(n * (bad / n - prior) ** 2) - sum(prior * (1 - prior))) / nullif(sum(prior * (1 - prior) * (n - 1)), 0), 0), 1e-4), 0.5) - 1 AS s FROM s0 WHERE n > 0),
 d0 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
-d1 AS (SELECT domain, n, bad, prior FROM d0 JOIN s1 USING (suffix)),
-k1 AS (SELECT 1 / least(greatest(coalesce((sum(n * (bad / n - prior) ** 2) - sum(prior * (1 - prior))) / nullif(sum(prior * (1 - prior) * (n - 1)), 0), 0), 1e-4), 0.999) - 1 AS s FROM d1 WHERE n > 0),
-d2 AS (SELECT domain, (s * prior + bad) / (s + n) AS prior FROM d1, k1),
-h1 AS (SELECT host, n, bad, prior FROM h JOIN d2 USING (domain)),
-k2 AS (SELECT 1 / least(greatest(coalesce((sum(n * (bad / n - prior) ** 2) - sum(prior * (1 - prior))) / nullif(sum(prior * (1 - prior) * (n - 1)), 0), 0), 1e-4), 0.999) - 1 AS s FROM h1 WHERE n > 0),
+d1 AS (SELECT domain, d0.n, d0.bad, (s * prior + s0.bad - d0.bad) / (s + s0.n - d0.n) AS prior FROM d0 JOIN s0 USING (suffix), k0),
+k1 AS (SELECT 1 / least(greatest(coalesce((sum(n * (bad / n - prior) ** 2) - sum(prior * (1 - prior))) / nullif(sum(prior * (1 - prior) * (n - 1)), 0), 0), 1e-4), 0.5) - 1 AS s FROM d1 WHERE n > 0),
+h1 AS (SELECT host, h.n, h.bad, (s * prior + d1.bad - h.bad) / (s + d1.n - h.n) AS prior FROM h JOIN d1 USING (domain), k1),
+k2 AS (SELECT 1 / least(greatest(coalesce((sum(n * (bad / n - prior) ** 2) - sum(prior * (1 - prior))) / nullif(sum(prior * (1 - prior) * (n - 1)), 0), 0), 1e-4), 0.5) - 1 AS s FROM h1 WHERE n > 0),
 h2 AS (SELECT host, (s * prior + bad) / (s + n) AS rate, s + n + 1 AS w FROM h1, k2),
 b AS (SELECT host FROM h2 WHERE rate - 1.645 * sqrt(rate * (1 - rate) / w) > 0.5),
 r AS (SELECT p.*, CASE
