@@ -1 +1 @@
-"""Part of parcela."""
+"""Column expressions and the registry of user functions."""

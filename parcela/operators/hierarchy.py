@@ -108,6 +108,22 @@ def fine_neighbors(edges: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
     return both.select(prefix("p", level).alias("node"), prefix("q", level).alias("nbr"), prefix("q", level + 1).alias("fine")).distinct()
 
 
+def all_fine_neighbors(edges: DataFrame, nodes: DataFrame, n_levels: int) -> DataFrame:
+    """level, node, nbr, fine: ``fine_neighbors`` of every level that has one below it."""
+    out = None
+    for level in range(1, n_levels):
+        part = fine_neighbors(edges, nodes, level).select(F.lit(level).alias("level"), "node", "nbr", "fine")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def subgraph(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges inside members(id); ids stay as they are, and coarse quotients of the result are those of the subset."""
+    ids = members.select("id").distinct()
+    kept = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return nodes.join(ids, "id", "left_semi"), kept.select(*edges.columns)
+
+
 def edge_weight(edges: DataFrame, nodes: DataFrame, a: list[str], b: list[str]) -> DataFrame:
     """weight between two units of any levels (0 if they don't touch)."""
     e = with_paths(edges, nodes)

@@ -169,6 +169,86 @@ def subtree_pops(g: LocalGraph, tree: set[int], root: int) -> tuple[list[int], d
     return order, parent, pops
 
 
+def hierarchical_tree(g: LocalGraph, nodes: list[int], rng: np.random.Generator, units: list[np.ndarray], sample=wilson_tree) -> set[int]:
+    """A spanning tree that is a tree inside every unit of every level, coarsest level first in ``units`` (unit of each node).
+
+    Whole units hang on single edges of such a tree, so that cutting it splits
+    few of them. Units, or their connected parts, are joined by a tree of the
+    quotient graph, whose edges are realised by base edges drawn by weight.
+    """
+    if not units:
+        return sample(g, nodes, rng)
+    inside = np.zeros(len(g.ids), bool)
+    inside[nodes] = True
+    part = np.full(len(g.ids), -1)
+    groups: list[list[int]] = []
+    for x in nodes:
+        if part[x] < 0:
+            part[x] = len(groups)
+            found = [x]
+            for y in found:
+                for z, _ in g.near[y]:
+                    if inside[z] and part[z] < 0 and units[0][z] == units[0][x]:
+                        part[z] = len(groups)
+                        found.append(z)
+            groups.append(found)
+    tree: set[int] = set()
+    for members in groups:
+        tree |= hierarchical_tree(g, members, rng, units[1:], sample)
+    between: dict[tuple[int, int], list[int]] = {}
+    for e in np.flatnonzero(inside[g.u] & inside[g.v] & (part[g.u] != part[g.v])):
+        a, b = sorted((int(part[g.u[e]]), int(part[g.v[e]])))
+        between.setdefault((a, b), []).append(int(e))
+    keys, k = list(between), np.zeros(len(groups))
+    ends = np.array(keys, int).reshape(-1, 2)
+    quotient = LocalGraph(np.arange(len(groups)), k, ends[:, 0], ends[:, 1], np.array([g.w[between[x]].sum() for x in keys]), np.ones(len(keys)), k, k)
+    for e in sample(quotient, list(range(len(groups))), rng) if len(groups) > 1 else ():
+        chosen = between[keys[e]]
+        tree.add(chosen[pick(rng, g.w[chosen])])
+    return tree
+
+
+def balanced_edges(g: LocalGraph, tree: set[int], low: float, high: float, districts: int) -> list[tuple[int, int]]:
+    """(edge, districts on its lower side) for each tree edge that leaves both sides a whole number of districts within bounds."""
+    order, parent, pops = subtree_pops(g, tree, int(g.u[min(tree)]))
+    total, out = pops[order[0]], []
+    for x in order[1:]:
+        for k in range(1, districts):
+            if k * low <= pops[x] <= k * high and (districts - k) * low <= total - pops[x] <= (districts - k) * high:
+                out.append((g.edge_of(x, parent[x]), k))
+    return out
+
+
+def three_way_cuts(g: LocalGraph, tree: set[int], low: float, high: float) -> list[tuple[int, int]]:
+    """Pairs of tree edges whose removal leaves three parts within bounds: by nesting of the subtrees' intervals."""
+    order, parent, pops = subtree_pops(g, tree, int(g.u[min(tree)]))
+    children: dict[int, list[int]] = {}
+    for x in order[1:]:
+        children.setdefault(parent[x], []).append(x)
+    enter, leave, clock, stack = {}, {}, 0, [(order[0], False)]
+    while stack:
+        x, done = stack.pop()
+        if done:
+            leave[x] = clock
+            continue
+        enter[x], clock = clock, clock + 1
+        stack.append((x, True))
+        stack += [(y, False) for y in children.get(x, ())]
+    xs = np.array(order[1:])
+    p, total = np.array([pops[x] for x in xs]), pops[order[0]]
+    start, end = np.array([enter[x] for x in xs]), np.array([leave[x] for x in xs])
+    out = []
+    for i, x in enumerate(xs):
+        below = (start > start[i]) & (end <= end[i])
+        above = (start < start[i]) & (end >= end[i])
+        first = np.where(below, p[i] - p, p[i])
+        second = np.where(above, p - p[i], p)
+        rest = total - first - second
+        ok = (first >= low) & (first <= high) & (second >= low) & (second <= high) & (rest >= low) & (rest <= high)
+        out += [(g.edge_of(int(x), parent[int(x)]), g.edge_of(int(xs[j]), parent[int(xs[j])])) for j in np.flatnonzero(ok) if j > i]
+    return out
+
+
 def random_plan(g: LocalGraph, districts: int, low: float, high: float, rng: np.random.Generator, max_attempts: int = 1000, nodes: list[int] | None = None, sample=wilson_tree, accept=None) -> np.ndarray:
     """District (1..k) of each node, 0 for those not in ``nodes``: districts are cut off random trees one at a time.
 
