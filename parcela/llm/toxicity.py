@@ -36,8 +36,12 @@ from .near_dedup import Shingler
 MAX_POSITIVE, MAX_NEGATIVE = 2000, 4000
 BUCKET_BITS, MIN_DOCS = 20, 4
 DIM, WIDTHS, FILTERS = 8, (1, 2, 3), 8
-EPOCHS, BATCH, RATE = 8, 64, 0.01
+BATCH, RATE = 64, 0.01
+#: Passes over the sample: EPOCHS, or as many as make STEPS batches.
+EPOCHS, STEPS = 8, 600
 PAD = max(WIDTHS) - 1
+#: A language with fewer toxic documents to choose its threshold by has the threshold 0.5.
+MIN_TO_CALIBRATE = 30
 
 _WORD = np.ones(256, bool)
 _WORD[:128] = [chr(i).isalnum() for i in range(128)]
@@ -139,7 +143,7 @@ def _evidence(docs: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.nda
     return seen, (np.log(a / (n1 + 1)) - np.log(b / (n0 + 1))) / np.sqrt(1 / a + 1 / b)
 
 
-def train(docs: list[np.ndarray], y: np.ndarray, seed: int = 3, epochs: int = EPOCHS) -> Model:
+def train(docs: list[np.ndarray], y: np.ndarray, seed: int = 3, steps: int = STEPS) -> Model:
     """Fits the model; one embedding dimension starts from the evidence of each bucket, all else at random."""
     rng = np.random.default_rng(seed)
     seen, z = _evidence(docs, y)
@@ -159,6 +163,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, seed: int = 3, epochs: int = EP
     params = [e, *filters, *bias, out, out_bias]
     adam = _Adam(params)
     weight = np.where(y == 1, len(y) / max(1, 2 * y.sum()), len(y) / max(1, 2 * (len(y) - y.sum())))
+    epochs = max(EPOCHS, -(-steps * BATCH // max(1, len(rows))))
     for epoch in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), BATCH):
@@ -179,14 +184,14 @@ def train(docs: list[np.ndarray], y: np.ndarray, seed: int = 3, epochs: int = EP
                 gf.append(grad)
                 gb.append(part.sum(0))
             ge[0] = 0
-            adam.step(params, [ge, *gf, *gb, act.T @ g + 1e-4 * out, np.array([g.sum()], np.float32)], RATE / (1 + epoch))
+            adam.step(params, [ge, *gf, *gb, act.T @ g + 1e-4 * out, np.array([g.sum()], np.float32)], RATE / (1 + EPOCHS * epoch / epochs))
             model.out_bias = float(out_bias[0])
     return model
 
 
 def best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
-    """The threshold with the largest F1; among equals the middle one; 0.5 where a label is missing."""
-    if not (0 < y.sum() < len(y)):
+    """The threshold with the largest F1; among equals the middle one; 0.5 where there are too few labels."""
+    if y.sum() < MIN_TO_CALIBRATE or y.sum() == len(y):
         return 0.5
     order = np.argsort(-scores, kind="stable")
     s, hits = scores[order], np.cumsum(y[order])

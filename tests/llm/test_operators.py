@@ -326,7 +326,9 @@ def test_toxicity_without_both_labels(spark, tmp_path):
 
 
 def test_thresholds():
-    assert toxicity.best_threshold(np.array([0.1, 0.2, 0.8, 0.9]), np.array([0, 0, 1, 1])) == 0.5
+    low = np.concatenate([np.full(40, 0.1), np.full(40, 0.3)])
+    assert abs(toxicity.best_threshold(low, np.repeat([0, 1], 40)) - 0.2) < 1e-9
+    assert toxicity.best_threshold(low[30:50], np.repeat([0, 1], 10)) == 0.5  # too few
     assert toxicity.best_threshold(np.array([0.1, 0.2]), np.array([0, 0])) == 0.5
 
 
