@@ -42,9 +42,10 @@ class PackNodes:
         return t.filter("target > 0")
 
     def check(self, nodes: DataFrame, plans: DataFrame) -> DataFrame:
-        per = plans.join(nodes.select(F.col("id").alias("node"), self.unit), "node").groupBy("plan_id", "district").agg(F.min(self.unit).alias(self.unit), F.count_distinct(self.unit).alias("k"))
+        units = plans.join(nodes.select(F.col("id").alias("node"), self.unit), "node").groupBy("plan_id", "district", self.unit).agg(F.count("*").alias("n"))
+        per = units.groupBy("plan_id", "district").agg(F.min(self.unit).alias(self.unit), F.count("*").alias("k"))
         whole = per.filter("k = 1").groupBy("plan_id", self.unit).agg(F.count("*").alias("packed"))
-        every = plans.select("plan_id").distinct().withColumn("j", F.lit(1)).join(self.targets(nodes).withColumn("j", F.lit(1)), "j")
+        every = units.select("plan_id", self.unit).distinct().join(self.targets(nodes), self.unit)
         got = every.join(whole, ["plan_id", self.unit], "left").withColumn("packed", F.coalesce("packed", F.lit(0)))
         out = got.groupBy("plan_id").agg(F.bool_and(F.col("packed") >= F.col("target")).alias("ok"))
         return plans.select("plan_id").distinct().join(out, "plan_id", "left").select("plan_id", F.coalesce("ok", F.lit(True)).alias("ok"))
