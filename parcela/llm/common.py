@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The ASCII white space of the contracts, as a Java regular expression.
@@ -65,6 +66,35 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A table of file names up to this many rows (some 200 bytes each) is broadcast.
+BROADCAST_FILES = 50_000
+ROW_BITS = 36
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` if its rows come from files as they are, else a written copy: only then do rows have a lasting place."""
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return written(df, "stored")
+    return df
+
+
+def with_row_ids(df: DataFrame, name: str) -> DataFrame:
+    """A ``stored`` table with a number for each row, from its file's place among the sorted names and its place in the file.
+
+    Unlike ``monotonically_increasing_id`` it doesn't depend on how a scan is
+    split, which changes when executors come or go between two scans.
+    """
+    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    names = df.select(F.col("_metadata.file_path").alias("__file")).distinct()
+    files = written(names.withColumn("__no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__file")).cast("long")), "files")
+    if files.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
+        files = F.broadcast(files)
+    rid = F.shiftleft(F.col("__no"), ROW_BITS).bitwiseOR(F.col("__row"))
+    return placed.join(files, "__file").withColumn(name, rid).drop("__file", "__row", "__no")
+
+
 def ascii_lower(col):
     """Lower-cases A-Z only."""
     return F.translate(col, UPPER, LOWER)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, one_space, table, written
+from .common import drop_written, one_space, stored, table, with_row_ids, written
 
 BLOCK_BYTES = 4096
 
@@ -48,9 +48,10 @@ def _names(keys: DataFrame) -> DataFrame:
 
 
 def identities(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row for each row of ``docs``: rid (row number in scan order), id, sha (binary), level, name."""
+    """A row for each row of ``docs``: rid (row number of the stored table), id, sha (binary), level, name."""
+    docs = stored(docs)
     text = one_space(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), text.alias("t"))
+    rows = with_row_ids(docs.select(text_col, id_col), "__rid").select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), text.alias("t"))
     base = written(
         rows.select(
             "rid", "id", F.unhex(F.sha2("t", 256)).alias("sha"),
@@ -118,10 +119,10 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 
 def drop_exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. ``docs`` must be a stored table: it is scanned in the same order again."""
-    cols = docs.columns
+    """The rows of ``docs`` that stay, with all their columns."""
+    docs, cols = stored(docs), docs.columns
     kept = exact_dedup(docs, text_col, id_col).filter("kept").select(F.col("rid").alias("__rid"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(kept.hint("merge"), "__rid", "left_semi").select(*cols)
+    return with_row_ids(docs, "__rid").join(kept.hint("merge"), "__rid", "left_semi").select(*cols)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, table, written
+from .common import drop_written, stored, table, with_row_ids, written
 from .components import components
 from .wordhash import SPACE, P, WordHasher, mix
 
@@ -179,11 +179,9 @@ def _links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """A row for each row of ``docs``: rid (row number in scan order), doc_id, n_shingles, component_id, keep_rid.
-
-    ``docs`` must be a stored table: it is scanned twice in the same order.
-    """
-    raw = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    """A row for each row of ``docs``: rid (row number of the stored table), doc_id, n_shingles, component_id, keep_rid."""
+    raw = with_row_ids(stored(docs).select(text_col, id_col), "__rid")
+    raw = raw.select(F.col("__rid").alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     signed = written(raw.mapInArrow(lambda b: _signed(b, words), "rid long, doc_id long, n long, print binary, bands array<long>"), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     classes = written(signed.filter("n > 0").groupBy("print").agg(first), "classes").select("print", "first", F.col("first.rid").alias("rep"))
@@ -220,10 +218,10 @@ def near_duplicates(docs: DataFrame, words: int, percent: int = PERCENT, text_co
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row of each component, with all columns. ``docs`` must be a stored table."""
-    cols = docs.columns
+    """One row of each component, with all columns."""
+    docs, cols = stored(docs), docs.columns
     kept = near_duplicates(docs, words, percent, text_col, id_col).filter("rid = keep_rid").select(F.col("rid").alias("__rid"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(kept.hint("merge"), "__rid", "left_semi").select(*cols)
+    return with_row_ids(docs, "__rid").join(kept.hint("merge"), "__rid", "left_semi").select(*cols)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

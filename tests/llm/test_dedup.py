@@ -151,3 +151,20 @@ def test_shingler_matches_plain_words():
     seen = {}
     for t, s in zip(texts, got, strict=True):
         assert seen.setdefault(data.shingles(t, 3), s.tobytes()) == s.tobytes()
+
+
+def test_row_ids_do_not_depend_on_the_split(spark, tmp_path):
+    from parcela.llm.common import stored, with_row_ids
+
+    docs = data.documents(spark, tmp_path)
+    a = with_row_ids(docs, "r").select("r", "doc_id", "text").collect()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+        b = with_row_ids(docs, "r").select("r", "doc_id", "text").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert Counter(map(tuple, a)) == Counter(map(tuple, b)) and len({r.r for r in a}) == len(data.ROWS)
+    memory = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")
+    assert stored(docs) is docs and with_row_ids(stored(memory), "r").count() == 2
+    assert exact_dedup.drop_exact_duplicates(memory).count() == 1 and near_dedup.drop_near_duplicates(memory).count() == 1
