@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parcela.functions import expressions as X
 from parcela.operators import constraints as C
 from parcela.operators import cycles as Y
 from parcela.operators import diagnostics as G
@@ -14,7 +16,7 @@ from parcela.operators import hierarchy as H
 from parcela.operators import nodesets as N
 from parcela.operators import observables as O
 from parcela.operators import trees as R
-from parcela.sources import atlas, json_graph, run_config
+from parcela.sources import ensemble, json_graph, run_config
 from parcela.sources import tables as S
 from parcela.spec import GraphSpec
 
@@ -149,35 +151,35 @@ def _flat_map(df: DataFrame, key: str, column: str) -> DataFrame:
 
 MAP = "string_agg(name || '=' || district::VARCHAR, ',' ORDER BY name || '=' || district::VARCHAR)"
 register("s11_node_map", f"SELECT plan_id, {MAP} AS districting FROM plans JOIN nodes ON id = node GROUP BY 1", NATION)(
-    nation(lambda g, p: _flat_map(atlas.node_map(p, g.nodes.select(F.col("id").alias("node"), "name")), "plan_id", "districting"))
+    nation(lambda g, p: _flat_map(ensemble.node_map(p, g.nodes.select(F.col("id").alias("node"), "name")), "plan_id", "districting"))
 )
 
 
-def _atlas_rows(spark, sf_dir, with_districting=True):
+def _ensemble_rows(spark, sf_dir, with_districting=True):
     from tempfile import mkdtemp
 
     g = S.nation_lattice(spark, sf_dir)
     p = S.nation_plans(g.nodes)
     folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + mkdtemp(prefix="parcela-")
-    path = f"{folder.rstrip('/')}/atlas-{spark.sparkContext.applicationId}-{abs(hash((sf_dir, with_districting)))}"
-    w = atlas.Writer(spark, path, atlas.Header(5, 0, 1e9), with_districting=with_districting).push_report("cut_edges", O.cut_edges(g.edges, p), "cut_edges")
-    maps = atlas.node_map(p, g.nodes.select(F.col("id").alias("node"), "name")).withColumn("step", F.col("plan_id") + 1)
+    path = f"{folder.rstrip('/')}/ensemble-{spark.sparkContext.applicationId}-{abs(hash((sf_dir, with_districting)))}"
+    w = ensemble.Writer(spark, path, ensemble.Header(5, 0, 1e9), with_districting=with_districting).push_report("cut_edges", O.cut_edges(g.edges, p), "cut_edges")
+    maps = ensemble.node_map(p, g.nodes.select(F.col("id").alias("node"), "name")).withColumn("step", F.col("plan_id") + 1)
     w.rows(maps).write.mode("overwrite").option("compression", "gzip").json(f"{path}/maps")
-    return atlas.read_maps(spark, path)
+    return ensemble.read_maps(spark, path)
 
 
-@register("s8_atlas_sink", f"SELECT 'step' || (plan_id + 1) AS name, 1.0::DOUBLE AS weight, {MAP} AS districting FROM plans JOIN nodes ON id = node GROUP BY plan_id", NATION)
+@register("s8_ensemble_sink", f"SELECT 'step' || (plan_id + 1) AS name, 1.0::DOUBLE AS weight, {MAP} AS districting FROM plans JOIN nodes ON id = node GROUP BY plan_id", NATION)
 def s8(spark, sf_dir):
-    return _flat_map(_atlas_rows(spark, sf_dir).withColumn("k", F.struct("name", "weight")), "k", "districting").select("k.*", "districting")
+    return _flat_map(_ensemble_rows(spark, sf_dir).withColumn("k", F.struct("name", "weight")), "k", "districting").select("k.*", "districting")
 
 
 @register("s9_output_report", "SELECT 'step' || (plan_id + 1) AS name, sum(connections) AS cut_edges FROM crossing GROUP BY plan_id", NATION)
 def s9(spark, sf_dir):
-    return _atlas_rows(spark, sf_dir).select("name", F.get_json_object(F.col("data")["cut_edges"], "$.value").cast("double").alias("cut_edges"))
+    return _ensemble_rows(spark, sf_dir).select("name", F.get_json_object(F.col("data")["cut_edges"], "$.value").cast("double").alias("cut_edges"))
 
 
 register("s10_output_without_districting", "SELECT 'step' || (plan_id + 1) AS name, 0 AS entries FROM plans GROUP BY plan_id", NATION)(
-    lambda spark, sf: _atlas_rows(spark, sf, False).select("name", F.coalesce(F.size("districting"), F.lit(0)).alias("entries"))
+    lambda spark, sf: _ensemble_rows(spark, sf, False).select("name", F.coalesce(F.size("districting"), F.lit(0)).alias("entries"))
 )
 register("s14_chain_seeds", "SELECT n_nationkey::BIGINT AS chain_id, (454190 + 15123 * n_nationkey)::BIGINT AS seed FROM nation")(
     lambda spark, sf: S.read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("chain_id"), run_config.chain_seed(F.col("n_nationkey").cast("long")).alias("seed"))
@@ -637,7 +639,7 @@ def m12(spark, sf_dir):
     g = S.nation_lattice(spark, sf_dir)
     local = LocalGraph.from_tables(g.nodes.toPandas(), g.edges.toPandas())
     bounds = C.Population.around(float(local.pop.sum()), 5, 0.2)
-    config = run_config.RunConfig(cycle_walk_steps=20, cycle_walk_out_freq=5, two_cycle_walk_frac=0.1, chains=4)
+    config = run_config.RunConfig(two_tree_steps=20, output_freq=5, two_tree_frac=0.1, chains=4)
     out = run_chains(run_config.chains(spark, config), local, 5, bounds.low, bounds.high, config.every)
     return out.select("chain_id", "step", F.array_join(F.transform("districts", lambda d: d.cast("string")), ",").alias("districts"), "accepted", "proposals")
 
@@ -666,3 +668,168 @@ register("t7_swappable_population", "SELECT c.cycle_id, coalesce(max(least(overl
 register("t8_gathered_diagnostics", 'SELECT floor(step / 1000)::BIGINT AS "window", proposal, count(*) AS n, sum(value) AS total FROM (SELECT event_id AS step, event_type AS proposal, value FROM events) GROUP BY 1, 2')(
     _log(lambda log: G.gathered(log, 1000).select("window", "proposal", F.size("values").cast("long").alias("n"), F.aggregate("values", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))).alias("total")))
 )
+
+
+# ---------------------------------------------------------------- the rest of the inventory
+
+
+@register("p4_in_node", "SELECT id FROM nodes WHERE region = 2 AND x = 3", CUSTOMER)
+def p4(spark, sf_dir):
+    return S.customer_lattice(spark, sf_dir).nodes.filter(H.matches([{"region": 2, "x": 3}])).select("id")
+
+
+register("p8_intact_units", "SELECT plan_id, county, count(DISTINCT district) = 1 AS intact FROM plans JOIN nodes ON id = node GROUP BY 1, 2", NATION)(nation(lambda g, p: _intact(g, p)))
+
+
+def _intact(g, p):
+    """A unit is intact where its list of parts is null: one district holds it all."""
+    parts = p.join(g.nodes.select(F.col("id").alias("node"), "county"), "node").groupBy("plan_id", "county").agg(F.collect_set("district").alias("ds"))
+    return parts.select("plan_id", "county", N.intact(F.when(F.size("ds") > 1, F.col("ds"))).alias("intact"))
+
+
+register(
+    "p10_scalar_math", "SELECT id, pow(pop, 0.5) AS root, ln(pop + 1) AS logarithm, floor(pop / 3.0)::BIGINT AS low, ceil(pop / 3.0)::BIGINT AS high, least(pop, 50) AS at_most, greatest(pop, 50) AS at_least FROM nodes", NATION,
+)(
+    nation(
+        lambda g, p: g.nodes.select(
+            "id", F.pow("pop", F.lit(0.5)).alias("root"), F.log(F.col("pop") + 1).alias("logarithm"), F.floor(F.col("pop") / 3.0).alias("low"), F.ceil(F.col("pop") / 3.0).alias("high"),
+            F.least("pop", F.lit(50)).alias("at_most"), F.greatest("pop", F.lit(50)).alias("at_least"),
+        )
+    )
+)
+register("p11_names", "SELECT id, 'step' || id AS step, name || ',' || county::VARCHAR AS joined, '.JSON' AS suffix FROM nodes", NATION)(
+    nation(lambda g, p: g.nodes.select("id", ensemble.map_name("id").alias("step"), F.concat_ws(",", "name", "county").alias("joined"), X.suffix(F.concat("name", F.lit(".json"))).alias("suffix")))
+)
+register("p12_set_all", "SELECT plan_id, 0 AS total, count(*) AS n FROM plans GROUP BY 1", CUSTOMER)(
+    customer(lambda g, p: N.node_vector(p).withColumn("z", X.set_all("districts", 0)).select("plan_id", F.aggregate("z", F.lit(0), lambda s, x: s + x).alias("total"), F.size("z").cast("long").alias("n")))
+)
+register(
+    "j3_all_fine_neighbors",
+    "SELECT level, count(*) AS n FROM (SELECT DISTINCT 1 AS level, a.region::VARCHAR AS node, b.region::VARCHAR AS nbr, b.region * 1000 + b.nation AS fine FROM both_ways JOIN nodes a ON a.id = u JOIN nodes b ON b.id = v WHERE a.region <> b.region UNION SELECT DISTINCT 2, a.nation::VARCHAR, b.nation::VARCHAR, b.id FROM both_ways JOIN nodes a ON a.id = u JOIN nodes b ON b.id = v WHERE a.nation <> b.nation) GROUP BY 1",
+    CUSTOMER, BOTH,
+)(customer(lambda g, p: H.all_fine_neighbors(g.edges, _pathed(g), 3).groupBy("level").agg(F.count("*").alias("n"))))
+register("a7_component_sum", "SELECT plan_id, district, sum(pop)::BIGINT AS pop FROM plans JOIN nodes ON id = node WHERE plan_id < 2 GROUP BY 1, 2", NATION)(
+    nation(lambda g, p: R.component_labels(g.edges, p.filter("plan_id < 2")).join(g.nodes.select(F.col("id").alias("node"), "pop"), "node").groupBy("plan_id", "district", "component").agg(F.sum("pop").alias("pop")).drop("component"))
+)
+register("a11_weighted_votes", "SELECT plan_id, election, sum(votes * weight) AS weighted FROM vsums JOIN weights USING (election) WHERE stage = 1 AND candidate = 'F' GROUP BY 1, 2", NATION, VOTES)(
+    voting(lambda s, w: s.filter("stage = 1 AND candidate = 'F'").join(w, "election").groupBy("plan_id", "election").agg(F.sum(F.col("votes") * F.col("weight")).alias("weighted")))
+)
+register("g3_subgraph", "SELECT count(*) AS edges FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE a.region = 1 AND b.region = 1", CUSTOMER)(
+    customer(lambda g, p: H.subgraph(g.nodes, g.edges, g.nodes.filter("region = 1").select("id"))[1].agg(F.count("*").alias("edges")))
+)
+
+
+def local(f, schema: str):
+    """Rows of f(seed, graph, bounds) on the nation lattice for eight seeds, one task each."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from parcela.plans.forest import LocalGraph
+
+        g = S.nation_lattice(spark, sf_dir)
+        graph = LocalGraph.from_tables(g.nodes.toPandas(), g.edges.toPandas())
+        bounds = C.Population.around(float(graph.pop.sum()), 5, 0.25)
+        shared = spark.sparkContext.broadcast(graph)
+
+        def one(pdf):
+            import pandas as pd
+
+            seed = int(pdf.seed.iloc[0])
+            return pd.DataFrame([(seed, *f(np.random.default_rng(seed), shared.value, bounds))], columns=[x.split()[0] for x in schema.split(", ")])
+
+        return spark.range(8).withColumnRenamed("id", "seed").groupBy("seed").applyInPandas(one, schema)
+
+    return run
+
+
+def _spanning(sample):
+    def f(rng, g, bounds):
+        from parcela.plans import forest
+
+        tree = getattr(forest, sample)(g, list(range(len(g.ids))), rng)
+        order, _, pops = forest.subtree_pops(g, tree, 0)
+        return len(tree), len(order), pops[0]
+
+    return f
+
+
+SPANNING = "SELECT seed::BIGINT AS seed, 24::BIGINT AS edges, 25::BIGINT AS reached, (SELECT sum(pop) FROM nodes)::DOUBLE AS pop FROM (SELECT unnest(range(8)) AS seed)"
+for _name, _sample in (("g5_wilson_tree", "wilson_tree"), ("g6_kruskal_tree", "kruskal_tree"), ("g7_exchange_tree", "exchange_tree")):
+    register(_name, SPANNING, NATION)(local(_spanning(_sample), "seed long, edges long, reached long, pop double"))
+
+
+def _plan(rng, g, bounds):
+    from parcela.plans.forest import random_plan
+
+    assign = random_plan(g, 5, bounds.low, bounds.high, rng)
+    pops = np.bincount(assign, weights=g.pop)[1:]
+    return len(pops), bool(((pops >= bounds.low) & (pops <= bounds.high)).all()), float(pops.sum())
+
+
+register("m3_random_plans", "SELECT seed::BIGINT AS seed, 5::BIGINT AS districts, true AS balanced, (SELECT sum(pop) FROM nodes)::DOUBLE AS pop FROM (SELECT unnest(range(8)) AS seed)", NATION)(
+    local(_plan, "seed long, districts long, balanced boolean, pop double")
+)
+
+
+def _fixed(rng, g, bounds):
+    from parcela.plans.forest import random_plan, random_plan_with_fixed
+
+    first = random_plan(g, 5, bounds.low, bounds.high, rng)
+    held = np.where(first == 1, 1, 0)
+    plan = random_plan_with_fixed(g, held, 5, bounds.low, bounds.high, rng)
+    return len(np.unique(plan)), bool((plan[first == 1] == 1).all() and (plan[first != 1] != 1).all())
+
+
+register("m5_random_plans_with_fixed", "SELECT seed::BIGINT AS seed, 5::BIGINT AS districts, true AS kept FROM (SELECT unnest(range(8)) AS seed)")(local(_fixed, "seed long, districts long, kept boolean"))
+
+
+def _multiscale(rng, g, bounds):
+    from parcela.plans.forest import balanced_edges, hierarchical_tree
+
+    county = np.arange(len(g.ids)) // 5
+    tree = hierarchical_tree(g, list(range(len(g.ids))), rng, [county])
+    whole = sum(int(county[g.u[e]] != county[g.v[e]]) for e in tree)
+    return len(tree), whole, bool(all(0 < k < 5 for _, k in balanced_edges(g, tree, bounds.low, bounds.high, 5)))
+
+
+register("m7_multiscale_trees", "SELECT seed::BIGINT AS seed, 24::BIGINT AS edges, 4::BIGINT AS between_units, true AS cuts_ok FROM (SELECT unnest(range(8)) AS seed)")(
+    local(_multiscale, "seed long, edges long, between_units long, cuts_ok boolean")
+)
+
+
+@register("m10_m11_chain_invariants", "SELECT chain_id::BIGINT AS chain_id, step::BIGINT AS step, 5 AS districts, true AS balanced, 20 AS tree_edges FROM (SELECT unnest(range(4)) AS chain_id), (SELECT unnest([1, 50, 100, 150, 200]) AS step)")
+def m10(spark, sf_dir):
+    """Every output of every chain: five districts within bounds, a spanning forest of 25 - 5 edges."""
+    from parcela.plans.chain import as_plans, run_chains
+    from parcela.plans.forest import LocalGraph
+
+    g = S.nation_lattice(spark, sf_dir)
+    graph = LocalGraph.from_tables(g.nodes.toPandas(), g.edges.toPandas())
+    bounds = C.Population.around(float(graph.pop.sum()), 5, 0.2)
+    config = run_config.RunConfig(two_tree_steps=20, output_freq=5, two_tree_frac=0.1, chains=4)
+    out = run_chains(run_config.chains(spark, config), graph, 5, bounds.low, bounds.high, config.every)
+    pops = O.district_sums(g.nodes, as_plans(out, graph), "pop").groupBy("plan_id").agg(F.count("*").cast("int").alias("districts"), F.bool_and(F.col("pop").between(bounds.low, bounds.high)).alias("balanced"))
+    edges = out.select(F.struct("chain_id", "step").alias("plan_id"), F.size("tree").alias("tree_edges"))
+    return pops.join(edges, "plan_id").select("plan_id.*", "districts", "balanced", "tree_edges")
+
+
+@register("m2_plan_from_node_sets", "SELECT plan_id, node, district FROM plans", NATION)
+def m2(spark, sf_dir):
+    from parcela.plans.tables import plan_from_sets
+
+    g = S.nation_lattice(spark, sf_dir)
+    return plan_from_sets(N.district_sets(S.nation_plans(g.nodes), _pathed(g), 2), _pathed(g))
+
+
+@register("e12_measure_registry", "SELECT plan_id, 0.3 * sum(score) + 0.001 * (SELECT sum(pop) FROM nodes) AS log_energy FROM iso GROUP BY 1", NATION, ISO)
+def e12(spark, sf_dir):
+    from parcela.functions import registry
+
+    g = S.nation_lattice(spark, sf_dir)
+    m = registry.Measure().push("iso", registry.isoperimetric(), 0.3).push("pop", registry.district_total("pop"), 0.001).push("off", registry.district_total("area"), 0)
+    return m.log_energy(g, S.nation_plans(g.nodes))
+
+
+_OUST = SQL["e16_ousted_population"]
+register("e18_community_ousted_population", _OUST.replace("county", "community").replace("n_regionkey AS community", "n_regionkey AS county, (n_nationkey % 5 + n_nationkey // 5) % 3 AS community").replace("GROUP BY n_nationkey, n_regionkey)", "GROUP BY n_nationkey, n_regionkey)"))(
+    nation(lambda g, p: O.ousted_population(g.nodes.withColumn("community", (F.col("x") + F.col("y")) % 3), p, "community", 150.0))
+)

@@ -22,28 +22,28 @@ class RunConfig:
     tolerance: float = 0.02
     gamma: float = 0.0
     iso_weight: float = 0.0
-    cycle_walk_steps: float = 100
-    cycle_walk_out_freq: float = 10
-    two_cycle_walk_frac: float = 0.1
+    two_tree_steps: float = 100
+    output_freq: float = 10
+    two_tree_frac: float = 0.1
     thread_id: int = 0
     chains: int = 1
-    output: str = "atlas"
+    output: str = "ensemble"
     levels: list[str] = field(default_factory=lambda: ["id"])
 
     @property
     def steps(self) -> int:
-        return math.ceil(self.cycle_walk_steps / self.two_cycle_walk_frac)
+        return math.ceil(self.two_tree_steps / self.two_tree_frac)
 
     @property
     def every(self) -> int:
-        return math.floor(self.cycle_walk_out_freq / self.two_cycle_walk_frac)
+        return math.floor(self.output_freq / self.two_tree_frac)
 
     def seed(self, thread_id: int | None = None) -> int:
         return SEED_BASE + SEED_STEP * (self.thread_id if thread_id is None else thread_id)
 
     @property
     def file_name(self) -> str:
-        return f"cycleWalk_d{self.districts}_tol{self.tolerance}_gamma{self.gamma}_iso{self.iso_weight}_thread{self.thread_id}.jsonl.gz"
+        return f"chain_d{self.districts}_tol{self.tolerance}_gamma{self.gamma}_iso{self.iso_weight}_thread{self.thread_id}.jsonl.gz"
 
 
 def load(argv: list[str] | None = None) -> RunConfig:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcela.operators import hierarchy as H
-from parcela.sources import atlas, json_graph, run_config
+from parcela.sources import ensemble, json_graph, run_config
 from parcela.spec import Graph, GraphSpec
 
 
@@ -47,29 +47,29 @@ def test_node_in_two_clusters_is_refused(spark):
         H.cluster_of(nodes, [[{"county": "a"}], [{"id": 0}]]).collect()
 
 
-def test_atlas_round_trip(spark, tmp_path):
+def test_ensemble_round_trip(spark, tmp_path):
     plans = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (2, 0, 2), (2, 1, 1)], "plan_id int, node long, district int")
-    maps = atlas.node_map(plans).withColumn("step", F.col("plan_id") * 10)
+    maps = ensemble.node_map(plans).withColumn("step", F.col("plan_id") * 10)
     score = plans.groupBy("plan_id").agg(F.sum(F.col("node") * F.col("district")).alias("s"))
-    w = atlas.Writer(spark, str(tmp_path / "a"), atlas.Header(2, 1, 1, ["cut"], [1.0], extra={"gamma": 0.5})).push_report("score", score, "s")
+    w = ensemble.Writer(spark, str(tmp_path / "a"), ensemble.Header(2, 1, 1, ["cut"], [1.0], extra={"gamma": 0.5})).push_report("score", score, "s")
     w.output(maps.filter("plan_id = 1"))
     w.output(maps.filter("plan_id = 2"))
     w.close()
-    assert atlas.read_header(spark, str(tmp_path / "a")).extra == {"gamma": 0.5}
-    back = {r.name: (r.districting, json.loads(r.data["score"])["value"]) for r in atlas.read_maps(spark, str(tmp_path / "a")).collect()}
+    assert ensemble.read_header(spark, str(tmp_path / "a")).extra == {"gamma": 0.5}
+    back = {r.name: (r.districting, json.loads(r.data["score"])["value"]) for r in ensemble.read_maps(spark, str(tmp_path / "a")).collect()}
     assert back == {"step10": ({"0": 1, "1": 2}, 2), "step20": ({"0": 2, "1": 1}, 1)}
     assert list((tmp_path / "a" / "maps").glob("*.json.gz"))
 
 
 def test_run_config(tmp_path):
     toml = tmp_path / "p.toml"
-    toml.write_text('[run]\ncycle_walk_steps = 1e4\ncycle_walk_out_freq = 100\ndistricts = 5\n[output]\noutput = "x"\nunknown = 1\n')
+    toml.write_text('[run]\ntwo_tree_steps = 1e4\noutput_freq = 100\ndistricts = 5\n[output]\noutput = "x"\nunknown = 1\n')
     c = run_config.load(["--config", str(toml), "--districts", "7", "--thread_id", "2"])
     assert (c.steps, c.every, c.districts, c.output, c.seed()) == (100_000, 1000, 7, "x", 454190 + 2 * 15123)
 
 
 def test_chain_table(spark):
-    rows = run_config.chains(spark, run_config.RunConfig(chains=2, cycle_walk_steps=20, cycle_walk_out_freq=5)).collect()
+    rows = run_config.chains(spark, run_config.RunConfig(chains=2, two_tree_steps=20, output_freq=5)).collect()
     assert [(r.chain_id, r.seed, r.steps, r.every) for r in rows] == [(0, 454190, 200, 50), (1, 469313, 200, 50)]
 
 
