@@ -40,7 +40,7 @@ from .components import components
 from .wordhash import SPACE, P, WordHasher, mix
 
 BANDS, ROWS = 56, 8
-BLOCK_DOCS, BLOCK_BYTES = 2048, 32 << 20
+BLOCK_DOCS, BLOCK_BYTES = 512, 8 << 20
 PERCENT = 80
 CHUNK = 2048
 GROUP_TEXT = 1 << 20
