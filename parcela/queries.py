@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import partial
+from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +19,7 @@ from parcela.operators import observables as O
 from parcela.operators import trees as R
 from parcela.sources import ensemble, json_graph, run_config
 from parcela.sources import tables as S
+from parcela.sources.shared import shared_dir
 from parcela.spec import GraphSpec
 
 QUERIES: dict = {}
@@ -156,12 +158,9 @@ register("s11_node_map", f"SELECT plan_id, {MAP} AS districting FROM plans JOIN
 
 
 def _ensemble_rows(spark, sf_dir, with_districting=True):
-    from tempfile import mkdtemp
-
     g = S.nation_lattice(spark, sf_dir)
     p = S.nation_plans(g.nodes)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + mkdtemp(prefix="parcela-")
-    path = f"{folder.rstrip('/')}/ensemble-{spark.sparkContext.applicationId}-{abs(hash((sf_dir, with_districting)))}"
+    path = f"{shared_dir(spark)}/parcela/{spark.sparkContext.applicationId}/ensemble-{uuid4().hex}"
     w = ensemble.Writer(spark, path, ensemble.Header(5, 0, 1e9), with_districting=with_districting).push_report("cut_edges", O.cut_edges(g.edges, p), "cut_edges")
     maps = ensemble.node_map(p, g.nodes.select(F.col("id").alias("node"), "name")).withColumn("step", F.col("plan_id") + 1)
     w.rows(maps).write.mode("overwrite").option("compression", "gzip").json(f"{path}/maps")
