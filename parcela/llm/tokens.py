@@ -4,10 +4,11 @@ The tokenizer of ``word_bpe_49k.json`` lower-cases, never lets a token cross
 white space, and its normaliser works on each stretch between ASCII white space
 alone. A text is therefore split there and each distinct stretch, told by a
 64-bit hash of its bytes with A-Z lower-cased, is encoded once, into a memo that
-is emptied at ``MEMO`` stretches. A stretch of letters is merged by the
-byte-pair core of tiktoken over the same vocabulary (a word's end is a byte that
-UTF-8 never has, so that the vocabulary's word ends are ordinary merges); any
-other goes through the tokenizers library. The tests hold both against it.
+is emptied at ``MEMO`` stretches. A stretch of letters, perhaps with a run of
+ASCII punctuation after it, is merged by the byte-pair core of tiktoken over the
+same vocabulary (a word's end is a byte that UTF-8 never has, so that the
+vocabulary's word ends are ordinary merges); any other goes through the
+tokenizers library. The tests hold both against it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, chain, compress
+from operator import not_
+from string import punctuation
 
 import numpy as np
 
@@ -73,18 +76,20 @@ class Encoder:
         self.flat, self.starts = array("I"), array("q", [0])
 
     def _learn(self, keys: list[int], stretches: list[bytes]) -> None:
-        merge, order, found, rest = self.merge, [], [], []
-        for key, w in zip(keys, stretches, strict=True):
-            word = w
-            if not (w.isalpha() and len(w) <= LONG):  # not all ASCII letters
-                s = w.decode("utf-8", "replace")
-                low = s.lower()
-                if not (s.isalpha() and low.isalpha() and len(w) <= LONG and "Σ" not in s and unicodedata.is_normalized("NFC", s)):
-                    rest.append((key, s))
-                    continue
-                word = low.encode()
+        merge, rest = self.merge, []
+        plain = [w.isalpha() and len(w) <= LONG for w in stretches]  # ASCII letters
+        order = list(compress(keys, plain))
+        found = [merge(w + WORD_END) for w in compress(stretches, plain)]
+        for key, w in compress(zip(keys, stretches, strict=True), map(not_, plain)):
+            s = w.decode("utf-8", "replace")
+            word = s.rstrip(punctuation)
+            low = word.lower()
+            if not (word.isalpha() and low.isalpha() and len(w) <= LONG and "Σ" not in word and unicodedata.is_normalized("NFC", word)):
+                rest.append((key, s))
+                continue
             order.append(key)
-            found.append(merge(word + WORD_END))
+            ids, tail = merge(low.encode() + WORD_END), s[len(word) :]
+            found.append(ids + merge(tail.encode() + WORD_END) if tail else ids)
         if rest:
             order += [k for k, _ in rest]
             found += [e.ids for e in self.tokenizer.encode_batch([s for _, s in rest], add_special_tokens=False)]

@@ -170,7 +170,7 @@ def test_mixing_hostile_rows(spark, tmp_path):
 
 # ---------------------------------------------------------------- tokens, packing, token output
 
-TRICKY = ["a<|endoftext|>b c <|startoftext|>", "x <|start oftext|> y", "É é e\u0301 \x1c\x1d z", "ΣΑΣ ß İ", "", " \n", "don't I'LL 3.14 ok\x85q", "a\u00a0b", "e \u0301x", "中文字 русский дом. ﬁne ǅ ʰa", "q" * 300, "é, è. ..., --", "x,y. z,", "🙂🙂, 🙂."]
+TRICKY = ["a<|endoftext|>b c <|startoftext|>", "x <|start oftext|> y", "É é e\u0301 \x1c\x1d z", "ΣΑΣ ß İ", "", " \n", "don't I'LL 3.14 ok\x85q", "a\u00a0b", "e \u0301x", "中文字 русский дом. ﬁne ǅ ʰa", "q" * 300, "é, è. ..., --", "x,y. z,", "🙂🙂, 🙂.", "word%%% émen$$$ it's's ab'' c' d's, e<|f f<|endoftext|> g<|> h|>, İ!! Σ!! x_y_ ___ a1!! ﬁ?! é\u0301.. "]
 
 
 @pytest.fixture(scope="module")
