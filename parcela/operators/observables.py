@@ -31,17 +31,17 @@ def cross_edges(edges: DataFrame, plans: DataFrame, weight: str = "connections")
     return joined.select("plan_id", F.least("da", "db").alias("d1"), F.greatest("da", "db").alias("d2"), "src", ends.dst, *data)
 
 
-def with_all_plans(plans: DataFrame, values: DataFrame, **defaults) -> DataFrame:
-    """Plans without a row in ``values`` get the defaults."""
-    out = plans.select("plan_id").distinct().join(values, "plan_id", "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
-
-
 def cut_edges(edges: DataFrame, plans: DataFrame, column: str | None = "connections", weight: str = "connections") -> DataFrame:
-    """plan_id, cut_edges: the sum of a column over the edges between districts, or their number."""
-    value = F.count("*") if column is None else F.sum(column)
-    zero = 0 if column is None else 0.0
-    return with_all_plans(plans, cross_edges(edges, plans, weight).groupBy("plan_id").agg(value.alias("cut_edges")), cut_edges=zero)
+    """plan_id, cut_edges: the sum of a column over the edges between districts, or their number.
+
+    A zero for every row of ``plans`` stands for the plans that cut nothing; it
+    vanishes in the partial sums, before anything is shuffled.
+    """
+    kind = "long" if column is None else "double"
+    value = F.lit(1) if column is None else F.col(column)
+    cut = cross_edges(edges, plans, weight).select("plan_id", value.cast(kind).alias("v"))
+    rows = cut.unionByName(plans.select("plan_id", F.lit(0).cast(kind).alias("v")))
+    return rows.groupBy("plan_id").agg(F.sum("v").alias("cut_edges"))
 
 
 def isoperimetric(nodes: DataFrame, edges: DataFrame, plans: DataFrame, perimeter: str = "length") -> DataFrame:
