@@ -10,8 +10,15 @@ costs a few gathers a word and reads texts of any length whole.
 Training reads labels only where ``crc32(doc_id as text) mod 5`` is not 0, and
 of these a sample by hash, of at most ``MAX_POSITIVE`` toxic and
 ``MAX_NEGATIVE`` other documents; that bound is what keeps the model in the
-driver's memory. A fifth of the sample is kept from training to choose a
-threshold for each language. The language decides the threshold, never the score.
+driver's memory. A fifth of the labelled documents, by another hash, is never in
+the sample. All labelled documents outside it, however many, are scored where
+they lie and counted in a histogram for each language, of which the driver reads
+at most a row for each language and bin; a language's threshold is the one with
+the largest F1. It is averaged with the threshold of all languages together,
+which has the weight of ``PRIOR_LABELS`` toxic documents (and that one likewise
+with 0.5), so that few labels move it little and no number of labels switches it
+off; a language without labels has the pooled threshold. The language decides
+the threshold, never the score.
 
 Defined results: a null or empty text is scored as one unknown word; a null id
 counts as the empty string (held out); repeated rows are scored alike; labels
@@ -40,7 +47,11 @@ BATCH, RATE = 64, 0.01
 #: Passes over the sample: EPOCHS, or as many as make STEPS batches.
 EPOCHS, STEPS = 8, 600
 PAD = max(WIDTHS) - 1
-#: A language with fewer toxic documents to choose its threshold by has the threshold 0.5.
+#: Toxic documents that the pooled threshold counts for, beside a language's own.
+PRIOR_LABELS = 30
+#: Bins of log odds a unit, and the log odds beyond which the outer bins hold everything.
+BINS, BIN_END = 32, 12
+#: ``best_threshold`` of fewer toxic documents is 0.5.
 MIN_TO_CALIBRATE = 30
 
 _WORD = np.ones(256, bool)
@@ -52,6 +63,11 @@ def held_out(col):
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def calibrates(col):
+    """Labelled documents that are never trained on: a fifth, by a hash of their own."""
+    return F.pmod(F.xxhash64(F.lit("calibration"), F.coalesce(col.cast("string"), F.lit(""))), F.lit(5)) == 0
+
+
 def buckets_of(texts: list[bytes | None], shingler: Shingler) -> list[np.ndarray]:
     """Bucket of each word of each text."""
     out: list[np.ndarray] = []
@@ -94,6 +110,7 @@ class Model:
     out_bias: float
     shift: float = 0.0
     thresholds: dict = field(default_factory=dict)
+    pooled_threshold: float = 0.5  # of languages without labels
 
     def pooled(self, docs: list[np.ndarray], argmax: bool = False):
         """Max-pooled outputs (documents x all filters); and where each was largest."""
@@ -203,14 +220,54 @@ def best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
     return float((s[k] + below) / 2)
 
 
+def bin_of(score):
+    """Of the log odds, from -BINS * BIN_END to BINS * BIN_END - 1."""
+    odds = F.log(score / (1 - score)) * BINS
+    return F.least(F.greatest(F.floor(odds), F.lit(-BINS * BIN_END)), F.lit(BINS * BIN_END - 1)).cast("int")
+
+
+def histogram_threshold(hist: pd.DataFrame) -> float:
+    """The threshold with the largest F1, from rows (bin, clean, toxic); among equals the middle one."""
+    h = hist.groupby("bin")[["clean", "toxic"]].sum().sort_index(ascending=False)
+    hits, flagged = h.toxic.cumsum().to_numpy(), (h.clean + h.toxic).cumsum().to_numpy()
+    f1 = 2 * hits / (flagged + hits[-1])
+    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
+    k = best[len(best) // 2]
+    if h.index[k] == -BINS * BIN_END:
+        return 0.0
+    below = h.index[k + 1] + 1 if k + 1 < len(h) else -BINS * BIN_END
+    return float(1 / (1 + np.exp(-(h.index[k] + below) / 2 / BINS)))
+
+
+def choose_thresholds(hist: pd.DataFrame) -> tuple[dict, float]:
+    """Of each language and of all together, from rows (lang, bin, clean, toxic)."""
+
+    def shrunk(h: pd.DataFrame, towards: float) -> float:
+        n = h.toxic.sum()
+        return float((n * histogram_threshold(h) + PRIOR_LABELS * towards) / (n + PRIOR_LABELS)) if n else towards
+
+    pooled = shrunk(hist, 0.5)
+    return {str(lang): shrunk(h, pooled) for lang, h in hist.groupby("lang")}, pooled
+
+
+def calibration_histogram(model: Model, docs: DataFrame, rest: DataFrame) -> DataFrame:
+    """lang, bin, clean, toxic: numbers of documents with labels in ``rest`` (doc_id, toxic). Texts are scored before the join and never shuffled."""
+    scored = with_scores(docs.select("doc_id", "lang", "text").filter(~held_out(F.col("doc_id"))), model)
+    scored = scored.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), bin_of(F.col("score")).alias("bin"))
+    return scored.join(rest, "doc_id").groupBy("lang", "bin").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 3) -> Model | float:
     """The model; or, where one of the two labels is missing, the share of toxic ones."""
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n, n1 = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    trained = ~calibrates(F.col("doc_id"))
+    number = lambda x: F.coalesce(F.sum(x.cast("int")), F.lit(0))
+    n, n1, m, m1 = known.agg(F.count("*"), number(F.col("toxic")), number(trained), number(trained & (F.col("toxic") == 1))).first()
     if not 0 < n1 < n:
         return n1 / n if n else 0.0
+    usable = known.filter(trained) if 0 < m1 < m else known
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = known.filter("toxic = 1").orderBy(*order).limit(MAX_POSITIVE).unionByName(known.filter("toxic = 0").orderBy(*order).limit(MAX_NEGATIVE))
+    chosen = usable.filter("toxic = 1").orderBy(*order).limit(MAX_POSITIVE).unionByName(usable.filter("toxic = 0").orderBy(*order).limit(MAX_NEGATIVE))
     # at most MAX_POSITIVE + MAX_NEGATIVE ids
     found = docs.select("doc_id", "lang", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
 
@@ -220,22 +277,17 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 3) -> Model | float:
         for t in texts:
             yield pd.Series([b.astype(np.int32).tobytes() for b in buckets_of(list(t), shingler)])
 
-    sample = found.select("doc_id", "lang", "toxic", hashed("text").alias("words")).toPandas().sort_values("doc_id", ignore_index=True)
+    sample = found.select("doc_id", "toxic", hashed("text").alias("words")).toPandas().sort_values("doc_id", ignore_index=True)
     sample = sample.drop_duplicates("doc_id", ignore_index=True)
     words = [np.frombuffer(w, np.int32) for w in sample.words]
     y = sample.toxic.to_numpy().astype(np.float32)
     if not 0 < y.sum() < len(y):
         return n1 / n
-    rng = np.random.default_rng(seed)
-    calibration = rng.random(len(y)) < 0.2
-    if not 0 < y[~calibration].sum() < (~calibration).sum():
-        calibration[:] = False
-    fitted = [w for w, c in zip(words, calibration, strict=True) if not c]
-    model = train(fitted, y[~calibration], seed)
+    model = train(words, y, seed)
     model.shift = float(np.log(n1 / (n - n1)))  # from even odds, which the class weights made, to those of all labels
-    kept = [w for w, c in zip(words, calibration, strict=True) if c]
-    scores, truth, langs = model.scores(kept), y[calibration], sample.lang[calibration].fillna("").to_numpy()
-    model.thresholds = {str(x): best_threshold(scores[langs == x], truth[langs == x]) for x in np.unique(langs.astype(str))}
+    rest = known.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
+    hist = calibration_histogram(model, docs, rest).toPandas()
+    model.thresholds, model.pooled_threshold = choose_thresholds(hist)
     return model
 
 
@@ -259,7 +311,7 @@ def with_scores(docs: DataFrame, model: Model | float) -> DataFrame:
                 i = j
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    threshold = F.lit(0.5)
+    threshold = F.lit(model.pooled_threshold)
     for lang, x in sorted(model.thresholds.items()):
         threshold = F.when(F.coalesce(F.col("lang"), F.lit("")) == lang, F.lit(x)).otherwise(threshold)
     return docs.withColumn("score", score(F.col("text").cast("binary"))).withColumn("rejected", F.col("score") >= threshold)

@@ -316,6 +316,41 @@ def test_toxicity(spark, tmp_path):
     assert sorted(other.score) == sorted(got.score)
 
 
+def test_every_label_outside_the_sample_calibrates(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_POSITIVE", 60)
+    monkeypatch.setattr(toxicity, "MAX_NEGATIVE", 120)
+    rows, labels = toxic_corpus(1500)
+    rows = [(i, t, "es" if i % 12 == 0 and i < 400 else "en", s) for i, t, _, s in rows]
+    docs = data.documents(spark, tmp_path, rows)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "choose_thresholds", lambda h, f=toxicity.choose_thresholds: seen.append(h) or f(h))
+    model = toxicity.fit(docs, lab)
+    open_ids = {i for i in range(1500) if zlib.crc32(str(i).encode()) % 5}
+    toxic = {i for i, _, y in labels if y} & open_ids
+    (hist,) = seen
+    assert hist.toxic.sum() == len(toxic) - 60 and (hist.clean + hist.toxic).sum() == len(open_ids) - 180
+    es = hist[hist.lang == "es"]
+    assert 0 < es.toxic.sum() < toxicity.MIN_TO_CALIBRATE and set(model.thresholds) == {"en", "es"}
+    assert model.thresholds["es"] != 0.5 and model.pooled_threshold != 0.5
+    n = es.toxic.sum()
+    assert abs(model.thresholds["es"] - (n * toxicity.histogram_threshold(es) + 30 * model.pooled_threshold) / (n + 30)) < 1e-12
+    # a language without labels has the pooled threshold
+    x = toxicity.with_scores(docs.drop("score").withColumn("lang", F.lit("xx")), model).select("score", "rejected").toPandas()
+    assert (x.rejected == (x.score >= model.pooled_threshold)).all()
+
+
+def test_histogram_threshold_against_brute_force():
+    rng = np.random.default_rng(2)
+    y = rng.random(2000) < 0.1
+    bins = np.round(rng.normal(np.where(y, -20, -70), 25)).astype(int)
+    h = pd.DataFrame({"bin": bins, "clean": ~y * 1, "toxic": y * 1})
+    f1 = lambda k: 2 * (y & (bins >= k)).sum() / ((bins >= k).sum() + y.sum())
+    best = max(range(bins.min(), bins.max() + 1), key=f1)
+    t = toxicity.histogram_threshold(h)
+    assert abs(f1(np.ceil(np.log(t / (1 - t)) * toxicity.BINS - 1e-6)) - f1(best)) < 1e-12
+
+
 def test_toxicity_without_both_labels(spark, tmp_path):
     docs = data.documents(spark, tmp_path)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
