@@ -17,8 +17,10 @@ at most a row for each language and bin; a language's threshold is the one with
 the largest F1. It is averaged with the threshold of all languages together,
 which has the weight of ``PRIOR_LABELS`` toxic documents (and that one likewise
 with 0.5), so that few labels move it little and no number of labels switches it
-off; a language without labels has the pooled threshold. The language decides
-the threshold, never the score.
+off; a language without labels has the pooled threshold. The sample takes more of
+one kind of label than of the other once a bound binds, so that what is left is
+weighted back to the kinds' numbers among all labels. The language decides the
+threshold, never the score.
 
 Defined results: a null or empty text is scored as one unknown word; a null id
 counts as the empty string (held out); repeated rows are scored alike; labels
@@ -239,12 +241,14 @@ def histogram_threshold(hist: pd.DataFrame) -> float:
     return float(1 / (1 + np.exp(-(h.index[k] + below) / 2 / BINS)))
 
 
-def choose_thresholds(hist: pd.DataFrame) -> tuple[dict, float]:
-    """Of each language and of all together, from rows (lang, bin, clean, toxic)."""
+def choose_thresholds(hist: pd.DataFrame, fitted: tuple[int, int] = (0, 0)) -> tuple[dict, float]:
+    """Of each language and of all together, from rows (lang, bin, clean, toxic) and how many (clean, toxic) documents the fit took away from them."""
+    weight = {c: 1 + k / max(1, hist[c].sum()) for c, k in zip(("clean", "toxic"), fitted, strict=True)}
 
     def shrunk(h: pd.DataFrame, towards: float) -> float:
         n = h.toxic.sum()
-        return float((n * histogram_threshold(h) + PRIOR_LABELS * towards) / (n + PRIOR_LABELS)) if n else towards
+        weighted = h.assign(**{c: h[c] * w for c, w in weight.items()})
+        return float((n * histogram_threshold(weighted) + PRIOR_LABELS * towards) / (n + PRIOR_LABELS)) if n else towards
 
     pooled = shrunk(hist, 0.5)
     return {str(lang): shrunk(h, pooled) for lang, h in hist.groupby("lang")}, pooled
@@ -287,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 3) -> Model | float:
     model.shift = float(np.log(n1 / (n - n1)))  # from even odds, which the class weights made, to those of all labels
     rest = known.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
     hist = calibration_histogram(model, docs, rest).toPandas()
-    model.thresholds, model.pooled_threshold = choose_thresholds(hist)
+    model.thresholds, model.pooled_threshold = choose_thresholds(hist, (int((1 - y).sum()), int(y.sum())))
     return model
 
 

@@ -324,7 +324,7 @@ def test_every_label_outside_the_sample_calibrates(spark, tmp_path, monkeypatch)
     docs = data.documents(spark, tmp_path, rows)
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     seen = []
-    monkeypatch.setattr(toxicity, "choose_thresholds", lambda h, f=toxicity.choose_thresholds: seen.append(h) or f(h))
+    monkeypatch.setattr(toxicity, "choose_thresholds", lambda h, *a, f=toxicity.choose_thresholds: seen.append(h) or f(h, *a))
     model = toxicity.fit(docs, lab)
     open_ids = {i for i in range(1500) if zlib.crc32(str(i).encode()) % 5}
     toxic = {i for i, _, y in labels if y} & open_ids
@@ -334,6 +334,7 @@ def test_every_label_outside_the_sample_calibrates(spark, tmp_path, monkeypatch)
     assert 0 < es.toxic.sum() < toxicity.MIN_TO_CALIBRATE and set(model.thresholds) == {"en", "es"}
     assert model.thresholds["es"] != 0.5 and model.pooled_threshold != 0.5
     n = es.toxic.sum()
+    es = es.assign(clean=es.clean * (1 + 120 / hist.clean.sum()), toxic=es.toxic * (1 + 60 / hist.toxic.sum()))
     assert abs(model.thresholds["es"] - (n * toxicity.histogram_threshold(es) + 30 * model.pooled_threshold) / (n + 30)) < 1e-12
     # a language without labels has the pooled threshold
     x = toxicity.with_scores(docs.drop("score").withColumn("lang", F.lit("xx")), model).select("score", "rejected").toPandas()
@@ -351,6 +352,22 @@ def test_histogram_threshold_against_brute_force():
     assert abs(f1(np.ceil(np.log(t / (1 - t)) * toxicity.BINS - 1e-6)) - f1(best)) < 1e-12
 
 
+def test_thresholds_do_not_depend_on_what_the_fit_took():
+    """Whatever the sample took of each kind, thresholds are those at the ratio of all labels."""
+    rng = np.random.default_rng(4)
+    y = np.arange(40000) % 9 == 0
+    bins = np.round(rng.normal(np.where(y, 0, -64), 32)).astype(int)
+
+    def chosen(keep_clean, keep_toxic):
+        kept = rng.random(len(y)) < np.where(y, keep_toxic, keep_clean)
+        h = pd.DataFrame({"lang": "en", "bin": bins // 8 * 8, "clean": ~y * 1, "toxic": y * 1})
+        took = h[~kept][["clean", "toxic"]].sum()
+        return toxicity.choose_thresholds(h[kept], (int(took.clean), int(took.toxic)))[1]
+
+    whole = chosen(1, 1)
+    assert abs(chosen(0.9, 0.5) - whole) < 0.05 and abs(chosen(0.2, 0.8) - whole) < 0.05
+
+
 def test_toxicity_without_both_labels(spark, tmp_path):
     docs = data.documents(spark, tmp_path)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
