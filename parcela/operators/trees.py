@@ -73,12 +73,17 @@ def log_tree_count(u: np.ndarray, v: np.ndarray, w: np.ndarray, nodes: np.ndarra
     if n <= 1:
         return 0.0
     a, b = np.searchsorted(nodes, u), np.searchsorted(nodes, v)
+    # decided exactly: a small determinant is no sign of a district in parts
+    uf, parts = UnionFind(), n
+    for x, y in zip(a[w > 0].tolist(), b[w > 0].tolist(), strict=True):
+        parts -= uf.join(x, y)
+    if parts > 1:
+        return -np.inf
     lap = np.zeros((n, n))
     np.add.at(lap, (a, b), -w)
     np.add.at(lap, (b, a), -w)
     lap[np.arange(n), np.arange(n)] = -lap.sum(1)
-    sign, value = np.linalg.slogdet(lap[1:, 1:])
-    return float(value) if sign > 0 and value > -30 else -np.inf
+    return float(np.linalg.slogdet(lap[1:, 1:])[1])
 
 
 def log_spanning_trees(edges: DataFrame, plans: DataFrame, weight: str = "connections") -> DataFrame:

@@ -89,3 +89,22 @@ def test_big_tree_operators_agree_with_plain_code(spark):
         near = R._adjacency(*zip(*[(u, v) for x, u, v in rows if x == t], strict=True))
         ecc = {x: max(R.hops(near, x).values()) for x in near}
         assert d[t] == max(ecc.values()) and {(t, x) for x, e in ecc.items() if e == min(ecc.values())} == {x for x in c if x[0] == t}
+
+
+def test_connected_districts_have_a_tree_count_however_small_the_weights():
+    path = np.arange(39), np.arange(1, 40)
+    assert abs(R.log_tree_count(*path, np.full(39, 0.2), np.arange(40)) - 39 * np.log(0.2)) < 1e-9
+    xy = np.arange(100).reshape(10, 10)
+    u, v = np.concatenate([xy[:, :-1].ravel(), xy[:-1].ravel()]), np.concatenate([xy[:, 1:].ravel(), xy[1:].ravel()])
+    unit = R.log_tree_count(u, v, np.ones(len(u)), np.arange(100))
+    assert abs(R.log_tree_count(u, v, np.full(len(u), 0.2), np.arange(100)) - unit - 99 * np.log(0.2)) < 1e-8
+    # in parts, also where an edge of weight 0 or heavy edges would join them by rounding
+    assert R.log_tree_count(np.array([0, 1, 2]), np.array([1, 2, 3]), np.array([1e9, 0.0, 1e9]), np.arange(4)) == -np.inf
+    cut = np.flatnonzero(~((u % 10 == 4) & (v == u + 1)))
+    assert R.log_tree_count(u[cut], v[cut], np.full(len(cut), 3.7), np.arange(100)) == -np.inf
+
+
+def test_log_spanning_trees_of_light_edges(spark):
+    edges = spark.createDataFrame([(i, i + 1, 0.2) for i in range(39)], "src long, dst long, connections double")
+    plans = spark.createDataFrame([(0, i, 1) for i in range(40)], "plan_id int, node long, district int")
+    assert abs(R.log_spanning_trees(edges, plans).first().log_trees - 39 * np.log(0.2)) < 1e-9
