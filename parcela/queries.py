@@ -72,6 +72,9 @@ centres AS (SELECT tree_id, node FROM ecc JOIN (SELECT tree_id, min(e) AS e FROM
 deg AS (SELECT tree_id, u AS node, count(*) AS degree FROM arcs GROUP BY 1, 2),
 mean AS (SELECT dist.tree_id, b AS node, avg(d) AS d FROM dist JOIN centres ON centres.tree_id = dist.tree_id AND centres.node = a GROUP BY 1, 2)"""
 
+#: Nodes b that a reaches inside its district.
+REACH = "inner_e AS (SELECT pa.plan_id, pa.district, src AS u, dst AS v FROM edges JOIN plans pa ON pa.node = src JOIN plans pb ON pb.node = dst AND pb.plan_id = pa.plan_id AND pb.district = pa.district), ie AS (SELECT * FROM inner_e UNION ALL SELECT plan_id, district, v, u FROM inner_e), reach AS (SELECT plan_id, district, node AS a, node AS b FROM plans UNION SELECT r.plan_id, r.district, a, ie.v FROM reach r JOIN ie ON ie.plan_id = r.plan_id AND ie.u = r.b)"
+
 #: Cycles: the lines of an order are the positions, quantities the weights, the first half lies in the first district.
 CYCLE = """
 cycle AS (SELECT l_orderkey AS cycle_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS pos, l_quantity AS weight FROM lineitem),
@@ -432,7 +435,7 @@ register(
     # connected inside a district of the lattice plans: reachability by recursion
     "SELECT plan_id, district, count(DISTINCT c) AS components, count(DISTINCT c) = 1 AS connected FROM (SELECT plan_id, district, a, min(b) AS c FROM reach GROUP BY 1, 2, 3) GROUP BY 1, 2",
     NATION,
-    "inner_e AS (SELECT pa.plan_id, pa.district, src AS u, dst AS v FROM edges JOIN plans pa ON pa.node = src JOIN plans pb ON pb.node = dst AND pb.plan_id = pa.plan_id AND pb.district = pa.district), ie AS (SELECT * FROM inner_e UNION ALL SELECT plan_id, district, v, u FROM inner_e), reach AS (SELECT plan_id, district, node AS a, node AS b FROM plans UNION SELECT r.plan_id, r.district, a, ie.v FROM reach r JOIN ie ON ie.plan_id = r.plan_id AND ie.u = r.b)",
+    REACH,
     recursive=True,
 )(nation(lambda g, p: R.connected(g.edges, p)))
 register("g2_induced_subgraph", "SELECT plan_id, pa.district, count(*) AS edges FROM edges JOIN plans pa ON pa.node = src JOIN plans pb USING (plan_id) WHERE pb.node = dst AND pa.district = pb.district GROUP BY 1, 2", CUSTOMER)(
@@ -710,6 +713,40 @@ register(
 register("a7_component_sum", "SELECT plan_id, district, sum(pop)::BIGINT AS pop FROM plans JOIN nodes ON id = node WHERE plan_id < 2 GROUP BY 1, 2", NATION)(
     nation(lambda g, p: R.component_labels(g.edges, p.filter("plan_id < 2")).join(g.nodes.select(F.col("id").alias("node"), "pop"), "node").groupBy("plan_id", "district", "component").agg(F.sum("pop").alias("pop")).drop("component"))
 )
+# the four queries of these names without _all_plans cover the plans 0 and 1, where every district is a path; these cover plan 2, whose
+# districts are in parts, and (for tree counts) the whole lattice as one district as plan 3
+COMPONENT = "label AS (SELECT plan_id, district, a AS node, min(b) AS component FROM reach GROUP BY 1, 2, 3)"
+register("a7_component_sum_all_plans", "SELECT plan_id, district, component, sum(pop)::BIGINT AS pop FROM label JOIN nodes ON id = node GROUP BY 1, 2, 3", NATION, REACH, COMPONENT, recursive=True)(
+    nation(lambda g, p: R.component_labels(g.edges, p).join(g.nodes.select(F.col("id").alias("node"), "pop"), "node").groupBy("plan_id", "district", "component").agg(F.sum("pop").alias("pop")))
+)
+register("g11_component_sizes_all_plans", "SELECT plan_id, district, component, count(*) AS nodes FROM label GROUP BY 1, 2, 3", NATION, REACH, COMPONENT, recursive=True)(
+    nation(lambda g, p: R.component_labels(g.edges, p).groupBy("plan_id", "district", "component").agg(F.count("*").alias("nodes")))
+)
+# a district in parts has no tree, one with an edge less than nodes has one, the whole lattice has what e1's formula says
+FORESTS = """parts AS (SELECT plan_id, district, count(DISTINCT component) AS parts, count(*) AS n FROM label GROUP BY 1, 2),
+links AS (SELECT plan_id, district, count(*) AS m FROM inner_e GROUP BY 1, 2),
+forests AS (SELECT plan_id, sum(CASE WHEN parts > 1 THEN '-inf'::DOUBLE WHEN coalesce(m, 0) = n - 1 THEN 0.0::DOUBLE END) AS log_forests FROM parts LEFT JOIN links USING (plan_id, district) GROUP BY 1 HAVING bool_and(parts > 1 OR coalesce(m, 0) = n - 1)
+  UNION ALL SELECT 3, round(sum(CASE WHEN i + j > 0 THEN ln(4 - 2 * cos(pi() * i / 5) - 2 * cos(pi() * j / 5)) ELSE 0 END) - ln(25), 6) FROM (SELECT unnest(range(5)) AS i), (SELECT unnest(range(5)) AS j))"""
+
+
+def _tree_counts(g, p):
+    return R.log_spanning_trees(g.edges, p.unionByName(g.nodes.select(F.lit(3).alias("plan_id"), F.col("id").alias("node"), F.lit(1).alias("district"))))
+
+
+register("e2_log_spanning_forests_all_plans", "SELECT plan_id, log_forests FROM forests", NATION, REACH, COMPONENT, FORESTS, recursive=True)(
+    nation(lambda g, p: R.log_spanning_forests(_tree_counts(g, p)).withColumn("log_forests", F.round("log_forests", 6) + 0.0))
+)
+register(
+    "e22_tree_count_ratio_all_plans",
+    "SELECT o.plan_id AS old_plan, n.plan_id AS new_plan, n.log_forests - o.log_forests AS log_ratio FROM forests o JOIN forests n ON o.plan_id <> n.plan_id",
+    NATION, REACH, COMPONENT, FORESTS, recursive=True,
+)(
+    nation(
+        lambda g, p: R.tree_count_ratio(
+            _tree_counts(g, p), g.nodes.sparkSession.createDataFrame([(a, b) for a in range(4) for b in range(4) if a != b], "old_plan int, new_plan int")
+        ).withColumn("log_ratio", F.round("log_ratio", 6) + 0.0)
+    )
+)
 register("a11_weighted_votes", "SELECT plan_id, election, sum(votes * weight) AS weighted FROM vsums JOIN weights USING (election) WHERE stage = 1 AND candidate = 'F' GROUP BY 1, 2", NATION, VOTES)(
     voting(lambda s, w: s.filter("stage = 1 AND candidate = 'F'").join(w, "election").groupBy("plan_id", "election").agg(F.sum(F.col("votes") * F.col("weight")).alias("weighted")))
 )
