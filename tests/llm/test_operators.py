@@ -219,6 +219,14 @@ def test_packing(spark, tmp_path, tokenizer):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_limits_bind_only_where_set():
+    lengths = np.random.default_rng(5).integers(1, 41, 400)
+    most = lambda w=None, **kw: np.bincount(packing.best_fit(lengths, 100, **kw)[0], w).max()
+    assert most(max_docs=100) > 3 >= most(max_docs=3)
+    squares = lengths.astype(float) ** 2
+    assert most(squares, max_docs=100) > 2000 >= most(squares, max_docs=100, max_cost=2000)
+
+
 def test_best_fit_against_brute_force():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 60, 200)
