@@ -22,11 +22,14 @@ an empty table gives an empty result; a column named like a result is replaced.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, table, written
+from .common import table, written
+from .tokens import Encoder, tokenizer_path
 
 N_BLOCKS = 1024
 MAX_REPETITION = 2.0
@@ -35,9 +38,17 @@ BROADCAST_ROWS = 200_000
 RESULTS = ("epoch", "block", "mix_place")
 
 
-def n_words(text: Column) -> Column:
-    """Number of stretches between ASCII white space: the token count that shares are taken of."""
-    return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE_CHARS}]+")), F.lit(0)).cast("long")
+def n_tokens(text: Column, tokenizer: str | None = None) -> Column:
+    """Number of tokens of op9's tokenizer, without an end id: what shares are taken of."""
+    path = tokenizer or tokenizer_path()
+
+    @F.pandas_udf("long")
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = Encoder(path)
+        for t in texts:
+            yield pd.Series([len(x) for x in encoder.encode(list(t))], dtype="int64")
+
+    return count(text.cast("binary"))
 
 
 def weights(tokens: list[int], exponent: float) -> list[float]:
@@ -58,7 +69,8 @@ def repetitions(tokens: list[int], exponent: float, budget: float | None = None)
     w, total = weights(tokens, exponent), sum(tokens)
     ratio = [x * total / t if t else None for x, t in zip(w, tokens, strict=True)]
     scale = budget / total if budget is not None else 1 / min(r for r in ratio if r is not None)
-    return [1.0 if r is None else r * scale for r in ratio]
+    least = 1.0 if budget is None else 0.0  # rounding must not cut the last block of the source seen once
+    return [1.0 if r is None else max(least, r * scale) for r in ratio]
 
 
 def bisect_exponent(tokens: list[int], target_entropy: float | None = None, max_repetition: float | None = None, budget: float | None = None) -> float:
@@ -81,6 +93,7 @@ def bisect_exponent(tokens: list[int], target_entropy: float | None = None, max_
 def mix_sources(
     docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", target_entropy: float | None = None,
     max_repetition: float | None = MAX_REPETITION, budget: float | None = None, n_blocks: int = N_BLOCKS, seed: int = 0,
+    tokenizer: str | None = None,
 ) -> DataFrame:
     """Rows of ``docs``, repeated as the mix asks, with epoch (from 0), block and mix_place (0..1, the place in the stream)."""
     spark = docs.sparkSession
@@ -88,7 +101,8 @@ def mix_sources(
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
     block = F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(text_col, F.lit(seed))).otherwise(F.xxhash64(id_col, F.lit(seed))), F.lit(n_blocks)).cast("int")
     keyed = docs.withColumn("__s", key).withColumn("__b", block)
-    blocks = written(keyed.groupBy("__s", "__b").agg(F.sum(n_words(F.col(text_col))).alias("tokens")), "mix_blocks")
+    counted = keyed.select("__s", "__b", n_tokens(F.col(text_col), tokenizer).alias("tokens"))
+    blocks = written(counted.groupBy("__s", "__b").agg(F.sum("tokens").alias("tokens")), "mix_blocks")
     # one row for each source, the recipe
     sources = sorted((r[0], r[1]) for r in blocks.groupBy("__s").agg(F.sum("tokens")).collect())
     tokens = [t for _, t in sources]

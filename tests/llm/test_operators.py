@@ -162,6 +162,23 @@ def test_mixing(spark, tmp_path):
     pd.testing.assert_frame_equal(again, mixing.mix_sources(docs, n_blocks=64).select("doc_id", "epoch", "mix_place").toPandas().sort_values(["doc_id", "epoch"], ignore_index=True))
 
 
+def test_mixing_counts_tokens(spark):
+    """A source of long unspaced text is as large as its tokens, and isn't repeated as if it held a word a document."""
+    rng = np.random.default_rng(6)
+    rows = [(i, "the sun rose over a quiet river " * 4, "prose") for i in range(40)]
+    rows += [(100 + i, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/"), 2000)), "junk") for i in range(40)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), n_blocks=16).groupBy("source").count().collect()
+    n = {r["source"]: r["count"] for r in got}
+    assert n["junk"] == 40 and n["prose"] > 60
+
+
+def test_epochs_never_under_one_without_a_budget():
+    rng = np.random.default_rng(7)
+    for _ in range(500):
+        t = [int(x) for x in rng.integers(1, 10**6, 5)]
+        assert min(mixing.repetitions(t, mixing.bisect_exponent(t, max_repetition=2.0))) >= 1
+
+
 def test_mixing_hostile_rows(spark, tmp_path):
     docs = data.documents(spark, tmp_path)
     got = mixing.mix_sources(docs).toPandas()
