@@ -9,7 +9,9 @@ when the lower posterior bound (normal approximation, ``z`` standard
 deviations) of its bad rate is over ``threshold``: few or mixed outcomes never
 block.
 
-Suffix means the last label of the host, registered domain the last two.
+Suffix means the last label of the host, or the last two where they are in
+``suffixes`` (a bounded table of public suffixes); the registered domain has one
+label more. A port belongs to neither.
 
 Defined results: a null url or one without ``://`` has empty host and path and
 belongs to no host (allowed, unless labelled pages without a host are bad
@@ -28,6 +30,19 @@ from .common import ascii_lower, table, written
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 THRESHOLD, Z = 0.5, 1.645
+#: Public suffixes of two labels: registries under which owners register the third.
+SUFFIXES = tuple(
+    f"{second}.{country}"
+    for country, seconds in {
+        "uk": "ac co gov ltd me net nhs org plc police sch", "au": "asn com edu gov id net org", "nz": "ac co geek gen govt iwi maori net org school",
+        "jp": "ac ad co ed go gr lg ne or", "kr": "ac co go ne or pe re", "cn": "ac com edu gov net org", "tw": "com edu gov idv net org", "hk": "com edu gov idv net org",
+        "sg": "com edu gov net org per", "my": "com edu gov net org", "th": "ac co go in net or", "id": "ac co go or sch web", "ph": "com edu gov net org", "vn": "com edu gov net org",
+        "in": "ac co edu firm gen gov ind net nic org res", "pk": "com edu gov net org", "bd": "com edu gov net org", "il": "ac co gov muni net org", "tr": "av bel com edu gen gov info net org web",
+        "za": "ac co edu gov net org web", "ke": "ac co go ne or", "ng": "com edu gov net org", "eg": "com edu gov net org", "br": "com edu gov net org", "ar": "com edu gob gov net org",
+        "mx": "com edu gob net org", "co": "com edu gov net org", "pe": "com edu gob net org", "ve": "co com edu gob net org", "ua": "com edu gov net org", "pl": "com edu gov net org",
+    }.items()
+    for second in seconds.split()
+)
 #: Host tables up to this many rows (some 100 bytes each) are broadcast; larger ones are joined by shuffle.
 BROADCAST_HOSTS = 50_000
 PARTS = r"://([^/?#]*)([^?#]*)"
@@ -66,12 +81,18 @@ def _priors(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return children.join(up, key).withColumn("prior", prior).drop("up_n", "up_bad", "up_prior")
 
 
-def host_reputation(pages: DataFrame, z: float = Z) -> DataFrame:
+def domain_and_suffix(host: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
+    name = F.regexp_replace(host, r":\d*$", "")
+    two = F.substring_index(name, ".", -2)
+    long = two.isin(*suffixes)
+    return F.when(long, F.substring_index(name, ".", -3)).otherwise(two), F.when(long, two).otherwise(F.substring_index(name, ".", -1))
+
+
+def host_reputation(pages: DataFrame, z: float = Z, suffixes=SUFFIXES) -> DataFrame:
     """From rows (host, bad; bad is null where unlabelled): host, n, bad, rate (posterior mean), bound."""
     hosts = pages.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = written(
-        hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1)), "hosts"
-    )
+    domain, suffix = domain_and_suffix(F.col("host"), suffixes)
+    hosts = written(hosts.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")
     total, bad = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = suffixes.withColumn("prior", (bad - F.col("bad") + 1) / (total - F.col("n") + 2))
@@ -82,11 +103,11 @@ def host_reputation(pages: DataFrame, z: float = Z) -> DataFrame:
     return hosts.select("host", "n", "bad", rate.alias("rate"), (rate - z * F.sqrt(rate * (1 - rate) / (s + F.col("n") + 1))).alias("bound"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = THRESHOLD, z: float = Z, suffixes=SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict. ``outcomes``: (page_id, bad), at most one row for each page."""
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labelled = parsed.select("page_id", "host").join(outcomes.select("page_id", "bad"), "page_id", "left")
-    blocked = written(host_reputation(labelled, z).filter(F.col("bound") > threshold).select("host", F.lit("block").alias("by_host")), "blocked")
+    blocked = written(host_reputation(labelled, z, suffixes).filter(F.col("bound") > threshold).select("host", F.lit("block").alias("by_host")), "blocked")
     if blocked.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         blocked = F.broadcast(blocked)
     host, path = F.col("host"), F.col("path")

@@ -125,6 +125,22 @@ def test_url_reputation(spark):
     assert url_filter.filter_urls(pages.limit(0), outcomes).count() == 0
 
 
+def test_url_registered_domains(spark):
+    want = {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk:8080": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.com:443": ("x.com", "com"), "m.x.com": ("x.com", "com"),
+        "x.example": ("x.example", "example"), "net": ("net", "net"), "": ("", ""), "fooco.uk": ("fooco.uk", "uk"),
+    }
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    d, s = url_filter.domain_and_suffix(F.col("host"))
+    assert {r.host: (r.d, r.s) for r in hosts.select("host", d.alias("d"), s.alias("s")).collect()} == want
+    assert hosts.filter("host = 'x.example'").select(url_filter.domain_and_suffix(F.col("host"), ("x.example",))[1]).first()[0] == "x.example"
+    # owners under co.uk don't share a prior: bad hosts of one leave those of another alone, and pull their own down
+    rows = [(f"h{i}.bad.co.uk", 1) for i in range(40)] + [(f"h{i}.good{j}.co.uk", 0) for i in range(4) for j in range(10)]
+    rows += [("new.bad.co.uk:81", None), ("new.good1.co.uk", None)]
+    r = {x.host: x.rate for x in url_filter.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    assert r["new.bad.co.uk:81"] > 0.8 and r["new.good1.co.uk"] < 0.3
+
+
 # ---------------------------------------------------------------- mixing
 
 
