@@ -11,7 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The ASCII white space of the contracts, as a Java regular expression.
@@ -49,9 +49,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def path_of(df: DataFrame) -> str:
-    """The folder that ``written`` gave a table."""
-    return df.inputFiles()[0].rsplit("/", 1)[0]
+def folder_of(df: DataFrame, label: str, by: str) -> str:
+    """A folder of the shared one to which ``df`` is written as Parquet, with a folder inside it for each value of ``by``: for tasks that read files themselves."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/parcela/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).parquet(path)
+    return path
 
 
 def drop_written(df: DataFrame) -> None:
@@ -66,33 +69,75 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: A table of file names up to this many rows (some 200 bytes each) is broadcast.
-BROADCAST_FILES = 50_000
+#: File hashes up to this many rows (16 bytes each) are broadcast; the driver's own list of the files takes more.
+BROADCAST_FILES = 2_000_000
+#: Row ids up to this many (some 30 bytes each) are broadcast.
+BROADCAST_ROWS = 500_000
 ROW_BITS = 36
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A name that no column of ``df`` has, whatever its case."""
+    taken, name = {c.lower() for c in df.columns}, stem
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns by name, dots and backticks included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def _place(df: DataFrame) -> tuple[Column, Column]:
+    meta = df.metadataColumn("_metadata")  # also beside a column of that name
+    return meta["file_path"], meta["row_index"]
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` if its rows come from files as they are, else a written copy: only then do rows have a lasting place."""
     try:
-        df.select("_metadata.file_path", "_metadata.row_index")
+        df.select(*_place(df)).schema
     except AnalysisException:
         return written(df, "stored")
     return df
 
 
 def with_row_ids(df: DataFrame, name: str) -> DataFrame:
-    """A ``stored`` table with a number for each row, from its file's place among the sorted names and its place in the file.
+    """A ``stored`` table with a number for each row, from its file's place among the sorted hashes of names and its place in the file.
 
     Unlike ``monotonically_increasing_id`` it doesn't depend on how a scan is
-    split, which changes when executors come or go between two scans.
+    split, which changes when executors come or go between two scans. ``name``
+    must be ``fresh``.
     """
-    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    names = df.select(F.col("_metadata.file_path").alias("__file")).distinct()
-    files = written(names.withColumn("__no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__file")).cast("long")), "files")
-    if files.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
-        files = F.broadcast(files)
-    rid = F.shiftleft(F.col("__no"), ROW_BITS).bitwiseOR(F.col("__row"))
-    return placed.join(files, "__file").withColumn(name, rid).drop("__file", "__row", "__no")
+    file, row = _place(df)
+    names = df.select(file.alias("file")).distinct()
+    hashed = lambda seed, name: F.call_function("xxhash64", F.lit(seed), name)
+    for seed in range(8):  # until no two files share a hash
+        files = names.select(hashed(seed, F.col("file")).alias("h")).groupBy("h").agg(F.count("*").alias("k"))
+        numbered = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("h")).cast("long")
+        files = written(files.withColumn("no", numbered), "files")
+        if not files.filter("k > 1").limit(1).count():
+            break
+    else:
+        raise RuntimeError("names of files share their hashes under every seed")
+    small = files.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
+    h, at, no = fresh(df, "file_hash"), fresh(df, "file_row"), fresh(df, "file_number")
+    placed = df.select("*", hashed(seed, file).alias(h), row.alias(at))
+    files = files.select(F.col("h").alias(h), F.col("no").alias(no))
+    joined = placed.join(F.broadcast(files) if small else files.hint("merge"), h)
+    return joined.select(*columns(df), F.shiftleft(no, ROW_BITS).bitwiseOR(F.col(at)).alias(name))
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """A written table of row ids for the small side of a join: broadcast if it holds at most ``BROADCAST_ROWS``, else for a merge join."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids.hint("merge")
+
+
+def without_rows(df: DataFrame, rid: str, dropped: DataFrame) -> DataFrame:
+    """``df`` (stored) without the rows whose ids are in ``dropped`` (one column ``rid``), with its columns alone."""
+    dropped = written(dropped.select(F.col("rid").alias(rid)), "dropped")
+    return with_row_ids(df, rid).join(sized(dropped), rid, "left_anti").select(*columns(df))
 
 
 def ascii_lower(col):

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, one_space, stored, table, with_row_ids, written
+from .common import drop_written, fresh, one_space, stored, table, with_row_ids, without_rows, written
 
 BLOCK_BYTES = 4096
 
@@ -51,7 +51,7 @@ def identities(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """A row for each row of ``docs``: rid (row number of the stored table), id, sha (binary), level, name."""
     docs = stored(docs)
     text = one_space(F.coalesce(F.col(text_col), F.lit("")))
-    rows = with_row_ids(docs.select(text_col, id_col), "__rid").select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), text.alias("t"))
+    rows = with_row_ids(docs.select(F.col(id_col).alias("id"), text.alias("t")), "rid")
     base = written(
         rows.select(
             "rid", "id", F.unhex(F.sha2("t", 256)).alias("sha"),
@@ -78,9 +78,10 @@ def identities(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     most = base.agg(F.max(F.size("hs"))).first()[0] or 1
     sizes = base.select("rid", F.size("hs").alias("left"))
     level = level.join(sizes, "rid")
-    done, k = [], 0
+    done, levels, k = [], [], 0
     while True:
         level = written(level, f"level{k}")
+        levels.append(level)
         done.append(level.filter("left = 1").select("rid", F.lit(k).alias("level"), "name"))
         if most <= 1:
             break
@@ -94,14 +95,15 @@ def identities(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             )
         )
         names = _names(pairs.select("a", "b").distinct())
+        levels.append(names)
         level = pairs.join(names, ["a", "b"]).select("rid", "pos", "name", "left")
         most, k = (most + 1) // 2, k + 1
     ends = done[0]
     for d in done[1:]:
         ends = ends.unionByName(d)
     out = written(base.select("rid", "id", "sha").join(ends, "rid"), "identities")
-    drop_written(named)
-    drop_written(counts)
+    for t in (base, counts, named, *levels):
+        drop_written(t)
     return out
 
 
@@ -120,9 +122,8 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 def drop_exact_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    docs, cols = stored(docs), docs.columns
-    kept = exact_dedup(docs, text_col, id_col).filter("kept").select(F.col("rid").alias("__rid"))
-    return with_row_ids(docs, "__rid").join(kept.hint("merge"), "__rid", "left_semi").select(*cols)
+    docs = stored(docs)
+    return without_rows(docs, fresh(docs, "rid"), exact_dedup(docs, text_col, id_col).filter("not kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

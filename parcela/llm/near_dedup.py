@@ -3,18 +3,21 @@
 1. Each text is reduced to its set of word shingles (64-bit hashes), and the
    set to ``BANDS * ROWS`` minima of universal hash functions. Documents with
    equal sets form a class; one of each class goes on.
-2. Classes that agree in all ``ROWS`` minima of a band share a bucket. Buckets
-   are linked as stars to their least member, never as pairs, and the
-   components of these unverified stars are groups: whatever is similar enough
-   meets in one group (a pair at the threshold misses all bands with a
-   probability of about 1e-5).
-3. Each group is searched for links between different components only: the
-   signatures of such pairs are compared first, and those whose estimate is
-   within six standard deviations of the threshold are confirmed on the full
-   sets. A link joins two components, so that a large group of copies costs few
-   confirmations and gives at most one link for each class. Groups over
-   ``BLOCK_DOCS`` classes or ``BLOCK_BYTES`` of sets are dealt into blocks, and
-   every pair of blocks is searched by a task of its own; nothing is capped.
+2. Classes that agree in all ``ROWS`` minima of a band share a bucket (a pair at
+   the threshold misses all bands with a probability of about 3e-5). Buckets are
+   linked as stars to their least member, never as pairs, and each edge of a
+   star is checked on the signatures: it holds if the estimate is no more than
+   six standard deviations under the threshold. Buckets whose members the edges
+   that hold don't join to one component are searched whole, signatures alone,
+   for further edges between their components; those over ``BUCKET_DOCS`` in
+   pairs of blocks. So chance buckets, as of a shared template, join nothing.
+3. The components of these edges are groups. Each group is searched for links
+   between different components, confirmed on the full sets. A link joins two
+   components, so that a large group of copies costs few confirmations and gives
+   at most one link for each class. Groups over ``BLOCK_DOCS`` classes or
+   ``BLOCK_BYTES`` of sets are dealt into blocks, and every pair of blocks is
+   searched by a task of its own; nothing is capped. Only texts of group members
+   are read into this step, and its tasks are dealt by bytes.
 4. The links' components, by alternating large-star and small-star, are the
    result.
 
@@ -35,12 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, stored, table, with_row_ids, written
+from .common import drop_written, fresh, sized, stored, table, with_row_ids, without_rows, written
 from .components import components
 from .wordhash import SPACE, P, WordHasher, mix
 
 BANDS, ROWS = 56, 8
 BLOCK_DOCS, BLOCK_BYTES = 512, 8 << 20
+BUCKET_DOCS = 2048
 PERCENT = 80
 CHUNK = 2048
 GROUP_TEXT = 1 << 20
@@ -117,17 +121,22 @@ class MinHasher:
 def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     shingler, hasher = Shingler(words), MinHasher()
     for b in batches:
-        counts, prints, bands = [], [], []
+        counts, prints, bands, signatures = [], [], [], []
         for s in shingler.sets(b.column(2).to_pylist()):
             counts.append(len(s))
             prints.append(xxhash.xxh3_128_digest(s.tobytes()))
-            bands.append(hasher.bands(hasher.minima(s)).view(np.int64) if len(s) else np.zeros(0, np.int64))
+            minima = hasher.minima(s)
+            bands.append(hasher.bands(minima).view(np.int64) if len(s) else np.zeros(0, np.int64))
+            signatures.append(minima.astype(np.uint8).tobytes())  # the lowest byte of each minimum
         flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
         ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-            ["rid", "doc_id", "n", "print", "bands"],
-        )
+            [
+                b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(prints, pa.binary()),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(signatures, pa.binary()),
+            ],
+            ["rid", "doc_id", "n", "print", "bands", "sig"],
+        )
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -136,20 +145,22 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
         sets, signatures = [], []
         for s in shingler.sets(b.column(1).to_pylist()):
             sets.append(s.tobytes())
-            signatures.append(hasher.minima(s).astype(np.uint8).tobytes())  # the lowest byte of each minimum
+            signatures.append(hasher.minima(s).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays(
             [b.column(0), b.column(2), b.column(3), pa.array(sets, pa.binary()), pa.array(signatures, pa.binary())], ["rid", "grp", "nb", "shingles", "sig"]
         )
 
 
-def _search(rids, blocks, sets, signatures, percent: int, cross: bool) -> list[tuple[int, int]]:
-    """Links that join components, between members of the group (of different blocks only, if ``cross``)."""
-    n, k = len(rids), signatures.shape[1]
-    sizes = np.array([len(s) for s in sets])
+def needed(percent: int, k: int = BANDS * ROWS) -> float:
+    """How many of k signature bytes a pair must share to be looked at: six deviations under the threshold; bytes also agree by chance."""
     t = percent / 100
     floor = t - 6 * np.sqrt(t * (1 - t) / k)
-    needed = k * (floor + (1 - floor) / 256)  # bytes also agree by chance
-    root = np.arange(n)
+    return k * (floor + (1 - floor) / 256)
+
+
+def _search(rids, blocks, sizes, signatures, percent: int, cross: bool, root, confirmed=lambda i, j: True) -> list[tuple[int, int]]:
+    """Links that join components (``root``), between members of one group (of different blocks only, if ``cross``)."""
+    n, t, least = len(rids), percent / 100, needed(percent, signatures.shape[1])
     links = []
     for i in range(n - 1):
         rest = np.flatnonzero((root[i + 1 :] != root[i]) & (sizes[i + 1 :] >= t * sizes[i]) & (t * sizes[i + 1 :] <= sizes[i])) + i + 1
@@ -158,57 +169,123 @@ def _search(rids, blocks, sets, signatures, percent: int, cross: bool) -> list[t
         if not len(rest):
             continue
         same = (signatures[rest] == signatures[i]).sum(1)
-        for j in rest[np.argsort(-same, kind="stable")][: int((same >= needed).sum())]:
-            if root[j] == root[i]:
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+        for j in rest[np.argsort(-same, kind="stable")][: int((same >= least).sum())]:
+            if root[j] != root[i] and confirmed(i, j):
                 links.append((int(rids[i]), int(rids[j])))
                 root[root == root[j]] = root[i]
     return links
 
 
+def _matrix(signatures) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), np.uint8).reshape(len(signatures), -1)
+
+
 def _links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links confirmed on the full sets."""
     out = []
     for (_, b0, b1), g in pdf.groupby(["grp", "b0", "b1"], sort=True):
         g = g.sort_values("rid")
         sets = [np.frombuffer(s, np.uint64) for s in g.shingles]
-        signatures = np.frombuffer(b"".join(g.sig), np.uint8).reshape(len(g), -1)
-        out += _search(g.rid.to_numpy(), g.block.to_numpy(), sets, signatures, percent, b0 != b1)
+        sizes = np.array([len(s) for s in sets])
+
+        def confirmed(i: int, j: int, sets=sets, sizes=sizes) -> bool:
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            return 100 * both >= percent * (sizes[i] + sizes[j] - both)
+
+        out += _search(g.rid.to_numpy(), g.block.to_numpy(), sizes, _matrix(g.sig), percent, b0 != b1, np.arange(len(g)), confirmed)
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def _likely(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Edges between components of a bucket, on signatures alone."""
+    out = []
+    for (_, b0, b1), g in pdf.groupby(["band", "b0", "b1"], sort=True):
+        g = g.sort_values("rid")
+        root = np.unique(g.label.to_numpy(), return_inverse=True)[1]
+        out += _search(g.rid.to_numpy(), g.block.to_numpy(), g.n.to_numpy(), _matrix(g.sig), percent, b0 != b1, root)
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (key, rid, nb, ...) once for each pair of the group's blocks that their own is part of, and block, b0, b1."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rid"), "nb").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return rows.withColumn("b0", F.least("block", "other")).withColumn("b1", F.greatest("block", "other")).drop("other", "nb")
+
+
+def likely_edges(signed: DataFrame, reps: DataFrame, percent: int, temporary: list[DataFrame]) -> DataFrame:
+    """Edges (a, b) whose components are the groups: pairs that share a bucket and whose signatures agree enough."""
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        temporary.append(written(df, label))
+        return temporary[-1]
+
+    # merge joins where no side has a bound
+    banded = signed.select("rid", "bands").join(reps.hint("merge"), "rid", "left_semi").select("rid", F.explode("bands").alias("band"))
+    buckets = keep(banded.groupBy("band").agg(F.min("rid").alias("least"), F.count("*").alias("k")).filter("k > 1"), "buckets")
+    members = keep(banded.join(buckets.hint("merge"), "band").filter("rid <> least").select("band", "rid", "least", "k"), "members")
+    stars = keep(members.select("rid", "least").distinct(), "stars")
+    ends = keep(stars.select(F.explode(F.array("rid", "least")).alias("rid")).distinct(), "ends")
+    prints = keep(signed.select("rid", "n", "sig").join(sized(ends), "rid", "left_semi"), "signatures")
+    a, b = (prints.select(*[F.col(c).alias(f"{c}_{x}") for c in prints.columns]) for x in "ab")
+
+    @F.pandas_udf("int")
+    def agree(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series((_matrix(list(x)) == _matrix(list(y))).sum(1) if len(x) else [], dtype="int32")
+
+    pairs = stars.join(a.hint("merge"), F.col("rid") == F.col("rid_a")).join(b.hint("merge"), F.col("least") == F.col("rid_b"))
+    pairs = pairs.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (agree("sig_a", "sig_b") >= float(needed(percent))))
+    edges = keep(pairs.select(F.col("rid").alias("a"), F.col("least").alias("b")), "edges")
+    labels = keep(components(edges).withColumnsRenamed({"node": "rid", "root": "label"}), "labels")
+
+    def labelled(df: DataFrame, column: str, out: str) -> DataFrame:
+        by = labels.select(F.col("rid").alias(column), F.col("label").alias(out))
+        return df.join(sized(by), column, "left").withColumn(out, F.coalesce(out, column))
+
+    apart = labelled(labelled(members, "rid", "label"), "least", "least_label").filter("label <> least_label")
+    open_bands = keep(apart.select("band", "least", "k").distinct(), "open")
+    rows = open_bands.agg(F.coalesce(F.sum(F.col("k") * F.ceil(F.col("k") / BUCKET_DOCS)), F.lit(0))).first()[0]
+    if not rows:
+        return edges
+    inside = members.select("band", "rid").join(sized(open_bands.select("band")), "band", "left_semi").unionByName(open_bands.select("band", F.col("least").alias("rid")))
+    inside = labelled(inside, "rid", "label").join(prints.hint("merge"), "rid").join(sized(open_bands.select("band", F.ceil(F.col("k") / BUCKET_DOCS).cast("int").alias("nb"))), "band")
+    dealt = _in_blocks(inside, "band").withColumn("bin", F.pmod(F.xxhash64("band", "b0", "b1"), F.lit(max(1, -(-rows // BUCKET_DOCS)))))
+    more = dealt.groupBy("bin").applyInPandas(lambda pdf: _likely(pdf, percent), "a long, b long")
+    return edges.unionByName(keep(more, "more_edges"))
+
+
 def near_duplicates(docs: DataFrame, words: int, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """A row for each row of ``docs``: rid (row number of the stored table), doc_id, n_shingles, component_id, keep_rid."""
-    raw = with_row_ids(stored(docs).select(text_col, id_col), "__rid")
-    raw = raw.select(F.col("__rid").alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    signed = written(raw.mapInArrow(lambda b: _signed(b, words), "rid long, doc_id long, n long, print binary, bands array<long>"), "signed")
+    temporary: list[DataFrame] = []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        temporary.append(written(df, label))
+        return temporary[-1]
+
+    raw = stored(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    raw = with_row_ids(raw, "rid").select("rid", "doc_id", "text")
+    signed = written(raw.mapInArrow(lambda b: _signed(b, words), "rid long, doc_id long, n long, print binary, bands array<long>, sig binary"), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
-    classes = written(signed.filter("n > 0").groupBy("print").agg(first), "classes").select("print", "first", F.col("first.rid").alias("rep"))
-    # merge joins at every size, as none of these sides has a bound
-    reps = signed.join(classes.select(F.col("rep").alias("rid")).hint("merge"), "rid", "left_semi")
-    banded = reps.select("rid", F.explode("bands").alias("band"))
-    buckets = written(banded.groupBy("band").agg(F.min("rid").alias("least"), F.count("*").alias("k")).filter("k > 1").drop("k"), "buckets")
-    stars = banded.join(buckets, "band").filter("rid <> least").select(F.col("rid").alias("a"), F.col("least").alias("b")).distinct()
-    groups = written(components(stars).select(F.col("node").alias("rid"), F.col("root").alias("grp")), "groups")
-    weight = groups.join(signed.select("rid", "n"), "rid").groupBy("grp").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    weight = weight.select("grp", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES), F.lit(1)).cast("int").alias("nb"))
-    groups = written(groups.join(written(weight, "weight"), "grp"), "sized")
-    rows = groups.agg(F.coalesce(F.sum("nb"), F.lit(0))).first()[0]
-    bins = max(1, -(-rows // 512))
-    searched = raw.select("rid", "text").join(groups.hint("merge"), "rid").select("rid", "text", "grp", "nb")
+    classes = keep(signed.filter("n > 0").groupBy("print").agg(first), "classes").select("print", "first", F.col("first.rid").alias("rep"))
+    edges = likely_edges(signed, classes.select(F.col("rep").alias("rid")), percent, temporary)
+    groups = keep(components(edges).select(F.col("node").alias("rid"), F.col("root").alias("grp")), "groups")
+    weight = signed.select("rid", "n").join(sized(groups), "rid").groupBy("grp").agg(F.count("*").alias("docs"), (F.sum("n") * 8).alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
+    weight = keep(weight.withColumn("nb", blocks), "weight")
+    groups = keep(groups.join(weight.select("grp", "nb"), "grp"), "sized")
+    moved = weight.agg(F.coalesce(F.sum((F.col("bytes") + BANDS * ROWS * F.col("docs")) * F.col("nb")), F.lit(0))).first()[0]
+    bins = max(1, -(-moved // BLOCK_BYTES))
+    # of all texts, only those of group members go on
+    searched = raw.select("rid", "text").join(sized(groups), "rid").select("rid", "text", "grp", "nb")
     sets = searched.mapInArrow(lambda b: _sets(b, words), "rid long, grp long, nb int, shingles binary, sig binary")
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("rid"), "nb").cast("int"))
-    paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    paired = paired.withColumn("b0", F.least("block", "other")).withColumn("b1", F.greatest("block", "other"))
-    paired = paired.withColumn("bin", F.pmod(F.xxhash64("grp", "b0", "b1"), F.lit(bins)))
-    links = paired.select("bin", "grp", "b0", "b1", "block", "rid", "shingles", "sig").groupBy("bin").applyInPandas(lambda pdf: _links(pdf, percent), "a long, b long")
-    roots = written(components(written(links, "links")).withColumnRenamed("node", "rep"), "roots")
+    dealt = _in_blocks(sets, "grp").withColumn("bin", F.pmod(F.xxhash64("grp", "b0", "b1"), F.lit(bins)))
+    links = dealt.groupBy("bin").applyInPandas(lambda pdf: _links(pdf, percent), "a long, b long")
+    roots = keep(components(keep(links, "links")).withColumnRenamed("node", "rep"), "roots")
     labelled = classes.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    least = written(labelled.groupBy("root").agg(F.min("first").alias("least")), "least")
+    least = keep(labelled.groupBy("root").agg(F.min("first").alias("least")), "least")
     labelled = written(labelled.join(least, "root").select("print", "least"), "labelled")
+    for t in temporary:
+        drop_written(t)
     out = signed.select("rid", "doc_id", "n", "print").join(labelled.hint("merge"), "print", "left")
-    drop_written(buckets)
     alone = F.col("n") == 0
     return out.select(
         "rid", "doc_id", F.col("n").alias("n_shingles"),
@@ -219,11 +296,29 @@ def near_duplicates(docs: DataFrame, words: int, percent: int = PERCENT, text_co
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row of each component, with all columns."""
-    docs, cols = stored(docs), docs.columns
-    kept = near_duplicates(docs, words, percent, text_col, id_col).filter("rid = keep_rid").select(F.col("rid").alias("__rid"))
-    return with_row_ids(docs, "__rid").join(kept.hint("merge"), "__rid", "left_semi").select(*cols)
+    docs = stored(docs)
+    return without_rows(docs, fresh(docs, "rid"), near_duplicates(docs, words, percent, text_col, id_col).filter("rid <> keep_rid"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = near_duplicates(table(spark, sf_dir, "documents"), words=4)
     return d.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+#: All pairs that share a shingle, counted on whole sets; classes of equal sets first, so that copies stay few rows.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(CASE WHEN len(ws) = 0 THEN 0 ELSE greatest(1, len(ws) - 3) END)) AS i FROM w),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i + 1:i + 4], ' ') AS s FROM i),
+sets AS (SELECT doc_id, count(*) AS n, sha256(string_agg(s, chr(10) ORDER BY s)) AS k FROM sh GROUP BY doc_id),
+class AS (SELECT k, min(doc_id) AS rep, any_value(n) AS n FROM sets GROUP BY k),
+cs AS (SELECT doc_id AS rep, s FROM sh WHERE doc_id IN (SELECT rep FROM class)),
+inter AS (SELECT a.rep AS a, b.rep AS b, count(*) AS m FROM cs a JOIN cs b ON a.s = b.s AND a.rep < b.rep GROUP BY a.rep, b.rep),
+link AS (SELECT a, b FROM inter JOIN class x ON x.rep = a JOIN class y ON y.rep = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+arc AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT rep AS a, rep AS b FROM class UNION SELECT r.a, arc.b FROM reach r JOIN arc ON arc.a = r.b),
+least AS (SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(sets.n, 0) AS n_shingles, coalesce(least.component_id, w.doc_id) AS component_id, coalesce(least.component_id, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN sets ON sets.doc_id = w.doc_id LEFT JOIN class ON class.k = sets.k LEFT JOIN least ON least.rep = class.rep
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_token_output": token_output.query,
 }
 
-SQL = {"op4_url_filter": url_filter.SQL, "op5_exact_dedup": exact_dedup.SQL, "op7_line_dedup": line_dedup.SQL}
+SQL = {"op1_near_dedup": near_dedup.SQL, "op4_url_filter": url_filter.SQL, "op5_exact_dedup": exact_dedup.SQL, "op7_line_dedup": line_dedup.SQL}
