@@ -1,20 +1,26 @@
 """Line dedup by probing a sharded minimal perfect hash.
 
-The keys of all lines are hashed to 128 bits and counted over documents. The
-distinct hashes that reach ``min_docs`` documents are dealt into shards by
-their high bits; each shard builds a minimal perfect hash (levels of bit
-vectors with ranks) that indexes compact arrays of fingerprints, counts and
-last document ids. Documents then probe these arrays: no line is joined.
-
-The arrays are broadcast in batches of shards of at most ``batch_bytes``; each
-batch is one pass over the documents, so that memory stays bounded however
-many lines repeat. A hot line is one key of the arrays and makes no task heavy.
+The keys of all lines are hashed to 128 bits. Every distinct hash is dealt into
+a shard by its high bits; each shard builds a minimal perfect hash (levels of
+bit vectors with ranks) over its distinct hashes, which indexes compact arrays:
+fingerprints (32 bits), counts of documents (8 bits, cut at 255), and the last
+document id of the keys that reach ``min_docs``. Documents then probe these
+arrays, and the counts found there decide: no line is joined.
+
+The arrays lie as files in the shared folder, in units of at most about
+``batch_bytes``. A task reads each unit that its lines need once for every
+``TEXT_BYTES`` of text, one unit at a time, so that memory stays bounded however
+many lines there are, and the documents are scanned once. What all tasks read
+together is their number times the arrays' size (some 6 bytes a distinct line),
+so tasks should be large. A hot line is one key of the arrays and makes no task
+heavy.
 
 Defined results: null and empty texts are one empty line; keys under
 ``min_chars`` code points always stay; a document that repeats a line keeps or
-loses all its copies; rows that share an id count as documents of their own; a
-null id ranks below all others; an empty table gives an empty result; further
-columns pass through, and a column named like a result is replaced.
+loses all its copies; rows that share an id count as documents of their own,
+and all of them keep the line if theirs is the largest id; a null id ranks
+below all others; an empty table gives an empty result; further columns pass
+through, and a column named like a result is replaced.
 """
 
 from __future__ import annotations
@@ -24,18 +30,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_written, table, written
+from .common import drop_written, folder_of, table, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
 SHARD_KEYS = 65536
 BATCH_BYTES = 64 << 20
+TEXT_BYTES = 64 << 20
 SPACES = b" \t\n\x0b\x0c\r"
 NO_ID = -(2**63)
+MOST = 255
 
 
 def line_key(line: bytes) -> bytes:
@@ -66,45 +76,62 @@ class PerfectHash:
 
     def __init__(self, keys: np.ndarray):
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        base, rest = 0, keys
+        self.base, rest = 0, keys
         while len(rest):
-            m = max(64, 2 * len(rest))
+            m = 64 * max(1, -(-2 * len(rest) // 64))
             at = (_mixed(rest, len(self.levels)) % np.uint64(m)).astype(np.int64)
             alone = np.bincount(at, minlength=m) == 1
-            ranks = base + np.concatenate([[0], np.add.reduceat(alone, np.arange(0, m, 64)).cumsum()[:-1]])
-            self.levels.append((alone, ranks.astype(np.int64)))
-            base += int(alone.sum())
+            self._add(np.packbits(alone, bitorder="little").view(np.uint64))
             rest = rest[~alone[at]]
 
+    def _add(self, words: np.ndarray) -> None:
+        ones = np.cumsum(np.bitwise_count(words), dtype=np.int64)
+        self.levels.append((words, self.base + np.concatenate([[0], ones[:-1]])))
+        self.base += int(ones[-1])
+
     def index(self, keys: np.ndarray) -> np.ndarray:
         """-1 for what is certainly no key; for other strangers, any index."""
         out = np.full(len(keys), -1, np.int64)
         todo = np.arange(len(keys))
-        for level, (alone, ranks) in enumerate(self.levels):
+        for level, (words, ranks) in enumerate(self.levels):
             if not len(todo):
                 break
-            at = (_mixed(keys[todo], level) % np.uint64(len(alone))).astype(np.int64)
-            hit = alone[at]
-            for i, p in zip(todo[hit], at[hit], strict=True):
-                out[i] = ranks[p >> 6] + int(alone[p & ~63 : p].sum())
+            at = _mixed(keys[todo], level) % np.uint64(64 * len(words))
+            word, bit = words[at >> np.uint64(6)], at & np.uint64(63)
+            hit = (word >> bit) & np.uint64(1) == 1
+            below = np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
+            out[todo[hit]] = (ranks[at >> np.uint64(6)] + below)[hit]
             todo = todo[~hit]
         return out
 
     def dump(self) -> list[bytes]:
-        return [len(a).to_bytes(8, "little") + np.packbits(a).tobytes() for a, _ in self.levels]
+        return [words.tobytes() for words, _ in self.levels]
 
     @classmethod
     def load(cls, parts: list[bytes]) -> PerfectHash:
-        out, base = cls(np.zeros((0, 2), np.uint64)), 0
+        out = cls(np.zeros((0, 2), np.uint64))
         for p in parts:
-            m = int.from_bytes(p[:8], "little")
-            alone = np.unpackbits(np.frombuffer(p, np.uint8, offset=8), count=m).astype(bool)
-            ranks = base + np.concatenate([[0], np.add.reduceat(alone, np.arange(0, m, 64), dtype=np.int64).cumsum()[:-1]])
-            out.levels.append((alone, ranks))
-            base += int(alone.sum())
+            out._add(np.frombuffer(p, np.uint64))
         return out
 
 
+class Shard:
+    """A perfect hash and its arrays, as read from a row of the arrays' table."""
+
+    def __init__(self, levels: list[bytes], prints: bytes, counts: bytes, last: bytes, min_docs: int):
+        self.mph = PerfectHash.load(levels)
+        self.prints, self.counts = np.frombuffer(prints, np.uint32), np.frombuffer(counts, np.uint8)
+        self.often = self.counts >= min_docs
+        self.last, self.rank = np.frombuffer(last, np.int64), np.cumsum(self.often) - 1
+
+    def last_of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are keys of enough documents, and the largest id of those."""
+        at = self.mph.index(hashes)
+        at0 = np.maximum(at, 0)
+        hit = np.flatnonzero((at >= 0) & (self.prints[at0] == _print(hashes)) & self.often[at0])
+        return hit, self.last[self.rank[at[hit]]]
+
+
 def _keys_of(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         hashes, ids = [], []
@@ -119,98 +146,132 @@ def _pairs(hashes: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(hashes), np.uint64).reshape(-1, 2)
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
+def _print(hashes: np.ndarray) -> np.ndarray:
+    return (hashes[:, 1] >> np.uint64(32)).astype(np.uint32)
+
+
+def _build(pdf: pd.DataFrame, min_docs: int) -> pd.DataFrame:
+    """Arrays of one shard. Counts are cut at MOST; last ids are kept for the keys of enough documents, in order of index."""
     keys = _pairs(list(pdf.h))
     mph = PerfectHash(keys)
-    at = mph.index(keys)
-    prints, counts, last = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-    prints[at], counts[at], last[at] = keys[:, 1], pdf.n, pdf["last"]
-    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "levels": [mph.dump()], "prints": [prints.tobytes()], "counts": [counts.tobytes()], "last": [last.tobytes()]})
+    order = np.argsort(mph.index(keys))
+    counts = np.minimum(pdf.n.to_numpy()[order], MOST).astype(np.uint8)
+    last = pdf["last"].to_numpy(np.int64)[order][counts >= min_docs]
+    row = {"unit": pdf.unit.iloc[0], "shard": pdf["shard"].iloc[0], "levels": mph.dump(), "prints": _print(keys)[order].tobytes(), "counts": counts.tobytes(), "last": last.tobytes()}
+    return pd.DataFrame([row])
+
+
+KEY_BYTES = 6  # of the arrays, a distinct line
 
 
-def line_arrays(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
-    """A row of arrays for each shard, written; and the number of shards (a power of two)."""
+def line_arrays(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, batch_bytes: int = BATCH_BYTES) -> tuple[str, int, int]:
+    """The folder with a row of arrays for each shard; the number of shards; and of units (both powers of two)."""
+    if not 1 <= min_docs <= MOST:
+        raise ValueError(f"counts are kept up to {MOST}")
     raw = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
     lines = raw.mapInArrow(lambda b: _keys_of(b, min_chars), "h binary, id long")
-    often = written(lines.groupBy("h").agg(F.count("*").alias("n"), F.max("id").alias("last")).filter(F.col("n") >= min_docs), "lines")
-    shards = 1
-    while shards * shard_keys < often.count():
+    distinct = written(lines.groupBy("h").agg(F.count("*").alias("n"), F.max("id").alias("last")), "lines")
+    n, shards, units = distinct.count(), 1, 1
+    while shards * shard_keys < n:
         shards *= 2
-    keyed = often.withColumn("shard", F.conv(F.hex(F.substring("h", 1, 4)), 16, 10).cast("long") % shards)
-    arrays = keyed.groupBy("shard").applyInPandas(_build, "shard long, levels array<binary>, prints binary, counts binary, last binary")
-    arrays = written(arrays, "arrays")
-    drop_written(often)
-    return arrays, shards
-
-
-def _probe(batches: Iterator[pa.RecordBatch], shared, shards: int, min_chars: int, first: bool) -> Iterator[pa.RecordBatch]:
-    tables = {
-        s: (PerfectHash.load(levels), np.frombuffer(p, np.uint64), np.frombuffer(last, np.int64))
-        for s, levels, p, last in shared.value
-    }
+    while units < shards and units * batch_bytes < n * KEY_BYTES:
+        units *= 2
+    keyed = distinct.withColumn("shard", F.conv(F.hex(F.substring("h", 1, 4)), 16, 10).cast("long") % shards).withColumn("unit", F.col("shard") % units)
+    arrays = keyed.groupBy("shard").applyInPandas(lambda pdf: _build(pdf, min_docs), "unit long, shard long, levels array<binary>, prints binary, counts binary, last binary")
+    folder = folder_of(arrays, "arrays", "unit")
+    drop_written(distinct)
+    return folder, shards, units
+
+
+def _read_unit(folder: str, unit: int) -> list[dict]:
+    """Rows of one unit, from the shared folder."""
+    store, path = pafs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
+    files = store.get_file_info(pafs.FileSelector(f"{path}/unit={unit}", allow_not_found=True))
+    rows = []
+    for f in files:
+        if f.path.endswith(".parquet"):
+            with store.open_input_file(f.path) as source:
+                rows += pq.read_table(source).to_pylist()
+    return rows
+
+
+class Arrays:
+    """The units of the arrays, read as they are needed; only the last one stays in memory."""
+
+    def __init__(self, folder: str, shards: int, units: int, min_docs: int):
+        self.folder, self.n_shards, self.units, self.min_docs = folder, shards, units, min_docs
+        self.unit, self.shards = -1, {}
+
+    def of(self, unit: int) -> dict[int, Shard]:
+        if unit != self.unit:
+            self.shards = {}
+            self.shards = {r["shard"]: Shard(r["levels"], r["prints"], r["counts"], r["last"], self.min_docs) for r in _read_unit(self.folder, unit)}
+            self.unit = unit
+        return self.shards
+
+    def last_of(self, hashes: list[bytes]) -> dict[bytes, int]:
+        """Of the hashes held by enough documents: the largest id that holds each."""
+        pairs = _pairs(hashes)
+        shard = np.frombuffer(b"".join(h[:4] for h in hashes), ">u4").astype(np.int64) % self.n_shards
+        order = np.lexsort((shard, shard % self.units))
+        cuts = np.flatnonzero(np.diff(shard[order])) + 1
+        out: dict[bytes, int] = {}
+        for part in np.split(order, cuts) if len(order) else []:
+            s = int(shard[part[0]])
+            held = self.of(s % self.units).get(s)
+            if held is not None:
+                hit, last = held.last_of(pairs[part])
+                out.update(zip((hashes[i] for i in part[hit].tolist()), last.tolist(), strict=True))
+        return out
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[pa.RecordBatch]]:
+    """Batches together, up to TEXT_BYTES of text."""
+    held, size = [], 0
     for b in batches:
-        names = b.schema.names
-        texts = b.column(names.index("text")).to_pylist()
-        ids = b.column(names.index("doc_id")).to_pylist()
-        split = [(t or b"").split(b"\n") for t in texts]
-        seen: dict[bytes, bytes] = {}  # hash of each key in the batch
-        keyed = []
-        for lines in split:
-            keys = [k if long_enough(k, min_chars) else None for k in map(line_key, lines)]
-            keyed.append(keys)
-            for k in keys:
-                if k is not None and k not in seen:
-                    seen[k] = _hash(k)
-        last_of: dict[bytes, int] = {}
-        by_shard: dict[int, list[bytes]] = {}
-        for k, h in seen.items():
-            s = int.from_bytes(h[:4], "big") % shards
-            if s in tables:
-                by_shard.setdefault(s, []).append(k)
-        for s, keys in by_shard.items():
-            mph, prints, last = tables[s]
-            hashes = _pairs([seen[k] for k in keys])
-            at = mph.index(hashes)
-            hit = (at >= 0) & (prints[np.maximum(at, 0)] == hashes[:, 1])
-            for i in np.flatnonzero(hit):
-                last_of[keys[i]] = int(last[at[i]])
-        out, total, dropped = [], [], []
-        for doc, lines, keys in zip(ids, split, keyed, strict=True):
-            me = NO_ID if doc is None else doc
-            kept = [x for x, k in zip(lines, keys, strict=True) if k is None or last_of.get(k, me) == me]
-            out.append(b"\n".join(kept))
-            total.append(len(lines))
-            dropped.append(len(lines) - len(kept))
-        lost = pa.array([len(kept_x) == n for kept_x, n in zip(split, dropped, strict=True)], pa.bool_())
-        if not first:
-            # lines that earlier batches of shards dropped; a document without any line left has none to count now
-            gone = b.column(names.index("__gone")).to_pylist()
-            empty = b.column(names.index("__none")).to_pylist()
-            total = b.column(names.index("n_lines")).to_pylist()
-            dropped = [g if e else g + d for g, e, d in zip(gone, empty, dropped, strict=True)]
-            lost = pa.array([e or x for e, x in zip(empty, lost.to_pylist(), strict=True)], pa.bool_())
-        made = {"text": pa.array(out, pa.binary()), "n_lines": pa.array(total, pa.int64()), "__gone": pa.array(dropped, pa.int64()), "__none": lost}
-        columns = [made.pop(n) if n in made else b.column(i) for i, n in enumerate(names)]
-        yield pa.RecordBatch.from_arrays([*columns, *made.values()], [*names, *made])
+        held.append(b)
+        size += b.column(b.schema.get_field_index(column)).nbytes
+        if size >= TEXT_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _probe(batches: Iterator[pa.RecordBatch], arrays: Arrays, min_chars: int) -> Iterator[pa.RecordBatch]:
+    for held in _gathered(batches, "text"):
+        seen: dict[bytes, bytes] = {}  # hash of each key
+        for b in held:
+            for t in b.column(b.schema.get_field_index("text")).to_pylist():
+                for k in map(line_key, (t or b"").split(b"\n")):
+                    if k not in seen and long_enough(k, min_chars):
+                        seen[k] = _hash(k)
+        found = arrays.last_of(list(seen.values()))
+        last_of = {k: found[h] for k, h in seen.items() if h in found}
+        del seen, found
+        for b in held:
+            names = b.schema.names
+            out, total, dropped = [], [], []
+            for doc, t in zip(b.column(names.index("doc_id")).to_pylist(), b.column(names.index("text")).to_pylist(), strict=True):
+                me, lines = NO_ID if doc is None else doc, (t or b"").split(b"\n")
+                kept = [x for x in lines if last_of.get(line_key(x), me) == me]
+                out.append(b"\n".join(kept))
+                total.append(len(lines))
+                dropped.append(len(lines) - len(kept))
+            made = {"text": pa.array(out, pa.binary())}
+            yield pa.RecordBatch.from_arrays(
+                [made.get(n, b.column(i)) for i, n in enumerate(names)] + [pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], [*names, "n_lines", "n_dropped"]
+            )
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """``docs`` with text reduced to the lines that stay, and n_lines (before), n_dropped."""
-    spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped", "__gone", "__none")
-    arrays, shards = line_arrays(docs, min_chars, min_docs, shard_keys)
-    size = arrays.agg(F.sum(F.length("prints") + F.length("last"))).first()[0] or 0
-    rounds = max(1, -(-size // batch_bytes))
+    docs = docs.drop("n_lines", "n_dropped")
+    folder, shards, units = line_arrays(docs, min_chars, min_docs, shard_keys, batch_bytes)
+    arrays = Arrays(folder, shards, units, min_docs)
     out = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("binary"))
-    for i in range(rounds):
-        part = arrays.filter(F.col("shard") % rounds == i).select("shard", "levels", "prints", "last").collect()
-        shared = spark.sparkContext.broadcast([(r.shard, [bytes(x) for x in r.levels], bytes(r.prints), bytes(r["last"])) for r in part])
-        first = i == 0
-        schema = T.StructType(out.schema.fields) if not first else T.StructType([*out.schema.fields, *T.StructType.fromDDL("n_lines long, __gone long, __none boolean").fields])
-        out = out.mapInArrow(lambda b, shared=shared, first=first: _probe(b, shared, shards, min_chars, first), schema)
-        if i + 1 < rounds:
-            out = written(out, f"pass{i}")
-    return out.withColumn("text", F.col("text").cast("string")).withColumnRenamed("__gone", "n_dropped").drop("__none")
+    schema = T.StructType([*out.schema.fields, *T.StructType.fromDDL("n_lines long, n_dropped long").fields])
+    return out.mapInArrow(lambda b: _probe(b, arrays, min_chars), schema).withColumn("text", F.col("text").cast("string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,10 +280,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
 k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
-SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (c.key IS NOT NULL AND c.last <> k.doc_id) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (c.key IS NULL OR c.last = k.doc_id), '')) AS kept_sha256
-FROM k LEFT JOIN c ON k.key = c.key GROUP BY k.doc_id
+c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT r) >= 3)
+SELECT any_value(k.doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (c.key IS NOT NULL AND c.last IS DISTINCT FROM k.doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (c.key IS NULL OR c.last IS NOT DISTINCT FROM k.doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN c ON k.key = c.key GROUP BY k.r
 """
