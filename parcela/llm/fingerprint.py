@@ -2,23 +2,31 @@
 
 A document is the multiset of its paragraphs (its lines). Each paragraph is
 hashed to a wide vector; a document's fingerprint is the sum of the vectors of
-its paragraphs, lane by lane, modulo powers of two:
+its paragraphs, lane by lane, modulo 2^32:
 
-* ``N_IDENT`` identity lanes modulo 2^32, hashed from the whole paragraph, for
-  equality whatever the order of the paragraphs;
-* ``N_LANES`` likeness lanes modulo 2^16, to each of which the paragraph adds
-  the signed count of its three-word shingles that hash there, so that the
-  cosine of two fingerprints follows the share of wording in common.
+* ``N_IDENT`` identity lanes, hashed from the whole paragraph, for equality
+  whatever the order of the paragraphs;
+* ``N_LANES`` likeness lanes, to each of which every three-word shingle of the
+  paragraph adds 1 or -1 by a bit of its hash, so that the cosine of two
+  fingerprints follows the share of wording in common (its standard error is
+  about ``N_LANES ** -0.5``).
 
 Sums commute, so paragraphs may be inserted or deleted by ``combined`` without
 reading the rest of the document.
 
+The next document is found on narrow rows (id, length, hash, row number), sorted
+over all tasks; what is shuffled of the texts is each text once, by row number,
+and of its successor's only the part that the edit takes. So no group of rows
+is larger than one text, however ids repeat. Lanes are added eight at a time, as
+bytes of one long, over chunks of ``CHUNK`` shingles, and then two at a time, as
+halves of one long, which hold any text of under 2^31 shingles.
+
 Defined results: a null text is the empty text, whose fingerprint is that of
 one empty paragraph; likeness is 1 for equal fingerprints, else the cosine of
 the likeness lanes cut to 0..1 (0 where one of them is all zero). Rows that
-share an id follow each other in the order of length and hash; null ids come
-last. A lone document is its own next. An empty table gives an empty result;
-extra columns are not read.
+share an id follow each other in the order of length, hash and row number; null
+ids come last. A lone document is its own next. An empty table gives an empty
+result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,154 +34,133 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, table, written
+from .common import SPACE, SPACE_CHARS, stored, table, with_row_ids, written
 
 N_LANES, N_IDENT, SHINGLE = 128, 8, 3
-#: Ids are bucketed by their high bits; a bucket holds at most 2^BUCKET_BITS different ids.
-BUCKET_BITS = 10
-#: A table of neighbours up to this many rows is ordered in one task and may be broadcast (16 bytes a row).
-SMALL_ROWS = 16384
-
-OWN, EDITED = 0, N_LANES
-IDENT = 2 * N_LANES  # own, then edited
-SHA, META = IDENT + 2 * N_IDENT, IDENT + 2 * N_IDENT + 8
-
-
-def _neighbours(ids: DataFrame) -> DataFrame:
-    """For distinct ids: id, higher (the next higher one; for the highest, the lowest)."""
-    if ids.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        w = Window.partitionBy(F.lit(0)).orderBy("id")
-        everything = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return ids.select("id", F.coalesce(F.lead("id").over(w), F.min("id").over(everything)).alias("higher"))
-    grouped = ids.withColumn("g", F.shiftright("id", BUCKET_BITS))
-    lows = written(grouped.groupBy("g").agg(F.min("id").alias("low")), "lows")
-    above = _neighbours(lows.select(F.col("g").alias("id")))
-    above = above.join(lows, above.higher == lows.g).select(above.id.alias("g"), F.col("low").alias("next_low"))
-    inside = grouped.withColumn("up", F.lead("id").over(Window.partitionBy("g").orderBy("id")))
-    return inside.join(above, "g").select("id", F.coalesce("up", "next_low").alias("higher"))
+MODULUS = 2**32
+#: Shingles in a chunk: as many as a byte holds without a sign.
+CHUNK = 127
+BYTES, HALVES, LOW = 0x0101010101010101, 0x000000FF000000FF, 0xFFFFFFFF
 
 
-def with_next(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """b, k (place in bucket b), look, doc_id, t, next_t: each text beside that of the next lower id (after the lowest, the highest).
+def successors(rows: DataFrame) -> DataFrame:
+    """From rows (rid, doc_id, n, h): rid, doc_id, n, next_rid; the next in descending id, nulls last, the first after the last.
 
-    Texts are shuffled once, by bucket. The highest document of each bucket is
-    sent to the bucket above as well (``look``), as that one's last successor.
+    Sorted by range over all tasks and written; then each part finds its own
+    successors and the head of the next part, of which there are as many as parts.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    lowest = -(2**63) + 1
-    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(lowest)))
-    rows = rows.withColumn("b", F.shiftright("key", BUCKET_BITS))
-    keys = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("key"))
-    firsts = written(keys.groupBy(F.shiftright("key", BUCKET_BITS).alias("b")).agg(F.max("key").alias("first")), "firsts")
-    look = firsts.join(_neighbours(firsts.select(F.col("b").alias("id"))).withColumnRenamed("id", "b"), "b").select(F.col("first").alias("key"), "higher")
-    look = written(look, "look")
-    if look.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        look = F.broadcast(look)
-    spread = rows.join(look, "key", "left").select(
-        "doc_id", "key", "t",
-        F.explode(F.when(F.col("higher").isNull(), F.array(F.struct(F.col("b").alias("b"), F.lit(False).alias("look")))).otherwise(
-            F.array(F.struct(F.col("b").alias("b"), F.lit(False).alias("look")), F.struct(F.col("higher").alias("b"), F.lit(True).alias("look")))
-        )).alias("to"),
-    ).select("doc_id", "key", "t", F.length("t").alias("n"), F.xxhash64("t").alias("h"), "to.b", "to.look")
-    w = Window.partitionBy("b").orderBy("look", F.col("key").desc(), "n", "h")
-    return spread.select("b", F.row_number().over(w).alias("k"), "look", "doc_id", "t", F.lead("t").over(w).alias("next_t"))
-
-
-def _element(lane: Column, value: Column) -> Column:
-    return F.struct(lane.cast("int").alias("lane"), value.cast("long").alias("val"))
-
-
-def _likeness_elements(paragraph: Column, base: Column) -> Column:
-    """(lane, +1 or -1) for each three-word shingle; a shorter paragraph is one shingle, a blank one none."""
-
-    def shingles(words: Column) -> Column:
+    rows = rows.withColumn("none", F.col("doc_id").isNull()).withColumn("key", F.bitwise_not(F.coalesce("doc_id", F.lit(0))))
+    order = ["none", "key", "n", "h", "rid"]
+    parts = written(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ordered")
+    heads = parts.groupBy("part").agg(F.min_by("rid", F.struct(*order)).alias("head"))
+    one = Window.partitionBy(F.lit(0)).orderBy("part")
+    heads = heads.select("part", F.coalesce(F.lead("head").over(one), F.first("head").over(one)).alias("head"))
+    inside = F.lead("rid").over(Window.partitionBy("part").orderBy(*order))
+    return parts.withColumn("next_rid", inside).join(F.broadcast(heads), "part").select("rid", "doc_id", "n", F.coalesce("next_rid", "head").alias("next_rid"))
+
+
+def with_next(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """rid, doc_id, t, n (code points), next_rid, prefix (what the edit takes of the next text), own (code points that stay): a row for each row of ``docs``."""
+    rows = stored(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = with_row_ids(rows, "rid")
+    after = written(successors(rows.select("rid", "doc_id", F.length("t").alias("n"), F.xxhash64("t").alias("h"))), "successors")
+    half = F.floor(F.col("n") / 2).cast("int")
+    # each text learns whose next it is and how much of it that one takes; then its shuffle by row number serves both uses
+    taken = after.select(F.col("next_rid").alias("rid"), F.col("rid").alias("to_rid"), half.alias("take"))
+    known = rows.select("rid", "t").join(after.join(taken.hint("merge"), "rid").hint("merge"), "rid")
+    prefix = known.select(F.col("to_rid").alias("rid"), F.expr("substring(t, 1, take)").alias("prefix"))
+    whole = known.select("rid", "doc_id", "t", "n", "next_rid", "to_rid", "take").join(prefix.hint("merge"), "rid")
+    return whole.select("rid", "doc_id", "t", "n", "next_rid", "prefix", (F.col("n") - half).alias("own"))
+
+
+def _shingles(paragraph: Column) -> Column:
+    """A hash for each three-word shingle; a shorter paragraph is one shingle, a blank one none."""
+
+    def hashes(words: Column) -> Column:
         last = F.greatest(F.lit(0), F.size(words) - SHINGLE)
         return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(SHINGLE)]))
 
+    trimmed = F.trim(paragraph, F.lit(SPACE_CHARS))
     # bound by an outer transform, else the split would run again for every shingle
-    hashes = F.get(F.transform(F.array(F.split(F.trim(paragraph, F.lit(SPACE_CHARS)), SPACE)), shingles), F.lit(0))
-    elements = F.transform(hashes, lambda h: _element(base + h.bitwiseAND(N_LANES - 1), F.shiftright(h, 16).bitwiseAND(1) * 2 - 1))
-    return F.when(F.trim(paragraph, F.lit(SPACE_CHARS)) == "", F.array().cast("array<struct<lane:int,val:bigint>>")).otherwise(elements)
+    found = F.get(F.transform(F.array(F.split(trimmed, SPACE)), hashes), F.lit(0))
+    return F.when(trimmed == "", F.array().cast("array<bigint>")).otherwise(found)
 
 
-def _identity_elements(paragraph: Column, base: Column) -> Column:
-    halves = []
-    for i in range(N_IDENT // 2):
-        h = F.xxhash64(F.lit(i), paragraph)
-        halves += [h.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32)]
-    return F.array(*[_element(base + i, h) for i, h in enumerate(halves)])
+def _identity(paragraphs: Column) -> Column:
+    """The identity lanes of an array of paragraphs."""
 
+    def lane(i: int, high: bool) -> Column:
+        half = lambda p: F.shiftrightunsigned(F.xxhash64(F.lit(i), p), 32) if high else F.xxhash64(F.lit(i), p).bitwiseAND(F.lit(LOW))
+        return F.aggregate(paragraphs, F.lit(0).cast("long"), lambda s, p: F.pmod(s + half(p), F.lit(MODULUS)))
 
-def _centred(x: Column) -> Column:
-    """Modulo 2^16, as -32768..32767."""
-    return F.pmod(x + 32768, F.lit(65536)) - 32768
+    return F.array(*[lane(i, high) for i in range(N_IDENT // 2) for high in (False, True)])
 
 
-def _lanes(v: str, start: int, n: int) -> Column:
-    return F.transform(F.slice(v, start + 1, n), lambda e: e["val"])
+def _fingerprints(texts: DataFrame, *keys: str) -> DataFrame:
+    """keys, fp: from rows (keys, paragraphs); a zero vector where there are none."""
+    rows = texts.select(*keys, _identity(F.col("paragraphs")).alias("ident"), F.flatten(F.transform("paragraphs", _shingles)).alias("hs"))
+    rows = rows.select(*keys, "ident", F.posexplode_outer("hs").alias("pos", "h0")).withColumn("h1", F.when(F.col("h0").isNotNull(), F.xxhash64("h0")))
+    # how many shingles of a chunk have each bit set in their hash, and in a second one: eight lanes in the bytes of one long
+    words, bits = range(N_LANES // 64), range(32)
+    ones = [F.sum(F.shiftrightunsigned(f"h{w}", i).bitwiseAND(F.lit(BYTES))).alias(f"c{w}_{i}") for w in words for i in range(8)]
+    chunks = rows.groupBy(*keys, "ident", F.floor(F.col("pos") / CHUNK).alias("chunk")).agg(F.count("h0").alias("k"), *ones)
+    # then of the text: bit i in the low half and bit i + 32 in the high half of one long
+    halves = [F.sum(F.shiftrightunsigned(f"c{w}_{i % 8}", i - i % 8).bitwiseAND(F.lit(HALVES))).alias(f"s{w}_{i}") for w in words for i in bits]
+    sums = chunks.groupBy(*keys, "ident").agg(F.sum("k").alias("k"), *halves)
+    at = [(w, i) for w in words for i in bits]
+    low = [_centred(2 * F.coalesce(f"s{w}_{i}", F.lit(0)).bitwiseAND(F.lit(LOW)) - F.col("k")) for w, i in at]
+    high = [_centred(2 * F.shiftrightunsigned(F.coalesce(f"s{w}_{i}", F.lit(0)), 32) - F.col("k")) for w, i in at]
+    return sums.select(*keys, F.struct(F.array(*low, *high).alias("lanes"), "ident").alias("fp"))
+
+
+def _centred(x: Column) -> Column:
+    """Modulo 2^32, as -2^31..2^31-1."""
+    return F.pmod(x + MODULUS // 2, F.lit(MODULUS)) - MODULUS // 2
 
 
 def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Of two structs (lanes, ident): 1 if equal, else the cosine of their likeness lanes, cut to 0..1."""
-    norm = F.sqrt(_dot(a["lanes"], a["lanes"]).cast("double")) * F.sqrt(_dot(b["lanes"], b["lanes"]).cast("double"))
-    cosine = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(_dot(a["lanes"], b["lanes"]).cast("double"), norm)))
+    norm = F.sqrt(_dot(a["lanes"], a["lanes"])) * F.sqrt(_dot(b["lanes"], b["lanes"]))
+    cosine = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(_dot(a["lanes"], b["lanes"]), norm)))
     return F.when(a == b, F.lit(1.0)).when(norm == 0, F.lit(0.0)).otherwise(cosine)
 
 
 def as_hex(fp: Column) -> Column:
-    ident = F.transform(fp["ident"], lambda x: F.lpad(F.hex(x), 8, "0"))
-    lanes = F.transform(fp["lanes"], lambda x: F.lpad(F.hex(F.pmod(x, F.lit(65536))), 4, "0"))
-    return F.lower(F.concat(F.array_join(ident, ""), F.array_join(lanes, "")))
+    """Eight digits for each lane, identity lanes first."""
+    lanes = F.concat(fp["ident"], F.transform(fp["lanes"], lambda x: F.pmod(x, F.lit(MODULUS))))
+    return F.lower(F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
 
 
 def combined(a: Column, b: Column, sign: int = 1) -> Column:
     """The fingerprint of a's paragraphs with b's inserted (sign 1) or deleted (sign -1)."""
     return F.struct(
         F.zip_with(a["lanes"], b["lanes"], lambda x, y: _centred(x + sign * y)).alias("lanes"),
-        F.zip_with(a["ident"], b["ident"], lambda x, y: F.pmod(x + sign * y, F.lit(2**32))).alias("ident"),
-    )
-
-
-def _fingerprint(v: str, lanes: int, ident: int) -> Column:
-    return F.struct(
-        F.transform(_lanes(v, lanes, N_LANES), _centred).alias("lanes"),
-        F.transform(_lanes(v, ident, N_IDENT), lambda x: F.pmod(x, F.lit(2**32))).alias("ident"),
+        F.zip_with(a["ident"], b["ident"], lambda x, y: F.pmod(x + sign * y, F.lit(MODULUS))).alias("ident"),
     )
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_chars, edited_sha256 and the structs own, edited, next."""
-    w = with_next(docs, text_col, id_col)
-    half = F.floor(F.length("t") / 2).cast("int")
-    edited = F.concat(F.substring(F.col("t"), F.lit(1), F.length("t") - half), F.substring(F.coalesce("next_t", F.lit("")), F.lit(1), half))
-    both = w.select("b", "k", "look", "doc_id", F.length("t").alias("n"), "t", F.when(~F.col("look"), edited).alias("e"))
-    both = both.select("b", "k", "look", "doc_id", "n", F.sha2("e", 256).alias("sha"), F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("t").alias("x")), F.struct(F.lit(1).alias("v"), F.col("e").alias("x")))).alias("p"))
-    both = both.filter(F.col("p.x").isNotNull())
-    paragraphs = both.select("b", "k", "look", "doc_id", "n", "sha", F.col("p.v").alias("v"), F.posexplode(F.split("p.x", "\n")).alias("pos", "par"))
-    zeros = F.transform(F.sequence(F.lit(0), F.lit(META - 1)), lambda i: _element(i, F.lit(0)))
-    words = [_element(F.lit(SHA + i), F.conv(F.substring("sha", 8 * i + 1, 8), 16, 10)) for i in range(8)]
-    meta = F.concat(zeros, F.array(*words, _element(F.lit(META), F.col("doc_id")), _element(F.lit(META + 1), F.col("n"))))
-    none = F.array().cast("array<struct<lane:int,val:bigint>>")
-    elements = F.concat(
-        _likeness_elements(F.col("par"), F.col("v") * N_LANES),
-        _identity_elements(F.col("par"), IDENT + F.col("v") * N_IDENT),
-        F.when((F.col("pos") == 0) & (F.col("v") == 0), meta).otherwise(none),
-    )
-    # hash partitioning by b, from the window, serves both aggregates and the next window: no further shuffle
-    lanes = paragraphs.select("b", "k", "look", F.explode(elements).alias("e")).groupBy("b", "k", "look", "e.lane").agg(F.sum("e.val").alias("val"))
-    vectors = lanes.groupBy("b", "k", "look").agg(F.array_sort(F.collect_list(F.struct("lane", "val"))).alias("v"))
-    out = vectors.select("b", "k", "look", "v", _fingerprint("v", OWN, IDENT).alias("own"))
-    out = out.withColumn("next", F.lead("own").over(Window.partitionBy("b").orderBy("k"))).filter(~F.col("look"))
-    sha = F.lower(F.array_join(F.transform(_lanes("v", SHA, 8), lambda x: F.lpad(F.hex(x), 8, "0")), ""))
-    value = lambda i: F.get("v", F.lit(i))["val"]
-    return out.select(
-        value(META).alias("doc_id"), value(META + 1).alias("n_chars"), sha.alias("edited_sha256"),
-        "own", _fingerprint("v", EDITED, IDENT + N_IDENT).alias("edited"), "next",
-    )
+    base = with_next(docs, text_col, id_col)
+    stays = F.substring(F.col("t"), F.lit(1), F.col("own"))
+    edited = F.concat(stays, "prefix")
+    same = F.size(F.split(stays, "\n")) - 1  # paragraphs that the edit leaves as they are
+    texts = base.select("rid", "doc_id", "n", "next_rid", F.unhex(F.sha2(edited, 256)).alias("sha"), same.alias("m"), F.split("t", "\n").alias("p"), F.split(edited, "\n").alias("q"))
+    slices = [F.slice("p", F.lit(1), F.col("m")), F.slice("p", F.col("m") + 1, F.size("p")), F.slice("q", F.col("m") + 1, F.size("q"))]
+    texts = texts.select("rid", "doc_id", "n", "next_rid", "sha", F.posexplode(F.array(*slices)).alias("v", "paragraphs"))
+    # partitioned by row number since the joins: no further shuffle until the next document's fingerprint is looked up
+    each = _fingerprints(texts, "rid", "doc_id", "n", "next_rid", "sha", "v")
+    parts = [F.max(F.when(F.col("v") == v, F.col("fp"))).alias(f"f{v}") for v in range(3)]
+    both = each.groupBy("rid", "doc_id", "n", "next_rid", "sha").agg(*parts)
+    # sums of what both texts share and of what each has alone
+    both = both.select("rid", "doc_id", "n", "next_rid", "sha", *[combined(F.col("f0"), F.col(f"f{v}")).alias(name) for v, name in ((1, "own"), (2, "edited"))])
+    done = written(both, "fingerprints")
+    nxt = done.select(F.col("rid").alias("next_rid"), F.col("own").alias("next"))
+    return done.join(nxt.hint("merge"), "next_rid").select("doc_id", F.col("n").cast("long").alias("n_chars"), F.lower(F.hex("sha")).alias("edited_sha256"), "own", "edited", "next")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -52,27 +53,84 @@ def test_rebalancing_moves_only_the_excess(spark):
 # ---------------------------------------------------------------- fingerprints
 
 
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def spark_hash(*values):
+    """xxhash64 of Spark: each value's bytes with the hash so far as the seed; nulls change nothing."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64(v.encode() if isinstance(v, str) else v, seed=h).intdigest()
+    return h
+
+
+def brute_fingerprint(text):
+    lanes, ident = [0] * 128, [0] * 8
+    for par in text.split("\n"):
+        for i in range(4):
+            h = spark_hash(i.to_bytes(4, "little"), par)
+            ident[2 * i], ident[2 * i + 1] = (ident[2 * i] + (h & 0xFFFFFFFF)) % 2**32, (ident[2 * i + 1] + (h >> 32)) % 2**32
+        w = data.SPACE.split(par.strip(" \t\n\x0b\x0c\r"))
+        for s, k in Counter(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2)) if w != [""]).items():
+            h0 = spark_hash(*s)
+            h1 = spark_hash(h0.to_bytes(8, "little"))
+            bits = [(h >> i) & 1 for low in (0, 32) for h in (h0, h1) for i in range(low, low + 32)]
+            lanes = [x + k * (2 * b - 1) for x, b in zip(lanes, bits, strict=True)]
+    return lanes, ident
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = np.array(a[0], float), np.array(b[0], float)
+    norm = math.sqrt(x @ x) * math.sqrt(y @ y)
+    return min(1.0, max(0.0, (x @ y) / norm)) if norm else 0.0
+
+
 def brute_next(rows):
     """Rows in descending id, nulls last; ties by length (the order among equal texts doesn't show)."""
     return sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), len(r[1] or "")))
 
 
-def test_fingerprints(spark, tmp_path, monkeypatch):
-    rows = [r for r in data.ROWS if r[1] != data.BASE or r[0] != 7] + [(5000, "far away\nid", "en", "a"), (-3, "negative id", "en", "a")]
+def test_fingerprints(spark, tmp_path):
+    rows = [r for r in data.ROWS if r[1] != data.BASE or r[0] != 7] + [(5000, "far away\nid", "en", "a"), (-3, "negative id", "en", "a"), (-(2**63), "least id", "en", "a"), (60, "same " * 70_000 + "end", "en", "a")]
     docs = data.documents(spark, tmp_path, rows)
-    for small in (16384, 2):  # neighbours by one task, and by levels
-        monkeypatch.setattr(fingerprint, "SMALL_ROWS", small)
-        got = fingerprint.fingerprints(docs).select("doc_id", "n_chars", "edited_sha256", fingerprint.as_hex(F.col("own")).alias("fp"), fingerprint.likeness(F.col("own"), F.col("edited")).alias("near")).collect()
-        order = brute_next(rows)
-        want = Counter()
-        for i, r in enumerate(order):
-            t, n = r[1] or "", order[(i + 1) % len(order)][1] or ""
-            half = len(t) // 2
-            want[(r[0], len(t), hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest())] += 1
-        assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
-        assert all(0 <= r.near <= 1 for r in got)
-        of = {r.doc_id: r.fp for r in got}
-        assert of[19] == of[20] and of[1] == of[2] and len(set(of.values())) == len({r[1] or "" for r in rows})
+    f = fingerprint.fingerprints(docs)
+    near = [fingerprint.likeness(F.col("own"), F.col(x)).alias(x[0]) for x in ("edited", "next")]
+    got = f.select("doc_id", "n_chars", "edited_sha256", fingerprint.as_hex(F.col("own")).alias("fp"), fingerprint.as_hex(F.col("edited")).alias("efp"), *near).collect()
+    order = brute_next(rows)
+    of = [brute_fingerprint(r[1] or "") for r in order]
+    hexed = lambda fp: "".join(f"{x % 2**32:08x}" for x in [*fp[1], *fp[0]])
+    want = {}
+    for i, r in enumerate(order):
+        t, n = r[1] or "", order[(i + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        e = t[: len(t) - half] + n[:half]
+        edited = brute_fingerprint(e)
+        want[r[0]] = (len(t), hashlib.sha256(e.encode()).hexdigest(), hexed(of[i]), hexed(edited), brute_likeness(of[i], edited), brute_likeness(of[i], of[(i + 1) % len(order)]))
+    assert len(got) == len(rows) == len(want)
+    for r in got:
+        assert (r.n_chars, r.edited_sha256, r.fp, r.efp) == want[r.doc_id][:4]
+        assert abs(r.e - want[r.doc_id][4]) < 1e-9 and abs(r.n - want[r.doc_id][5]) < 1e-9
+    assert want[60][4] > 0.99  # a lane of 70,000 equal shingles doesn't wrap
+
+
+def test_fingerprints_of_ids_that_repeat(spark, tmp_path):
+    """Most rows share an id or have none: each still has its own successor, and all make one round."""
+    rows = [(None if i % 2 else 5, f"text number {i // 4}", "en", "a") for i in range(400)] + [(9, "last", "en", "a")]
+    w = fingerprint.with_next(data.documents(spark, tmp_path, rows)).select("rid", "next_rid").collect()
+    to = {r.rid: r.next_rid for r in w}
+    assert len(to) == len(set(to.values())) == 401
+    at, seen = next(iter(to)), set()
+    while at not in seen:
+        seen.add(at)
+        at = to[at]
+    assert len(seen) == 401
+    one = data.documents(spark, tmp_path, rows[-1:], name="one")
+    r = fingerprint.fingerprints(one).first()
+    assert r.own == r.next and fingerprint.fingerprints(one.limit(0)).count() == 0
 
 
 def test_fingerprint_is_a_sum_over_paragraphs(spark, tmp_path):
@@ -297,7 +355,7 @@ def test_capacity_tree_against_brute_force():
 
 def test_token_output_round_trip(spark, tmp_path, tokenizer):
     docs = data.documents(spark, tmp_path)
-    rows = token_output.packed_matrix(docs, width=64, group_docs=8)
+    rows = token_output.packed_matrix(docs, width=64, group_bytes=8000)
     path = str(tmp_path / "matrix")
     token_output.write_matrix(rows, path)
     pdf = spark.read.parquet(path).toPandas()
