@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parcela.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from parcela.llm.common import table, written
+from parcela.llm.common import columns, table, written
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def remove_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once, and those of small sources again as their weights ask."""
-    return mixing.mix_sources(docs).select(*docs.columns)
+    return mixing.mix_sources(docs).select(*columns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_written, folder_of, table, written
+from .common import columns, drop_written, folder_of, table, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
 SHARD_KEYS = 65536
@@ -266,12 +266,15 @@ def _probe(batches: Iterator[pa.RecordBatch], arrays: Arrays, min_chars: int) ->
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """``docs`` with text reduced to the lines that stay, and n_lines (before), n_dropped."""
-    docs = docs.drop("n_lines", "n_dropped")
+    docs = docs.select(*[c for c, n in zip(columns(docs), docs.columns, strict=True) if n.lower() not in ("n_lines", "n_dropped")])
     folder, shards, units = line_arrays(docs, min_chars, min_docs, shard_keys, batch_bytes)
     arrays = Arrays(folder, shards, units, min_docs)
-    out = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("binary"))
+    kinds, names = {"doc_id": "long", "text": "binary"}, docs.columns
+    plain = [n if n in kinds else f"c{i}" for i, n in enumerate(names)]  # any name may come, but not all may go through a grouped map
+    out = docs.select(*[c.cast(kinds[n]).alias(n) if n in kinds else c.alias(p) for c, n, p in zip(columns(docs), names, plain, strict=True)])
     schema = T.StructType([*out.schema.fields, *T.StructType.fromDDL("n_lines long, n_dropped long").fields])
-    return out.mapInArrow(lambda b: _probe(b, arrays, min_chars), schema).withColumn("text", F.col("text").cast("string"))
+    out = out.mapInArrow(lambda b: _probe(b, arrays, min_chars), schema)
+    return out.select(*[F.col("text").cast("string").alias(n) if n == "text" else F.col(p).alias(n) for n, p in zip(names, plain, strict=True)], "n_lines", "n_dropped")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ blocks; in every epoch its blocks come in another permutation, and the last
 epoch stops at the block with which the source's budget is met. A block's place
 in the stream is its share of the source's budget, so that every stretch of the
 stream holds the sources at their weights. A hot source is spread over its
-blocks and no source's rows meet in one task.
+blocks and no source's rows meet in one task. The table of sources is never
+collected: bisection reads sums of powers of shares from it.
 
 Defined results: null is a source of its own; null or empty texts have no
 tokens; a source without tokens is seen once; repeated rows are placed alike;
@@ -22,16 +23,18 @@ an empty table gives an empty result; a column named like a result is replaced.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import columns, fresh, table, written
 from .tokens import Encoder, tokenizer_path
 
 N_BLOCKS = 1024
+#: Exponents tried in one pass over the table of sources.
+GRID = 31
 MAX_REPETITION = 2.0
 #: Block tables up to this many rows (some 60 bytes each) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -73,21 +76,61 @@ def repetitions(tokens: list[int], exponent: float, budget: float | None = None)
     return [1.0 if r is None else max(least, r * scale) for r in ratio]
 
 
+def _bisect(over: Callable[[list[float]], list[bool]]) -> float:
+    """The smallest exponent in 0..1 that isn't ``over``, which falls as the exponent rises; GRID exponents are tried at a time."""
+    low, high = 0.0, 1.0
+    if not over([low])[0]:
+        return low
+    while high - low > 2.0**-50:
+        tried = [x for x in (low + (high - low) * i / (GRID + 1) for i in range(1, GRID + 1)) if low < x < high]
+        if not tried:
+            break
+        passed = [x for x, o in zip(tried, over(tried), strict=True) if o]
+        low, high = max([low, *passed]), min([high, *(x for x in tried if x not in passed)])
+    return high
+
+
 def bisect_exponent(tokens: list[int], target_entropy: float | None = None, max_repetition: float | None = None, budget: float | None = None) -> float:
     """The smallest exponent that meets the repetition limit, or the one with the target entropy; both fall as it rises."""
     if not any(tokens):
         return 1.0
     if target_entropy is not None:
-        over = lambda a: entropy(weights(tokens, a)) > target_entropy
-    else:
-        over = lambda a: max(repetitions(tokens, a, budget)) > max_repetition
-    low, high = 0.0, 1.0
-    if not over(low):
-        return low
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if over(mid) else (low, mid)
-    return high
+        return _bisect(lambda tried: [entropy(weights(tokens, a)) > target_entropy for a in tried])
+    return _bisect(lambda tried: [max(repetitions(tokens, a, budget)) > max_repetition for a in tried])
+
+
+def epochs_column(sources: DataFrame, target_entropy: float | None, max_repetition: float | None, budget: float | None) -> Column:
+    """Epochs of each row (tokens) of ``sources``, as ``repetitions`` at ``bisect_exponent``; from sums over the table, which is never collected."""
+    t = F.col("tokens").cast("double")
+    total, least, most = sources.filter("tokens > 0").agg(F.sum(t), F.min(t), F.max(t)).first()
+    if not total:
+        return F.lit(1.0)
+
+    def sums(tried: list[float]) -> list[tuple[float, float]]:
+        """Of each exponent: the sum of the powers, and of powers times the logarithm of the share."""
+        share = t / total
+        each = [(F.sum(F.pow(share, F.lit(a))), F.sum(F.pow(share, F.lit(a)) * F.log(share))) for a in tried]
+        row = sources.filter("tokens > 0").agg(*[x for pair in each for x in pair]).first()
+        return list(zip(row[::2], row[1::2], strict=True))
+
+    def ratio(tokens: float, a: float, norm: float) -> float:
+        return (tokens / total) ** a / norm * total / tokens
+
+    def over(tried: list[float]) -> list[bool]:
+        out = []
+        for a, (norm, logs) in zip(tried, sums(tried), strict=True):
+            if target_entropy is not None:
+                out.append(math.log(norm) - a * logs / norm > target_entropy)
+            else:  # the smallest source is repeated most, the largest least
+                scale = budget / total if budget is not None else 1 / ratio(most, a, norm)
+                out.append(ratio(least, a, norm) * scale > max_repetition)
+        return out
+
+    a = _bisect(over)
+    norm = sums([a])[0][0]
+    scale = budget / total if budget is not None else 1 / ratio(most, a, norm)
+    epochs = F.pow(t / total, F.lit(a)) / norm * total / t * scale
+    return F.when(F.col("tokens") > 0, F.greatest(F.lit(1.0 if budget is None else 0.0), epochs)).otherwise(F.lit(1.0))
 
 
 def mix_sources(
@@ -96,30 +139,26 @@ def mix_sources(
     tokenizer: str | None = None,
 ) -> DataFrame:
     """Rows of ``docs``, repeated as the mix asks, with epoch (from 0), block and mix_place (0..1, the place in the stream)."""
-    spark = docs.sparkSession
-    docs = docs.drop(*RESULTS)
+    docs = docs.select(*[c for c, n in zip(columns(docs), docs.columns, strict=True) if n.lower() not in RESULTS])
+    s, b = fresh(docs, "source_key"), fresh(docs, "block_of")
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
     block = F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(text_col, F.lit(seed))).otherwise(F.xxhash64(id_col, F.lit(seed))), F.lit(n_blocks)).cast("int")
-    keyed = docs.withColumn("__s", key).withColumn("__b", block)
-    counted = keyed.select("__s", "__b", n_tokens(F.col(text_col), tokenizer).alias("tokens"))
-    blocks = written(counted.groupBy("__s", "__b").agg(F.sum("tokens").alias("tokens")), "mix_blocks")
-    # one row for each source, the recipe
-    sources = sorted((r[0], r[1]) for r in blocks.groupBy("__s").agg(F.sum("tokens")).collect())
-    tokens = [t for _, t in sources]
-    exponent = bisect_exponent(tokens, target_entropy, max_repetition, budget)
-    epochs = repetitions(tokens, exponent, budget)
-    recipe = spark.createDataFrame([(s, t, e) for (s, t), e in zip(sources, epochs, strict=True)], "__s string, total long, epochs double")
-    order = Window.partitionBy("__s", "epoch").orderBy(F.xxhash64("__s", "__b", "epoch", F.lit(seed)), "__b")
-    placed = blocks.join(recipe, "__s").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil("epochs").cast("int") - 1))))
+    keyed = docs.select(*columns(docs), key.alias(s), block.alias(b))
+    counted = keyed.select(F.col(s).alias("s"), F.col(b).alias("b"), n_tokens(F.col(text_col), tokenizer).alias("tokens"))
+    blocks = written(counted.groupBy("s", "b").agg(F.sum("tokens").alias("tokens")), "mix_blocks")
+    sources = written(blocks.groupBy("s").agg(F.sum("tokens").alias("tokens")), "mix_sources")
+    recipe = sources.select("s", F.col("tokens").alias("total"), epochs_column(sources, target_entropy, max_repetition, budget).alias("epochs"))
+    order = Window.partitionBy("s", "epoch").orderBy(F.xxhash64("s", "b", "epoch", F.lit(seed)), "b")
+    placed = blocks.join(written(recipe, "recipe"), "s").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil("epochs").cast("int") - 1))))
     before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = placed.withColumn("before", before).withColumn("rank", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy("__s", "epoch")))
+    placed = placed.withColumn("before", before).withColumn("rank", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy("s", "epoch")))
     # in the last epoch, blocks up to the one whose middle passes the budget
     placed = placed.filter((F.col("epoch") + 1 <= F.col("epochs")) | (F.col("before") + F.col("tokens") / 2 <= (F.col("epochs") - F.col("epoch")) * F.col("total")))
-    placed = placed.select("__s", "__b", "epoch", F.coalesce(F.try_divide(F.col("epoch") * F.col("total") + F.col("before"), F.col("epochs") * F.col("total")), F.col("rank") / F.col("n")).alias("mix_place"))
-    placed = written(placed, "mix_places")
+    place = F.coalesce(F.try_divide(F.col("epoch") * F.col("total") + F.col("before"), F.col("epochs") * F.col("total")), F.col("rank") / F.col("n"))
+    placed = written(placed.select(F.col("s").alias(s), F.col("b").alias(b), "epoch", place.alias("mix_place")), "mix_places")
     if placed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         placed = F.broadcast(placed)
-    return keyed.join(placed, ["__s", "__b"]).withColumnRenamed("__b", "block").drop("__s")
+    return keyed.join(placed, [s, b]).select(*columns(docs), F.col(b).alias("block"), "epoch", "mix_place")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

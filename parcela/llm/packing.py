@@ -2,7 +2,8 @@
 
 Every document is tokenised whole and ends with an end id. Only documents over
 the capacity are cut, into full pieces and a last shorter one. Pieces are dealt
-at random into groups of about ``group_pieces`` and each group is packed by
+by row number and piece into groups of about ``group_pieces``, the same in every
+retry, and each group is packed by
 vector best-fit: longest piece first, into the open bin that fits in all of
 
 * tokens (``capacity``),
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import stored, table, with_row_ids, written
 from .tokens import END_ID, Encoder, tokenizer_path
 
 CAPACITY, MAX_DOCS, GROUP_PIECES = 4096, 4096, 16384
@@ -41,15 +42,15 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
     encoder = Encoder(path)
     for b in batches:
         rows = []
-        ids = b.column(0).to_pylist()
-        for doc, tokens in zip(ids, encoder.encode(b.column(1).to_pylist()), strict=True):
+        ids = zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)
+        for (doc, rid), tokens in zip(ids, encoder.encode(b.column(1).to_pylist()), strict=True):
             data = np.append(tokens, END_ID).astype("<u4")
             for i, start in enumerate(range(0, len(data), capacity)):
                 part = data[start : start + capacity]
-                rows.append((doc, i, start, len(part), zlib.crc32(part.tobytes())))
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                rows.append((doc, i, start, len(part), zlib.crc32(part.tobytes()), rid))
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        types = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "rid"])
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, max_docs: int = MAX_DOCS, max_cost: int | None = None, by: str = "norm", weights=WEIGHTS) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +92,7 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, max_docs: int = MAX_
 
 
 def _pack_group(pdf: pd.DataFrame, capacity: int, max_docs: int, max_cost: int | None, by: str) -> pd.DataFrame:
-    pdf = pdf.sort_values("rid", ignore_index=True)
+    pdf = pdf.sort_values(["rid", "piece"], ignore_index=True)
     bins, offsets = best_fit(pdf.length.to_numpy(), capacity, max_docs, max_cost, by)
     return pdf.drop(columns=["rid", "grp"]).assign(sequence_id=pdf.grp * 2**32 + bins, offset=offsets)
 
@@ -103,10 +104,11 @@ def pack_documents(
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     path = tokenizer or tokenizer_path()
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    pieces = written(raw.mapInArrow(lambda b: _pieces(b, path, capacity), schema), "pieces")
+    raw = stored(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    raw = with_row_ids(raw, "rid").select("doc_id", "text", "rid")
+    pieces = written(raw.mapInArrow(lambda b: _pieces(b, path, capacity), schema + ", rid long"), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("rid", F.monotonically_increasing_id()).withColumn("grp", F.pmod(F.xxhash64("rid"), F.lit(groups)))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("rid", "piece"), F.lit(groups)))
     return dealt.groupBy("grp").applyInPandas(lambda pdf: _pack_group(pdf, capacity, max_docs, max_cost, by), schema + ", sequence_id long, offset long")
 
 

@@ -1,8 +1,9 @@
 """Packed token ids as binary matrices, with segment lengths and position resets.
 
 Documents are tokenised whole, each with an end id. Overlong ones are split
-losslessly into pieces of the row width. Pieces are dealt into groups and each
-group is packed by best-fit decreasing: a segment tree over the remaining
+losslessly into pieces of the row width. Pieces, not documents, are dealt by row
+number into groups of about ``group_bytes`` of text, so that a text of any
+length is spread; each group is packed by best-fit decreasing: a segment tree over the remaining
 capacities finds the tightest open row in logarithmic time. A row of the result
 is a row of the packed matrix:
 
@@ -21,19 +22,22 @@ are not read.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table, with_row_ids
 from .tokens import END_ID, Encoder, tokenizer_path
 
-WIDTH, PAD_ID, DTYPE, GROUP_DOCS = 4096, 0, "<u2", 4096
+#: Bytes of text that a group stands for; its ids take no more than twice that, mostly half.
+GROUP_BYTES = 16 << 20
+WIDTH, PAD_ID, DTYPE = 4096, 0, "<u2"
 SCHEMA = "row_id long, n_tokens int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, position_resets array<int>, input_ids binary"
 
 
@@ -88,27 +92,28 @@ def best_fit_decreasing(lengths: list[int], width: int) -> list[list[int]]:
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch], path: str, width: int, dtype: str, groups: int) -> Iterator[pa.RecordBatch]:
-    encoder, count, part = Encoder(path), 0, TaskContext.get().partitionId()
+    encoder = Encoder(path)
     for b in batches:
-        grp, docs, pieces, data = [], [], [], []
-        for doc, tokens in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
-            ids = np.append(tokens, END_ID)
-            if ids.max() > np.iinfo(dtype).max:
+        grp, docs, pieces, data, rids = [], [], [], [], []
+        ids = zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)
+        for (doc, rid), tokens in zip(ids, encoder.encode(b.column(1).to_pylist()), strict=True):
+            whole = np.append(tokens, END_ID)
+            if whole.max() > np.iinfo(dtype).max:
                 raise ValueError(f"ids do not fit {dtype}")
-            for i, start in enumerate(range(0, len(ids), width)):
-                grp.append((part * 0x9E3779B1 + count * 0x85EBCA77) % 0x7FFFFFFF % groups)  # the same place on every retry
+            for i, start in enumerate(range(0, len(whole), width)):
+                # by row number and piece: the same group on every retry, whatever order rows come in
+                grp.append(xxhash.xxh64_intdigest(struct.pack("<qi", rid, i)) % groups)
                 docs.append(doc)
                 pieces.append(i)
-                data.append(ids[start : start + width].astype(dtype).tobytes())
-                count += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(grp, pa.int64()), pa.array(docs, pa.int64()), pa.array(pieces, pa.int32()), pa.array(data, pa.binary())], ["grp", "doc_id", "piece", "ids"]
-        )
+                rids.append(rid)
+                data.append(whole[start : start + width].astype(dtype).tobytes())
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((grp, docs, pieces, data, rids), types, strict=True)], ["grp", "doc_id", "piece", "ids", "rid"])
 
 
 def _assemble(pdf: pd.DataFrame, width: int, dtype: str) -> pd.DataFrame:
     size = np.dtype(dtype).itemsize
-    pdf = pdf.sort_values(["doc_id", "piece", "ids"], ignore_index=True)
+    pdf = pdf.sort_values(["rid", "piece"], ignore_index=True)
     doc_ids = [None if x is None or x != x else int(x) for x in pdf.doc_id]
     lengths = [len(x) // size for x in pdf.ids]
     out = []
@@ -120,12 +125,15 @@ def _assemble(pdf: pd.DataFrame, width: int, dtype: str) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def packed_matrix(docs: DataFrame, tokenizer: str | None = None, width: int = WIDTH, dtype: str = DTYPE, group_docs: int = GROUP_DOCS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def packed_matrix(docs: DataFrame, tokenizer: str | None = None, width: int = WIDTH, dtype: str = DTYPE, group_bytes: int = GROUP_BYTES, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Rows of the matrix (SCHEMA)."""
     path = tokenizer or tokenizer_path()
-    groups = max(1, -(-docs.count() // group_docs))
-
-    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    tokens = raw.mapInArrow(lambda b: _tokenised(b, path, width, dtype, groups), "grp long, doc_id long, piece int, ids binary")
+    docs = stored(docs)
+    # a text has no more tokens than bytes, and its end id
+    size = docs.agg(F.sum(F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1)).first()[0] or 0
+    groups = max(1, -(-size // group_bytes))
+    raw = with_row_ids(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")), "rid").select("doc_id", "text", "rid")
+    tokens = raw.mapInArrow(lambda b: _tokenised(b, path, width, dtype, groups), "grp long, doc_id long, piece int, ids binary, rid long")
     return tokens.groupBy("grp").applyInPandas(lambda pdf: _assemble(pdf, width, dtype), SCHEMA)
 
 

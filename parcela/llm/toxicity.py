@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import columns, table
 from .near_dedup import Shingler
 
 MAX_POSITIVE, MAX_NEGATIVE = 2000, 4000
@@ -323,9 +323,11 @@ def with_scores(docs: DataFrame, model: Model | float) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't rejected, with all their columns."""
-    cols = docs.columns
-    scored = with_scores(docs.withColumnsRenamed({c: f"__{c}" for c in ("score", "rejected") if c in cols}), fit(docs, labels)).filter(~F.col("rejected"))
-    return scored.drop("score", "rejected").withColumnsRenamed({f"__{c}": c for c in ("score", "rejected") if c in cols}).select(*cols)
+    names = docs.columns
+    hidden = {c: f"c{i}" for i, c in enumerate(names) if c not in ("doc_id", "lang", "text")}
+    model = fit(docs, labels)
+    scored = with_scores(docs.select(*[c.alias(hidden.get(n, n)) for c, n in zip(columns(docs), names, strict=True)]), model)
+    return scored.filter(~F.col("rejected")).select(*[F.col(hidden.get(n, n)).alias(n) for n in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

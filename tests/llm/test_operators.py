@@ -253,6 +253,42 @@ def test_epochs_never_under_one_without_a_budget():
         assert min(mixing.repetitions(t, mixing.bisect_exponent(t, max_repetition=2.0))) >= 1
 
 
+def brute_mix(rows, tokens, n_blocks, **target):
+    """Every row of the mix, from the definition: (doc_id, source, epoch, block, mix_place rounded)."""
+    i4 = lambda x: x.to_bytes(4, "little", signed=True)
+    at, sizes = [], defaultdict(int)
+    for (i, t, _, s), n in zip(rows, tokens, strict=True):
+        h = spark_hash(t, i4(0)) if i is None else spark_hash(i.to_bytes(8, "little", signed=True), i4(0))
+        at.append(("n" if s is None else "s" + s, signed(h) % n_blocks))
+        sizes[at[-1]] += n
+    total = defaultdict(int)
+    for (s, _), n in sizes.items():
+        total[s] += n
+    names = sorted(total)
+    epochs = dict(zip(names, mixing.repetitions([total[s] for s in names], mixing.bisect_exponent([total[s] for s in names], **target), target.get("budget")), strict=True))
+    places = defaultdict(list)
+    for s in names:
+        mine = [b for x, b in sizes if x == s]
+        for e in range(max(1, math.ceil(epochs[s]))):
+            before = 0
+            order = sorted(mine, key=lambda b: (signed(spark_hash(s, i4(b), i4(e), i4(0))), b))
+            for rank, b in enumerate(order):
+                n = sizes[s, b]
+                if e + 1 <= epochs[s] or before + n / 2 <= (epochs[s] - e) * total[s]:
+                    places[s, b].append((e, (e * total[s] + before) / (epochs[s] * total[s]) if total[s] else rank / len(order)))
+                before += n
+    return Counter((r[0], r[3], e, k[1], round(p, 9)) for r, k in zip(rows, at, strict=True) for e, p in places[k])
+
+
+@pytest.mark.parametrize("target", [{"max_repetition": 2.0}, {"max_repetition": 3.5}, {"target_entropy": 1.2}, {"max_repetition": 4.0, "budget": 9000.0}])
+def test_mixing_against_brute_force(spark, tmp_path, tokenizer, target):
+    rng = np.random.default_rng(8)
+    rows = data.ROWS + [(1000 + i, "some words of a text " * int(rng.integers(0, 6)), "en", ["a", "b", "c", "d", None, ""][int(rng.integers(6)) if i % 3 else 0]) for i in range(300)]
+    tokens_of = [len(tokenizer.encode(t or "", add_special_tokens=False).ids) for _, t, _, _ in rows]
+    got = mixing.mix_sources(data.documents(spark, tmp_path, rows), n_blocks=16, **{"max_repetition": None} | target).select("doc_id", "source", "epoch", "block", "mix_place").collect()
+    assert Counter((r.doc_id, r.source, r.epoch, r.block, round(r.mix_place, 9)) for r in got) == brute_mix(rows, tokens_of, 16, **target)
+
+
 def test_mixing_hostile_rows(spark, tmp_path):
     docs = data.documents(spark, tmp_path)
     got = mixing.mix_sources(docs).toPandas()
