@@ -9,8 +9,8 @@ costs a few gathers a word and reads texts of any length whole.
 
 Training reads labels only where ``crc32(doc_id as text) mod 5`` is not 0, and
 of these a sample by hash, of at most ``MAX_POSITIVE`` toxic and
-``MAX_NEGATIVE`` other documents; that bound is what keeps the model in the
-driver's memory. A fifth of the labelled documents, by another hash, is never in
+``MAX_NEGATIVE`` other documents of at most ``MAX_FIT_BYTES``; these bounds are
+what keeps the fit in the driver's memory. A fifth of the labelled documents, by another hash, is never in
 the sample. All labelled documents outside it, however many, are scored where
 they lie and counted in a histogram for each language, of which the driver reads
 at most a row for each language and bin; a language's threshold is the one with
@@ -43,6 +43,8 @@ from .common import columns, table
 from .near_dedup import Shingler
 
 MAX_POSITIVE, MAX_NEGATIVE = 2000, 4000
+#: Labelled documents of more bytes are not in the fit sample, so that its words fit the driver (6,000 x some 80 KB); like all others they calibrate and are scored whole.
+MAX_FIT_BYTES = 100_000
 BUCKET_BITS, MIN_DOCS = 20, 4
 DIM, WIDTHS, FILTERS = 8, (1, 2, 3), 8
 BATCH, RATE = 64, 0.01
@@ -162,6 +164,28 @@ def _evidence(docs: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.nda
     return seen, (np.log(a / (n1 + 1)) - np.log(b / (n0 + 1))) / np.sqrt(1 / a + 1 / b)
 
 
+def loss_gradients(model: Model, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Of the weighted mean logistic loss, in the order of ``params_of``; the embedding of unknown words is fixed at 0."""
+    e, out = model.embedding, model.out
+    x, flat, places = model.pooled(rows, argmax=True)
+    act = np.maximum(x, 0)
+    p = 1 / (1 + np.exp(-np.clip(act @ out + model.out_bias, -30, 30)))
+    g = ((p - y) * weight / len(rows)).astype(e.dtype)
+    gx = (g[:, None] * out) * (x > 0)
+    ge, gf, gb = np.zeros_like(e), [], []
+    for w, width in enumerate(WIDTHS):
+        part = gx[:, w * FILTERS : (w + 1) * FILTERS]
+        grad = np.zeros_like(model.filters[w])
+        for k in range(width):
+            r = flat[np.minimum(places[w] + k, len(flat) - 1)]  # documents x filters
+            grad[k] = np.einsum("nfd,nf->df", e[r], part)
+            np.add.at(ge, r.ravel(), (part[:, :, None] * model.filters[w][k].T[None]).reshape(-1, DIM))
+        gf.append(grad)
+        gb.append(part.sum(0))
+    ge[0] = 0
+    return [ge, *gf, *gb, act.T @ g, np.array([g.sum()], e.dtype)]
+
+
 def train(docs: list[np.ndarray], y: np.ndarray, seed: int = 3, steps: int = STEPS) -> Model:
     """Fits the model; one embedding dimension starts from the evidence of each bucket, all else at random."""
     rng = np.random.default_rng(seed)
@@ -177,7 +201,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, seed: int = 3, steps: int = STE
     bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
     out = np.full(FILTERS * len(WIDTHS), 0.2, np.float32)
     out_bias = np.full(1, -1.0, np.float32)
-    model = Model(lookup, e, filters, bias, out, 0.0)
+    model = Model(lookup, e, filters, bias, out, float(out_bias[0]))
     rows = [lookup[d] for d in docs]
     params = [e, *filters, *bias, out, out_bias]
     adam = _Adam(params)
@@ -187,23 +211,9 @@ def train(docs: list[np.ndarray], y: np.ndarray, seed: int = 3, steps: int = STE
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), BATCH):
             batch = order[at : at + BATCH]
-            x, flat, places = model.pooled([rows[i] for i in batch], argmax=True)
-            act = np.maximum(x, 0)
-            p = 1 / (1 + np.exp(-np.clip(act @ out + out_bias, -30, 30)))
-            g = ((p - y[batch]) * weight[batch] / len(batch)).astype(np.float32)
-            gx = (g[:, None] * out) * (x > 0)
-            ge, gf, gb = np.zeros_like(e), [], []
-            for w, width in enumerate(WIDTHS):
-                part = gx[:, w * FILTERS : (w + 1) * FILTERS]
-                grad = np.zeros_like(filters[w])
-                for k in range(width):
-                    r = flat[np.minimum(places[w] + k, len(flat) - 1)]  # documents x filters
-                    grad[k] = np.einsum("nfd,nf->df", e[r], part)
-                    np.add.at(ge, r.ravel(), (part[:, :, None] * filters[w][k].T[None]).reshape(-1, DIM))
-                gf.append(grad)
-                gb.append(part.sum(0))
-            ge[0] = 0
-            adam.step(params, [ge, *gf, *gb, act.T @ g + 1e-4 * out, np.array([g.sum()], np.float32)], RATE / (1 + EPOCHS * epoch / epochs))
+            grads = loss_gradients(model, [rows[i] for i in batch], y[batch], weight[batch])
+            grads[-2] = grads[-2] + 1e-4 * out
+            adam.step(params, grads, RATE / (1 + EPOCHS * epoch / epochs))
             model.out_bias = float(out_bias[0])
     return model
 
@@ -270,6 +280,8 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 3) -> Model | float:
     if not 0 < n1 < n:
         return n1 / n if n else 0.0
     usable = known.filter(trained) if 0 < m1 < m else known
+    long = docs.filter(F.octet_length("text") > MAX_FIT_BYTES).select("doc_id")
+    usable = usable.join(long, "doc_id", "left_anti")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = usable.filter("toxic = 1").orderBy(*order).limit(MAX_POSITIVE).unionByName(usable.filter("toxic = 0").orderBy(*order).limit(MAX_NEGATIVE))
     # at most MAX_POSITIVE + MAX_NEGATIVE ids

@@ -5,9 +5,10 @@ all pages to suffix, registered domain and host, each level's rates are drawn
 from a beta prior whose mean is the posterior mean one level up (without the
 unit's own outcomes) and whose strength is fitted to the level's own
 over-dispersion by moments (at least the weight of one page). A host is blocked
-when the lower posterior bound (normal approximation, ``z`` standard
-deviations) of its bad rate is over ``threshold``: few or mixed outcomes never
-block.
+when the lower posterior bound of its bad rate, the ``tail`` quantile of its
+beta posterior, is over ``threshold``: few or mixed outcomes never block. The
+quantile is read off the density of the log odds, on a grid of ``2 * GRID + 1``
+points as wide as that posterior.
 
 Suffix means the last label of the host, or the last two where they are in
 ``suffixes`` (a bounded table of public suffixes); the registered domain has one
@@ -22,6 +23,8 @@ gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +32,9 @@ from .common import ascii_lower, table, written
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-THRESHOLD, Z = 0.5, 1.645
+THRESHOLD, TAIL = 0.5, 0.05
+#: Points on either side of the middle of the grid, STEPS of them a scale of the posterior.
+GRID, STEPS = 1536, 128
 #: Public suffixes of two labels: registries under which owners register the third.
 SUFFIXES = tuple(
     f"{second}.{country}"
@@ -88,8 +93,26 @@ def domain_and_suffix(host: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
     return F.when(long, F.substring_index(name, ".", -3)).otherwise(two), F.when(long, two).otherwise(F.substring_index(name, ".", -1))
 
 
-def host_reputation(pages: DataFrame, z: float = Z, suffixes=SUFFIXES) -> DataFrame:
-    """From rows (host, bad; bad is null where unlabelled): host, n, bad, rate (posterior mean), bound."""
+def beta_quantile(a: np.ndarray, b: np.ndarray, tail: float) -> np.ndarray:
+    """Lower ``tail`` quantile of each beta distribution."""
+    u = np.arange(-GRID, GRID + 1) / STEPS
+    out = np.empty(len(a))
+    for i in range(0, len(a), 256):
+        x, y = a[i : i + 256, None], b[i : i + 256, None]
+        t = np.log(x / y) + np.sqrt(1 / x + 1 / x**2 + 1 / y + 1 / y**2) * u
+        density = x * t - (x + y) * np.logaddexp(0, t)
+        mass = np.cumsum(np.exp(density - density.max(1, keepdims=True)), 1)
+        share = mass / mass[:, -1:]
+        k = (share < tail).sum(1, keepdims=True)
+        at, before = (np.take_along_axis(share, np.maximum(k - j, 0), 1) for j in (0, 1))
+        before = np.where(k > 0, before, 0)
+        odds = np.take_along_axis(t, k, 1) - (at - tail) / (at - before) * (t[:, 1:2] - t[:, :1])
+        out[i : i + 256] = (1 / (1 + np.exp(-odds)))[:, 0]
+    return out
+
+
+def host_reputation(pages: DataFrame, tail: float = TAIL, suffixes=SUFFIXES) -> DataFrame:
+    """From rows (host, bad; bad is null where unlabelled): host, n, bad, rate (posterior mean), bound (its lower quantile)."""
     hosts = pages.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     domain, suffix = domain_and_suffix(F.col("host"), suffixes)
     hosts = written(hosts.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")
@@ -100,20 +123,26 @@ def host_reputation(pages: DataFrame, z: float = Z, suffixes=SUFFIXES) -> DataFr
     hosts = _priors(hosts.drop("suffix"), domains, "domain")
     s = _strength(hosts)
     rate = (s * F.col("prior") + F.col("bad")) / (s + F.col("n"))
-    return hosts.select("host", "n", "bad", rate.alias("rate"), (rate - z * F.sqrt(rate * (1 - rate) / (s + F.col("n") + 1))).alias("bound"))
+
+    @F.pandas_udf("double")
+    def quantile(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(beta_quantile(a.to_numpy(float), b.to_numpy(float), tail))
+
+    hosts = hosts.select("host", "n", "bad", rate.alias("rate"))
+    return hosts.withColumn("bound", quantile(F.col("rate") * (s + F.col("n")), (1 - F.col("rate")) * (s + F.col("n"))))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = THRESHOLD, z: float = Z, suffixes=SUFFIXES) -> DataFrame:
-    """page_id, host, path, rule, verdict. ``outcomes``: (page_id, bad), at most one row for each page."""
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = THRESHOLD, tail: float = TAIL, suffixes=SUFFIXES) -> DataFrame:
+    """page_id, host, path, rule, verdict, and the host's n (labelled pages), rate and bound. ``outcomes``: (page_id, bad), at most one row for each page."""
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labelled = parsed.select("page_id", "host").join(outcomes.select("page_id", "bad"), "page_id", "left")
-    blocked = written(host_reputation(labelled, z, suffixes).filter(F.col("bound") > threshold).select("host", F.lit("block").alias("by_host")), "blocked")
-    if blocked.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        blocked = F.broadcast(blocked)
+    known = written(host_reputation(labelled, tail, suffixes).drop("bad"), "reputation")
+    known = F.broadcast(known) if known.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else known.hint("merge")
     host, path = F.col("host"), F.col("path")
     ruled = rule_column(host, path, rules, lambda h, p, v: v)
-    return parsed.join(blocked, "host", "left").select(
-        "page_id", "host", "path", rule_column(host, path, rules).alias("rule"), F.coalesce(ruled, "by_host", F.lit("allow")).alias("verdict")
+    by_host = F.when(F.col("bound") > threshold, "block").otherwise("allow")
+    return parsed.join(known, "host", "left").select(
+        "page_id", "host", "path", rule_column(host, path, rules).alias("rule"), F.coalesce(ruled, by_host).alias("verdict"), "n", "rate", "bound"
     )
 
 
@@ -127,7 +156,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
     shown = pages.select("page_id", F.regexp_extract(path_of(F.col("url")), DOCUMENT, 1).alias("d")).filter("d <> ''")
     outcomes = shown.select("page_id", F.col("d").cast("long").alias("doc_id")).join(labels, "doc_id")
-    return filter_urls(pages, outcomes.groupBy("page_id").agg(F.max("bad").alias("bad")))
+    judged = filter_urls(pages, outcomes.groupBy("page_id").agg(F.max("bad").alias("bad")))
+    return judged.withColumns({c: F.round(c, 6) for c in ("rate", "bound")})
 
 
 SQL = r"""
@@ -145,13 +175,18 @@ d1 AS (SELECT domain, d0.n, d0.bad, (s * prior + s0.bad - d0.bad) / (s + s0.n -
 k1 AS (SELECT 1 / least(greatest(coalesce((sum(n * (bad / n - prior) ** 2) - sum(prior * (1 - prior))) / nullif(sum(prior * (1 - prior) * (n - 1)), 0), 0), 1e-4), 0.5) - 1 AS s FROM d1 WHERE n > 0),
 h1 AS (SELECT host, h.n, h.bad, (s * prior + d1.bad - h.bad) / (s + d1.n - h.n) AS prior FROM h JOIN d1 USING (domain), k1),
 k2 AS (SELECT 1 / least(greatest(coalesce((sum(n * (bad / n - prior) ** 2) - sum(prior * (1 - prior))) / nullif(sum(prior * (1 - prior) * (n - 1)), 0), 0), 1e-4), 0.5) - 1 AS s FROM h1 WHERE n > 0),
-h2 AS (SELECT host, (s * prior + bad) / (s + n) AS rate, s + n + 1 AS w FROM h1, k2),
-b AS (SELECT host FROM h2 WHERE rate - 1.645 * sqrt(rate * (1 - rate) / w) > 0.5),
+h2 AS (SELECT host, n, (s * prior + bad) / (s + n) AS rate, s * prior + bad AS a, (s + n) - (s * prior + bad) AS b FROM h1, k2),
+g0 AS (SELECT host, a, b, i, ln(a / b) + sqrt(1 / a + 1 / a ** 2 + 1 / b + 1 / b ** 2) * i / 128 AS t, sqrt(1 / a + 1 / a ** 2 + 1 / b + 1 / b ** 2) / 128 AS dt FROM h2, (SELECT unnest(range(-1536, 1537)) AS i)),
+g1 AS (SELECT *, a * t - (a + b) * (greatest(t, 0) + ln(1 + exp(-abs(t)))) AS f FROM g0),
+g2 AS (SELECT *, exp(f - max(f) OVER (PARTITION BY host)) AS m FROM g1),
+g3 AS (SELECT *, sum(m) OVER (PARTITION BY host ORDER BY i) / sum(m) OVER (PARTITION BY host) AS share FROM g2),
+g4 AS (SELECT *, lag(share, 1, 0) OVER (PARTITION BY host ORDER BY i) AS below FROM g3),
+b AS (SELECT host, 1 / (1 + exp(-(t - (share - 0.05) / (share - below) * dt))) AS bound FROM g4 WHERE share >= 0.05 AND below < 0.05),
 r AS (SELECT p.*, CASE
   WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
   WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
   WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
   WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-  WHEN host IN (SELECT host FROM b) THEN 'block' ELSE 'allow' END AS verdict FROM r
+  WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict, n, round(rate, 6) AS rate, round(bound, 6) AS bound FROM r JOIN h2 USING (host) JOIN b USING (host)
 """

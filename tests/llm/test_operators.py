@@ -36,6 +36,31 @@ def test_sharding(spark, tmp_path):
     assert {r.vslot: r.shard for r in slot_map.collect()} == want_map
 
 
+def test_sharding_law_and_stored_map(spark, tmp_path):
+    """Bytes near equal though a third of the rows has no id and one text; rows lie where the stored map says; versions follow each other."""
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 3 == 0 else i if i % 3 == 1 else 7, "the same text" if i % 3 == 0 else "x" * int(rng.integers(0, 400)), "en", "a") for i in range(6000)]
+    docs, folder = data.documents(spark, tmp_path, rows), str(tmp_path / "map")
+    placed, slot_map = sharding.shard_documents(docs, 5, 512, map_folder=folder)
+    where = {r.vslot: r.shard for r in slot_map.collect()}
+    got = placed.select("doc_id", "size", "vslot", "shard", "slot").collect()
+    assert all(where[r.vslot] == r.shard for r in got) and len(got) == 6000
+    sums = Counter()
+    for r in got:
+        sums[r.shard] += r["size"]
+    assert set(sums) == set(range(5)) and max(sums.values()) < 1.02 * min(sums.values())
+    assert Counter(r.shard for r in got) == Counter({s: max(r.slot for r in got if r.shard == s) + 1 for s in range(5)})
+    again = sharding.shard_documents(docs, 5, 512, map_folder=folder)[1]
+    assert {r.vslot: r.shard for r in again.collect()} == where and again.first().version == 1
+    grown, new = sharding.shard_documents(docs, 6, 512, map_folder=folder)
+    to = {r.vslot: r.shard for r in new.collect()}
+    assert new.first().version == 2 and {r.vslot: r.shard for r in sharding.load_map(spark, folder, 1).collect()} == where
+    moved = sum(r.bytes for r in new.collect() if where[r.vslot] != r.shard)
+    assert abs(moved / sum(sums.values()) - 1 / 6) < 0.02  # the least that fills a sixth shard
+    assert all(to[r.vslot] == r.shard for r in grown.select("vslot", "shard").collect())
+    assert sharding.load_map(spark, folder, 9) is None and sharding.shard_documents(docs.limit(0), 5)[0].count() == 0
+
+
 def test_rebalancing_moves_only_the_excess(spark):
     loads = spark.createDataFrame([(s, 100 + s % 7, 1) for s in range(200)], "vslot int, bytes long, n long")
     old = sharding.build_map(loads, 4)
@@ -183,6 +208,26 @@ def test_url_reputation(spark):
     assert url_filter.filter_urls(pages.limit(0), outcomes).count() == 0
 
 
+def test_beta_quantile():
+    """Against the share of the density under it, by fine sums, and draws."""
+    rng = np.random.default_rng(1)
+    for a, b in ((0.3, 0.4), (1, 1), (2, 30), (500, 20), (40000, 60000), (0.05, 3)):
+        q = url_filter.beta_quantile(np.array([a]), np.array([b]), 0.05)[0]
+        assert abs((rng.beta(a, b, 400_000) < q).mean() - 0.05) < 0.002
+    assert abs(url_filter.beta_quantile(np.array([1.0]), np.array([1.0]), 0.05)[0] - 0.05) < 1e-3
+
+
+def test_url_hostile_rows(spark):
+    """Empty and very long urls, null hosts beside labelled ones; reputation alone blocks."""
+    rows = [(1, ""), (2, "http://" + "a" * 100_000 + "/x"), (3, "http://bad.com/" + "p" * 1_000_000), (4, None), (5, "http:///nohost"), (6, "://"), (7, "http://a:80:90/")]
+    rows += [(10 + i, f"http://bad.com/{i}") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    outcomes = spark.createDataFrame([(10 + i, 1) for i in range(30)] + [(4, 0), (999, 1)], "page_id long, bad int")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, outcomes).collect()}
+    assert len(got) == len(rows) and got[3].verdict == got[10].verdict == "block" and got[3].rule is None and got[3].n == 30 and 0.5 < got[3].bound < got[3].rate < 1
+    assert all(got[i].verdict == "allow" and got[i].host == "" for i in (1, 4, 5, 6)) and got[7].host == "a:80:90" and len(got[2].host) == 100_000
+
+
 def test_url_registered_domains(spark):
     want = {
         "a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk:8080": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.com:443": ("x.com", "com"), "m.x.com": ("x.com", "com"),
@@ -519,6 +564,47 @@ def test_thresholds():
     assert toxicity.best_threshold(np.array([0.1, 0.2]), np.array([0, 0])) == 0.5
 
 
+def test_gradients_against_differences():
+    rng = np.random.default_rng(1)
+    k = len(toxicity.WIDTHS)
+    m = toxicity.Model(np.arange(20, dtype=np.int32), rng.normal(size=(20, toxicity.DIM)), [rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS], [rng.normal(size=toxicity.FILTERS) for _ in range(k)], rng.normal(size=toxicity.FILTERS * k), 0.1)
+    m.embedding[0] = 0
+    rows = [rng.integers(0, 20, n) for n in (0, 1, 2, 5, 30)]
+    y, weight = np.array([0.0, 1, 0, 1, 1]), np.array([1.0, 2, 1, 2, 0.5])
+
+    def loss():
+        z = np.maximum(m.pooled(rows), 0) @ m.out + m.out_bias
+        return float((weight * (np.logaddexp(0, z) - y * z)).mean())
+
+    grads = toxicity.loss_gradients(m, rows, y, weight)
+    for param, grad in zip([m.embedding, *m.filters, *m.bias, m.out], grads[:-1], strict=True):
+        for i in rng.choice(param.size, 12):
+            if param is m.embedding and i < toxicity.DIM:
+                continue
+            at, h = np.unravel_index(i, param.shape), 1e-6
+            was = param[at]
+            param[at] = was + h
+            up = loss()
+            param[at] = was - h
+            down = loss()
+            param[at] = was
+            assert abs((up - down) / (2 * h) - grad[at]) < 1e-5
+    m.out_bias += 1e-6
+    up = loss()
+    m.out_bias -= 2e-6
+    assert abs((up - loss()) / 2e-6 - grads[-1][0]) < 1e-5
+
+
+def test_long_texts_are_scored_whole_and_not_fitted(spark, tmp_path):
+    rows, labels = toxic_corpus(400)
+    filler = " ".join(f"w{i % 3000}" for i in range(230_000))
+    rows += [(1000, filler + " vile scum", "en", "a"), (1001, filler, "en", "a"), (1002, "w1 " * 400_000 + "stupid scum", "de", "a")]
+    docs = data.documents(spark, tmp_path, rows)
+    model = toxicity.fit(docs, spark.createDataFrame(labels + [(i, 1, 1) for i in (1000, 1001, 1002)], "doc_id long, quality int, toxic int"))
+    s = {r.doc_id: r.score for r in toxicity.with_scores(docs.drop("score"), model).filter("doc_id >= 1000").select("doc_id", "score").collect()}
+    assert s[1000] > s[1001] and s[1002] > 0.5
+
+
 def test_convolution_against_plain_loops():
     rng = np.random.default_rng(0)
     m = toxicity.Model(np.arange(50, dtype=np.int32), rng.normal(size=(50, toxicity.DIM)), [rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS], [rng.normal(size=toxicity.FILTERS) for _ in toxicity.WIDTHS], rng.normal(size=toxicity.FILTERS * len(toxicity.WIDTHS)), 0.1)
