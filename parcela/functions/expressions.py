@@ -12,13 +12,13 @@ def set_all(array: str | Column, value) -> Column:
 
 
 def random_order(seed: int, *keys: str) -> Column:
-    """A reproducible uniform draw for each key, the same however the rows are partitioned."""
-    return F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
+    """A reproducible draw for each key, the same however the rows are partitioned and in any engine: a digest to sort by."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
 
 
 def random_element(table: DataFrame, groups: list[str], key: str, seed: int, n: int = 1) -> DataFrame:
-    """n rows of each group, drawn without replacement."""
-    w = Window.partitionBy(*groups).orderBy(random_order(seed, *groups, key), key)
+    """n rows of each group, drawn without replacement, with ``draw`` from 1."""
+    w = Window.partitionBy(*groups).orderBy(random_order(seed, key), key)
     return table.withColumn("draw", F.row_number().over(w)).filter(F.col("draw") <= n)
 
 

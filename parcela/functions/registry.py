@@ -43,6 +43,26 @@ def partisan_margins(votes: DataFrame, election: str, first: str, second: str) -
     return observable
 
 
+def performance(votes: DataFrame, weights: DataFrame, candidate: str, target: int) -> EnergyTable:
+    """The performance score of a plan, as one row each with district 0: votes(node, election, stage, candidate, votes), weights(election, weight)."""
+
+    def energy(graph: Graph, plans: DataFrame) -> DataFrame:
+        margins = O.performance_margins(O.vote_sums(votes, plans), candidate)
+        return O.performance_score(margins, target, weights).select("plan_id", F.lit(0).alias("district"), F.col("score").alias("value"))
+
+    return energy
+
+
+def performance_to_target(votes: DataFrame, weights: DataFrame, candidate: str, minority: str | list[str], total_pop: str, districts: int) -> EnergyTable:
+    """As ``performance``, with the minority's share of the population as a whole number of districts for the target."""
+
+    def energy(graph: Graph, plans: DataFrame) -> DataFrame:
+        target = O.performance_target(graph.nodes, minority, total_pop, districts).first()[0]
+        return performance(votes, weights, candidate, int(target))(graph, plans)
+
+    return energy
+
+
 class Measure:
     """Weighted energies; one of weight 0 is not kept."""
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcela.sources.shared import written
+
 from .nodesets import shared_units
 from .observables import district_sums
 
@@ -18,15 +20,16 @@ from .observables import district_sums
 class Population:
     low: float
     high: float
+    population: str = "pop"
 
     @classmethod
-    def around(cls, total: float, districts: int, tolerance: float, ideal: float | None = None) -> Population:
+    def around(cls, total: float, districts: int, tolerance: float, ideal: float | None = None, population: str = "pop") -> Population:
         ideal = total / districts if ideal is None else ideal
-        return cls(math.ceil((1 - tolerance) * ideal), math.floor((1 + tolerance) * ideal))
+        return cls(math.ceil((1 - tolerance) * ideal), math.floor((1 + tolerance) * ideal), population)
 
     def check(self, nodes: DataFrame, plans: DataFrame) -> DataFrame:
-        pops = district_sums(nodes, plans, "pop")
-        return pops.groupBy("plan_id").agg(F.bool_and(F.col("pop").between(self.low, self.high)).alias("ok"))
+        pops = district_sums(nodes, plans, self.population)
+        return pops.groupBy("plan_id").agg(F.bool_and(F.col(self.population).between(self.low, self.high)).alias("ok"))
 
 
 @dataclass(frozen=True)
@@ -36,9 +39,10 @@ class PackNodes:
     unit: str
     ideal: float
     unpack: int = 0
+    population: str = "pop"
 
     def targets(self, nodes: DataFrame) -> DataFrame:
-        t = nodes.groupBy(self.unit).agg((F.floor(F.sum("pop") / self.ideal) - self.unpack).alias("target"))
+        t = nodes.groupBy(self.unit).agg((F.floor(F.sum(self.population) / self.ideal) - self.unpack).alias("target"))
         return t.filter("target > 0")
 
     def check(self, nodes: DataFrame, plans: DataFrame) -> DataFrame:
@@ -84,9 +88,10 @@ class AllowedExcess:
     unit: str
     ideal: float
     excess: int = 0
+    population: str = "pop"
 
     def check(self, nodes: DataFrame, plans: DataFrame) -> DataFrame:
-        j = plans.join(nodes.select(F.col("id").alias("node"), self.unit, "pop"), "node")
+        j = plans.join(nodes.select(F.col("id").alias("node"), self.unit, F.col(self.population).alias("pop")), "node")
         u = j.groupBy("plan_id", self.unit).agg(F.sum("pop").alias("pop"), F.count_distinct("district").alias("k"))
         most = F.when(F.col("pop") < self.ideal, self.excess + 2).otherwise(F.ceil(F.col("pop") / self.ideal) + self.excess)
         return u.groupBy("plan_id").agg(F.bool_and(F.col("k") <= most).alias("ok"))
@@ -107,10 +112,10 @@ class ContiguousTraversals:
         return per.groupBy("plan_id").agg(F.bool_and(F.col("k") <= 1).alias("ok"))
 
 
-def intersection_matrix(nodes: DataFrame, initial: DataFrame, plans: DataFrame) -> DataFrame:
+def intersection_matrix(nodes: DataFrame, initial: DataFrame, plans: DataFrame, population: str = "pop") -> DataFrame:
     """plan_id, d0 (initial district), d1, pop."""
     first = initial.select("node", F.col("district").alias("d0"))
-    pops = nodes.select(F.col("id").alias("node"), "pop")
+    pops = nodes.select(F.col("id").alias("node"), F.col(population).alias("pop"))
     return plans.join(first, "node").join(pops, "node").groupBy("plan_id", "d0", F.col("district").alias("d1")).agg(F.sum("pop").alias("pop"))
 
 
@@ -149,6 +154,7 @@ class MaxHamming:
 
     most: float
     norm: str = "1"
+    population: str = "pop"
 
     def distances(self, nodes: DataFrame, initial: DataFrame, plans: DataFrame) -> DataFrame:
         norm = self.norm
@@ -165,7 +171,7 @@ class MaxHamming:
                 moved = (np.nan_to_num(1 - kept / before) + np.nan_to_num(1 - kept / after)) / 2
             return pd.DataFrame({"plan_id": [pdf.plan_id.iloc[0]], "distance": [moved.mean() if norm == "1" else moved.max()]})
 
-        matrix = intersection_matrix(nodes, initial, plans).withColumn("plan_id", F.col("plan_id").cast("long"))
+        matrix = intersection_matrix(nodes, initial, plans, self.population).withColumn("plan_id", F.col("plan_id").cast("long"))
         return matrix.groupBy("plan_id").applyInPandas(one, "plan_id long, distance double")
 
     def check(self, nodes: DataFrame, plans: DataFrame, initial: DataFrame) -> DataFrame:
@@ -189,7 +195,8 @@ def satisfied(constraints: Constraints, nodes: DataFrame, plans: DataFrame, edge
             continue
         c = constraints[kind]
         extra = {ContiguousTraversals: {"edges": edges}, MaxHamming: {"initial": initial}}.get(kind, {})
-        passed = c.check(nodes, left, **extra).filter("ok").select("plan_id")
-        left = left.join(passed, "plan_id", "left_semi")
+        # written, as the next check reads it several times
+        passed = written(c.check(nodes, left, **extra).filter("ok").select("plan_id"), "passed")
+        left = plans.join(passed, "plan_id", "left_semi")
     good = left.select("plan_id").distinct().withColumn("good", F.lit(True))
     return out.join(good, "plan_id", "left").select("plan_id", F.coalesce("good", F.lit(False)).alias("ok"))

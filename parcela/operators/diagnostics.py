@@ -24,3 +24,17 @@ def gathered(log: DataFrame, every: int) -> DataFrame:
 
 def histogram(table: DataFrame, column: str) -> DataFrame:
     return table.groupBy(column).agg(F.count("*").alias("n"))
+
+
+#: What a chain measures of a proposal of two trees, beside its ratio.
+MEASURED = ("cycle_length", "pairs", "unique_edges", "max_swappable", "avg_swappable", "delta_pop", "delta_nodes")
+
+
+def chain_diagnostics(log: DataFrame, every: int) -> DataFrame:
+    """chain_id, window, proposal, proposals, accepted, acceptance and the mean of each of MEASURED; changes of population and nodes over the proposals that found a cut."""
+    ratio = F.least(F.lit(1.0), F.greatest(F.lit(0.0), "ratio"))
+    cut = F.when(F.col("delta_nodes") > 0, True)
+    means = [F.avg(F.when(cut, F.col(c)) if c.startswith("delta") else F.col(c)).alias(c) for c in MEASURED]
+    return log.groupBy("chain_id", F.floor((F.col("step") - 1) / every).alias("window"), "proposal").agg(
+        F.count("*").alias("proposals"), F.sum(F.col("accepted").cast("int")).alias("accepted"), F.avg(ratio).alias("acceptance"), *means
+    )

@@ -41,7 +41,28 @@ def isoperimetric(g: LocalGraph, assign: np.ndarray, d: int) -> float:
     return float(perimeter**2 / g.area[mine].sum())
 
 
-ENERGIES: dict[str, Energy] = {"log_forests": log_trees, "isoperimetric": isoperimetric}
+def isoperimetric_power(exponent: float) -> Energy:
+    return lambda g, assign, d: isoperimetric(g, assign, d) ** exponent
+
+
+def cut_weight(g: LocalGraph, assign: np.ndarray, d: int) -> float:
+    """Half the weight of a district's cut edges, so that the districts' sum counts each once."""
+    mine = assign == d
+    return float(g.w[mine[g.u] != mine[g.v]].sum() / 2)
+
+
+def share_gap(part: str, whole: str, target: float) -> Energy:
+    """How far a district's share of one node column in another lies under the target."""
+
+    def energy(g: LocalGraph, assign: np.ndarray, d: int) -> float:
+        mine = assign == d
+        total = g.columns[whole][mine].sum()
+        return max(0.0, target - float(g.columns[part][mine].sum() / total)) if total else target
+
+    return energy
+
+
+ENERGIES: dict[str, Energy] = {"log_forests": log_trees, "isoperimetric": isoperimetric, "cut_weight": cut_weight}
 
 
 @dataclass
@@ -49,13 +70,17 @@ class Measure:
     """Weighted energies that are sums over districts; weight 0 is left out. Values are kept until a district changes."""
 
     weights: dict[str, float] = field(default_factory=dict)
+    energies: dict[str, Energy] = field(default_factory=dict)  # of the user, beside ENERGIES
     kept: dict[tuple[str, int], float] = field(default_factory=dict)
 
     def __post_init__(self):
         self.weights = {k: w for k, w in self.weights.items() if w}
+        self.energies = ENERGIES | self.energies
+        if unknown := sorted(set(self.weights) - set(self.energies)):
+            raise ValueError(f"no energy is called {', '.join(unknown)}")
 
     def of(self, g: LocalGraph, assign: np.ndarray, districts: tuple[int, ...]) -> dict[tuple[str, int], float]:
-        return {(k, d): ENERGIES[k](g, assign, d) for k in self.weights for d in districts}
+        return {(k, d): self.energies[k](g, assign, d) for k in self.weights for d in districts}
 
     def total(self, values: dict[tuple[str, int], float]) -> float:
         return sum(self.weights[k] * v for (k, _), v in values.items())
@@ -126,6 +151,7 @@ def arcs_within(weights: np.ndarray, low: float, high: float, current: int) -> l
 @dataclass
 class Proposal:
     kind: str
+    step: int = 0
     ratio: float = 0.0
     cycle_length: int = 0
     pairs: int = 1
@@ -234,7 +260,7 @@ def check_mix(mix: dict[str, float]) -> None:
 
 def run_chain(
     g: LocalGraph, assign: np.ndarray, low: float, high: float, steps: int, every: int, seed: int, mix: dict[str, float], weights: dict[str, float],
-    first: int = 1, tree: set[int] | None = None, rng_state: dict | None = None,
+    first: int = 1, tree: set[int] | None = None, rng_state: dict | None = None, energies: dict[str, Energy] | None = None,
 ):
     """Yields (step, state, proposals since the last output, rng) before the first step and after every ``every`` steps."""
     check_mix(mix)
@@ -242,7 +268,7 @@ def run_chain(
     s = State.from_tree(g, assign, tree) if tree is not None else State.from_plan(g, assign, rng)
     if rng_state is not None:
         rng.bit_generator.state = rng_state
-    measure = Measure(weights)
+    measure = Measure(weights, energies or {})
     measure.kept = measure.of(g, s.assign, tuple(int(d) for d in np.unique(s.assign)))
     kinds, shares = list(mix), np.array(list(mix.values()))
     log: list[Proposal] = []
@@ -253,6 +279,7 @@ def run_chain(
             one_tree(g, s, rng)
         else:
             p = two_tree(g, s, low, high, rng)
+            p.step = step
             log.append(p)
             if p.update is not None:
                 pair = p.update[:2]
@@ -268,23 +295,37 @@ def run_chain(
             log = []
 
 
+#: What a chain keeps of each proposal of two trees.
+LOG = "step long, proposal string, ratio double, cycle_length int, pairs int, unique_edges int, max_swappable double, avg_swappable double, delta_pop double, delta_nodes double, accepted boolean"
+LOG_FIELDS = [x.split()[0] for x in LOG.split(", ")]
 #: One row an output: the map, the forest, and the proposals since the last one.
-OUTPUT = "chain_id long, step long, version long, districts array<int>, tree array<struct<u:long,v:long>>, ratios array<double>, cycle_lengths array<int>, accepted int, proposals int, rng string"
+OUTPUT = f"chain_id long, step long, version long, districts array<int>, tree array<struct<u:long,v:long>>, log array<struct<{LOG}>>, accepted int, proposals int, rng string"
 
 
 def _row(g: LocalGraph, chain_id: int, step: int, s: State, log: list[Proposal], rng) -> tuple:
     import json
 
     tree = [{"u": int(g.ids[g.u[e]]), "v": int(g.ids[g.v[e]])} for e in sorted(s.tree)]
-    return (
-        chain_id, step, s.version, s.assign.tolist(), tree, [p.ratio for p in log], [p.cycle_length for p in log], sum(p.accepted for p in log), len(log), json.dumps(rng.bit_generator.state),
-    )
+    proposals = [{"proposal": p.kind} | {f: getattr(p, f) for f in LOG_FIELDS if f != "proposal"} for p in log]
+    return (chain_id, step, s.version, s.assign.tolist(), tree, proposals, sum(p.accepted for p in log), len(log), json.dumps(rng.bit_generator.state))
+
+
+def _rows(rows: list[tuple], version: int = 0) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["chain_id", "step", "version", "districts", "tree", "log", "accepted", "proposals", "rng"])
+    out["version"] += version
+    return out
 
 
 def run_chains(
-    chains: DataFrame, g: LocalGraph, districts: int, low: float, high: float, every: int, mix: dict[str, float] | None = None, weights: dict[str, float] | None = None
-) -> DataFrame:
-    """OUTPUT rows of chains(chain_id, seed, steps). The graph is one object, shared by broadcast; its size doesn't grow with the chains."""
+    chains: DataFrame, g: LocalGraph, districts: int, low: float, high: float, every: int, mix: dict[str, float] | None = None, weights: dict[str, float] | None = None,
+    energies: dict[str, Energy] | None = None,
+) -> DataFrame:
+    """OUTPUT rows of chains(chain_id, seed, steps). The graph is one object, shared by broadcast; its size doesn't grow with the chains.
+
+    ``energies``: functions (graph, district of each node, district) of the
+    user's own, by the names that ``weights`` gives them. The outputs of a group
+    are held until its steps are done: ``plans.run`` goes on in chunks.
+    """
     mix, weights = mix or {"two_tree": 0.1, "one_tree": 0.9}, weights or {}
     shared = chains.sparkSession.sparkContext.broadcast(g)
 
@@ -292,13 +333,15 @@ def run_chains(
         c, graph = pdf.iloc[0], shared.value
         rng = np.random.Generator(np.random.PCG64([int(c.seed), 1]))
         start = random_plan(graph, districts, low, high, rng)
-        rows = [_row(graph, int(c.chain_id), *x) for x in run_chain(graph, start, low, high, int(c.steps), every, int(c.seed), mix, weights)]
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in OUTPUT.split(", ")])
+        return _rows([_row(graph, int(c.chain_id), *x) for x in run_chain(graph, start, low, high, int(c.steps), every, int(c.seed), mix, weights, energies=energies)])
 
     return chains.groupBy("chain_id").applyInPandas(run, OUTPUT)
 
 
-def resume(last: DataFrame, g: LocalGraph, steps: int, low: float, high: float, every: int, mix: dict[str, float] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+def resume(
+    last: DataFrame, g: LocalGraph, steps: int, low: float, high: float, every: int, mix: dict[str, float] | None = None, weights: dict[str, float] | None = None,
+    energies: dict[str, Energy] | None = None,
+) -> DataFrame:
     """OUTPUT rows of further steps after the last row of each chain."""
     mix, weights = mix or {"two_tree": 0.1, "one_tree": 0.9}, weights or {}
     shared = last.sparkSession.sparkContext.broadcast(g)
@@ -309,19 +352,19 @@ def resume(last: DataFrame, g: LocalGraph, steps: int, low: float, high: float,
         c, graph = pdf.sort_values("step").iloc[-1], shared.value
         at = {x: i for i, x in enumerate(graph.ids.tolist())}
         tree = {graph.edge_of(at[e["u"]], at[e["v"]]) for e in c.tree}
-        it = run_chain(graph, np.array(c.districts), low, high, steps, every, 0, mix, weights, int(c.step) + 1, tree, json.loads(c.rng))
-        rows = []
-        for step, s, log, rng in it:
-            rows.append(_row(graph, int(c.chain_id), step, s, log, rng))
-        out = pd.DataFrame(rows, columns=[x.split()[0] for x in OUTPUT.split(", ")])
-        out["version"] += int(c.version)
-        return out
+        it = run_chain(graph, np.array(c.districts), low, high, steps, every, 0, mix, weights, int(c.step) + 1, tree, json.loads(c.rng), energies)
+        return _rows([_row(graph, int(c.chain_id), *x) for x in it], int(c.version))
 
     return last.groupBy("chain_id").applyInPandas(run, OUTPUT)
 
 
+def proposal_log(output: DataFrame) -> DataFrame:
+    """chain_id and LOG: a row for each proposal of two trees of OUTPUT rows, for the diagnostics."""
+    return output.select("chain_id", F.explode("log").alias("p")).select("chain_id", "p.*")
+
+
 def as_plans(output: DataFrame, g: LocalGraph) -> DataFrame:
     """plan_id (struct of chain and step), node, district: for the set-oriented observables."""
-    ids = F.array(*[F.lit(int(x)) for x in g.ids])
-    z = F.explode(F.arrays_zip(ids.alias("node"), F.col("districts").alias("district"))).alias("z")
-    return output.select(F.struct("chain_id", "step").alias("plan_id"), z).select("plan_id", "z.node", "z.district")
+    ids = output.sparkSession.createDataFrame(pd.DataFrame({"pos": np.arange(len(g.ids)), "node": g.ids}), "pos int, node long")  # as long as the graph
+    rows = output.select(F.struct("chain_id", "step").alias("plan_id"), F.posexplode("districts").alias("pos", "district"))
+    return rows.join(F.broadcast(ids), "pos").select("plan_id", "node", "district")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
+from parcela.spec import GraphSpec
+
 
 @dataclass
 class LocalGraph:
@@ -21,6 +23,7 @@ class LocalGraph:
     length: np.ndarray
     area: np.ndarray
     border: np.ndarray
+    columns: dict[str, np.ndarray] = field(default_factory=dict)  # further numeric columns of the nodes, for energies
 
     def __post_init__(self):
         self.near: list[list[tuple[int, int]]] = [[] for _ in self.ids]
@@ -30,14 +33,19 @@ class LocalGraph:
         self.edge = {(a, b): e for e, (a, b) in enumerate(zip(self.u.tolist(), self.v.tolist(), strict=True))}
 
     @classmethod
-    def from_tables(cls, nodes, edges, weight: str = "connections") -> LocalGraph:
+    def from_tables(cls, nodes, edges, spec: GraphSpec | None = None) -> LocalGraph:
         """From collected pandas tables: one graph, whose size doesn't grow with the ensemble."""
+        spec = spec or GraphSpec()
         nodes = nodes.sort_values("id", ignore_index=True)
         at = {x: i for i, x in enumerate(nodes.id)}
-        edges = edges[edges[weight] != 0]
+        edges = edges[edges[spec.edge_weight] != 0]
         a, b = (np.array([at[x] for x in edges[c]], int) for c in ("src", "dst"))
-        col = lambda t, c, d: t[c].to_numpy(float) if c in t else np.full(len(t), d)
-        return cls(nodes.id.to_numpy(), nodes["pop"].to_numpy(float), np.minimum(a, b), np.maximum(a, b), edges[weight].to_numpy(float), col(edges, "length", 1.0), col(nodes, "area", 1.0), col(nodes, "border_length", 0.0))
+        col = lambda t, c, d: t[c].fillna(d).to_numpy(float) if c in t else np.full(len(t), d)
+        more = {c: nodes[c].to_numpy(float) for c in nodes.select_dtypes("number") if c != "id"}
+        return cls(
+            nodes.id.to_numpy(), nodes[spec.population].to_numpy(float), np.minimum(a, b), np.maximum(a, b), edges[spec.edge_weight].to_numpy(float),
+            col(edges, spec.edge_perimeter, 1.0), col(nodes, spec.area, 1.0), col(nodes, spec.node_border, 0.0), more,
+        )
 
     def edge_of(self, a: int, b: int) -> int:
         return self.edge[(a, b) if a < b else (b, a)]

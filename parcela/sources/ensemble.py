@@ -54,14 +54,20 @@ class Writer:
     def rows(self, maps: DataFrame) -> DataFrame:
         """name, weight, districting, data: from maps (plan_id, step, districting)."""
         out = maps
-        for name, (table, column) in self.reports.items():
-            out = out.join(table.select("plan_id", F.col(column).alias(f"__{name}")), "plan_id", "left")
+        for table in {id(t): t for t, _ in self.reports.values()}.values():  # one join for all reports of a table
+            mine = [F.col(c).alias(f"__{name}") for name, (t, c) in self.reports.items() if t is table]
+            out = out.join(table.select("plan_id", *mine), "plan_id", "left")
         data = F.create_map(*[x for n in self.reports for x in (F.lit(n), F.to_json(F.struct(F.col(f"__{n}").alias("value"))))]) if self.reports else F.lit(None).cast("map<string,string>")
         districting = F.col("districting") if self.with_districting else F.create_map().cast(maps.schema["districting"].dataType)
         return out.select(map_name("step").alias("name"), F.lit(1.0).alias("weight"), districting.alias("districting"), data.alias("data"))
 
-    def output(self, maps: DataFrame) -> None:
-        self.rows(maps).write.mode("append").option("compression", "gzip" if self.compress else "none").json(f"{self.path}/maps")
+    def output(self, maps: DataFrame, part: int | None = None) -> None:
+        """Appends maps; or, as part of a number, puts them in the place of an earlier attempt at that part."""
+        out = self.rows(maps).write.option("compression", "gzip" if self.compress else "none")
+        if part is None:
+            out.mode("append").json(f"{self.path}/maps")
+        else:
+            out.mode("overwrite").json(f"{self.path}/maps/part-{part}")
 
     def stream(self, maps: DataFrame, checkpoint: str):
         """Appends the micro-batches of a stream of (plan_id, step, districting)."""
@@ -77,7 +83,15 @@ def read_header(spark: SparkSession, path: str) -> Header:
 
 def read_maps(spark: SparkSession, path: str) -> DataFrame:
     schema = "name string, weight double, districting map<string,int>, data map<string,string>"
-    return spark.read.schema(schema).json(f"{path.rstrip('/')}/maps")
+    return spark.read.schema(schema).option("recursiveFileLookup", True).json(f"{path.rstrip('/')}/maps")
+
+
+def read_part(spark: SparkSession, path: str, part: int) -> DataFrame | None:
+    """A part written whole; None where there is none, or only an attempt at it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-{part}")
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = store.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS"))
+    return spark.read.parquet(folder.toString()) if done else None
 
 
 def map_plans(maps: DataFrame) -> DataFrame:

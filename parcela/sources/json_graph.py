@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from parcela.spec import Graph, GraphSpec, unordered
 
-SCHEMA = """directed BOOLEAN, multigraph BOOLEAN,
-nodes ARRAY<STRUCT<id BIGINT, county STRING, subcounty STRING, pct STRING, node_name STRING, pop BIGINT, population BIGINT,
-area DOUBLE, border_length DOUBLE, x_location BIGINT, y_location BIGINT>>,
-adjacency ARRAY<ARRAY<STRUCT<id BIGINT, length DOUBLE, connections DOUBLE>>>"""
-
-
 def parse_graph(document: DataFrame, spec: GraphSpec | None = None) -> Graph:
-    """From one row (nodes, adjacency). A missing edge weight is 1; both directions of an edge become one row."""
+    """From one row (nodes, adjacency), with every field that nodes and edges have. A missing edge weight is 1; both directions of an edge become one row.
+
+    A column that the spec names for populations, levels or ``keep`` must be there.
+    """
     spec = spec or GraphSpec()
     fields = [f.name for f in document.schema["nodes"].dataType.elementType.fields if f.name != "id"]
+    missing = sorted({spec.population, *spec.levels, *spec.keep} - {"id", *fields})
+    if missing:
+        raise ValueError(f"the graph's nodes have no {', '.join(missing)}; they have {', '.join(sorted(fields))}")
     nodes = project(document.select(F.posexplode("nodes").alias("pos", "n")).select(F.coalesce("n.id", F.col("pos").cast("long")).alias("id"), *[F.col(f"n.{c}").alias(c) for c in fields]), spec)
     arcs = document.select(F.posexplode("adjacency").alias("src", "out")).select(F.col("src").cast("long"), F.explode("out").alias("e"))
     edge_fields = [f.name for f in arcs.schema["e"].dataType.fields if f.name != "id"]
@@ -25,12 +25,13 @@ def parse_graph(document: DataFrame, spec: GraphSpec | None = None) -> Graph:
 
 
 def dedup_edges(arcs: DataFrame, spec: GraphSpec) -> DataFrame:
-    """One row for each undirected edge, also where only one direction is listed; the edge weight defaults to 1."""
+    """One row for each undirected edge, as its lower end lists it, or the higher one where only that does; the edge weight defaults to 1."""
     a, b = unordered("src", "dst")
     data = [c for c in arcs.columns if c not in ("src", "dst")]
-    out = arcs.filter("src <> dst").groupBy(a.alias("src"), b.alias("dst")).agg(*[F.max(c).alias(c) for c in data])
-    weight = F.coalesce(F.col(spec.edge_weight), F.lit(1.0)) if spec.edge_weight in data else F.lit(1.0)
-    return out.withColumn(spec.edge_weight, weight)
+    listed = arcs.filter("src <> dst").select(a.alias("a"), b.alias("b"), (F.col("src") > F.col("dst")).alias("above"), F.struct(F.lit(0).alias("_"), *data).alias("e"))
+    out = listed.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.min_by("e", "above").alias("e"))
+    weight = F.coalesce(F.col(f"e.{spec.edge_weight}").cast("double"), F.lit(1.0)) if spec.edge_weight in data else F.lit(1.0)
+    return out.select("src", "dst", *[F.col(f"e.{c}").alias(c) for c in data if c != spec.edge_weight], weight.alias(spec.edge_weight))
 
 
 def project(nodes: DataFrame, spec: GraphSpec) -> DataFrame:
@@ -53,7 +54,7 @@ def modify_edge_weights(graph: Graph, weight) -> Graph:
 
 
 def load_graph(spark: SparkSession, path: str, spec: GraphSpec | None = None) -> Graph:
-    """From a ``.json`` file in a store that Spark reads; other kinds are refused."""
+    """From a ``.json`` file in a store that Spark reads, with the fields that the file has; other kinds are refused."""
     if not path.lower().endswith(".json"):
         raise ValueError(f"only .json graphs can be loaded: {path}")
-    return parse_graph(spark.read.schema(SCHEMA).option("multiLine", True).json(path), spec)
+    return parse_graph(spark.read.option("multiLine", True).json(path), spec)

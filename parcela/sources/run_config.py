@@ -29,6 +29,11 @@ class RunConfig:
     chains: int = 1
     output: str = "ensemble"
     levels: list[str] = field(default_factory=lambda: ["id"])
+    population: str = "pop"
+    area: str = "area"
+    node_border: str = "border_length"
+    edge_weight: str = "connections"
+    edge_perimeter: str = "length"
 
     @property
     def steps(self) -> int:

@@ -13,10 +13,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcela.operators.arrays import GraphArrays
 from parcela.spec import Graph, GraphSpec, unordered
 
 CUSTOMER_PLANS = 8
@@ -83,6 +87,20 @@ def customer_plans(nodes: DataFrame, n_plans: int = CUSTOMER_PLANS) -> DataFrame
     return p.select("plan_id", F.col("id").alias("node"), ((F.col("x") + F.col("y") * (F.col("plan_id") % 2)) % (F.col("plan_id") + 2) + 1).alias("district"))
 
 
+def customer_plan_arrays(spark: SparkSession, g: GraphArrays, n_plans: int = CUSTOMER_PLANS) -> DataFrame:
+    """plan_id, districts: the plans of ``customer_plans``, each as one row."""
+    shared = spark.sparkContext.broadcast((g.nodes["x"].astype(np.int32), g.nodes["y"].astype(np.int32)))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = shared.value
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                d = pa.array((x + y * (p % 2)) % (p + 2) + 1, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(d)], pa.int32()), d)], ["plan_id", "districts"])
+
+    return spark.range(n_plans).mapInArrow(make, "plan_id int, districts array<int>")
+
+
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node, election, stage, candidate, votes: orders of a nation's customers by priority; F, O, P in the first stage, F and O in the second."""
     order = read(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderstatus")
