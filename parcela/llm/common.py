@@ -7,9 +7,12 @@ later step needs lies on their own disks.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -140,6 +143,16 @@ def without_rows(df: DataFrame, rid: str, dropped: DataFrame) -> DataFrame:
     return with_row_ids(df, rid).join(sized(dropped), rid, "left_anti").select(*columns(df))
 
 
+def release() -> None:
+    """Gives back what a task's Python worker has freed: it lives on, and beside the executor's heap there is little room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def ascii_lower(col):
     """Lower-cases A-Z only."""
     return F.translate(col, UPPER, LOWER)

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import columns, fresh, table, written
+from .common import columns, fresh, release, table, written
 from .tokens import Encoder, tokenizer_path
 
 N_BLOCKS = 1024
@@ -50,6 +50,8 @@ def n_tokens(text: Column, tokenizer: str | None = None) -> Column:
         encoder = Encoder(path)
         for t in texts:
             yield pd.Series([len(x) for x in encoder.encode(list(t))], dtype="int64")
+        del encoder
+        release()
 
     return count(text.cast("binary"))
 

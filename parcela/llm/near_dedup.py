@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, fresh, sized, stored, table, with_row_ids, without_rows, written
+from .common import drop_written, fresh, release, sized, stored, table, with_row_ids, without_rows, written
 from .components import components
 from .wordhash import SPACE, P, WordHasher, mix
 
@@ -137,6 +137,7 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
             ],
             ["rid", "doc_id", "n", "print", "bands", "sig"],
         )
+    release()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -149,6 +150,7 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays(
             [b.column(0), b.column(2), b.column(3), pa.array(sets, pa.binary()), pa.array(signatures, pa.binary())], ["rid", "grp", "nb", "shingles", "sig"]
         )
+    release()
 
 
 def needed(percent: int, k: int = BANDS * ROWS) -> float:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, with_row_ids, written
+from .common import release, stored, table, with_row_ids, written
 from .tokens import END_ID, Encoder, tokenizer_path
 
 CAPACITY, MAX_DOCS, GROUP_PIECES = 4096, 4096, 16384
@@ -51,6 +51,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
         cols = list(zip(*rows, strict=True)) or [()] * 6
         types = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "rid"])
+    del encoder
+    release()
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, max_docs: int = MAX_DOCS, max_cost: int | None = None, by: str = "norm", weights=WEIGHTS) -> tuple[np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, with_row_ids
+from .common import release, stored, table, with_row_ids
 from .tokens import END_ID, Encoder, tokenizer_path
 
 #: Bytes of text that a group stands for; its ids take no more than twice that, mostly half.
@@ -109,6 +109,8 @@ def _tokenised(batches: Iterator[pa.RecordBatch], path: str, width: int, dtype:
                 data.append(whole[start : start + width].astype(dtype).tobytes())
         types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((grp, docs, pieces, data, rids), types, strict=True)], ["grp", "doc_id", "piece", "ids", "rid"])
+    del encoder
+    release()
 
 
 def _assemble(pdf: pd.DataFrame, width: int, dtype: str) -> pd.DataFrame:

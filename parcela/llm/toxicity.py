@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, table
+from .common import columns, release, table
 from .near_dedup import Shingler
 
 MAX_POSITIVE, MAX_NEGATIVE = 2000, 4000
@@ -326,6 +326,7 @@ def with_scores(docs: DataFrame, model: Model | float) -> DataFrame:
                 parts.append(m.scores(buckets[i:j]))
                 i = j
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        release()
 
     threshold = F.lit(model.pooled_threshold)
     for lang, x in sorted(model.thresholds.items()):
