@@ -20,7 +20,7 @@ from parcela.operators import observables as O
 from parcela.operators import trees as R
 from parcela.sources import ensemble, json_graph, run_config
 from parcela.sources import tables as S
-from parcela.sources.shared import shared_dir
+from parcela.sources.shared import shared_dir, written
 from parcela.spec import Graph, GraphSpec
 
 QUERIES: dict = {}
@@ -668,9 +668,14 @@ JOIN (SELECT b.plan_id, avg((1 - coalesce(m.pop, 0) / r.pop + 1 - coalesce(m.pop
   JOIN (SELECT plan_id, d0, sum(pop) AS pop FROM m GROUP BY 1, 2) r ON r.plan_id = b.plan_id AND r.d0 = cell.d0 JOIN (SELECT plan_id, d1, sum(pop) AS pop FROM m GROUP BY 1, 2) c ON c.plan_id = b.plan_id AND c.d1 = cell.d1 GROUP BY 1) h USING (plan_id)""",
     NATION, REACH, TRAVERSALS, POPS, UNITC, PERMS, "un AS (SELECT DISTINCT plan_id, county, district FROM plans JOIN nodes ON id = node)", recursive=True,
 )(
-    nation(lambda g, p: C.satisfied(_all_constraints(g.nodes, _total(g)), g.nodes.withColumn("odd", F.col("pop") * 1000 + F.col("id") * F.col("id")), p, g.edges, p.filter("plan_id = 0")))
+    nation(lambda g, p: _seven(g, written(g.nodes.withColumn("odd", F.col("pop") * 1000 + F.col("id") * F.col("id")), "nodes"), written(p, "plans")))
 )
 
+
+def _seven(g, nodes, plans):
+    return C.satisfied(_all_constraints(nodes, nodes.agg(F.sum("pop")).first()[0] or 0), nodes, plans, g.edges, plans.filter("plan_id = 0"))
+
+
 # ---------------------------------------------------------------- plans, chains and diagnostics
 
 register("m1_plan_from_column", "SELECT id AS node, (nation + 1)::INT AS district FROM nodes", CUSTOMER)(customer(lambda g, p: _from_column(g.nodes, "nation")))
