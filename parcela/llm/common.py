@@ -11,6 +11,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -153,6 +154,13 @@ def release() -> None:
         pass
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that only a piece's texts are Python objects at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def ascii_lower(col):
     """Lower-cases A-Z only."""
     return F.translate(col, UPPER, LOWER)

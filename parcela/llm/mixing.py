@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,11 +45,12 @@ def n_tokens(text: Column, tokenizer: str | None = None) -> Column:
     """Number of tokens of op9's tokenizer, without an end id: what shares are taken of."""
     path = tokenizer or tokenizer_path()
 
-    @F.pandas_udf("long")
-    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(path)
         for t in texts:
-            yield pd.Series([len(x) for x in encoder.encode(list(t))], dtype="int64")
+            parts = (t.slice(i, 512).to_pylist() for i in range(0, len(t), 512))
+            yield pa.array([len(x) for p in parts for x in encoder.encode(p)], pa.int64())
         del encoder
         release()
 

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, fresh, release, sized, stored, table, with_row_ids, without_rows, written
+from .common import drop_written, fresh, release, sized, slices, stored, table, with_row_ids, without_rows, written
 from .components import components
 from .wordhash import SPACE, P, WordHasher, mix
 
@@ -120,7 +120,7 @@ class MinHasher:
 
 def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     shingler, hasher = Shingler(words), MinHasher()
-    for b in batches:
+    for b in slices(batches):
         counts, prints, bands, signatures = [], [], [], []
         for s in shingler.sets(b.column(2).to_pylist()):
             counts.append(len(s))
@@ -142,7 +142,7 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     shingler, hasher = Shingler(words), MinHasher()
-    for b in batches:
+    for b in slices(batches):
         sets, signatures = [], []
         for s in shingler.sets(b.column(1).to_pylist()):
             sets.append(s.tobytes())

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, stored, table, with_row_ids, written
+from .common import release, slices, stored, table, with_row_ids, written
 from .tokens import END_ID, Encoder, tokenizer_path
 
 CAPACITY, MAX_DOCS, GROUP_PIECES = 4096, 4096, 16384
@@ -40,7 +40,7 @@ WEIGHTS = (1.0, 0.001, 0.001)
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     encoder = Encoder(path)
-    for b in batches:
+    for b in slices(batches):
         rows = []
         ids = zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)
         for (doc, rid), tokens in zip(ids, encoder.encode(b.column(1).to_pylist()), strict=True):

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, stored, table, with_row_ids
+from .common import release, slices, stored, table, with_row_ids
 from .tokens import END_ID, Encoder, tokenizer_path
 
 #: Bytes of text that a group stands for; its ids take no more than twice that, mostly half.
@@ -93,7 +93,7 @@ def best_fit_decreasing(lengths: list[int], width: int) -> list[list[int]]:
 
 def _tokenised(batches: Iterator[pa.RecordBatch], path: str, width: int, dtype: str, groups: int) -> Iterator[pa.RecordBatch]:
     encoder = Encoder(path)
-    for b in batches:
+    for b in slices(batches):
         grp, docs, pieces, data, rids = [], [], [], [], []
         ids = zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)
         for (doc, rid), tokens in zip(ids, encoder.encode(b.column(1).to_pylist()), strict=True):
