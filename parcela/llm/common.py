@@ -154,11 +154,21 @@ def release() -> None:
         pass
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces, so that only a piece's texts are Python objects at a time."""
+#: A piece of a batch has no more bytes than this, or one row.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of so many rows and bytes at most, so that only a piece's texts are Python objects at a time."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        left = [b.slice(i, rows) for i in range(0, b.num_rows, rows)][::-1]
+        while left:
+            piece = left.pop()
+            if piece.num_rows > 1 and piece.nbytes > size:
+                half = piece.num_rows // 2
+                left += [piece.slice(half), piece.slice(0, half)]
+            else:
+                yield piece
 
 
 def ascii_lower(col):

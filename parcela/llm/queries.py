@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprint, hard_negatives, line_dedup, mixing, near_dedup, packing, sharding, token_output, toxicity, url_filter
+from . import exact_dedup, fingerprint, hard_negatives, language_id, line_dedup, mixing, near_dedup, packing, sharding, token_output, toxicity, url_filter
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_best_fit_packing": packing.query,
     "op10_token_output": token_output.query,
     "op11_hard_negatives": hard_negatives.query,
+    "op12_language_id": language_id.query,
 }
 
 SQL = {"op1_near_dedup": near_dedup.SQL, "op4_url_filter": url_filter.SQL, "op5_exact_dedup": exact_dedup.SQL, "op7_line_dedup": line_dedup.SQL, "op11_hard_negatives": hard_negatives.SQL}
