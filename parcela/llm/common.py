@@ -12,6 +12,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -54,11 +55,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def folder_of(df: DataFrame, label: str, by: str) -> str:
-    """A folder of the shared one to which ``df`` is written as Parquet, with a folder inside it for each value of ``by``: for tasks that read files themselves."""
+    """A folder of the shared one to which ``df`` is written as Parquet, with a folder inside it for each value of ``by``: for tasks that read files themselves.
+
+    The path is a whole URI: a path without scheme may mean one store to Spark and another to a task.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/parcela/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.partitionBy(by).parquet(path)
-    return path
+    plain = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = plain.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(plain).toString()
+    return whole if not whole.startswith("file:/") or whole.startswith("file://") else "file://" + whole.removeprefix("file:")
 
 
 def drop_written(df: DataFrame) -> None:
@@ -154,6 +160,20 @@ def release() -> None:
         pass
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Inside, jobs hand so many rows at a time to Python: a batch of texts lies in the executor and in its worker at once. The setting is put back."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
 #: A piece of a batch has no more bytes than this, or one row.
 SLICE_BYTES = 4 << 20
 

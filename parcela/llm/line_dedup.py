@@ -19,7 +19,8 @@ Defined results: null and empty texts are one empty line; keys under
 ``min_chars`` code points always stay; a document that repeats a line keeps or
 loses all its copies; rows that share an id count as documents of their own,
 and all of them keep the line if theirs is the largest id; a null id ranks
-below all others; an empty table gives an empty result; further columns pass
+below all others; an empty table gives an empty result; arrays that can't be
+read, or lack a line, are an error, never lines that stay; further columns pass
 through, and a column named like a result is replaced.
 """
 
@@ -125,10 +126,11 @@ class Shard:
         self.last, self.rank = np.frombuffer(last, np.int64), np.cumsum(self.often) - 1
 
     def last_of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which hashes are keys of enough documents, and the largest id of those."""
+        """Which hashes are keys of enough documents, and the largest id of those. All must be keys, as every line was indexed."""
         at = self.mph.index(hashes)
-        at0 = np.maximum(at, 0)
-        hit = np.flatnonzero((at >= 0) & (self.prints[at0] == _print(hashes)) & self.often[at0])
+        if not ((at >= 0) & (self.prints[np.maximum(at, 0)] == _print(hashes))).all():
+            raise RuntimeError("the arrays lack a line of the documents: they aren't those of these documents")
+        hit = np.flatnonzero(self.often[at])
         return hit, self.last[self.rank[at[hit]]]
 
 
@@ -184,9 +186,9 @@ def line_arrays(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
 
 def _read_unit(folder: str, unit: int) -> list[dict]:
-    """Rows of one unit, from the shared folder."""
+    """Rows of one unit, from the shared folder. A folder that isn't there is an error: units are read for lines that they hold."""
     store, path = pafs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
-    files = store.get_file_info(pafs.FileSelector(f"{path}/unit={unit}", allow_not_found=True))
+    files = store.get_file_info(pafs.FileSelector(f"{path}/unit={unit}"))
     rows = []
     for f in files:
         if f.path.endswith(".parquet"):
@@ -219,9 +221,10 @@ class Arrays:
         for part in np.split(order, cuts) if len(order) else []:
             s = int(shard[part[0]])
             held = self.of(s % self.units).get(s)
-            if held is not None:
-                hit, last = held.last_of(pairs[part])
-                out.update(zip((hashes[i] for i in part[hit].tolist()), last.tolist(), strict=True))
+            if held is None:
+                raise RuntimeError(f"shard {s} of the line arrays is missing in {self.folder}")
+            hit, last = held.last_of(pairs[part])
+            out.update(zip((hashes[i] for i in part[hit].tolist()), last.tolist(), strict=True))
         return out
 
 

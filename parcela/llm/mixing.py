@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import columns, fresh, release, table, written
+from .common import columns, fresh, release, slices, small_batches, table, written
 from .tokens import Encoder, tokenizer_path
 
 N_BLOCKS = 1024
@@ -49,7 +49,7 @@ def n_tokens(text: Column, tokenizer: str | None = None) -> Column:
     def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(path)
         for t in texts:
-            parts = (t.slice(i, 512).to_pylist() for i in range(0, len(t), 512))
+            parts = (p.column(0).to_pylist() for p in slices([pa.RecordBatch.from_arrays([t], ["text"])]))
             yield pa.array([len(x) for p in parts for x in encoder.encode(p)], pa.int64())
         del encoder
         release()
@@ -148,7 +148,8 @@ def mix_sources(
     block = F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(text_col, F.lit(seed))).otherwise(F.xxhash64(id_col, F.lit(seed))), F.lit(n_blocks)).cast("int")
     keyed = docs.select(*columns(docs), key.alias(s), block.alias(b))
     counted = keyed.select(F.col(s).alias("s"), F.col(b).alias("b"), n_tokens(F.col(text_col), tokenizer).alias("tokens"))
-    blocks = written(counted.groupBy("s", "b").agg(F.sum("tokens").alias("tokens")), "mix_blocks")
+    with small_batches(docs.sparkSession):
+        blocks = written(counted.groupBy("s", "b").agg(F.sum("tokens").alias("tokens")), "mix_blocks")
     sources = written(blocks.groupBy("s").agg(F.sum("tokens").alias("tokens")), "mix_sources")
     recipe = sources.select("s", F.col("tokens").alias("total"), epochs_column(sources, target_entropy, max_repetition, budget).alias("epochs"))
     order = Window.partitionBy("s", "epoch").orderBy(F.xxhash64("s", "b", "epoch", F.lit(seed)), "b")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_written, fresh, release, sized, slices, stored, table, with_row_ids, without_rows, written
+from .common import drop_written, fresh, release, sized, slices, small_batches, stored, table, with_row_ids, without_rows, written
 from .components import components
 from .wordhash import SPACE, P, WordHasher, mix
 
@@ -265,7 +265,8 @@ def near_duplicates(docs: DataFrame, words: int, percent: int = PERCENT, text_co
 
     raw = stored(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     raw = with_row_ids(raw, "rid").select("rid", "doc_id", "text")
-    signed = written(raw.mapInArrow(lambda b: _signed(b, words), "rid long, doc_id long, n long, print binary, bands array<long>, sig binary"), "signed")
+    with small_batches(docs.sparkSession):
+        signed = written(raw.mapInArrow(lambda b: _signed(b, words), "rid long, doc_id long, n long, print binary, bands array<long>, sig binary"), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     classes = keep(signed.filter("n > 0").groupBy("print").agg(first), "classes").select("print", "first", F.col("first.rid").alias("rep"))
     edges = likely_edges(signed, classes.select(F.col("rep").alias("rid")), percent, temporary)
@@ -281,7 +282,9 @@ def near_duplicates(docs: DataFrame, words: int, percent: int = PERCENT, text_co
     sets = searched.mapInArrow(lambda b: _sets(b, words), "rid long, grp long, nb int, shingles binary, sig binary")
     dealt = _in_blocks(sets, "grp").withColumn("bin", F.pmod(F.xxhash64("grp", "b0", "b1"), F.lit(bins)))
     links = dealt.groupBy("bin").applyInPandas(lambda pdf: _links(pdf, percent), "a long, b long")
-    roots = keep(components(keep(links, "links")).withColumnRenamed("node", "rep"), "roots")
+    with small_batches(docs.sparkSession):
+        links = keep(links, "links")
+    roots = keep(components(links).withColumnRenamed("node", "rep"), "roots")
     labelled = classes.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = keep(labelled.groupBy("root").agg(F.min("first").alias("least")), "least")
     labelled = written(labelled.join(least, "root").select("print", "least"), "labelled")

@@ -16,8 +16,9 @@ group wastes at most part of a few bins. Only lengths and checksums are
 shuffled, never tokens.
 
 Defined results: a null or empty text is the end id alone; rows that share an
-id are packed as documents of their own; an empty table gives an empty result;
-extra columns are not read.
+id are packed as documents of their own; a null id stays null, and any 64-bit id
+beside it what it is; a text of any length is cut into pieces; an empty table
+gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,12 +27,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, slices, stored, table, with_row_ids, written
+from .common import release, slices, small_batches, stored, table, with_row_ids, written
 from .tokens import END_ID, Encoder, tokenizer_path
 
 CAPACITY, MAX_DOCS, GROUP_PIECES = 4096, 4096, 16384
@@ -93,10 +93,12 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY, max_docs: int = MAX_
     return bins, offsets
 
 
-def _pack_group(pdf: pd.DataFrame, capacity: int, max_docs: int, max_cost: int | None, by: str) -> pd.DataFrame:
-    pdf = pdf.sort_values(["rid", "piece"], ignore_index=True)
-    bins, offsets = best_fit(pdf.length.to_numpy(), capacity, max_docs, max_cost, by)
-    return pdf.drop(columns=["rid", "grp"]).assign(sequence_id=pdf.grp * 2**32 + bins, offset=offsets)
+def _pack_group(t: pa.Table, capacity: int, max_docs: int, max_cost: int | None, by: str) -> pa.Table:
+    """In Arrow throughout, where a 64-bit id beside a null one stays what it is."""
+    t = t.sort_by([("rid", "ascending"), ("piece", "ascending")])
+    bins, offsets = best_fit(t.column("length").to_numpy(), capacity, max_docs, max_cost, by)
+    sequence = t.column("grp").to_numpy() * 2**32 + bins
+    return t.drop_columns(["rid", "grp"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets))
 
 
 def pack_documents(
@@ -108,10 +110,11 @@ def pack_documents(
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     raw = stored(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     raw = with_row_ids(raw, "rid").select("doc_id", "text", "rid")
-    pieces = written(raw.mapInArrow(lambda b: _pieces(b, path, capacity), schema + ", rid long"), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = written(raw.mapInArrow(lambda b: _pieces(b, path, capacity), schema + ", rid long"), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("rid", "piece"), F.lit(groups)))
-    return dealt.groupBy("grp").applyInPandas(lambda pdf: _pack_group(pdf, capacity, max_docs, max_cost, by), schema + ", sequence_id long, offset long")
+    return dealt.groupBy("grp").applyInArrow(lambda t: _pack_group(t, capacity, max_docs, max_cost, by), schema + ", sequence_id long, offset long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ is a row of the packed matrix:
 ``unpacked`` gives the ids of every document back.
 
 Defined results: a null or empty text is the end id alone; rows that share an
-id stay separate segments; an empty table gives an empty result; extra columns
-are not read.
+id stay separate segments; a null id stays null, and any 64-bit id beside it what
+it is; a text of any length is split into pieces of the row width; an empty table
+gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -113,18 +114,21 @@ def _tokenised(batches: Iterator[pa.RecordBatch], path: str, width: int, dtype:
     release()
 
 
-def _assemble(pdf: pd.DataFrame, width: int, dtype: str) -> pd.DataFrame:
+def _assemble(t: pa.Table, width: int, dtype: str) -> pa.Table:
+    """In Arrow throughout, where a 64-bit id beside a null one stays what it is."""
     size = np.dtype(dtype).itemsize
-    pdf = pdf.sort_values(["rid", "piece"], ignore_index=True)
-    doc_ids = [None if x is None or x != x else int(x) for x in pdf.doc_id]
-    lengths = [len(x) // size for x in pdf.ids]
+    t = t.sort_by([("rid", "ascending"), ("piece", "ascending")])
+    doc_ids, pieces, parts, first = t.column("doc_id").to_pylist(), t.column("piece").to_pylist(), t.column("ids").to_pylist(), t.column("grp")[0].as_py() << 32
+    lengths = [len(x) // size for x in parts]
     out = []
     for r, members in enumerate(best_fit_decreasing(lengths, width)):
         ends = np.cumsum([lengths[i] for i in members]).tolist()
         pad = np.full(width - ends[-1], PAD_ID, dtype).tobytes()
-        ids = b"".join(pdf.ids[i] for i in members) + pad
-        out.append(((int(pdf.grp[0]) << 32) + r, ends[-1], [doc_ids[i] for i in members], [int(pdf.piece[i]) for i in members], [0, *ends], [0, *ends[:-1]], ids))
-    return pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+        ids = b"".join(parts[i] for i in members) + pad
+        out.append((first + r, ends[-1], [doc_ids[i] for i in members], [pieces[i] for i in members], [0, *ends], [0, *ends[:-1]], ids))
+    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3, pa.binary())
+    columns = list(zip(*out, strict=True))
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def packed_matrix(docs: DataFrame, tokenizer: str | None = None, width: int = WIDTH, dtype: str = DTYPE, group_bytes: int = GROUP_BYTES, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -136,7 +140,7 @@ def packed_matrix(docs: DataFrame, tokenizer: str | None = None, width: int = WI
     groups = max(1, -(-size // group_bytes))
     raw = with_row_ids(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")), "rid").select("doc_id", "text", "rid")
     tokens = raw.mapInArrow(lambda b: _tokenised(b, path, width, dtype, groups), "grp long, doc_id long, piece int, ids binary, rid long")
-    return tokens.groupBy("grp").applyInPandas(lambda pdf: _assemble(pdf, width, dtype), SCHEMA)
+    return tokens.groupBy("grp").applyInArrow(lambda t: _assemble(t, width, dtype), SCHEMA)
 
 
 def position_ids(cu_seqlens: list[int], width: int = WIDTH) -> np.ndarray:
@@ -147,14 +151,15 @@ def position_ids(cu_seqlens: list[int], width: int = WIDTH) -> np.ndarray:
     return out
 
 
-def unpacked(rows: pd.DataFrame, dtype: str = DTYPE) -> pd.DataFrame:
-    """doc_id, piece, ids: every segment of collected rows."""
+def unpacked(rows: DataFrame, dtype: str = DTYPE) -> pd.DataFrame:
+    """doc_id (objects, so that 64-bit ids beside null ones stay what they are), piece, ids: every segment of a matrix small enough for the driver."""
     out = []
-    for r in rows.itertuples():
+    for r in rows.select("doc_ids", "pieces", "cu_seqlens", "input_ids").collect():
         ids = np.frombuffer(r.input_ids, dtype)
         for doc, piece, a, b in zip(r.doc_ids, r.pieces, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True):
             out.append((doc, piece, ids[a:b]))
-    return pd.DataFrame(out, columns=["doc_id", "piece", "ids"])
+    made = pd.DataFrame(out, columns=["doc_id", "piece", "ids"], dtype=object)
+    return made.astype({"piece": "int64"})
 
 
 def write_matrix(rows: DataFrame, path: str) -> None:

@@ -25,7 +25,7 @@ import numpy as np
 
 from .wordhash import WordHasher
 
-MEMO = 200_000
+MEMO = 100_000
 #: Texts are split and gathered in groups of about so many bytes.
 GROUP_BYTES = 1 << 20
 #: Longer stretches are left to the tokenizers library.

@@ -439,7 +439,8 @@ def test_token_output_round_trip(spark, tmp_path, tokenizer):
     rows = token_output.packed_matrix(docs, width=64, group_bytes=8000)
     path = str(tmp_path / "matrix")
     token_output.write_matrix(rows, path)
-    pdf = spark.read.parquet(path).toPandas()
+    matrix = spark.read.parquet(path)
+    pdf = matrix.toPandas()
     got = Counter()
     texts = defaultdict(dict)
     assert pdf.row_id.is_unique
@@ -449,7 +450,7 @@ def test_token_output_round_trip(spark, tmp_path, tokenizer):
         pos = token_output.position_ids(list(r.cu_seqlens), 64)
         assert all(pos[a] == 0 for a in r.position_resets) and pos.max() < 64
         assert (np.frombuffer(r.input_ids, "<u2")[r.n_tokens :] == token_output.PAD_ID).all()
-    for d, p, x in token_output.unpacked(pdf).itertuples(index=False):
+    for d, p, x in token_output.unpacked(matrix).itertuples(index=False):
         got[(None if d is None or d != d else int(d), p, tuple(x.tolist()))] += 1
     want = Counter()
     for i, t, _, _ in data.ROWS:
