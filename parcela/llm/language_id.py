@@ -36,8 +36,8 @@ from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -143,14 +143,14 @@ def most_frequent(entries: DataFrame, most: int) -> DataFrame:
 
 
 def _hashes(items: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in items), np.uint64, len(items))
+    """What Spark's xxhash64 gives for each string."""
+    return np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in items), np.uint64, len(items)).view(np.int64)
 
 
 class Lexicon:
     """Scores of one kind of entry by 64-bit hash, a sparse row for each: which languages have it, and how far over the penalty."""
 
-    def __init__(self, items: list[str], langs: np.ndarray, scores: np.ndarray):
-        h = _hashes(items)
+    def __init__(self, h: np.ndarray, langs: np.ndarray, scores: np.ndarray):
         order = np.lexsort((langs, h))
         self.keys, starts = np.unique(h[order], return_index=True)
         self.starts = np.append(starts, len(h)).astype(np.int64)
@@ -174,15 +174,14 @@ class Lexicon:
 class Model:
     """Languages by name; a lexicon of words (order 0) and one of n-grams of each order. Bounded by MAX_ENTRIES an order."""
 
-    def __init__(self, langs: list[str], entries: pd.DataFrame, totals: dict[tuple[int, str], int], penalty: float):
-        self.langs, self.penalty = langs, penalty
-        number = {x: i for i, x in enumerate(langs)}
-        self.orders = []
-        for order in range(max([0, *entries.ord]) + 1):
-            e = entries[entries.ord == order]
-            rel = np.array([n / totals[order, lang] for n, lang in zip(e.n, e.lang, strict=True)])
-            scores = np.maximum(np.log10(rel), -penalty) + penalty if len(e) else np.zeros(0)
-            self.orders.append(Lexicon(list(e.item), np.array([number[x] for x in e.lang], np.int64), scores))
+    def __init__(self, langs: list[str], order: np.ndarray, lang: np.ndarray, item: np.ndarray, n: np.ndarray, totals: dict[tuple[int, str], int], penalty: float):
+        """Entries: order, number of the language, hash of the item, count. totals: of each order and language."""
+        self.langs, self.penalty, self.orders = langs, penalty, []
+        for k in range(max([0, *(o for o, _ in totals)]) + 1):
+            mine = order == k
+            total = np.array([totals.get((k, x), 1) for x in langs], np.float64)
+            scores = np.maximum(np.log10(n[mine] / total[lang[mine]]), -penalty) + penalty
+            self.orders.append(Lexicon(item[mine], lang[mine], scores))
 
     def word_scores(self, vocabulary: list[str]) -> np.ndarray:
         """Scores over the penalty of each word in each language."""
@@ -209,10 +208,10 @@ class Model:
         docs, ids, times = [], [], []
         for i, t in enumerate(texts):
             for part in words(t or ""):
-                found, n = np.unique(np.fromiter((number.setdefault(w, len(number)) for w in part), np.int64, len(part)), return_counts=True)
-                docs.append(np.full(len(found), i))
-                ids.append(found)
-                times.append(n)
+                c = Counter(part)
+                docs.append(np.full(len(c), i))
+                ids.append(np.fromiter((number.setdefault(w, len(number)) for w in c), np.int64, len(c)))
+                times.append(np.fromiter(c.values(), np.int64, len(c)))
         doc, word, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (docs, ids, times))
         n_words = np.bincount(doc, n, len(texts))
         order = np.argsort(word, kind="stable")
@@ -245,7 +244,11 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", ord
     shorter = parts.groupBy("ord", "lang", "gram").agg(F.sum("n").alias("n")).select("ord", "lang", F.col("gram").alias("item"), "n")
     entries = written(known.select(F.lit(0).alias("ord"), "lang", F.col("word").alias("item"), "n").unionByName(shorter), "entries")
     totals = {(r.ord, r.lang): r.n for r in entries.groupBy("ord", "lang").agg(F.sum("n").alias("n")).collect()}  # languages times orders
-    model = Model(sorted({lang for _, lang in totals}), most_frequent(entries, max_entries).toPandas(), totals, penalty)
+    langs = sorted({lang for _, lang in totals})
+    kept = most_frequent(entries, max_entries).select("ord", "lang", F.xxhash64("item").alias("h"), "n").toArrow()  # no strings but languages
+    order, lang, item, n = (kept.column(c).combine_chunks() for c in ("ord", "lang", "h", "n"))
+    number = pc.index_in(lang, pa.array(langs, lang.type))
+    model = Model(langs, *(x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (order, number, item, n)), totals, penalty)
     drop_written(known)
     drop_written(entries)
     return model

@@ -175,12 +175,8 @@ def test_language_id_with_nothing_learned_or_asked(spark, tmp_path):
 
 def test_language_id_long_text(monkeypatch):
     """A text of over a megabyte is taken in parts and scored as a whole."""
-    from parcela.llm.language_id import Model
-
-    import pandas as pd
-
-    entries = pd.DataFrame({"ord": [0, 0, 1, 1], "lang": ["a", "b", "a", "b"], "item": ["xx", "yy", "x", "y"], "n": [5, 5, 3, 3]})
-    model = Model(["a", "b"], entries, {(0, "a"): 10, (0, "b"): 10, (1, "a"): 9, (1, "b"): 9}, 7.0)
+    items = language_id._hashes(["xx", "yy", "x", "y"])
+    model = language_id.Model(["a", "b"], np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1]), items, np.array([5, 5, 3, 3]), {(0, "a"): 10, (0, "b"): 10, (1, "a"): 9, (1, "b"): 9}, 7.0)
     text = "xx " * 300_000 + "yy " * 200_000
     assert len(text) > language_id.PLAIN and len(list(language_id.words(text))) > 5
     lang, p = model.predict([text])[0]
