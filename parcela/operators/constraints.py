@@ -6,9 +6,10 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcela.sources.shared import written
 
@@ -159,8 +160,11 @@ class MaxHamming:
     def distances(self, nodes: DataFrame, initial: DataFrame, plans: DataFrame) -> DataFrame:
         norm = self.norm
 
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            m = pdf.pivot_table(index="d0", columns="d1", values="pop", aggfunc="sum", fill_value=0).to_numpy(float)
+        def one(t: pa.Table) -> pa.Table:  # in Arrow, where a plan's id of any type passes as it is
+            d0, d1, pop = (t.column(c).to_numpy() for c in ("d0", "d1", "pop"))
+            rows, columns = (np.unique(d, return_inverse=True)[1] for d in (d0, d1))
+            m = np.zeros((rows.max() + 1, columns.max() + 1))
+            np.add.at(m, (rows, columns), pop.astype(float))
             k = max(m.shape)
             full = np.zeros((k, k))
             full[: m.shape[0], : m.shape[1]] = m
@@ -169,10 +173,12 @@ class MaxHamming:
             before, after = full.sum(1), full.sum(0)[to]
             with np.errstate(invalid="ignore", divide="ignore"):
                 moved = (np.nan_to_num(1 - kept / before) + np.nan_to_num(1 - kept / after)) / 2
-            return pd.DataFrame({"plan_id": [pdf.plan_id.iloc[0]], "distance": [moved.mean() if norm == "1" else moved.max()]})
+            return pa.table({"plan_id": t.column("plan_id").slice(0, 1), "distance": [float(moved.mean() if norm == "1" else moved.max())]})
 
-        matrix = intersection_matrix(nodes, initial, plans, self.population).withColumn("plan_id", F.col("plan_id").cast("long"))
-        return matrix.groupBy("plan_id").applyInPandas(one, "plan_id long, distance double")
+        matrix = intersection_matrix(nodes, initial, plans, self.population)
+        kind = matrix.schema["plan_id"].dataType
+        schema = T.StructType([T.StructField("plan_id", kind), T.StructField("distance", T.DoubleType())])
+        return matrix.groupBy("plan_id").applyInArrow(one, schema)
 
     def check(self, nodes: DataFrame, plans: DataFrame, initial: DataFrame) -> DataFrame:
         return self.distances(nodes, initial, plans).select("plan_id", (F.col("distance") <= self.most).alias("ok"))

@@ -245,12 +245,12 @@ def apply(g: LocalGraph, s: State, update: tuple) -> None:
 
 
 def one_tree(g: LocalGraph, s: State, rng: np.random.Generator) -> None:
-    """A uniform edge inside any tree, exchanged against one of the cycle it closes."""
-    while True:
+    """A uniform edge inside any tree, exchanged against one of the cycle it closes. Nothing where every district is one node."""
+    while s.tree:
         e = int(rng.integers(len(g.u)))
         if s.assign[g.u[e]] == s.assign[g.v[e]]:
+            one_tree_exchange(g, s.links, s.tree, e, rng)
             break
-    one_tree_exchange(g, s.links, s.tree, e, rng)
 
 
 def check_mix(mix: dict[str, float]) -> None:

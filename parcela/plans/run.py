@@ -1,13 +1,20 @@
 """A run from its parameters to an ensemble file: graph, chains in chunks, maps with reports and diagnostics.
 
 Each chunk of steps is one job. Its rows, forests included, are written to
-``state``; the maps of a chunk are made from these rows alone and replace those
-of an earlier attempt. So a run that was broken off goes on from its last whole
-chunk, with the same result, and no task holds more than a chunk's outputs.
+``state`` under the steps that it holds; the maps of a chunk are made from these
+rows alone and replace those of an earlier attempt. So a run that was broken off
+goes on from its last whole chunk, with the same result, and no task holds more
+than a chunk's outputs.
+
+The header says which run it is: all parameters, the energies with their weights,
+the graph's size, and the chunk. A run that finds the header of another one
+refuses to go on; only its number of steps may have grown. (Functions can't be
+compared: energies of the user's are told apart by name and weight.)
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +30,8 @@ from parcela.spec import Graph, GraphSpec
 
 #: Nodes up to which a graph is held whole by every task of a chain.
 LOCAL_NODES = 2_000_000
+#: What may differ between a header and the run that goes on with it.
+MAY_GROW = "two_tree_steps"
 
 
 def spec_of(config: run_config.RunConfig) -> GraphSpec:
@@ -52,6 +61,18 @@ def _maps(writer: ensemble.Writer, rows: DataFrame, graph: Graph, g: LocalGraph)
     return maps
 
 
+def same_run(spark: SparkSession, path: str, header: ensemble.Header) -> None:
+    """Raises if ``path`` holds another run than that of ``header``."""
+    found = ensemble.find_header(spark, path)
+    if found is None:
+        return
+    old, new = json.loads(json.dumps(asdict(found))), json.loads(json.dumps(asdict(header)))
+    old, new = ({k: v for k, v in h.items() if k not in ("date", "extra")} | h["extra"] for h in (old, new))
+    other = sorted(k for k in {*old, *new} if old.get(k) != new.get(k) and not (k == MAY_GROW and old.get(k, 0) < new[k]))
+    if other:
+        raise ValueError(f"{path} holds another run: " + ", ".join(f"{k} was {old.get(k)}, is {new.get(k)}" for k in other))
+
+
 def run(
     spark: SparkSession, config: run_config.RunConfig, graph: Graph | None = None, chunk_outputs: int = 100, energies: dict[str, Energy] | None = None,
     weights: dict[str, float] | None = None,
@@ -62,23 +83,26 @@ def run(
     bounds = Population.around(float(g.pop.sum()), config.districts, config.tolerance, population=graph.spec.population)
     mix = {"two_tree": config.two_tree_frac, "one_tree": 1 - config.two_tree_frac}
     measure = {"log_forests": config.gamma, "isoperimetric": config.iso_weight} | (weights or {})
-    header = ensemble.Header(config.districts, bounds.low, bounds.high, list(measure), list(measure.values()), list(graph.spec.levels), extra=asdict(config))
-    writer = ensemble.Writer(spark, config.output, header)
     size, state, done = config.every * chunk_outputs, None, 0
+    extra = asdict(config) | {"chunk": size, "nodes": len(g.ids), "edges": len(g.u), "people": float(g.pop.sum())}
+    header = ensemble.Header(config.districts, bounds.low, bounds.high, list(measure), list(measure.values()), list(graph.spec.levels), extra=extra)
+    same_run(spark, config.output, header)
+    writer = ensemble.Writer(spark, config.output, header)
     while done < config.steps:
-        n = min(size, config.steps - done)
-        rows = ensemble.read_part(spark, f"{config.output}/state", done + n)
-        if rows is None:
+        n, folder = min(size, config.steps - done), f"{config.output}/state"
+        found = ensemble.find_part(spark, folder, done + 1)
+        if found is None:
             chains = run_config.chains(spark, config).withColumn("steps", F.lit(n).cast("long"))
             made = (
                 run_chains(chains, g, config.districts, bounds.low, bounds.high, config.every, mix, measure, energies) if state is None
                 else resume(state, g, n, bounds.low, bounds.high, config.every, mix, measure, energies)
             )
-            made.write.mode("overwrite").parquet(f"{config.output}/state/part-{done + n}")
-            rows = ensemble.read_part(spark, f"{config.output}/state", done + n)
-        writer.output(_maps(writer, rows, graph, g), done + n)
-        last = rows.groupBy("chain_id").agg(F.max("step").alias("step"))
-        state, done = rows.join(last, ["chain_id", "step"]), done + n
+            made.write.mode("overwrite").parquet(f"{folder}/part-{ensemble.part_name(done + 1, done + n)}")
+            found = ensemble.find_part(spark, folder, done + 1)
+        rows, last = found
+        writer.output(_maps(writer, rows, graph, g), ensemble.part_name(done + 1, last))
+        ends = rows.groupBy("chain_id").agg(F.max("step").alias("step"))
+        state, done = rows.join(ends, ["chain_id", "step"]), last
     writer.close()
     return ensemble.read_maps(spark, config.output)
 

@@ -61,8 +61,8 @@ class Writer:
         districting = F.col("districting") if self.with_districting else F.create_map().cast(maps.schema["districting"].dataType)
         return out.select(map_name("step").alias("name"), F.lit(1.0).alias("weight"), districting.alias("districting"), data.alias("data"))
 
-    def output(self, maps: DataFrame, part: int | None = None) -> None:
-        """Appends maps; or, as part of a number, puts them in the place of an earlier attempt at that part."""
+    def output(self, maps: DataFrame, part: str | None = None) -> None:
+        """Appends maps; or, as a part with a name, puts them in the place of an earlier attempt at that part."""
         out = self.rows(maps).write.option("compression", "gzip" if self.compress else "none")
         if part is None:
             out.mode("append").json(f"{self.path}/maps")
@@ -81,17 +81,36 @@ def read_header(spark: SparkSession, path: str) -> Header:
     return Header(**json.loads(spark.read.text(f"{path.rstrip('/')}/header").first()[0]))
 
 
+def _path(spark: SparkSession, path: str):
+    """A path of Hadoop's, and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def find_header(spark: SparkSession, path: str) -> Header | None:
+    """The header of an ensemble that was begun at ``path``, or None."""
+    at, store = _path(spark, f"{path.rstrip('/')}/header/_SUCCESS")
+    return read_header(spark, path) if store.exists(at) else None
+
+
 def read_maps(spark: SparkSession, path: str) -> DataFrame:
     schema = "name string, weight double, districting map<string,int>, data map<string,string>"
     return spark.read.schema(schema).option("recursiveFileLookup", True).json(f"{path.rstrip('/')}/maps")
 
 
-def read_part(spark: SparkSession, path: str, part: int) -> DataFrame | None:
-    """A part written whole; None where there is none, or only an attempt at it."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-{part}")
-    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = store.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS"))
-    return spark.read.parquet(folder.toString()) if done else None
+def part_name(first: int, last: int) -> str:
+    """Parts are named by the steps that they hold."""
+    return f"{first}-{last}"
+
+
+def find_part(spark: SparkSession, path: str, first: int) -> tuple[DataFrame, int] | None:
+    """The part that begins with a step and is written whole, and its last step; None where there is none, or only an attempt at it."""
+    at, store = _path(spark, f"{path}/part-{first}-*/_SUCCESS")
+    found = store.globStatus(at) or []
+    if not len(found):
+        return None
+    folder = found[0].getPath().getParent()
+    return spark.read.parquet(folder.toString()), int(folder.getName().rpartition("-")[2])
 
 
 def map_plans(maps: DataFrame) -> DataFrame:
