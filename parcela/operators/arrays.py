@@ -13,8 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parcela.spec import Graph
 
@@ -46,25 +48,52 @@ class GraphArrays:
         return cls(ids, place("src"), place("dst"), {c: n[c].to_numpy() for c in n}, {c: e[c].to_numpy() for c in e if c not in ("src", "dst")})
 
 
-def as_arrays(plans: DataFrame) -> DataFrame:
-    """plan_id, districts: from rows (plan_id, node, district)."""
-    pairs = F.array_sort(F.collect_list(F.struct("node", "district")))
-    return plans.groupBy("plan_id").agg(F.transform(pairs, lambda p: p["district"].cast("int")).alias("districts"))
+#: Stands for the district of a node that a plan doesn't hold; a null in the array.
+ABSENT = -(2**31)
+
+
+def as_arrays(plans: DataFrame, g: GraphArrays) -> DataFrame:
+    """plan_id, districts: from rows (plan_id, node, district), each district at its node's place; null where a plan doesn't hold a node."""
+    shared = plans.sparkSession.sparkContext.broadcast(g.ids)
+    kind = plans.schema["plan_id"].dataType
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = shared.value
+        for b in batches:
+            for one in (b.slice(i, 1) for i in range(b.num_rows)):
+                pairs = one.column(1).flatten()
+                node, district = (pairs.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                at = np.minimum(np.searchsorted(ids, node), len(ids) - 1)
+                if (ids[at] != node).any():
+                    raise ValueError(f"a plan has nodes that the graph lacks, as {node[ids[at] != node][0]}")
+                d = np.full(len(ids), ABSENT, np.int32)
+                d[at] = district
+                values = pa.array(d, mask=d == ABSENT)
+                yield pa.RecordBatch.from_arrays([one.column(0), pa.ListArray.from_arrays(pa.array([0, len(d)], pa.int32()), values)], ["plan_id", "districts"])
+
+    held = plans.filter(F.col("node").isNotNull() & F.col("district").isNotNull())
+    pairs = F.collect_list(F.struct(F.col("node").cast("long").alias("node"), F.col("district").cast("int").alias("district"))).alias("pairs")
+    schema = T.StructType([T.StructField("plan_id", kind), T.StructField("districts", T.ArrayType(T.IntegerType()))])
+    return held.groupBy("plan_id").agg(pairs).mapInArrow(place, schema)
 
 
 def as_rows(plans: DataFrame, g: GraphArrays) -> DataFrame:
     """plan_id, node, district."""
     spark = plans.sparkSession
     ids = spark.createDataFrame([(i, int(x)) for i, x in enumerate(g.ids)], "pos int, node long")  # as long as the graph
-    rows = plans.select("plan_id", F.posexplode("districts").alias("pos", "district"))
+    rows = plans.select("plan_id", F.posexplode("districts").alias("pos", "district")).filter("district IS NOT NULL")
     return rows.join(F.broadcast(ids), "pos").select("plan_id", "node", "district")
 
 
 def _each(plans: DataFrame, g: GraphArrays, f: Callable, schema: str) -> DataFrame:
-    """f(graph, districts as a matrix) gives the row of each value and the columns of ``schema``."""
+    """f(graph, districts as a matrix) gives the row of each value and the columns of ``schema``.
+
+    A null in an array is ABSENT in the matrix; a plan whose array is null has no
+    rows, as elsewhere; an array of another length than the graph is an error.
+    """
     shared = plans.sparkSession.sparkContext.broadcast(g)
-    kind = plans.schema["plan_id"].dataType.simpleString()
     names = ["plan_id", *[x.split()[0] for x in schema.split(", ")]]
+    made = T.StructType([T.StructField("plan_id", plans.schema["plan_id"].dataType), *T.StructType.fromDDL(schema).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = shared.value
@@ -72,18 +101,27 @@ def _each(plans: DataFrame, g: GraphArrays, f: Callable, schema: str) -> DataFra
         for b in batches:
             for at in range(0, b.num_rows, step):
                 part = b.slice(at, step)
-                d = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                lengths = set(pc.list_value_length(part.column(1)).to_pylist()) - {len(graph.ids)}
+                if lengths:
+                    raise ValueError(f"a plan has {lengths.pop()} places, the graph {len(graph.ids)} nodes")
+                d = pc.fill_null(part.column(1).flatten(), ABSENT).to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                 row, *columns = f(graph, d)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), *[pa.array(c) for c in columns]], names)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), *[pa.array(c) for c in columns]], names)
 
-    return plans.select("plan_id", F.col("districts").cast("array<int>")).mapInArrow(run, f"plan_id {kind}, {schema}")
+    return plans.select("plan_id", F.col("districts").cast("array<int>")).filter("districts IS NOT NULL").mapInArrow(run, made)
+
+
+def _cut(graph: GraphArrays, d: np.ndarray) -> np.ndarray:
+    """Which edges lie between two districts of each plan."""
+    a, b = d[:, graph.src], d[:, graph.dst]
+    return (a != b) & (a != ABSENT) & (b != ABSENT)
 
 
 def cut_edges(plans: DataFrame, g: GraphArrays, column: str | None = "connections") -> DataFrame:
     """plan_id, cut_edges: as ``observables.cut_edges``, without a shuffle."""
 
     def one(graph: GraphArrays, d: np.ndarray):
-        cut = d[:, graph.src] != d[:, graph.dst]
+        cut = _cut(graph, d)
         return np.arange(len(d)), cut.sum(1) if column is None else cut @ graph.edges[column].astype(float)
 
     return _each(plans, g, one, f"cut_edges {'long' if column is None else 'double'}")
@@ -93,9 +131,8 @@ def cross_edges(plans: DataFrame, g: GraphArrays) -> DataFrame:
     """plan_id, d1 < d2, src, dst: each edge between two districts."""
 
     def one(graph: GraphArrays, d: np.ndarray):
-        a, b = d[:, graph.src], d[:, graph.dst]
-        row, e = np.nonzero(a != b)
-        a, b = a[row, e], b[row, e]
+        row, e = np.nonzero(_cut(graph, d))
+        a, b = d[row, graph.src[e]], d[row, graph.dst[e]]
         return row, np.minimum(a, b), np.maximum(a, b), graph.ids[graph.src[e]], graph.ids[graph.dst[e]]
 
     return _each(plans, g, one, "d1 int, d2 int, src long, dst long")
@@ -113,8 +150,8 @@ def _sums(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.nda
 
 
 def _by_district(d: np.ndarray, *values: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    row = np.repeat(np.arange(len(d)), d.shape[1])
-    return _sums([row, d.ravel()], [np.tile(v, len(d)) for v in values])
+    row, at = np.nonzero(d != ABSENT)
+    return _sums([row, d[row, at]], [v[at] for v in values])
 
 
 def district_sums(plans: DataFrame, g: GraphArrays, column: str, kind: str = "long") -> DataFrame:
@@ -136,9 +173,8 @@ def node_counts(plans: DataFrame, g: GraphArrays) -> DataFrame:
 
 
 def _crossing(graph: GraphArrays, d: np.ndarray, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    a, b = d[:, graph.src], d[:, graph.dst]
-    row, e = np.nonzero(a != b)
-    return row, a[row, e], b[row, e], graph.edges[column][e].astype(float)
+    row, e = np.nonzero(_cut(graph, d))
+    return row, d[row, graph.src[e]], d[row, graph.dst[e]], graph.edges[column][e].astype(float)
 
 
 def isoperimetric(plans: DataFrame, g: GraphArrays, perimeter: str = "length", area: str = "area", border: str = "border_length") -> DataFrame:
@@ -148,8 +184,9 @@ def isoperimetric(plans: DataFrame, g: GraphArrays, perimeter: str = "length", a
         (row, district), (size, own) = _by_district(d, graph.nodes[area].astype(float), graph.nodes[border].astype(float))
         at, a, b, w = _crossing(graph, d, perimeter)
         (r2, d2), (cut,) = _sums([np.concatenate([at, at]), np.concatenate([a, b])], [np.concatenate([w, w])])
-        span = int(d.max(initial=0)) + 1
-        own[np.searchsorted(row * span + district, r2 * span + d2)] += cut
+        low = int(district.min(initial=0))
+        span = int(district.max(initial=0)) - low + 1
+        own[np.searchsorted(row * span + district - low, r2 * span + d2 - low)] += cut
         return row, district, own, size, own**2 / size
 
     return _each(plans, g, one, "district int, perimeter double, area double, score double")

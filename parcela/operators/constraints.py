@@ -35,12 +35,17 @@ class Population:
 
 @dataclass(frozen=True)
 class PackNodes:
-    """Each unit of n ideal districts must hold at least floor(n) - unpack whole districts."""
+    """Each unit of n ideal districts must hold at least floor(n) - unpack whole districts.
+
+    With ``districts``, plans of fewer ones are being built: what such a plan has
+    not yet claimed of a unit counts for floor(rest / ideal) districts.
+    """
 
     unit: str
     ideal: float
     unpack: int = 0
     population: str = "pop"
+    districts: int | None = None
 
     def targets(self, nodes: DataFrame) -> DataFrame:
         t = nodes.groupBy(self.unit).agg((F.floor(F.sum(self.population) / self.ideal) - self.unpack).alias("target"))
@@ -51,7 +56,17 @@ class PackNodes:
         per = units.groupBy("plan_id", "district").agg(F.min(self.unit).alias(self.unit), F.count("*").alias("k"))
         whole = per.filter("k = 1").groupBy("plan_id", self.unit).agg(F.count("*").alias("packed"))
         every = units.select("plan_id", self.unit).distinct().join(self.targets(nodes), self.unit)
+        if self.districts is not None:  # a unit that no district has reached has to be asked as well
+            every = plans.select("plan_id").distinct().join(F.broadcast(self.targets(nodes)))  # one row a unit over the ideal
         got = every.join(whole, ["plan_id", self.unit], "left").withColumn("packed", F.coalesce("packed", F.lit(0)))
+        if self.districts is not None:
+            pops = nodes.select(F.col("id").alias("node"), self.unit, F.col(self.population).alias("people"))
+            size = pops.groupBy(self.unit).agg(F.sum("people").alias("size"))
+            claimed = plans.join(pops, "node").groupBy("plan_id", self.unit).agg(F.sum("people").alias("claimed"))
+            number = plans.groupBy("plan_id").agg(F.count_distinct("district").alias("number"))
+            got = got.join(claimed, ["plan_id", self.unit], "left").join(size, self.unit).join(number, "plan_id")
+            rest = F.floor((F.col("size") - F.coalesce("claimed", F.lit(0))) / self.ideal)
+            got = got.withColumn("packed", F.col("packed") + F.when((F.col("number") < self.districts) & (F.col("packed") < F.col("target")), rest).otherwise(0))
         out = got.groupBy("plan_id").agg(F.bool_and(F.col("packed") >= F.col("target")).alias("ok"))
         return plans.select("plan_id").distinct().join(out, "plan_id", "left").select("plan_id", F.coalesce("ok", F.lit(True)).alias("ok"))
 

@@ -11,8 +11,12 @@ from collections import defaultdict, deque
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from parcela.sources.shared import written
 
 
 def inner_edges(edges: DataFrame, plans: DataFrame, weight: str = "connections") -> DataFrame:
@@ -48,17 +52,54 @@ def component_labels(edges: DataFrame, plans: DataFrame) -> DataFrame:
     """plan_id, district, node, component: the least node connected to each inside its district."""
     links = inner_edges(edges, plans).select("plan_id", "district", "u", "v")
     rows = links.unionByName(plans.select("plan_id", "district", F.col("node").alias("u"), F.col("node").alias("v")))
-    kind = plans.schema["district"].dataType.simpleString()
-    schema = f"plan_id {plans.schema['plan_id'].dataType.simpleString()}, district {kind}, node long, component long"
+    schema = T.StructType([T.StructField(c, plans.schema[c].dataType) for c in ("plan_id", "district")] + [T.StructField(c, T.LongType()) for c in ("node", "component")])
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+    def label(t: pa.Table) -> pa.Table:  # in Arrow, where a plan's id of any type passes as it is
         uf = UnionFind()
-        for u, v in zip(pdf.u, pdf.v, strict=True):
+        for u, v in zip(t.column("u").to_pylist(), t.column("v").to_pylist(), strict=True):
             uf.join(u, v)
         nodes = sorted(uf.up)
-        return pd.DataFrame({"plan_id": pdf.plan_id.iloc[0], "district": pdf.district.iloc[0], "node": nodes, "component": [uf.find(x) for x in nodes]})
+        first = t.select(["plan_id", "district"]).take(pa.array(np.zeros(len(nodes), np.int64)))
+        return first.append_column("node", pa.array(nodes, pa.int64())).append_column("component", pa.array([uf.find(x) for x in nodes], pa.int64()))
+
+    return rows.groupBy("plan_id", "district").applyInArrow(label, schema)
+
+
+STARS = ["plan_id", "district", "u"]
+
+
+def _flip(e: DataFrame) -> DataFrame:
+    return e.select("plan_id", "district", F.col("v").alias("u"), F.col("u").alias("v"))
 
-    return rows.groupBy("plan_id", "district").applyInPandas(label, schema)
+
+def _star_round(e: DataFrame) -> DataFrame:
+    """Large-star and small-star over edges u > v of every plan and district: each node's larger neighbours move to the least it knows, then its smaller ones."""
+    both = e.unionByName(_flip(e))
+    least = both.groupBy(*STARS).agg(F.min("v").alias("least")).withColumn("least", F.least("u", "least"))
+    large = written(both.filter("v > u").join(least, STARS).select("plan_id", "district", F.col("v").alias("u"), F.col("least").alias("v")).distinct(), "large_star")
+    low = large.groupBy(*STARS).agg(F.min("v").alias("least"))
+    moved = large.join(low, STARS).filter("v <> least").select("plan_id", "district", F.col("v").alias("u"), F.col("least").alias("v"))
+    return written(moved.unionByName(low.withColumnRenamed("least", "v")).distinct(), "small_star")
+
+
+def component_labels_by_rounds(edges: DataFrame, plans: DataFrame) -> DataFrame:
+    """As ``component_labels``, for districts that are too large for a task: alternating stars, all plans and districts at once.
+
+    A round is joins and aggregates on (plan, district, node), written to the
+    shared folder; their number grows with the logarithm of the nodes.
+    """
+    links = inner_edges(edges, plans).filter("u <> v")
+    e = written(links.select("plan_id", "district", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    state = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64(*STARS, "v").cast("decimal(38,0)"))).first()
+    before = state(e)
+    while before[0]:
+        e = _star_round(e)
+        if (now := state(e)) == before:
+            break
+        before = now
+    roots = e.select("plan_id", "district", F.col("u").alias("node"), F.col("v").alias("component"))  # every node hangs on its least
+    rows = plans.select("plan_id", "district", "node").join(roots, ["plan_id", "district", "node"], "left")
+    return rows.select("plan_id", "district", F.col("node").cast("long").alias("node"), F.coalesce("component", "node").cast("long").alias("component"))
 
 
 def connected(edges: DataFrame, plans: DataFrame) -> DataFrame:
@@ -182,6 +223,11 @@ def distances(trees: DataFrame, start: int) -> DataFrame:
     return _per_tree(trees, lambda near: pd.DataFrame(sorted(hops(near, start).items()), columns=["node", "hops"]), "node long, hops int")
 
 
+def tree_reach(trees: DataFrame) -> DataFrame:
+    """tree_id, reached: nodes of the component of the least node, itself included; all of them, if the edges are one tree."""
+    return _per_tree(trees, lambda near: pd.DataFrame({"reached": [len(hops(near, min(near)))]}), "reached long")
+
+
 def diameters(trees: DataFrame) -> DataFrame:
     """tree_id, diameter in edges: the farthest node from a farthest node."""
 

@@ -20,7 +20,7 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcela.operators import observables as O
+from parcela.operators import arrays as A
 from parcela.operators.constraints import Population
 from parcela.plans.chain import LOG_FIELDS, Energy, as_plans, resume, run_chains
 from parcela.plans.forest import LocalGraph
@@ -47,15 +47,16 @@ def local_graph(graph: Graph) -> LocalGraph:
 
 def _maps(writer: ensemble.Writer, rows: DataFrame, graph: Graph, g: LocalGraph) -> DataFrame:
     """Rows of an ensemble file: the plan by node name, its cut edges, and the diagnostics of the proposals since the last map."""
-    plans = as_plans(rows, g)
+    plans = rows.select(F.struct("chain_id", "step").alias("plan_id"), "districts")
     name = graph.spec.levels[-1]
     names = graph.nodes.select(F.col("id").alias("node"), F.col(name).cast("string").alias("name"))
-    maps = ensemble.node_map(plans, names).select("plan_id", "plan_id.step", "districting")
+    maps = ensemble.node_map(as_plans(rows, g), names).select("plan_id", "plan_id.step", "districting")
+    weights = A.GraphArrays(g.ids, g.u, g.v, {}, {"weight": g.w})
     writer.reports = {}
     fields = [f for f in LOG_FIELDS if f != "proposal"]
     known = rows.select(F.struct("chain_id", "step").alias("plan_id"), "chain_id", *[F.col(f"log.{f}").alias(f) for f in fields])
     writer.push_report("chain_id", known, "chain_id")
-    writer.push_report("cut_edges", O.cut_edges(graph.edges, plans, weight=graph.spec.edge_weight, column=graph.spec.edge_weight), "cut_edges")
+    writer.push_report("cut_edges", A.cut_edges(plans, weights, "weight"), "cut_edges")
     for field in fields:
         writer.push_report(f"(two_tree,{field})", known, field)
     return maps

@@ -135,7 +135,8 @@ def small_arrays(f, edges=lambda spark, sf_dir, g: g.edges):
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         g = S.nation_lattice(spark, sf_dir)
-        return f(A.as_arrays(S.nation_plans(g.nodes)), A.GraphArrays.of(Graph(g.nodes, edges(spark, sf_dir, g), g.spec)))
+        local = A.GraphArrays.of(Graph(g.nodes, edges(spark, sf_dir, g), g.spec))
+        return f(A.as_arrays(S.nation_plans(g.nodes), local), local)
 
     return run
 
@@ -538,7 +539,7 @@ ISO = """own AS (SELECT plan_id, district, sum(area) AS area, sum(border_length)
 cutp AS (SELECT plan_id, d, sum(length) AS c FROM (SELECT plan_id, d1 AS d, length FROM crossing UNION ALL SELECT plan_id, d2, length FROM crossing) GROUP BY 1, 2),
 iso AS (SELECT own.plan_id, district, b + coalesce(c, 0) AS perimeter, area, (b + coalesce(c, 0)) * (b + coalesce(c, 0)) / area AS score FROM own LEFT JOIN cutp ON cutp.plan_id = own.plan_id AND d = district)"""
 register("e3_isoperimetric_scores", "SELECT plan_id, district, perimeter, area, score FROM iso", NATION, ISO)(small_arrays(A.isoperimetric))
-register("e4_isoperimetric_score", "SELECT plan_id, sum(pow(score, 0.5)) AS score FROM iso GROUP BY 1", NATION, ISO)(nation(lambda g, p: O.isoperimetric_score(O.isoperimetric(g.nodes, g.edges, p), 0.5)))
+register("e4_isoperimetric_score", "SELECT plan_id, sum(pow(score, 0.5)) AS score FROM iso GROUP BY 1", NATION, ISO)(small_arrays(lambda p, g: O.isoperimetric_score(A.isoperimetric(p, g), 0.5)))
 register("e5_vra_votes", "SELECT plan_id, election, stage, district, candidate, votes FROM vsums", NATION, VOTES)(voting(lambda s, w: s))
 register("e6_vra_margins", "SELECT plan_id, election, stage, district, margin FROM margins", NATION, VOTES)(voting(lambda s, w: O.performance_margins(s, "F")))
 register(
@@ -594,12 +595,9 @@ register(
 )(nation(lambda g, p: O.split_units(g.nodes, p, "county")))
 
 
-@register("e20_log_linking_edges", "SELECT plan_id, sum(ln(w)) AS energy FROM (SELECT pa.plan_id, least(pa.district, pb.district) AS a, greatest(pa.district, pb.district) AS b, sum(t.connections) AS w FROM trade t JOIN plans pa ON pa.node = t.src JOIN plans pb ON pb.node = t.dst AND pb.plan_id = pa.plan_id WHERE pa.district <> pb.district GROUP BY 1, 2, 3) GROUP BY 1", NATION, TRADE)
-def e20(spark, sf_dir):
-    g = S.nation_lattice(spark, sf_dir)
-    return O.log_linking_edges(S.trade_graph(spark, sf_dir), S.nation_plans(g.nodes))
-
-
+register("e20_log_linking_edges", "SELECT plan_id, sum(ln(w)) AS energy FROM (SELECT pa.plan_id, least(pa.district, pb.district) AS a, greatest(pa.district, pb.district) AS b, sum(t.connections) AS w FROM trade t JOIN plans pa ON pa.node = t.src JOIN plans pb ON pb.node = t.dst AND pb.plan_id = pa.plan_id WHERE pa.district <> pb.district GROUP BY 1, 2, 3) GROUP BY 1", NATION, TRADE)(
+    small_arrays(A.log_linking_edges, lambda spark, sf_dir, g: S.trade_graph(spark, sf_dir))
+)
 register("e21_minority_fraction", "SELECT plan_id, district, sum(CASE WHEN county < 2 THEN pop ELSE 0 END)::DOUBLE / nullif(sum(pop), 0) AS fraction FROM plans JOIN nodes ON id = node GROUP BY 1, 2", NATION)(
     nation(lambda g, p: O.minority_fraction(g.nodes.withColumn("m", F.when(F.col("county") < 2, F.col("pop")).otherwise(0)), p, "m", "pop"))
 )
@@ -787,6 +785,9 @@ COMPONENT = "label AS (SELECT plan_id, district, a AS node, min(b) AS component
 register("a7_component_sum", "SELECT plan_id, district, component, sum(pop)::BIGINT AS pop FROM label JOIN nodes ON id = node GROUP BY 1, 2, 3", NATION, REACH, COMPONENT, recursive=True)(
     nation(lambda g, p: R.component_labels(g.edges, p).join(g.nodes.select(F.col("id").alias("node"), "pop"), "node").groupBy("plan_id", "district", "component").agg(F.sum("pop").alias("pop")))
 )
+register("g1_components_by_rounds", "SELECT plan_id, district, node, component FROM (SELECT plan_id, district, a AS node, min(b) AS component FROM reach GROUP BY 1, 2, 3)", CUSTOMER, REACH, recursive=True)(
+    customer(lambda g, p: R.component_labels_by_rounds(g.edges, written(p, "plans")))
+)
 register("g11_component_sizes", "SELECT plan_id, district, component, count(*) AS nodes FROM label GROUP BY 1, 2, 3", NATION, REACH, COMPONENT, recursive=True)(
     nation(lambda g, p: R.component_labels(g.edges, p).groupBy("plan_id", "district", "component").agg(F.count("*").alias("nodes")))
 )
@@ -848,54 +849,78 @@ register("g3_subgraph", "SELECT src, dst, length, connections FROM edges JOIN no
 )
 
 
-def local(f, schema: str):
-    """Rows of f(seed, graph, bounds) on the nation lattice for eight seeds, one task each."""
+def _local(spark, sf_dir, lattice=S.nation_lattice):
+    from parcela.plans.forest import LocalGraph
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from parcela.plans.forest import LocalGraph
+    g = lattice(spark, sf_dir)
+    return g, LocalGraph.from_tables(g.nodes.toPandas(), g.edges.toPandas(), g.spec)
 
-        g = S.nation_lattice(spark, sf_dir)
-        graph = LocalGraph.from_tables(g.nodes.toPandas(), g.edges.toPandas())
-        bounds = C.Population.around(float(graph.pop.sum()), 5, 0.25)
+
+def seeded(f, schema: str, check, tolerance: float = 0.25):
+    """Rows of f(rng, graph, bounds) on the nation lattice for eight seeds, one task each, as a table (seed, ...) that ``check(g, rows, bounds)`` sums up.
+
+    The SQL has what is true of any right tree or plan; that these are is found from their rows, by joins with the graph.
+    """
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g, graph = _local(spark, sf_dir)
+        bounds = C.Population.around(float(graph.pop.sum()), 5, tolerance)
         shared = spark.sparkContext.broadcast(graph)
+        names = [x.split()[0] for x in schema.split(", ")]
 
         def one(pdf):
             import pandas as pd
 
             seed = int(pdf.seed.iloc[0])
-            return pd.DataFrame([(seed, *f(np.random.default_rng(seed), shared.value, bounds))], columns=[x.split()[0] for x in schema.split(", ")])
+            return pd.DataFrame(f(np.random.default_rng(seed), shared.value, bounds), columns=names).assign(seed=seed)[["seed", *names]]
 
-        return spark.range(8).withColumnRenamed("id", "seed").groupBy("seed").applyInPandas(one, schema)
+        rows = spark.range(8).withColumnRenamed("id", "seed").groupBy("seed").applyInPandas(one, f"seed long, {schema}")
+        return check(g, written(rows, "seeded"), bounds)
 
     return run
 
 
-def _spanning(sample):
+def _tree(sample):
     def f(rng, g, bounds):
         from parcela.plans import forest
 
-        tree = getattr(forest, sample)(g, list(range(len(g.ids))), rng)
-        order, _, pops = forest.subtree_pops(g, tree, 0)
-        return len(tree), len(order), pops[0]
+        tree = sorted(getattr(forest, sample)(g, list(range(len(g.ids))), rng))
+        return [(int(g.ids[g.u[e]]), int(g.ids[g.v[e]])) for e in tree]
 
     return f
 
 
-SPANNING = "SELECT seed::BIGINT AS seed, (SELECT count(*) - 1 FROM nodes)::BIGINT AS edges, (SELECT count(*) FROM nodes)::BIGINT AS reached, (SELECT sum(pop) FROM nodes)::DOUBLE AS pop FROM (SELECT unnest(range(8)) AS seed)"
+def _spanning(g, trees, bounds):
+    """seed, edges (of the graph), reached (nodes, from the first), pop (theirs)."""
+    edges = trees.join(g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), ["u", "v"], "left_semi").groupBy("seed").agg(F.count("*").alias("edges"))
+    seen = R.distances(trees.withColumnRenamed("seed", "tree_id"), 0).join(g.nodes.select(F.col("id").alias("node"), "pop"), "node")
+    seen = seen.groupBy(F.col("tree_id").alias("seed")).agg(F.count_distinct("node").alias("reached"), F.sum("pop").alias("pop"))
+    return edges.join(seen, "seed")
+
+
+SPANNING = "SELECT seed::BIGINT AS seed, (SELECT count(*) - 1 FROM nodes)::BIGINT AS edges, (SELECT count(*) FROM nodes)::BIGINT AS reached, (SELECT sum(pop) FROM nodes)::BIGINT AS pop FROM (SELECT unnest(range(8)) AS seed)"
 for _name, _sample in (("g5_wilson_tree", "wilson_tree"), ("g6_kruskal_tree", "kruskal_tree"), ("g7_exchange_tree", "exchange_tree")):
-    register(_name, SPANNING, NATION)(local(_spanning(_sample), "seed long, edges long, reached long, pop double"))
+    register(_name, SPANNING, NATION)(seeded(_tree(_sample), "u long, v long", _spanning))
+
+
+def _sound(g, plans, low, high, population="pop"):
+    """plan_id, districts, pop, balanced, parts (connected ones of all districts), nodes: found from rows (plan_id, node, district)."""
+    pops = O.district_sums(g.nodes, plans, population).groupBy("plan_id").agg(
+        F.count("*").alias("districts"), F.sum(population).alias("pop"), F.bool_and(F.col(population).between(low, high)).alias("balanced")
+    )
+    parts = R.component_labels(g.edges, plans).groupBy("plan_id").agg(F.count_distinct("district", "component").alias("parts"), F.count("*").alias("nodes"))
+    return pops.join(parts, "plan_id")
 
 
 def _plan(rng, g, bounds):
     from parcela.plans.forest import random_plan
 
-    assign = random_plan(g, 5, bounds.low, bounds.high, rng)
-    pops = np.bincount(assign, weights=g.pop)[1:]
-    return len(pops), bool(((pops >= bounds.low) & (pops <= bounds.high)).all()), float(pops.sum())
+    return list(zip(g.ids.tolist(), random_plan(g, 5, bounds.low, bounds.high, rng).tolist(), strict=True))
 
 
-register("m3_random_plans", "SELECT seed::BIGINT AS seed, 5::BIGINT AS districts, true AS balanced, (SELECT sum(pop) FROM nodes)::DOUBLE AS pop FROM (SELECT unnest(range(8)) AS seed)", NATION)(
-    local(_plan, "seed long, districts long, balanced boolean, pop double")
+SOUND = "SELECT seed::BIGINT AS seed, {d}::BIGINT AS districts, (SELECT sum(pop) FROM nodes)::BIGINT AS pop, true AS balanced, {d}::BIGINT AS parts, (SELECT count(*) FROM nodes)::BIGINT AS nodes{more} FROM (SELECT unnest(range({seeds})) AS seed)"
+register("m3_random_plans", SOUND.format(d=5, seeds=8, more=""), NATION)(
+    seeded(_plan, "node long, district int", lambda g, rows, b: _sound(g, rows.withColumnRenamed("seed", "plan_id"), b.low, b.high).withColumnRenamed("plan_id", "seed"))
 )
 
 
@@ -903,42 +928,173 @@ def _fixed(rng, g, bounds):
     from parcela.plans.forest import random_plan, random_plan_with_fixed
 
     first = random_plan(g, 5, bounds.low, bounds.high, rng)
-    held = np.where(first == 1, 1, 0)
-    plan = random_plan_with_fixed(g, held, 5, bounds.low, bounds.high, rng)
-    return len(np.unique(plan)), bool((plan[first == 1] == 1).all() and (plan[first != 1] != 1).all())
+    plan = random_plan_with_fixed(g, np.where(first == 1, 1, 0), 5, bounds.low, bounds.high, rng)
+    return list(zip(g.ids.tolist(), plan.tolist(), first.tolist(), strict=True))
+
+
+def _kept(g, rows, b):
+    """A sound plan, and how many nodes changed between the district held fixed and the others."""
+    moved = rows.groupBy("seed").agg(F.sum(((F.col("first") == 1) != (F.col("district") == 1)).cast("long")).alias("moved"))
+    return _sound(g, rows.select(F.col("seed").alias("plan_id"), "node", "district"), b.low, b.high).withColumnRenamed("plan_id", "seed").join(moved, "seed")
+
+
+register("m5_random_plans_with_fixed", SOUND.format(d=5, seeds=8, more=", 0::BIGINT AS moved"), NATION)(seeded(_fixed, "node long, district int, first int", _kept))
+
+
+def _clusters(rng, g, bounds):
+    """The lattice's lower two rows as one cluster of two districts, the rest as one of three."""
+    from parcela.plans.forest import random_plan_by_cluster
+
+    cluster = (np.arange(len(g.ids)) >= 10).astype(int)
+    return list(zip(g.ids.tolist(), random_plan_by_cluster(g, cluster, {0: 2, 1: 3}, 0.3 * bounds.low, 2 * bounds.high, rng).tolist(), cluster.tolist(), strict=True))
 
 
-register("m5_random_plans_with_fixed", "SELECT seed::BIGINT AS seed, 5::BIGINT AS districts, true AS kept FROM (SELECT unnest(range(8)) AS seed)")(local(_fixed, "seed long, districts long, kept boolean"))
+def _by_cluster(g, rows, b):
+    spread = rows.groupBy("seed", "district").agg(F.count_distinct("cluster").alias("k"), F.min("cluster").alias("c")).groupBy("seed").agg(F.max("k").alias("clusters"), F.sum((F.col("c") == 0).cast("long")).alias("lower"))
+    return _sound(g, rows.select(F.col("seed").alias("plan_id"), "node", "district"), 0.3 * b.low, 2 * b.high).withColumnRenamed("plan_id", "seed").join(spread, "seed")
+
+
+register("m4_random_plans_by_cluster", SOUND.format(d=5, seeds=8, more=", 1::BIGINT AS clusters, 2::BIGINT AS lower"), NATION)(seeded(_clusters, "node long, district int, cluster int", _by_cluster))
 
 
 def _multiscale(rng, g, bounds):
-    from parcela.plans.forest import balanced_edges, hierarchical_tree
+    from parcela.plans.forest import hierarchical_tree
+
+    row = np.arange(len(g.ids)) // 5
+    return [(int(g.ids[g.u[e]]), int(g.ids[g.v[e]])) for e in sorted(hierarchical_tree(g, list(range(len(g.ids))), rng, [row]))]
+
+
+def _between(g, trees, b):
+    """A spanning tree, and how many of its edges lie between rows of the lattice."""
+    y = F.floor(F.col("u") / 5) != F.floor(F.col("v") / 5)
+    return _spanning(g, trees, b).join(trees.groupBy("seed").agg(F.sum(y.cast("long")).alias("between_units")), "seed")
+
+
+register("m7_multiscale_trees", SPANNING.replace(" FROM (SELECT unnest", ", 4::BIGINT AS between_units FROM (SELECT unnest"), NATION)(seeded(_multiscale, "u long, v long", _between))
+
+# ---- plans of several levels on the customer lattice: blocks of 8 x 8 customers, of 4 x 4, and customers
 
-    county = np.arange(len(g.ids)) // 5
-    tree = hierarchical_tree(g, list(range(len(g.ids))), rng, [county])
-    whole = sum(int(county[g.u[e]] != county[g.v[e]]) for e in tree)
-    return len(tree), whole, bool(all(0 < k < 5 for _, k in balanced_edges(g, tree, bounds.low, bounds.high, 5)))
 
+def _blocks(g):
+    block = lambda k: F.concat_ws(",", F.floor(F.col("x") / k), F.floor(F.col("y") / k))
+    return Graph(written(g.nodes.withColumn("block", block(8)).withColumn("part", block(4)), "blocks"), written(g.edges, "edges"), g.spec)
 
-register("m7_multiscale_trees", "SELECT seed::BIGINT AS seed, 24::BIGINT AS edges, 4::BIGINT AS between_units, true AS cuts_ok FROM (SELECT unnest(range(8)) AS seed)")(
-    local(_multiscale, "seed long, edges long, between_units long, cuts_ok boolean")
+
+def _levels(g):
+    """The lattice for tasks, and the unit of every node on both levels."""
+    from parcela.plans import multiscale
+    from parcela.plans.forest import LocalGraph
+
+    nodes = g.nodes.toPandas().sort_values("id", ignore_index=True)  # one graph, held whole by every chain as well
+    return LocalGraph.from_tables(nodes, g.edges.toPandas(), g.spec), [multiscale.codes(nodes.block), multiscale.codes(nodes.part)]
+
+
+def _built(spark, sf_dir, rules=lambda local, units, ideal: ()):
+    from parcela.plans import multiscale
+
+    g = _blocks(S.customer_lattice(spark, sf_dir))
+    local, units = _levels(g)
+    total = float(local.pop.sum())
+    b = C.Population.around(total, 4, 0.25)
+    rows = multiscale.random_plans(spark.range(6).withColumnRenamed("id", "seed").repartition(6), local, units, 4, b.low, b.high, rules(local, units, total / 4))
+    return g, written(rows.withColumnRenamed("seed", "plan_id"), "multiscale"), b, total / 4
+
+
+@register("m7_multiscale_plans", SOUND.format(d=4, seeds=6, more=", true AS whole_blocks, true AS whole_parts, true AS drawn"), CUSTOMER)
+def m7(spark, sf_dir):
+    """Sound plans of four districts in which three units of a level are cut at most, with a probability of their cuts."""
+    g, rows, b, _ = _built(spark, sf_dir)
+    cut = lambda unit, name: (
+        rows.join(g.nodes.select(F.col("id").alias("node"), unit), "node").groupBy("plan_id", unit).agg(F.count_distinct("district").alias("k"))
+        .groupBy("plan_id").agg((F.sum((F.col("k") > 1).cast("int")) <= 3).alias(name))
+    )
+    drawn = rows.groupBy("plan_id").agg((F.min("log_probability") == F.max("log_probability")).alias("same"), F.max("log_probability").alias("p"))
+    out = _sound(g, rows.select("plan_id", "node", "district"), b.low, b.high).join(cut("block", "whole_blocks"), "plan_id").join(cut("part", "whole_parts"), "plan_id")
+    return out.join(drawn, "plan_id").select(F.col("plan_id").alias("seed"), "districts", "pop", "balanced", "parts", "nodes", "whole_blocks", "whole_parts", (F.col("same") & (F.col("p") <= 0)).alias("drawn"))
+
+
+@register("m3_constrained_plans", SOUND.format(d=4, seeds=6, more=", true AS excess, true AS traversals"), CUSTOMER)
+def m3_constrained(spark, sf_dir):
+    """Plans built under constraints: blocks meet few districts, and what a district uses of a block is connected; held against the constraints on finished plans."""
+    from parcela.plans import multiscale
+
+    g, rows, b, ideal = _built(spark, sf_dir, lambda local, units, ideal: (multiscale.allowed_excess(units[0], ideal, 0), multiscale.contiguous_traversals(units[0])))
+    plans = rows.select("plan_id", "node", "district")
+    excess = C.AllowedExcess("block", ideal, 0).check(g.nodes, plans).withColumnRenamed("ok", "excess")
+    whole = C.ContiguousTraversals("block").check(g.nodes, plans, g.edges).withColumnRenamed("ok", "traversals")
+    return _sound(g, plans, b.low, b.high).join(excess, "plan_id").join(whole, "plan_id").withColumnRenamed("plan_id", "seed")
+
+
+# ---- cuts of trees: two combs on the customer lattice
+
+CCOMBS = COMBS + """,
+side AS (SELECT tree_id, u AS node, v AS nbr, v AS member, u AS prev FROM arcs UNION ALL SELECT side.tree_id, node, nbr, arcs.v, side.member FROM side JOIN arcs ON arcs.tree_id = side.tree_id AND arcs.u = side.member AND arcs.v <> side.prev),
+hung AS (SELECT tree_id, node, nbr, sum(pop)::DOUBLE AS pop FROM side JOIN nodes ON id = member GROUP BY 1, 2, 3),
+bound AS (SELECT t::DOUBLE AS t, ceil(0.75 * (t / 5)) AS lo, floor(1.25 * (t / 5)) AS hi FROM (SELECT sum(pop) AS t FROM nodes)),
+cuttable AS (SELECT tree_id, node AS u, nbr AS v, pop, t - pop AS other FROM hung, bound WHERE node < nbr AND ((pop BETWEEN lo AND hi AND t - pop BETWEEN 4 * lo AND 4 * hi) OR (pop BETWEEN 4 * lo AND 4 * hi AND t - pop BETWEEN lo AND hi))),
+nb AS (SELECT tree_id, node, pop, row_number() OVER (PARTITION BY tree_id, node ORDER BY nbr) AS k, count(*) OVER (PARTITION BY tree_id, node) AS n, max(pop) OVER (PARTITION BY tree_id, node) AS most FROM hung),
+sub AS (SELECT DISTINCT tree_id, node, 0::BIGINT AS k, 0.0::DOUBLE AS s FROM nb UNION ALL SELECT sub.tree_id, sub.node, nb.k, sub.s + CASE WHEN take THEN nb.pop ELSE 0 END FROM sub JOIN nb ON nb.tree_id = sub.tree_id AND nb.node = sub.node AND nb.k = sub.k + 1, (VALUES (false), (true)) c(take))"""
+
+
+def combs_of_customers(f):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from parcela.operators import cuts
+        from parcela.plans.multiscale import Balance
+
+        g = S.customer_lattice(spark, sf_dir)
+        b = C.Population.around(float(g.nodes.agg(F.sum("pop")).first()[0] or 0), 5, 0.25)
+        return f(cuts, written(cuts.hanging(S.comb_trees(g), g.nodes), "hanging"), Balance(b.low, b.high, (1, 4)))
+
+    return run
+
+
+register("m6_hanging_population", "SELECT tree_id, node, nbr, own.pop::DOUBLE AS own, hung.pop, t AS total FROM hung JOIN nodes own ON own.id = node, bound", CUSTOMER, CCOMBS, recursive=True)(combs_of_customers(lambda K, h, b: h))
+register("m6_cuttable_edges", "SELECT tree_id, u, v, pop FROM cuttable", CUSTOMER, CCOMBS, recursive=True)(combs_of_customers(lambda K, h, b: K.cuttable_edges(h, b)))
+register(
+    "m6_cuttable_nodes",
+    """SELECT tree_id, node, own, side, t - own - side AS rest FROM (
+  SELECT DISTINCT sub.tree_id, sub.node, own.pop::DOUBLE AS own, sub.s AS side, t, lo, hi FROM sub JOIN nb ON nb.tree_id = sub.tree_id AND nb.node = sub.node AND nb.k = sub.k AND nb.k = nb.n JOIN nodes own ON own.id = sub.node, bound WHERE most <= 4 * hi)
+WHERE (lo <= side + own AND 4 * lo <= t - side AND side < hi AND t - own - side < 4 * hi) OR (4 * lo <= side + own AND lo <= t - side AND side < 4 * hi AND t - own - side < hi)""",
+    CUSTOMER, CCOMBS, recursive=True,
+)(combs_of_customers(lambda K, h, b: K.cuttable_nodes(h, b)))
+register("m8_cut_probabilities", "SELECT tree_id, u, v, pop, -ln(count(*) OVER (PARTITION BY tree_id)) AS log_probability FROM cuttable", CUSTOMER, CCOMBS, recursive=True)(
+    combs_of_customers(lambda K, h, b: K.cut_probabilities(K.cuttable_edges(h, b)))
+)
+register(
+    "c2_unfinished_plans",
+    """SELECT p.plan_id, bool_and(target <= 0 OR coalesce(packed, 0) >= target OR (n < 5 AND coalesce(packed, 0) + floor((size - coalesce(claimed, 0)) / ideal) >= target)) AS ok
+FROM (SELECT plan_id, count(DISTINCT district) AS n FROM building GROUP BY 1) p, (SELECT county, sum(pop) AS size, floor(sum(pop) / any_value(ideal)) - 1 AS target, any_value(ideal) AS ideal FROM nodes, (SELECT sum(pop) / 10.0 AS ideal FROM nodes) GROUP BY 1) s
+LEFT JOIN (SELECT plan_id, county, count(*) AS packed FROM (SELECT plan_id, district, min(county) AS county FROM building JOIN nodes ON id = node GROUP BY 1, 2 HAVING count(DISTINCT county) = 1) GROUP BY 1, 2) w ON w.plan_id = p.plan_id AND w.county = s.county
+LEFT JOIN (SELECT plan_id, county, sum(pop) AS claimed FROM building JOIN nodes ON id = node GROUP BY 1, 2) c ON c.plan_id = p.plan_id AND c.county = s.county GROUP BY 1""",
+    NATION, "building AS (SELECT plan_id * 10 + k AS plan_id, node, district FROM plans, (SELECT unnest(range(1, 6)) AS k) WHERE district <= k)",
+)(
+    nation(
+        lambda g, p: C.PackNodes("county", (g.nodes.agg(F.sum("pop")).first()[0] or 0) / 10.0, 1, districts=5).check(
+            g.nodes, p.withColumn("k", F.explode(F.sequence(F.col("district"), F.lit(5)))).select((F.col("plan_id") * 10 + F.col("k")).alias("plan_id"), "node", "district")
+        )
+    )
 )
 
 
-@register("m10_m11_chain_invariants", "SELECT chain_id::BIGINT AS chain_id, step::BIGINT AS step, 5 AS districts, true AS balanced, 20 AS tree_edges FROM (SELECT unnest(range(4)) AS chain_id), (SELECT unnest([1, 50, 100, 150, 200]) AS step)")
+@register("m10_m11_chain_invariants", "SELECT chain_id::BIGINT AS chain_id, step::BIGINT AS step, 5::BIGINT AS districts, (SELECT sum(pop) FROM nodes)::BIGINT AS pop, true AS balanced, 5::BIGINT AS parts, 25::BIGINT AS nodes, 20::BIGINT AS tree_edges, 20::BIGINT AS merges FROM (SELECT unnest(range(4)) AS chain_id), (SELECT unnest([1, 50, 100, 150, 200]) AS step)", NATION)
 def m10(spark, sf_dir):
-    """Every output of every chain: five districts within bounds, a spanning forest of 25 - 5 edges."""
+    """Every output of every chain: a sound plan, and a forest of 25 - 5 edges of the graph inside districts that spans them (each district's tree reaches all its nodes)."""
     from parcela.plans.chain import as_plans, run_chains
-    from parcela.plans.forest import LocalGraph
 
-    g = S.nation_lattice(spark, sf_dir)
-    graph = LocalGraph.from_tables(g.nodes.toPandas(), g.edges.toPandas())
+    g, graph = _local(spark, sf_dir)
     bounds = C.Population.around(float(graph.pop.sum()), 5, 0.2)
     config = run_config.RunConfig(two_tree_steps=20, output_freq=5, two_tree_frac=0.1, chains=4)
-    out = run_chains(run_config.chains(spark, config), graph, 5, bounds.low, bounds.high, config.every)
-    pops = O.district_sums(g.nodes, as_plans(out, graph), "pop").groupBy("plan_id").agg(F.count("*").cast("int").alias("districts"), F.bool_and(F.col("pop").between(bounds.low, bounds.high)).alias("balanced"))
-    edges = out.select(F.struct("chain_id", "step").alias("plan_id"), F.size("tree").alias("tree_edges"))
-    return pops.join(edges, "plan_id").select("plan_id.*", "districts", "balanced", "tree_edges")
+    out = written(run_chains(run_config.chains(spark, config), graph, 5, bounds.low, bounds.high, config.every), "chains")
+    plans = as_plans(out, graph)
+    trees = out.select(F.struct("chain_id", "step").alias("plan_id"), F.explode("tree").alias("e")).select("plan_id", F.col("e.u").alias("src"), F.col("e.v").alias("dst"))
+    a, b = (plans.select("plan_id", F.col("node").alias(c), F.col("district").alias(f"d_{c}")) for c in ("src", "dst"))
+    inside = trees.join(g.edges.select("src", "dst"), ["src", "dst"], "left_semi").join(a, ["plan_id", "src"]).join(b, ["plan_id", "dst"]).filter("d_src = d_dst")
+    edges = inside.groupBy("plan_id").agg(F.count("*").alias("tree_edges"))
+    # from the least node of a district, its tree reaches all others: as many as nodes less districts, over all trees
+    ids = inside.select(F.concat_ws("/", "plan_id.chain_id", "plan_id.step", "d_src").alias("tree_id"), "plan_id", F.col("src").alias("u"), F.col("dst").alias("v"))
+    reached = R.tree_reach(ids.select("tree_id", "u", "v")).join(ids.select("tree_id", "plan_id").distinct(), "tree_id").groupBy("plan_id").agg(F.sum(F.col("reached") - 1).alias("merges"))
+    out = _sound(g, plans, bounds.low, bounds.high).join(edges, "plan_id").join(reached, "plan_id")
+    return out.select("plan_id.*", "districts", "pop", "balanced", "parts", "nodes", "tree_edges", "merges")
 
 
 @register("m2_plan_from_node_sets", "SELECT plan_id, node, district FROM plans", NATION)

@@ -114,7 +114,8 @@ def test_plans_as_arrays_agree_with_rows(spark):
     nodes, edges, plans = grid.frames(spark)
     nodes = nodes.withColumn("w", F.col("id") * F.col("id"))
     edges = edges.withColumn("connections", (F.col("src") % 3).cast("double"))
-    g, p = A.GraphArrays.of(Graph(nodes, edges)), A.as_arrays(plans)
+    g = A.GraphArrays.of(Graph(nodes, edges))
+    p = A.as_arrays(plans, g)
     rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
     assert rows(A.as_rows(p, g)) == rows(plans.select("plan_id", "node", "district"))
     for column in ("connections", "length", None):
@@ -126,3 +127,70 @@ def test_plans_as_arrays_agree_with_rows(spark):
     assert A.cut_edges(p.limit(0), g).count() == 0
     plan = A.cut_edges(p, g)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_arrays_of_plans_that_hold_a_part_of_the_nodes(spark):
+    """As the joins: absent nodes are in no district; districts of any number; a null array is no plan."""
+    nodes, edges, plans = grid.frames(spark)
+    nodes = nodes.withColumn("w", (F.col("id") + 1) * 10)
+    plans = plans.filter("plan_id < 40 AND (node + plan_id) % 5 <> 0 AND NOT (plan_id = 7 AND node > 3)").withColumn("district", F.col("district") - 2)
+    plans = plans.withColumn("plan_id", F.concat(F.lit("step"), "plan_id"))
+    g = A.GraphArrays.of(Graph(nodes, edges))
+    p = A.as_arrays(plans, g)
+    rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    assert rows(A.as_rows(p, g)) == rows(plans.select("plan_id", "node", "district"))
+    assert rows(A.cut_edges(p, g)) == rows(O.cut_edges(edges, plans)) and rows(A.cut_edges(p, g, None)) == rows(O.cut_edges(edges, plans, None))
+    assert rows(A.cross_edges(p, g)) == rows(O.cross_edges(edges, plans).select("plan_id", "d1", "d2", "src", "dst"))
+    assert rows(A.district_sums(p, g, "w")) == rows(O.district_sums(nodes, plans, "w")) and rows(A.node_counts(p, g)) == rows(O.node_counts(plans))
+    assert rows(A.isoperimetric(p, g)) == rows(O.isoperimetric(nodes, edges, plans)) and rows(A.log_linking_edges(p, g)) == rows(O.log_linking_edges(edges, plans))
+    none = spark.createDataFrame([("a", None), ("b", [1] * 16)], "plan_id string, districts array<int>")
+    assert rows(A.node_counts(none, g)) == [("b", 1, 16)]
+    with pytest.raises(Exception, match="3 places"):
+        A.cut_edges(spark.createDataFrame([("a", [1, 2, 3])], "plan_id string, districts array<int>"), g).collect()
+    with pytest.raises(Exception, match="graph lacks"):
+        A.as_arrays(spark.createDataFrame([("a", 99, 1)], "plan_id string, node long, district int"), g).collect()
+
+
+def test_a_run_refuses_the_state_of_another(spark, tmp_path):
+    c = config(tmp_path, "mine", two_tree_steps=10)
+    before = runner.run(spark, c, chunk_outputs=1).collect()
+    of = lambda **more: run_config.RunConfig(**{k: getattr(c, k) for k in c.__dataclass_fields__} | more)
+    for other in ({"gamma": 1.0}, {"iso_weight": 5.0}, {"thread_id": 3}, {"tolerance": 0.25}, {"chains": 3}, {"output_freq": 2}, {"two_tree_steps": 5}):
+        with pytest.raises(ValueError, match="another run.*" + next(iter(other))):
+            runner.run(spark, of(**other), chunk_outputs=1)
+    with pytest.raises(ValueError, match="chunk was"):
+        runner.run(spark, c, chunk_outputs=2)
+    with pytest.raises(ValueError, match="energies"):
+        runner.run(spark, c, chunk_outputs=1, weights={"cut_weight": 1.0})
+    assert ensemble.read_header(spark, c.output).extra["gamma"] == 0.0  # a refused run leaves the header
+    as_set = lambda rows: Counter((m.name, m.data["chain_id"], tuple(sorted(m.districting.items()))) for m in rows)
+    assert as_set(runner.run(spark, c, chunk_outputs=1).collect()) == as_set(before)
+    more = runner.run(spark, of(two_tree_steps=15), chunk_outputs=1).collect()
+    assert len(more) == len(before) + 2 and as_set(before) <= as_set(more)
+
+
+def test_constraints_over_the_plans_of_a_chain(spark, tmp_path):
+    """Plan ids that are structs, or names, give what numbers give."""
+    g = json_graph.load_graph(spark, graph_file(tmp_path), SPEC)
+    local = runner.local_graph(g)
+    out = chain.run_chains(spark.createDataFrame([(i, 60 + i, 60) for i in range(2)], "chain_id long, seed long, steps long"), local, 4, 4, 4, 20).cache()
+    plans = chain.as_plans(out, local)
+    first = plans.filter("plan_id.chain_id = 0 AND plan_id.step = 1").select("node", "district")
+    every = C.Constraints()
+    for k in (C.Population.around(16, 4, 0, population="TOTPOP"), C.MaxCoarseSplits("county", 12), C.ContiguousTraversals("county"), C.MaxHamming(0.4, population="TOTPOP")):
+        every.add(k)
+    number = plans.select((F.col("plan_id.chain_id") * 1000 + F.col("plan_id.step")).alias("plan_id"), "node", "district")
+    name = number.withColumn("plan_id", F.concat(F.lit("step"), "plan_id"))
+    want = {r.plan_id: r.ok for r in C.satisfied(every, g.nodes, number, g.edges, first).collect()}
+    assert {r.plan_id.chain_id * 1000 + r.plan_id.step: r.ok for r in C.satisfied(every, g.nodes, plans, g.edges, first).collect()} == want
+    assert {int(r.plan_id[4:]): r.ok for r in C.satisfied(every, g.nodes, name, g.edges, first).collect()} == want
+    assert want[1] and len(want) == 2 * 4
+    moved = C.MaxHamming(0.4, population="TOTPOP").distances(g.nodes, first, plans)
+    assert {(r.plan_id.chain_id, r.plan_id.step): r.distance for r in moved.collect()}[0, 1] == 0.0
+
+
+def test_a_one_tree_move_ends_where_every_district_is_a_node(spark, tmp_path):
+    g = runner.local_graph(json_graph.load_graph(spark, graph_file(tmp_path), SPEC))
+    alone = np.arange(1, 17)
+    out = list(chain.run_chain(g, alone, 1, 1, 20, 10, 5, {"two_tree": 0.0, "one_tree": 1.0}, {}))
+    assert [x[0] for x in out] == [1, 10, 20] and (out[-1][1].assign == alone).all()
