@@ -34,7 +34,7 @@ def test_query(spark, duck, name):
     got = __spark_entry__.queries()[name](spark, SF).toPandas()
     sql = __spark_entry__.oracle_sql().get(name)
     if sql is None:
-        assert len(got) and name in ("p13_random_order", "c3_contiguous_traversals", "m12_chains")
+        assert len(got) and name in ("m12_chains", "t1_chain_acceptance", "t8_chain_diagnostics")  # random chains: test_run holds them against their log
         return
     pd.testing.assert_frame_equal(plain(got), plain(duck.sql(sql).df()), check_dtype=False, atol=1e-6)
 
