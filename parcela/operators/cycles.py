@@ -5,8 +5,14 @@ All operators partition by cycle, so that cycles of any number run in parallel.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def running_choice(table: DataFrame, keys: list[str], order: str, weight: str, draw: str) -> DataFrame:
@@ -29,18 +35,47 @@ def collapsed_weights(masses: DataFrame) -> DataFrame:
     return masses.select("cycle_id", "pos", (F.col("mass") - F.coalesce(F.lag("mass").over(w), F.lit(0))).alias("weight"))
 
 
+def _weights(cycle: DataFrame) -> DataFrame:
+    """cycle_id, weights: one row a cycle, its weights in order of position."""
+    pairs = F.array_sort(F.collect_list(F.struct("pos", F.col("weight").cast("double").alias("weight"))))
+    return cycle.groupBy("cycle_id").agg(F.transform(pairs, lambda p: p["weight"]).alias("weights"))
+
+
+def _prefix(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of all lists' values up to each place, from 0; and where each list begins, and the last ends."""
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return np.concatenate([[0.0], np.cumsum(values)]), starts
+
+
 def cut_arcs(cycle: DataFrame, low: float, high: float, current: DataFrame | None = None) -> DataFrame:
     """cycle_id, a, b, pop: arcs a..b (b short of the end) whose weight and remainder both lie in low..high.
 
-    Prefix sums make it a range join inside each cycle. ``current`` rows (cycle_id, b) take out the cut that stands, 1..b.
+    Prefix sums are sorted, so that the ends of the arcs from each position are
+    found by search, for all cycles of a batch together: what is made are arcs
+    found. ``current`` rows (cycle_id, b) take out the cut that stands, 1..b.
     """
-    w = Window.partitionBy("cycle_id").orderBy("pos")
-    s = cycle.select("cycle_id", "pos", "weight", F.sum("weight").over(w).alias("upto"), F.sum("weight").over(Window.partitionBy("cycle_id")).alias("all"), F.count("*").over(Window.partitionBy("cycle_id")).alias("n"))
-    first = s.select("cycle_id", F.col("pos").alias("a"), (F.col("upto") - F.col("weight")).alias("before"))
-    last = s.filter("pos < n").select("cycle_id", F.col("pos").alias("b"), "upto", "all")
-    pop = F.col("upto") - F.col("before")
-    arcs = first.join(last, "cycle_id").filter("a <= b").filter(pop.between(low, high) & (F.col("all") - pop).between(low, high))
-    out = arcs.select("cycle_id", "a", "b", pop.alias("pop"))
+    schema = T.StructType([cycle.schema["cycle_id"], *T.StructType.fromDDL("a int, b int, pop double").fields])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            upto, starts = _prefix(batch.column(1))
+            of = np.repeat(np.arange(batch.num_rows), np.diff(starts))
+            total = (upto[starts[1:]] - upto[starts[:-1]])[of]
+            least, most, place = np.maximum(low, total - high), np.minimum(high, total - low), np.arange(len(of))
+            slack = 1e-9 * max(1.0, abs(upto[-1]))  # the range is a little wide, and what it holds is then looked at
+            first = np.maximum(place, np.searchsorted(upto, upto[:-1] + least - slack) - 1)
+            last = np.minimum(starts[of + 1] - 2, np.searchsorted(upto, upto[:-1] + most + slack, side="right") - 2)
+            k = np.maximum(0, last - first + 1)
+            a = np.repeat(place, k)
+            b = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first, k)
+            pop, whole = upto[b + 1] - upto[a], total[a]
+            ok = (pop >= low) & (pop <= high) & (whole - pop >= low) & (whole - pop <= high)
+            a, b, pop = a[ok], b[ok], pop[ok]
+            before = starts[of[a]] - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[a])), pa.array(a - before, pa.int32()), pa.array(b - before, pa.int32()), pa.array(pop)], names=schema.names)
+
+    out = _weights(cycle).mapInArrow(search, schema)
     if current is not None:
         out = out.join(current.select("cycle_id", F.lit(1).alias("a"), "b"), ["cycle_id", "a", "b"], "left_anti")
     return out
@@ -60,19 +95,25 @@ def unique_cuttable_edges(cycles: DataFrame, arcs: DataFrame) -> DataFrame:
 
 
 def overlaps(cycle: DataFrame, cycles: DataFrame, arcs: DataFrame) -> DataFrame:
-    """cycle_id, a, b, overlap, total: weight whose side an arc changes."""
-    w = Window.partitionBy("cycle_id").orderBy("pos")
-    s = cycle.select("cycle_id", "pos", F.sum("weight").over(w).alias("upto"))
-    sums = s.groupBy("cycle_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "upto"))).alias("m"), F.max("upto").alias("total"))
-    j = arcs.join(cycles, "cycle_id").join(sums, "cycle_id")
-
-    def upto(x):
-        return F.when(x <= 0, F.lit(0)).otherwise(F.col("m")[x])
-
-    a, b, n_u, n = (F.col(c).cast("int") for c in ("a", "b", "n_u", "n"))
-    inside = F.when(a <= n_u, upto(F.least(n_u, b)) - upto(a - 1)).when(a > n_u + 1, upto(a - 1) - upto(n_u)).otherwise(F.lit(0))
-    after = F.when(b < n, F.col("total") - upto(F.greatest(n_u + 1, b + 1) - 1)).otherwise(F.lit(0))
-    return j.select("cycle_id", "a", "b", (inside + after).alias("overlap"), "total")
+    """cycle_id, a, b, n_u, overlap, total: weight whose side an arc changes. A cycle meets its arcs in one row, where prefix sums are read by place."""
+    schema = T.StructType([cycle.schema["cycle_id"], *T.StructType.fromDDL("a int, b int, n_u long, overlap double, total double").fields])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            upto, starts = _prefix(batch.column(1))
+            found = batch.column(3)
+            of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(found).to_numpy(zero_copy_only=False))
+            a, b = (found.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            base, n, n_u = starts[of], np.diff(starts)[of], batch.column(2).to_numpy(zero_copy_only=False)[of]
+            sums = lambda x: upto[base + np.clip(x, 0, n)] - upto[base]
+            inside = np.where(a <= n_u, sums(np.minimum(n_u, b)) - sums(a - 1), np.where(a > n_u + 1, sums(a - 1) - sums(n_u), 0.0))
+            after = np.where(b < n, sums(n) - sums(np.maximum(n_u, b)), 0.0)
+            columns = [batch.column(0).take(pa.array(of)), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(n_u, pa.int64()), pa.array(inside + after), pa.array(sums(n))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    pairs = arcs.groupBy("cycle_id").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))).alias("arcs"))
+    rows = _weights(cycle).join(cycles.select("cycle_id", F.col("n_u").cast("long").alias("n_u")), "cycle_id").join(pairs, "cycle_id")
+    return rows.select("cycle_id", "weights", "n_u", "arcs").mapInArrow(read, schema)
 
 
 def swappable(found: DataFrame, cycles: DataFrame) -> DataFrame:
@@ -83,6 +124,19 @@ def swappable(found: DataFrame, cycles: DataFrame) -> DataFrame:
     return j.select("cycle_id", (F.col("m") / F.col("all")).alias("most"), (F.col("s") / ((F.col("k") + 1) * F.col("all"))).alias("average"))
 
 
-def changed_mass(found: DataFrame, stays: str) -> DataFrame:
-    """cycle_id, a, b, changed: the overlap, or what is left of the total where column ``stays`` is false."""
-    return found.select("cycle_id", "a", "b", F.when(F.col(stays), F.col("overlap")).otherwise(F.col("total") - F.col("overlap")).alias("changed"))
+def mark_stays(found: DataFrame, mark: Column, swap: Column) -> DataFrame:
+    """``found`` with stays: whether the districts keep their sides, from the position of a marked node and whether its label is to be swapped.
+
+    The marked node lies in the first district where its position is up to n_u,
+    and on the arc's side where the arc holds it. Labels stay if it changes sides
+    just where they are swapped.
+    """
+    moves = (mark <= F.col("n_u")) != mark.between(F.col("a"), F.col("b"))
+    return found.withColumn("stays", ~(moves != ~swap))
+
+
+def changed_mass(found: DataFrame, stays: str | None = None) -> DataFrame:
+    """cycle_id, a, b, changed: the overlap, or what is left of the total where column ``stays`` is false; without such a column, the less of both."""
+    rest = F.col("total") - F.col("overlap")
+    changed = F.least(F.col("overlap"), rest) if stays is None else F.when(F.col(stays), F.col("overlap")).otherwise(rest)
+    return found.select("cycle_id", "a", "b", changed.alias("changed"))

@@ -6,10 +6,12 @@ prefix of paths. Coarse graphs are aggregates of the base graph.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordered import numbered
+
 
 def with_path(nodes: DataFrame, levels: list[str]) -> DataFrame:
     return nodes.withColumn("path", F.array(*[F.col(c).cast("string") for c in levels]))
@@ -34,8 +36,7 @@ def edge_key(node: Column, nbr: Column) -> Column:
 def quotient_ids(nodes: DataFrame, level: int) -> DataFrame:
     """path, first (least node id), qid: units of a level numbered from 1 by first appearance."""
     units = nodes.groupBy(prefix("path", level).alias("path")).agg(F.min("id").alias("first"))
-    # units are far fewer than nodes: the finest level has the node ids themselves and needs no numbering
-    return units.withColumn("qid", F.row_number().over(Window.partitionBy(F.lit(level)).orderBy("first")))
+    return numbered(units, [F.col("first")], "qid").withColumn("qid", F.col("qid").cast("int"))
 
 
 def quotient_nodes(nodes: DataFrame, level: int, skip: tuple[str, ...] = ("id", "path"), keep: tuple[str, ...] = ()) -> DataFrame:

@@ -17,6 +17,7 @@ from parcela.operators import diagnostics as G
 from parcela.operators import hierarchy as H
 from parcela.operators import nodesets as N
 from parcela.operators import observables as O
+from parcela.operators import ordered as Q
 from parcela.operators import trees as R
 from parcela.sources import ensemble, json_graph, run_config
 from parcela.sources import tables as S
@@ -327,17 +328,17 @@ register(
 register("j12_cluster_of_node", "SELECT id, CASE WHEN region = 0 THEN 0 WHEN nation IN (1, 2) AND region <> 0 THEN 1 END AS cluster FROM nodes", CUSTOMER)(
     customer(lambda g, p: H.cluster_of(g.nodes.withColumn("pick", (F.col("region") != 0) & F.col("nation").isin(1, 2)), [[{"region": 0}], [{"pick": True}]]))
 )
-register(
-    "j13_interval_containment",
-    "SELECT a.id AS ancestor, count(*) AS below FROM iv a JOIN iv b ON b.enter >= a.enter AND b.leave <= a.leave GROUP BY 1",
-    NATION, "iv AS (SELECT id, y * 10 + x AS enter, CASE WHEN x = 0 THEN y * 10 + 9 ELSE y * 10 + x END AS leave FROM nodes)",
-)(nation(lambda g, p: _contained(g.nodes.select("id", (F.col("y") * 10 + F.col("x")).alias("enter"), F.when(F.col("x") == 0, F.col("y") * 10 + 9).otherwise(F.col("y") * 10 + F.col("x")).alias("leave")))))
+def _intervals(g):
+    """Of the comb whose columns stand on the bottom row: a column's foot holds the column, the first foot of all holds all."""
+    place = F.col("x") * 1_000_000 + F.col("y")
+    return g.nodes.select("id", place.alias("enter"), F.when(F.col("y") == 0, F.col("x") * 1_000_000 + 999_999).otherwise(place).alias("leave"))
 
 
-def _contained(iv: DataFrame) -> DataFrame:
-    a, b = (iv.select(*[F.col(c).alias(f"{x}_{c}") for c in iv.columns]) for x in "ab")
-    inside = a.join(b, (F.col("b_enter") >= F.col("a_enter")) & (F.col("b_leave") <= F.col("a_leave")))
-    return inside.groupBy(F.col("a_id").alias("ancestor")).agg(F.count("*").alias("below"))
+register(
+    "j13_interval_containment",
+    "SELECT a.id, count(*) AS below FROM iv a JOIN iv b ON b.enter >= a.enter AND b.leave <= a.leave GROUP BY 1",
+    CUSTOMER, "iv AS (SELECT id, x * 1000000 + y AS enter, CASE WHEN y = 0 THEN x * 1000000 + 999999 ELSE x * 1000000 + y END AS leave FROM nodes)",
+)(customer(lambda g, p: Q.contained_counts(_intervals(g))))
 
 
 # ---------------------------------------------------------------- aggregates
@@ -725,18 +726,27 @@ register("t1_acceptance_ratios", 'SELECT floor(step / 100)::BIGINT AS "window",
     _log(partial(G.acceptance_ratios, every=100))
 )
 register("t2_cycle_lengths", "SELECT cycle_id, n FROM cycles", CYCLE)(lines(lambda c, cs, arcs: cs.select("cycle_id", "n")))
-register("t3_changed_nodes", "SELECT a.cycle_id, a::INT AS a, b::INT AS b, CASE WHEN a = 1 THEN ov ELSE n - ov END::DOUBLE AS changed FROM (SELECT a.cycle_id, a, b, any_value(n) AS n, sum(CASE WHEN a <= n_u AND pos BETWEEN a AND least(n_u, b) THEN 1 WHEN a > n_u + 1 AND pos BETWEEN n_u + 1 AND a - 1 THEN 1 ELSE 0 END) + sum(CASE WHEN b < n AND pos >= greatest(n_u + 1, b + 1) THEN 1 ELSE 0 END) AS ov FROM arc a JOIN cycles c USING (cycle_id) JOIN cycle k ON k.cycle_id = a.cycle_id GROUP BY a.cycle_id, a, b) a", CYCLE)(
-    lines(lambda c, cs, arcs: Y.changed_mass(Y.overlaps(c.withColumn("weight", F.lit(1.0)), cs.drop("total"), arcs).withColumn("stays", F.col("a") == 1), "stays"))
+# the last position of the first district is marked; its label is to be swapped in every second cycle
+_MARK = "((n_u BETWEEN a AND b) <> (cycle_id % 2 = 0))"
+register("t3_changed_nodes", f"SELECT cycle_id, a::INT AS a, b::INT AS b, CASE WHEN {_MARK} THEN n - ov ELSE ov END::DOUBLE AS changed FROM (SELECT a.cycle_id, a, b, any_value(n) AS n, any_value(n_u) AS n_u, sum(CASE WHEN a <= n_u AND pos BETWEEN a AND least(n_u, b) THEN 1 WHEN a > n_u + 1 AND pos BETWEEN n_u + 1 AND a - 1 THEN 1 ELSE 0 END) + sum(CASE WHEN b < n AND pos >= greatest(n_u + 1, b + 1) THEN 1 ELSE 0 END) AS ov FROM arc a JOIN cycles c USING (cycle_id) JOIN cycle k ON k.cycle_id = a.cycle_id GROUP BY a.cycle_id, a, b) a", CYCLE)(
+    lines(lambda c, cs, arcs: Y.changed_mass(_marked(Y.overlaps(c.withColumn("weight", F.lit(1.0)), cs, arcs)), "stays"))
 )
-register("t4_changed_population", "SELECT cycle_id, a::INT AS a, b::INT AS b, (CASE WHEN a = 1 THEN overlap ELSE total - overlap END)::DOUBLE AS changed FROM swap", CYCLE)(
-    lines(lambda c, cs, arcs: Y.changed_mass(Y.overlaps(c, cs.drop("total"), arcs).withColumn("stays", F.col("a") == 1), "stays"))
+register("t4_changed_population", f"SELECT cycle_id, a::INT AS a, b::INT AS b, (CASE WHEN {_MARK} THEN s.total - overlap ELSE overlap END)::DOUBLE AS changed FROM swap s JOIN cycles USING (cycle_id)", CYCLE)(
+    lines(lambda c, cs, arcs: Y.changed_mass(_marked(Y.overlaps(c, cs, arcs)), "stays"))
 )
+register("t4_changed_population_unmarked", "SELECT cycle_id, a::INT AS a, b::INT AS b, least(overlap, total - overlap)::DOUBLE AS changed FROM swap", CYCLE)(lines(lambda c, cs, arcs: Y.changed_mass(Y.overlaps(c, cs, arcs))))
+
+
+def _marked(found: DataFrame) -> DataFrame:
+    return Y.mark_stays(found, F.col("n_u"), F.col("cycle_id") % 2 == 0)
+
+
 register("t5_cuttable_pairs", "SELECT c.cycle_id, count(a) + 1 AS pairs FROM cycles c LEFT JOIN arc USING (cycle_id) GROUP BY 1", CYCLE)(lines(lambda c, cs, arcs: Y.cuttable_pairs(cs.select("cycle_id"), arcs)))
 register("t6_unique_cuttable_edges", "SELECT cycle_id, count(DISTINCT cut) AS edges FROM (SELECT cycle_id, 1 AS cut FROM cycles UNION ALL SELECT cycle_id, n_u + 1 FROM cycles UNION ALL SELECT cycle_id, a FROM arc UNION ALL SELECT cycle_id, b % n + 1 FROM arc JOIN cycles USING (cycle_id)) GROUP BY 1", CYCLE)(
     lines(lambda c, cs, arcs: Y.unique_cuttable_edges(cs.drop("total"), arcs))
 )
 register("t7_swappable_population", "SELECT c.cycle_id, coalesce(max(least(overlap, s.total - overlap)), 0) / any_value(c.total) AS most, coalesce(sum(least(overlap, s.total - overlap)), 0) / ((count(s.a) + 1) * any_value(c.total)) AS average FROM cycles c LEFT JOIN swap s USING (cycle_id) GROUP BY 1", CYCLE)(
-    lines(lambda c, cs, arcs: Y.swappable(Y.overlaps(c, cs.drop("total"), arcs), cs.select("cycle_id", "total")))
+    lines(lambda c, cs, arcs: Y.swappable(Y.overlaps(c, cs, arcs), cs.select("cycle_id", "total")))
 )
 register("t8_gathered_diagnostics", 'SELECT floor(step / 1000)::BIGINT AS "window", proposal, string_agg(coalesce(round(value * 1000)::BIGINT::VARCHAR, \'-\'), \',\' ORDER BY step) AS "values" FROM (SELECT event_id AS step, event_type AS proposal, value FROM events) GROUP BY 1, 2')(
     _log(lambda log: G.gathered(log, 1000).withColumn("values", F.array_join(F.transform("values", lambda x: F.coalesce(F.round(x * 1000).cast("long").cast("string"), F.lit("-"))), ",")))
@@ -1097,6 +1107,49 @@ def m10(spark, sf_dir):
     return out.select("plan_id.*", "districts", "pop", "balanced", "parts", "nodes", "tree_edges", "merges")
 
 
+@register("c9_chain_plans", "SELECT chain_id::BIGINT AS chain_id, step::BIGINT AS step, true AS ok, CASE WHEN step = 1 THEN 0.0::DOUBLE END AS moved FROM (SELECT unnest(range(3)) AS chain_id), (SELECT unnest([1, 60, 120]) AS step)")
+def c9_chain(spark, sf_dir):
+    """Constraints over a chain's plans, whose ids are structs: each in bounds, in one part a district; each chain's first plan hasn't moved from itself."""
+    from parcela.plans.chain import as_plans, run_chains
+
+    g, graph = _local(spark, sf_dir)
+    bounds = C.Population.around(float(graph.pop.sum()), 5, 0.2)
+    config = run_config.RunConfig(two_tree_steps=60, output_freq=30, two_tree_frac=0.5, chains=3)
+    mix = {"two_tree": config.two_tree_frac, "one_tree": 1 - config.two_tree_frac}
+    plans = written(as_plans(run_chains(run_config.chains(spark, config), graph, 5, bounds.low, bounds.high, config.every, mix), graph), "plans")
+    nodes = written(g.nodes.withColumn("all", F.lit("all")), "nodes")
+    every, moved = C.Constraints(), None
+    for c in (bounds, C.ContiguousTraversals("all"), C.MaxHamming(1.0)):
+        every.add(c)
+    for chain in range(config.chains):
+        mine = plans.filter(F.col("plan_id.chain_id") == chain)
+        first = mine.filter("plan_id.step = 1").select("node", "district")
+        d = C.MaxHamming(1.0).distances(nodes, first, mine).withColumn("moved", F.when(F.col("plan_id.step") == 1, F.col("distance")))
+        part = C.satisfied(every, nodes, mine, g.edges, first).join(d, "plan_id").select("plan_id.*", "ok", "moved")
+        moved = part if moved is None else moved.unionByName(part)
+    return moved
+
+
+def _vra(g, p, spark, sf_dir):
+    from parcela.functions import registry
+
+    v = S.votes(spark, sf_dir)
+    weights = v.select("election").distinct().withColumn("weight", F.when(F.col("election").startswith("1"), 2.0).otherwise(1.0))
+    graph = Graph(g.nodes.withColumn("m", F.when(F.col("county") < 2, F.col("pop")).otherwise(0)), g.edges, g.spec)
+    m = registry.Measure().push("two", registry.performance(v, weights, "F", 2), 0.5).push("share", registry.performance_to_target(v, weights, "F", "m", "pop", 5), 0.25)
+    return m.push("margin", registry.partisan_margins(v.filter("stage = 1"), "1-URGENT", "F", "O"), 0.01).log_energy(graph, p)
+
+
+register(
+    "e12_vra_measure",
+    """SELECT plan_id, 0.5 * two + 0.25 * share + 0.01 * margin AS log_energy FROM
+  (SELECT plan_id, sum(CASE WHEN r <= 2 THEN margin * weight ELSE 0 END) AS two, sum(CASE WHEN r <= (SELECT floor(sum(CASE WHEN county < 2 THEN pop ELSE 0 END) / sum(pop) * 5) FROM nodes) THEN margin * weight ELSE 0 END) AS share FROM
+    (SELECT plan_id, election, margin, row_number() OVER (PARTITION BY plan_id, election ORDER BY margin, district) AS r FROM (SELECT plan_id, election, district, sum(margin) AS margin FROM margins GROUP BY ALL)) JOIN weights USING (election) GROUP BY 1)
+  JOIN (SELECT plan_id, sum(margin) AS margin FROM pm WHERE election = '1-URGENT' GROUP BY 1) USING (plan_id)""",
+    NATION, VOTES, PART,
+)(lambda spark, sf: (lambda g: _vra(g, S.nation_plans(g.nodes), spark, sf))(S.nation_lattice(spark, sf)))
+
+
 @register("m2_plan_from_node_sets", "SELECT plan_id, node, district FROM plans", NATION)
 def m2(spark, sf_dir):
     from parcela.plans.tables import plan_from_sets
