@@ -13,6 +13,7 @@ checkpoint from which ``resume`` goes on.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from parcela.operators.trees import log_tree_count
 
-from .forest import LocalGraph, one_tree_exchange, pick, random_plan, tree_path, wilson_tree
+from .forest import LocalGraph, RootedForest, pick, random_plan, wilson_tree
 
 Energy = Callable[[LocalGraph, np.ndarray, int], float]
 
@@ -88,18 +89,20 @@ class Measure:
 
 @dataclass
 class State:
+    """A plan with its forest, and the edges between each pair of districts, kept in order as nodes move."""
+
     assign: np.ndarray
     tree: set[int]
-    links: list[set[int]]
+    forest: RootedForest
+    cross: dict[tuple[int, int], list[int]]
+    sizes: dict[int, int]
     version: int = 0
 
     @classmethod
     def from_tree(cls, g: LocalGraph, assign: np.ndarray, tree: set[int]) -> State:
-        links: list[set[int]] = [set() for _ in g.ids]
-        for e in tree:
-            links[g.u[e]].add(int(g.v[e]))
-            links[g.v[e]].add(int(g.u[e]))
-        return cls(assign.copy(), set(tree), links)
+        cross = {k: e.tolist() for k, e in crossing(g, assign).items()}
+        sizes = {int(d): int(n) for d, n in zip(*np.unique(assign, return_counts=True), strict=True)}
+        return cls(assign.copy(), set(tree), RootedForest(g, tree), cross, sizes)
 
     @classmethod
     def from_plan(cls, g: LocalGraph, assign: np.ndarray, rng: np.random.Generator) -> State:
@@ -110,7 +113,7 @@ class State:
 
 
 def crossing(g: LocalGraph, assign: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-    """Edges between each adjacent pair of districts."""
+    """Edges between each adjacent pair of districts, from all edges: what a state begins with."""
     a, b = assign[g.u], assign[g.v]
     e = np.flatnonzero(a != b)
     low, high = np.minimum(a[e], b[e]), np.maximum(a[e], b[e])
@@ -120,32 +123,38 @@ def crossing(g: LocalGraph, assign: np.ndarray) -> dict[tuple[int, int], np.ndar
     return {(int(low[p[0]]), int(high[p[0]])): e[p] for p in parts}
 
 
-def hanging(g: LocalGraph, links: list[set[int]], path: list[int]) -> tuple[list[float], list[list[int]]]:
-    """For each node of a path in a tree: population and nodes of what hangs off it, itself included."""
-    on = set(path)
-    pops, members = [], []
-    for x in path:
-        found, back = [x], {x}
-        for y in found:
-            for z in links[y]:
-                if z not in back and z not in on:
-                    back.add(z)
-                    found.append(z)
-        members.append(found)
-        pops.append(float(g.pop[found].sum()))
-    return pops, members
-
-
-def arcs_within(weights: np.ndarray, low: float, high: float, current: int) -> list[tuple[int, int]]:
-    """Arcs (a, b), from 1, b short of the end, with both sides in bounds, but for the standing cut (1, current)."""
+def moved_edges(g: LocalGraph, assign: np.ndarray, to: dict[int, int]) -> dict[tuple[int, int], tuple[list[int], list[int]]]:
+    """Of each pair of districts: edges it gains and loses if nodes go ``to`` other districts. Looks at edges of these nodes only."""
+    out: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+    for x, new in to.items():
+        old = int(assign[x])
+        for y, e in g.near[x]:
+            was = int(assign[y])
+            now = to.get(y, was)
+            if y in to and y < x:  # looked at from y
+                continue
+            before, after = (min(old, was), max(old, was)), (min(new, now), max(new, now))
+            if before != after:
+                if before[0] != before[1]:
+                    out.setdefault(before, ([], []))[1].append(e)
+                if after[0] != after[1]:
+                    out.setdefault(after, ([], []))[0].append(e)
+    return out
+
+
+def arcs_within(weights: np.ndarray, low: float, high: float, current: int) -> np.ndarray:
+    """Arcs (a, b), from 1, b short of the end, with both sides in bounds, but for the standing cut (1, current); in order, a row each."""
     upto = np.concatenate([[0.0], np.cumsum(weights)])
-    total, n, out = upto[-1], len(weights), []
+    total, n = upto[-1], len(weights)
     least, most = max(low, total - high), min(high, total - low)
-    for a in range(1, n + 1):
-        first = max(a, int(np.searchsorted(upto, upto[a - 1] + least - 1e-9)))
-        last = min(n - 1, int(np.searchsorted(upto, upto[a - 1] + most + 1e-9, side="right")) - 1)
-        out += [(a, b) for b in range(first, last + 1)]
-    return [x for x in out if x != (1, current)]
+    start = np.arange(1, n + 1)
+    first = np.maximum(start, np.searchsorted(upto, upto[:-1] + least - 1e-9))
+    last = np.minimum(n - 1, np.searchsorted(upto, upto[:-1] + most + 1e-9, side="right") - 1)
+    k = np.maximum(0, last - first + 1)
+    a = np.repeat(start, k)
+    b = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first, k)
+    out = np.stack([a, b], axis=1)
+    return out[(a != 1) | (b != current)]
 
 
 @dataclass
@@ -161,96 +170,130 @@ class Proposal:
     delta_pop: float = 0.0
     delta_nodes: float = 0.0
     accepted: bool = False
-    update: tuple | None = None
+    update: Move | None = None
+
+
+def swap_mass(weights: np.ndarray, n_u: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weight that changes side for each arc a..b."""
+    upto, n = np.concatenate([[0.0], np.cumsum(weights)]), len(weights)
+    inside = np.where(a <= n_u, upto[np.minimum(n_u, b)] - upto[a - 1], np.where(a > n_u + 1, upto[a - 1] - upto[n_u], 0.0))
+    return inside + np.where(b < n, upto[n] - upto[np.maximum(n_u, b)], 0.0)
+
+
+@dataclass
+class Move:
+    """What a proposal changes: nodes and their new districts, edges of pairs of districts, and of the forest."""
 
+    pair: tuple[int, int]
+    to: dict[int, int]
+    cross: dict[tuple[int, int], tuple[list[int], list[int]]]
+    add: set[int]
+    drop: set[int]
 
-def swap_mass(weights: np.ndarray, n_u: int, a: int, b: int) -> float:
-    """Weight that changes side for the arc a..b."""
-    n, s = len(weights), 0.0
-    if a <= n_u:
-        s += weights[a - 1 : min(n_u, b)].sum()
-    elif a > n_u + 1:
-        s += weights[n_u : a - 1].sum()
-    if b < n:
-        s += weights[max(n_u + 1, b + 1) - 1 :].sum()
-    return float(s)
+    def assign(self, s: State) -> np.ndarray:
+        out = s.assign.copy()
+        out[list(self.to)] = list(self.to.values())
+        return out
 
 
 def two_tree(g: LocalGraph, s: State, low: float, high: float, rng: np.random.Generator) -> Proposal:
     p = Proposal("two_tree")
-    cross = crossing(g, s.assign)
-    if not cross:
+    if not s.cross:
         return p
-    pairs = list(cross)
+    pairs = sorted(s.cross)
     d1, d2 = pairs[int(rng.integers(len(pairs)))]
-    edges = cross[(d1, d2)]
+    edges = s.cross[d1, d2]
     if len(edges) < 2:
         return p
     e1, e2 = (int(edges[i]) for i in rng.choice(len(edges), 2, replace=False))
     ends = [(int(g.u[e]), int(g.v[e])) for e in (e1, e2)]
     (u1, v1), (u2, v2) = [(a, b) if s.assign[a] == d1 else (b, a) for a, b in ends]
-    u_path = tree_path(g, s.links.__getitem__, u2, u1)
-    v_path = tree_path(g, s.links.__getitem__, v1, v2)
-    (up, um), (vp, vm) = hanging(g, s.links, u_path), hanging(g, s.links, v_path)
-    path, members, weights, n_u = u_path + v_path, um + vm, np.array(up + vp), len(u_path)
+    (u_path, u_top), (v_path, v_top) = s.forest.path(u2, u1), s.forest.path(v1, v2)
+    path, weights, n_u = u_path + v_path, np.array(s.forest.hanging(u_path, u_top) + s.forest.hanging(v_path, v_top)), len(u_path)
     n, total = len(path), float(weights.sum())
     p.cycle_length = n
     arcs = arcs_within(weights, low, high, n_u)
     p.pairs = len(arcs) + 1
-    positions = {1, n_u + 1}
-    for a, b in arcs:
-        positions |= {a, b % n + 1}
-    p.unique_edges = len(positions)
-    if not arcs:
+    starts, stops = arcs[:, 0], arcs[:, 1]
+    p.unique_edges = len(np.unique(np.concatenate([[1, n_u + 1], starts, stops % n + 1])))
+    if not len(arcs):
         return p
-    swaps = [min(x, total - x) for x in (swap_mass(weights, n_u, a, b) for a, b in arcs)]
-    p.max_swappable, p.avg_swappable = max(swaps) / total, sum(swaps) / ((len(arcs) + 1) * total)
+    swaps = swap_mass(weights, n_u, starts, stops)
+    swaps = np.minimum(swaps, total - swaps)
+    p.max_swappable, p.avg_swappable = float(swaps.max() / total), float(swaps.sum() / ((len(arcs) + 1) * total))
     # cycle edge i lies before position i; edge 1 closes the cycle
     cycle = [e2, *(g.edge_of(x, y) for x, y in zip(path, path[1:], strict=False))]
     inverse = 1 / g.w[cycle]
-    choice = np.array([inverse[a - 1] * inverse[b] for a, b in arcs])
+    choice = inverse[starts - 1] * inverse[stops]
     k = pick(rng, choice)
-    a, b = arcs[k]
+    a, b = arcs[k].tolist()
     cuts = {cycle[a - 1], cycle[b]}
-    arc = np.array([x for m in members[a - 1 : b] for x in m])
-    rest = np.array([x for m in members[: a - 1] + members[b:] for x in m])
     # the side keeps the label with which it shares more people
-    kept = g.pop[arc[s.assign[arc] == d1]].sum() + g.pop[rest[s.assign[rest] == d2]].sum()
-    flip = 2 * kept < total
-    assign = s.assign.copy()
-    assign[arc], assign[rest] = (d2, d1) if flip else (d1, d2)
-    after = crossing(g, assign)
-    size, new_size = len(edges), len(after[(d1, d2)])
+    place = np.arange(1, n + 1)
+    in_arc, first = (place >= a) & (place <= b), place <= n_u
+    flip = 2 * weights[in_arc == first].sum() < total
+    leaves = np.flatnonzero((in_arc == first) if flip else (in_arc != first)).tolist()
+    mine, theirs = (s.forest.members(path, [i for i in leaves if (i < n_u) == side]) for side in (True, False))
+    to = dict.fromkeys(mine, d2) | dict.fromkeys(theirs, d1)
+    moved = moved_edges(g, s.assign, to)
+    after = len(s.cross)
+    for pair, (gained, lost) in moved.items():
+        had = len(s.cross.get(pair, ()))
+        after += (had + len(gained) - len(lost) > 0) - (had > 0)
+    gained, lost = moved.get((d1, d2), ((), ()))
+    size, new_size = len(edges), len(edges) + len(gained) - len(lost)
     mass, links_inv = float(choice.sum()), 1 / (g.w[e1] * g.w[e2])
     new_mass = mass + links_inv - choice[k]
-    p.ratio = len(cross) / len(after) * (size * (size - 1)) / (new_size * (new_size - 1)) * mass / new_mass
-    moved = assign != s.assign
-    p.delta_pop, p.delta_nodes = float(g.pop[moved].sum() / total), float(moved.sum() / (len(arc) + len(rest)))
-    p.update = (d1, d2, assign, {e1, e2} - cuts, cuts - {e1, e2})
+    p.ratio = len(s.cross) / after * (size * (size - 1)) / (new_size * (new_size - 1)) * mass / new_mass
+    p.delta_pop, p.delta_nodes = float(weights[leaves].sum() / total), len(to) / (s.sizes[d1] + s.sizes[d2])
+    p.update = Move((d1, d2), to, moved, {e1, e2} - cuts, cuts - {e1, e2})
     return p
 
 
-def apply(g: LocalGraph, s: State, update: tuple) -> None:
-    _, _, assign, add, drop = update
-    for e in drop:
+def apply(g: LocalGraph, s: State, move: Move) -> None:
+    for e in move.drop:
         s.tree.remove(e)
-        s.links[g.u[e]].discard(int(g.v[e]))
-        s.links[g.v[e]].discard(int(g.u[e]))
-    for e in add:
+        s.forest.cut(int(g.u[e]), int(g.v[e]))
+    for e in move.add:
         s.tree.add(e)
-        s.links[g.u[e]].add(int(g.v[e]))
-        s.links[g.v[e]].add(int(g.u[e]))
-    s.assign = assign
+        s.forest.link(int(g.u[e]), int(g.v[e]))
+    for pair, (gained, lost) in move.cross.items():
+        held = s.cross.setdefault(pair, [])
+        for e in lost:
+            del held[bisect_left(held, e)]
+        for e in gained:
+            insort(held, e)
+        if not held:
+            del s.cross[pair]
+    for x, d in move.to.items():
+        s.sizes[int(s.assign[x])] -= 1
+        s.sizes[d] += 1
+        s.assign[x] = d
     s.version += 1
 
 
 def one_tree(g: LocalGraph, s: State, rng: np.random.Generator) -> None:
-    """A uniform edge inside any tree, exchanged against one of the cycle it closes. Nothing where every district is one node."""
+    """A uniform edge inside any tree, exchanged against one of the cycle it closes, itself included, with weight 1/w. Nothing where every district is one node."""
     while s.tree:
         e = int(rng.integers(len(g.u)))
         if s.assign[g.u[e]] == s.assign[g.v[e]]:
-            one_tree_exchange(g, s.links, s.tree, e, rng)
             break
+    else:
+        return
+    if e in s.tree:
+        return
+    a, b = int(g.u[e]), int(g.v[e])
+    path, _ = s.forest.path(a, b)
+    cycle = [g.edge_of(x, y) for x, y in zip(path, path[1:], strict=False)] + [e]
+    out = cycle[pick(rng, 1 / g.w[cycle])]
+    if out == e:
+        return
+    s.tree.remove(out)
+    s.tree.add(e)
+    x, y = int(g.u[out]), int(g.v[out])
+    child = x if s.forest.up[x] == y else y
+    s.forest.cut(x, y)
+    s.forest.link(*((a, b) if s.forest.root(a) == child else (b, a)))  # what came loose hangs on the rest
 
 
 def check_mix(mix: dict[str, float]) -> None:
@@ -282,8 +325,7 @@ def run_chain(
             p.step = step
             log.append(p)
             if p.update is not None:
-                pair = p.update[:2]
-                new = measure.of(g, p.update[2], pair)
+                new = measure.of(g, p.update.assign(s), p.update.pair) if measure.weights else {}
                 p.ratio *= math.exp(min(700.0, measure.total({k: measure.kept[k] for k in new}) - measure.total(new)))
                 if rng.random() < p.ratio:
                     apply(g, s, p.update)

@@ -159,6 +159,103 @@ def one_tree_exchange(g: LocalGraph, links: list[set[int]], tree: set[int], e: i
     links[b].add(a)
 
 
+class RootedForest:
+    """A forest by parents, with the population at and below each node: paths, links and cuts cost the depth of what they touch."""
+
+    def __init__(self, g: LocalGraph, tree: set[int]):
+        self.links: list[set[int]] = [set() for _ in g.ids]
+        for e in tree:
+            self.links[g.u[e]].add(int(g.v[e]))
+            self.links[g.v[e]].add(int(g.u[e]))
+        self.up, self.below = [-2] * len(g.ids), g.pop.astype(float).tolist()
+        for root in range(len(g.ids)):
+            if self.up[root] != -2:
+                continue
+            self.up[root], order = -1, [root]
+            for x in order:
+                for y in self.links[x]:
+                    if y != self.up[x]:
+                        self.up[y] = x
+                        order.append(y)
+            for x in reversed(order[1:]):
+                self.below[self.up[x]] += self.below[x]
+
+    def root(self, x: int) -> int:
+        while self.up[x] >= 0:
+            x = self.up[x]
+        return x
+
+    def path(self, a: int, b: int) -> tuple[list[int], int]:
+        """Nodes from a to b, and the place of the one nearest to the root: both ends climb until one meets where the other has been."""
+        up, left, right = self.up, [a], [b]
+        at_left, at_right, x, y = {a: 0}, {b: 0}, a, b
+        if a == b:
+            return [a], 0
+        while x >= 0 or y >= 0:
+            if x >= 0:
+                x = up[x]
+                if x in at_right:
+                    return left + right[: at_right[x] + 1][::-1], len(left)
+                if x >= 0:
+                    at_left[x] = len(left)
+                    left.append(x)
+            if y >= 0:
+                y = up[y]
+                if y in at_left:
+                    return left[: at_left[y] + 1] + right[::-1], at_left[y]
+                if y >= 0:
+                    at_right[y] = len(right)
+                    right.append(y)
+        raise ValueError("no path: two trees")
+
+    def hanging(self, path: list[int], top: int) -> list[float]:
+        """For each node of a path, the population of what hangs off it, itself included; ``top``: the place nearest to the root."""
+        below = self.below
+        out = [below[x] for x in path]
+        for i in range(len(path)):
+            if i != top:
+                out[i + 1 if i < top else i - 1] -= below[path[i]]
+        out[top] += below[self.root(path[top])] - below[path[top]]
+        return out
+
+    def members(self, path: list[int], places: list[int]) -> list[int]:
+        """Nodes of what hangs off the nodes of a path at ``places``, these included."""
+        on, out = set(path), []
+        for i in places:
+            todo = [(path[i], -1)]
+            while todo:
+                x, back = todo.pop()
+                out.append(x)
+                todo += [(y, x) for y in self.links[x] if y != back and y not in on]
+        return out
+
+    def cut(self, a: int, b: int) -> None:
+        child, x = (a, b) if self.up[a] == b else (b, a)
+        self.links[a].discard(b)
+        self.links[b].discard(a)
+        self.up[child] = -1
+        while x >= 0:
+            self.below[x] -= self.below[child]
+            x = self.up[x]
+
+    def link(self, a: int, b: int) -> None:
+        """Joins two trees; that of a hangs on b."""
+        x, way = a, [a]
+        while self.up[x] >= 0:
+            x = self.up[x]
+            way.append(x)
+        total, old = self.below[x], [self.below[y] for y in way]
+        for i in range(len(way) - 1, 0, -1):
+            self.up[way[i]], self.below[way[i]] = way[i - 1], total - old[i - 1]
+        self.up[a], self.below[a] = b, total
+        x = b
+        while x >= 0:
+            self.below[x] += total
+            x = self.up[x]
+        self.links[a].add(b)
+        self.links[b].add(a)
+
+
 def subtree_pops(g: LocalGraph, tree: set[int], root: int) -> tuple[list[int], dict[int, int], dict[int, float]]:
     """Nodes in breadth-first order, their parents, and the population at and below each."""
     near: dict[int, list[int]] = {}
