@@ -18,9 +18,14 @@ from parcela.plans.multiscale import Balance, splitting_sums
 
 def hanging(trees: DataFrame, nodes: DataFrame, population: str = "pop") -> DataFrame:
     """tree_id, node, nbr, own, pop, total: for both ends of every edge, the people of ``node``, those beyond ``nbr``, and those of the tree."""
+    return sides(trees, nodes, population).select("tree_id", "node", "nbr", "own", "pop", "total")
+
+
+def sides(trees: DataFrame, nodes: DataFrame, population: str = "pop") -> DataFrame:
+    """As ``hanging``, with enter, leave, inner: the stretch of a walk over the tree that holds what is beyond ``nbr``, or (inner false) what is not."""
     kind = trees.schema["tree_id"].dataType
     long, double = T.LongType(), T.DoubleType()
-    schema = T.StructType([T.StructField("tree_id", kind), *[T.StructField(c, t) for c, t in (("node", long), ("nbr", long), ("own", double), ("pop", double), ("total", double))]])
+    schema = T.StructType([T.StructField("tree_id", kind), *[T.StructField(c, t) for c, t in (("node", long), ("nbr", long), ("own", double), ("pop", double), ("total", double), ("enter", long), ("leave", long), ("inner", T.BooleanType()))]])
 
     def one(t: pa.Table) -> pa.Table:
         u, v, pu, pv = (t.column(c).to_numpy() for c in ("u", "v", "pu", "pv"))
@@ -31,23 +36,27 @@ def hanging(trees: DataFrame, nodes: DataFrame, population: str = "pop") -> Data
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
             near[x].append(y)
             near[y].append(x)
-        order, parent = [0], {0: -1}
-        for x in order:
+        order, parent, todo = [], {0: -1}, [0]  # a node comes before its subtree, which is a stretch of the order
+        while todo:
+            order.append(x := todo.pop())
             for y in near[x]:
                 if y not in parent:
                     parent[y] = x
-                    order.append(y)
+                    todo.append(y)
         if len(order) != len(ids) or len(u) != len(ids) - 1:
             raise ValueError("not a tree")
-        below = own.copy()
+        below, size, enter = own.copy(), np.ones(len(ids), np.int64), np.empty(len(ids), np.int64)
+        enter[order] = np.arange(len(ids))
         for x in reversed(order[1:]):
             below[parent[x]] += below[x]
+            size[parent[x]] += size[x]
         child = np.array(order[1:], int)
         up = np.array([parent[x] for x in order[1:]], int)
         k, total = 2 * len(child), below[0]
         node, nbr = np.concatenate([up, child]), np.concatenate([child, up])
         pop = np.concatenate([below[child], total - below[child]])
-        return pa.table([t.column("tree_id").take(pa.array(np.zeros(k, int))), ids[node], ids[nbr], own[node], pop, np.full(k, total)], names=schema.names)
+        stretch = [np.tile(enter[child], 2), np.tile(enter[child] + size[child] - 1, 2), np.repeat([True, False], len(child))]
+        return pa.table([t.column("tree_id").take(pa.array(np.zeros(k, int))), ids[node], ids[nbr], own[node], pop, np.full(k, total), *stretch], names=schema.names)
 
     pops = nodes.select(F.col("id").alias("x"), F.col(population).cast("double").alias("p"))
     ends = trees.select("tree_id", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
@@ -84,3 +93,27 @@ def cuttable_nodes(hung: DataFrame, balance: Balance) -> DataFrame:
     per = hung.groupBy("tree_id", "node").agg(F.first("own").alias("own"), F.collect_list("pop").alias("parts"), F.first("total").alias("total"))
     out = per.select("tree_id", "node", "own", "total", F.explode(sums("own", "parts")).alias("side"))
     return out.select("tree_id", "node", "own", "side", (F.col("total") - F.col("own") - F.col("side")).alias("rest"))
+
+
+def edge_pairs(parts: DataFrame, low: float, high: float) -> DataFrame:
+    """tree_id, u1, v1, u2, v2 (u < v, first edge before second), first, second, third: pairs of edges whose removal leaves three parts within bounds.
+
+    parts: ``sides``. Two of the parts are what is beyond an edge, away from the
+    other one; their people are within bounds, and so is their sum within those
+    that it leaves to the third. Sides are put into bins of population as wide as
+    these bounds, so that a side meets those of two or three bins of its tree
+    alone; of what it meets, stretches of the walk tell whether they overlap.
+    """
+    width = max(high - low, 1e-9 * max(1.0, abs(high)))
+    ends = parts.filter(F.col("pop").between(low, high)).select("tree_id", F.least("node", "nbr").alias("u"), F.greatest("node", "nbr").alias("v"), "pop", "total", "enter", "leave", "inner")
+    a = ends.select("tree_id", "total", *[F.col(c).alias(f"{c}1") for c in ("u", "v", "pop", "enter", "leave", "inner")])
+    b = ends.select("tree_id", F.floor(F.col("pop") / width).alias("bin"), *[F.col(c).alias(f"{c}2") for c in ("u", "v", "pop", "enter", "leave", "inner")])
+    rest = F.col("total") - F.col("pop1")
+    bins = F.sequence(F.floor((rest - high) / width) - 1, F.floor((rest - low) / width) + 1)
+    met = a.withColumn("bin", F.explode(bins)).join(b, ["tree_id", "bin"]).filter("u1 < u2 OR (u1 = u2 AND v1 < v2)")
+    third = F.col("total") - F.col("pop1") - F.col("pop2")
+    inside = lambda x, y: (F.col(f"enter{y}") <= F.col(f"enter{x}")) & (F.col(f"leave{x}") <= F.col(f"leave{y}"))
+    apart = (F.col("leave1") < F.col("enter2")) | (F.col("leave2") < F.col("enter1"))
+    disjoint = F.when(F.col("inner1") & F.col("inner2"), apart).when(F.col("inner1"), inside(1, 2)).when(F.col("inner2"), inside(2, 1)).otherwise(F.lit(False))
+    out = met.filter(third.between(low, high) & disjoint)
+    return out.select("tree_id", "u1", "v1", "u2", "v2", F.col("pop1").alias("first"), F.col("pop2").alias("second"), third.alias("third"))

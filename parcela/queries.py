@@ -1070,6 +1070,26 @@ WHERE (lo <= side + own AND 4 * lo <= t - side AND side < hi AND t - own - side
 register("m8_cut_probabilities", "SELECT tree_id, u, v, pop, -ln(count(*) OVER (PARTITION BY tree_id)) AS log_probability FROM cuttable", CUSTOMER, CCOMBS, recursive=True)(
     combs_of_customers(lambda K, h, b: K.cut_probabilities(K.cuttable_edges(h, b)))
 )
+# two sides that don't overlap: neither holds the other's first node
+register(
+    "j14_edge_pairs",
+    """SELECT a.tree_id, least(a.node, a.nbr) AS u1, greatest(a.node, a.nbr) AS v1, least(b.node, b.nbr) AS u2, greatest(b.node, b.nbr) AS v2, a.pop AS first, b.pop AS second, t - a.pop - b.pop AS third
+FROM fit a JOIN fit b ON a.tree_id = b.tree_id AND (least(a.node, a.nbr) < least(b.node, b.nbr) OR (least(a.node, a.nbr) = least(b.node, b.nbr) AND greatest(a.node, a.nbr) < greatest(b.node, b.nbr))), third
+WHERE t - a.pop - b.pop BETWEEN lo AND hi
+  AND NOT EXISTS (SELECT 1 FROM side s WHERE s.tree_id = a.tree_id AND s.node = a.node AND s.nbr = a.nbr AND s.member = b.nbr)
+  AND NOT EXISTS (SELECT 1 FROM side s WHERE s.tree_id = b.tree_id AND s.node = b.node AND s.nbr = b.nbr AND s.member = a.nbr)""",
+    CUSTOMER, CCOMBS, "third AS (SELECT t, ceil(0.5 * (t / 3)) AS lo, floor(1.5 * (t / 3)) AS hi FROM bound), fit AS (SELECT tree_id, node, nbr, pop FROM hung, third WHERE pop BETWEEN lo AND hi)", recursive=True,
+)(lambda spark, sf: _edge_pairs(spark, sf))
+
+
+def _edge_pairs(spark, sf_dir):
+    from parcela.operators import cuts
+
+    g = S.customer_lattice(spark, sf_dir)
+    b = C.Population.around(float(g.nodes.agg(F.sum("pop")).first()[0] or 0), 3, 0.5)
+    return cuts.edge_pairs(written(cuts.sides(S.comb_trees(g), g.nodes), "sides"), b.low, b.high)
+
+
 register(
     "c2_unfinished_plans",
     """SELECT p.plan_id, bool_and(target <= 0 OR coalesce(packed, 0) >= target OR (n < 5 AND coalesce(packed, 0) + floor((size - coalesce(claimed, 0)) / ideal) >= target)) AS ok

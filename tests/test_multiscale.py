@@ -223,3 +223,20 @@ def test_components_by_rounds_with_plan_ids_of_any_type(spark):
         p = odd.withColumn("plan_id", kind)
         key = lambda r: (str(r.plan_id), r.district, r.node, r.component)
         assert sorted(map(key, R.component_labels_by_rounds(edges, p).collect())) == sorted(map(key, R.component_labels(edges, p).collect()))
+
+
+def test_pairs_of_edges_over_many_trees(spark):
+    """As a search of each tree by itself finds, for bounds of any width."""
+    from parcela.plans.forest import three_way_cuts
+
+    nodes, _, _ = grid.frames(spark)
+    g = local(16, grid.EDGES)
+    trees = {f"t{t}": kruskal_tree(g, list(range(16)), np.random.default_rng(t)) for t in range(25)}
+    df = spark.createDataFrame([(t, *grid.EDGES[e]) for t, tree in trees.items() for e in tree], "tree_id string, u long, v long")
+    parts = cuts.sides(df, nodes).cache()
+    for low, high in ((5, 6), (4, 8), (1, 14), (16 / 3, 16 / 3)):
+        want = {(t, *sorted((grid.EDGES[a], grid.EDGES[b]))) for t, tree in trees.items() for a, b in three_way_cuts(g, tree, low, high)}
+        rows = cuts.edge_pairs(parts, low, high).collect()
+        got = {(r.tree_id, (r.u1, r.v1), (r.u2, r.v2)) for r in rows}
+        assert got == want and len(rows) == len(got) and all(r.first + r.second + r.third == 16 for r in rows)
+    assert want == set() and len(trees) == 25
