@@ -7,10 +7,13 @@
    the threshold misses all bands with a probability of about 3e-5). Buckets are
    linked as stars to their least member, never as pairs, and each edge of a
    star is checked on the signatures: it holds if the estimate is no more than
-   six standard deviations under the threshold. Buckets whose members the edges
-   that hold don't join to one component are searched whole, signatures alone,
-   for further edges between their components; those over ``BUCKET_DOCS`` in
-   pairs of blocks. So chance buckets, as of a shared template, join nothing.
+   six standard deviations under the threshold. So chance buckets, as of a shared
+   template, join nothing. Members of buckets that the edges that hold don't join
+   to one component get buckets of another kind: by each of the rarest shingles
+   of their set, as many as any set that is similar enough must meet one of, an
+   exact bound. A template's shingles are common and fall out. Of these buckets
+   those that are still apart are searched whole, signatures alone; those over
+   ``BUCKET_DOCS`` in pairs of blocks.
 3. The components of these edges are groups. Each group is searched for links
    between different components, confirmed on the full sets. A link joins two
    components, so that a large group of copies costs few confirmations and gives
@@ -29,6 +32,7 @@ empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +52,10 @@ BUCKET_DOCS = 2048
 PERCENT = 80
 CHUNK = 2048
 GROUP_TEXT = 1 << 20
+#: Texts from which common shingles are counted, and how many of these a task holds.
+COMMON_DOCS, COMMON_SHINGLES = 2048, 500_000
+log = logging.getLogger(__name__)
+
 
 class Shingler:
     """Shingle sets of UTF-8 texts, computed over whole groups of texts at a time."""
@@ -214,42 +222,94 @@ def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("b0", F.least("block", "other")).withColumn("b1", F.greatest("block", "other")).drop("other", "nb")
 
 
-def likely_edges(signed: DataFrame, reps: DataFrame, percent: int, temporary: list[DataFrame]) -> DataFrame:
+def _prefixes(batches: Iterator[pa.RecordBatch], words: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """rid, band: of each text's shingles the rarest ones, as many as must hold one that a linked text's rarest ones hold too."""
+    shingler, (keys, counts) = Shingler(words), common
+    for b in slices(batches):
+        rids, bands = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for rid, s in zip(b.column(0).to_pylist(), shingler.sets(b.column(1).to_pylist()), strict=True):
+            x = s.view(np.int64)
+            seen = np.zeros(len(x), np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+                seen = np.where(keys[at] == x, counts[at], 0)
+            first = x[np.lexsort((x, seen))[: len(x) - -(-percent * len(x) // 100) + 1]]
+            rids.append(np.full(len(first), rid))
+            bands.append(first)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rids)), pa.array(np.concatenate(bands))], ["rid", "band"])
+    release()
+
+
+def _shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    shingler = Shingler(words)
+    for b in slices(batches):
+        for s in shingler.sets(b.column(0).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["s"])
+    release()
+
+
+def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of at most COMMON_DOCS texts (rid, text) hold, sorted, and of how many; COMMON_SHINGLES at most.
+
+    They only make prefixes selective: whatever the order of shingles, linked sets share one among their prefixes.
+    """
+    some = texts.orderBy(F.xxhash64("rid"), "rid").limit(COMMON_DOCS).select("text")
+    counts = some.mapInArrow(lambda b: _shingles(b, words), "s long").groupBy("s").agg(F.count("*").alias("k")).filter("k > 2")
+    found = counts.orderBy(F.desc("k"), "s").limit(COMMON_SHINGLES).toArrow().sort_by("s")
+    return found.column("s").to_numpy(), found.column("k").to_numpy()
+
+
+def likely_edges(signed: DataFrame, reps: DataFrame, raw: DataFrame, words: int, percent: int, temporary: list[DataFrame]) -> DataFrame:
     """Edges (a, b) whose components are the groups: pairs that share a bucket and whose signatures agree enough."""
 
     def keep(df: DataFrame, label: str) -> DataFrame:
         temporary.append(written(df, label))
         return temporary[-1]
 
-    # merge joins where no side has a bound
-    banded = signed.select("rid", "bands").join(reps.hint("merge"), "rid", "left_semi").select("rid", F.explode("bands").alias("band"))
-    buckets = keep(banded.groupBy("band").agg(F.min("rid").alias("least"), F.count("*").alias("k")).filter("k > 1"), "buckets")
-    members = keep(banded.join(buckets.hint("merge"), "band").filter("rid <> least").select("band", "rid", "least", "k"), "members")
-    stars = keep(members.select("rid", "least").distinct(), "stars")
-    ends = keep(stars.select(F.explode(F.array("rid", "least")).alias("rid")).distinct(), "ends")
-    prints = keep(signed.select("rid", "n", "sig").join(sized(ends), "rid", "left_semi"), "signatures")
-    a, b = (prints.select(*[F.col(c).alias(f"{c}_{x}") for c in prints.columns]) for x in "ab")
-
     @F.pandas_udf("int")
     def agree(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series((_matrix(list(x)) == _matrix(list(y))).sum(1) if len(x) else [], dtype="int32")
 
-    pairs = stars.join(a.hint("merge"), F.col("rid") == F.col("rid_a")).join(b.hint("merge"), F.col("least") == F.col("rid_b"))
-    pairs = pairs.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (agree("sig_a", "sig_b") >= float(needed(percent))))
-    edges = keep(pairs.select(F.col("rid").alias("a"), F.col("least").alias("b")), "edges")
-    labels = keep(components(edges).withColumnsRenamed({"node": "rid", "root": "label"}), "labels")
-
-    def labelled(df: DataFrame, column: str, out: str) -> DataFrame:
+    def labelled(df: DataFrame, labels: DataFrame, column: str, out: str) -> DataFrame:
         by = labels.select(F.col("rid").alias(column), F.col("label").alias(out))
         return df.join(sized(by), column, "left").withColumn(out, F.coalesce(out, column))
 
-    apart = labelled(labelled(members, "rid", "label"), "least", "least_label").filter("label <> least_label")
-    open_bands = keep(apart.select("band", "least", "k").distinct(), "open")
-    rows = open_bands.agg(F.coalesce(F.sum(F.col("k") * F.ceil(F.col("k") / BUCKET_DOCS)), F.lit(0))).first()[0]
+    def starred(banded: DataFrame, known: DataFrame | None):
+        """All edges so far; (band, rid, label) of the buckets whose members they don't join; (band, k) of these; signatures."""
+        # merge joins where no side has a bound
+        buckets = keep(banded.groupBy("band").agg(F.min("rid").alias("least"), F.count("*").alias("k")).filter("k > 1"), "buckets")
+        members = keep(banded.join(buckets.hint("merge"), "band").filter("rid <> least").select("band", "rid", "least", "k"), "members")
+        stars = keep(members.select("rid", "least").distinct(), "stars")
+        ends = keep(stars.select(F.explode(F.array("rid", "least")).alias("rid")).distinct(), "ends")
+        prints = keep(signed.select("rid", "n", "sig").join(sized(ends), "rid", "left_semi"), "signatures")
+        a, b = (prints.select(*[F.col(c).alias(f"{c}_{x}") for c in prints.columns]) for x in "ab")
+        pairs = stars.join(a.hint("merge"), F.col("rid") == F.col("rid_a")).join(b.hint("merge"), F.col("least") == F.col("rid_b"))
+        pairs = pairs.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (agree("sig_a", "sig_b") >= float(needed(percent))))
+        edges = keep(pairs.select(F.col("rid").alias("a"), F.col("least").alias("b")), "edges")
+        edges = edges if known is None else known.unionByName(edges)
+        labels = keep(components(edges).withColumnsRenamed({"node": "rid", "root": "label"}), "labels")
+        apart = labelled(labelled(members, labels, "rid", "label"), labels, "least", "least_label").filter("label <> least_label")
+        open_bands = keep(apart.select("band", "least", "k").distinct(), "open")
+        inside = members.select("band", "rid").join(sized(open_bands.select("band")), "band", "left_semi").unionByName(open_bands.select("band", F.col("least").alias("rid")))
+        return edges, labelled(inside, labels, "rid", "label"), open_bands, prints
+
+    banded = signed.select("rid", "bands").join(reps.hint("merge"), "rid", "left_semi").select("rid", F.explode("bands").alias("band"))
+    edges, inside, open_bands, _ = starred(banded, None)
+    if not open_bands.limit(1).count():
+        return edges
+    # what shares a bucket by chance, or by a template, is told apart by its rarest shingles
+    apart = keep(inside.select("rid").distinct(), "apart")
+    texts = raw.select("rid", "text").join(sized(apart), "rid", "left_semi")
+    common = raw.sparkSession.sparkContext.broadcast(common_shingles(texts, words))
+    with small_batches(raw.sparkSession):
+        prefixes = keep(texts.mapInArrow(lambda b: _prefixes(b, words, percent, common.value), "rid long, band long"), "prefixes")
+    edges, inside, open_bands, prints = starred(prefixes, edges)
+    k = F.col("k").cast("double")
+    rows, pairs, n = open_bands.agg(F.coalesce(F.sum(F.col("k") * F.ceil(F.col("k") / BUCKET_DOCS)), F.lit(0)), F.coalesce(F.sum(k * (k - 1) / 2), F.lit(0.0)), F.count("*")).first()
+    log.info("%s buckets are searched whole, %d pairs", n, pairs)
     if not rows:
         return edges
-    inside = members.select("band", "rid").join(sized(open_bands.select("band")), "band", "left_semi").unionByName(open_bands.select("band", F.col("least").alias("rid")))
-    inside = labelled(inside, "rid", "label").join(prints.hint("merge"), "rid").join(sized(open_bands.select("band", F.ceil(F.col("k") / BUCKET_DOCS).cast("int").alias("nb"))), "band")
+    inside = inside.join(prints.hint("merge"), "rid").join(sized(open_bands.select("band", F.ceil(F.col("k") / BUCKET_DOCS).cast("int").alias("nb"))), "band")
     dealt = _in_blocks(inside, "band").withColumn("bin", F.pmod(F.xxhash64("band", "b0", "b1"), F.lit(max(1, -(-rows // BUCKET_DOCS)))))
     more = dealt.groupBy("bin").applyInPandas(lambda pdf: _likely(pdf, percent), "a long, b long")
     return edges.unionByName(keep(more, "more_edges"))
@@ -269,7 +329,7 @@ def near_duplicates(docs: DataFrame, words: int, percent: int = PERCENT, text_co
         signed = written(raw.mapInArrow(lambda b: _signed(b, words), "rid long, doc_id long, n long, print binary, bands array<long>, sig binary"), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     classes = keep(signed.filter("n > 0").groupBy("print").agg(first), "classes").select("print", "first", F.col("first.rid").alias("rep"))
-    edges = likely_edges(signed, classes.select(F.col("rep").alias("rid")), percent, temporary)
+    edges = likely_edges(signed, classes.select(F.col("rep").alias("rid")), raw, words, percent, temporary)
     groups = keep(components(edges).select(F.col("node").alias("rid"), F.col("root").alias("grp")), "groups")
     weight = signed.select("rid", "n").join(sized(groups), "rid").groupBy("grp").agg(F.count("*").alias("docs"), (F.sum("n") * 8).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")

@@ -168,3 +168,45 @@ def test_row_ids_do_not_depend_on_the_split(spark, tmp_path):
     memory = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")
     assert stored(docs) is docs and with_row_ids(stored(memory), "r").count() == 2
     assert exact_dedup.drop_exact_duplicates(memory).count() == 1 and near_dedup.drop_near_duplicates(memory).count() == 1
+
+
+@pytest.mark.parametrize("share", [0.50, 0.62])
+def test_a_shared_template_is_not_searched_in_all_pairs(spark, tmp_path, caplog, share):
+    """A thousand texts of one template with no link, and some that are linked within it: under 5 % of the pairs are looked at, no link is lost."""
+    import logging
+
+    n = 150
+    t = int(n * 2 * share / (1 + share))
+    base, own = [f"t{i}" for i in range(t + 4)], lambda i: [f"u{i}x{k}" for k in range(n - t)]
+    rows = [(i, " ".join(base + own(i))) for i in range(1000)]
+    rows += [(2000 + i, " ".join([*base, *own(i)[:-3], "last", "words", "differ"])) for i in range(0, 1000, 100)]
+    path = str(tmp_path / "template.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    caplog.set_level(logging.INFO, "parcela.llm.near_dedup")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.read.parquet(path), 5).collect()}
+    assert got == {i: i % 2000 if i >= 2000 else i for i, _ in rows}
+    looked = [int(x.args[1]) for x in caplog.records if "searched whole" in x.msg]
+    assert looked and looked[0] < 0.05 * len(rows) * (len(rows) - 1) / 2
+
+
+def test_prefixes_of_linked_sets_meet():
+    """Whatever shingles count as common, two sets at the threshold share one of their prefixes."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    keys = None
+    for _ in range(60):
+        n = int(rng.integers(1, 60))
+        words = [f"w{x}" for x in rng.integers(0, 500, n + 4)]
+        texts = [" ".join(words), " ".join(words[: len(words) - int(rng.integers(0, 4))]), " ".join(words + [f"z{rng.integers(0, 9)}"] * int(rng.integers(0, 4)))]
+        sets = list(near_dedup.Shingler(5).sets([t.encode() for t in texts]))
+        pool = np.unique(np.concatenate(sets)).view(np.int64)
+        keys = np.sort(rng.choice(pool, rng.integers(0, len(pool) + 1), replace=False))
+        batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), pa.array([t.encode() for t in texts])], ["rid", "text"])
+        out = next(near_dedup._prefixes(iter([batch]), 5, 80, (keys, rng.integers(1, 9, len(keys)))))
+        held = {i: {b for r, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True) if r == i} for i in range(3)}
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                assert held[i] & held[j]
