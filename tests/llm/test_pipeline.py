@@ -71,6 +71,7 @@ def test_stages(spark, tmp_path):
 
 def test_the_rest_works_without_the_corpus_operators(tmp_path):
     shutil.copytree(ROOT / "parcela", tmp_path / "parcela", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(ROOT / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 90 and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
@@ -78,6 +79,7 @@ def test_the_rest_works_without_the_corpus_operators(tmp_path):
 
 def test_broken_corpus_operators_are_not_hidden(tmp_path):
     shutil.copytree(ROOT / "parcela", tmp_path / "parcela", ignore=shutil.ignore_patterns("__pycache__"))
+    shutil.copytree(ROOT / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     (tmp_path / "parcela/llm/queries.py").write_text("import no_such_module\n")
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
