@@ -8,12 +8,14 @@ document id of the keys that reach ``min_docs``. Documents then probe these
 arrays, and the counts found there decide: no line is joined.
 
 The arrays lie as files in the shared folder, in units of at most about
-``batch_bytes``. A task reads each unit that its lines need once for every
-``TEXT_BYTES`` of text, one unit at a time, so that memory stays bounded however
-many lines there are, and the documents are scanned once. What all tasks read
-together is their number times the arrays' size (some 6 bytes a distinct line),
-so tasks should be large. A hot line is one key of the arrays and makes no task
-heavy.
+``batch_bytes``. A task holds its rows compressed, beside the hashes of their
+lines in order of unit, reads each unit that these need once, one at a time, and
+then goes through its rows again with the answers. What it holds is bounded by
+``HELD_BYTES``, after which it begins anew, so a task of an ordinary split reads
+a unit once, however much text it has. The documents are scanned once. What all
+tasks read together is their number times the arrays' size (some 6 bytes a
+distinct line), so tasks should be large. A hot line is one key of the arrays
+and makes no task heavy.
 
 Defined results: null and empty texts are one empty line; keys under
 ``min_chars`` code points always stay; a document that repeats a line keeps or
@@ -38,12 +40,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns, drop_written, folder_of, table, written
+from .common import columns, drop_written, folder_of, slices, table, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
 SHARD_KEYS = 65536
 BATCH_BYTES = 64 << 20
-TEXT_BYTES = 64 << 20
+#: A chunk's texts are Python objects at once; a task holds so many bytes of compressed rows, hashes and answers between two readings of the arrays.
+CHUNK_BYTES, HELD_BYTES = 8 << 20, 256 << 20
 SPACES = b" \t\n\x0b\x0c\r"
 NO_ID = -(2**63)
 MOST = 255
@@ -203,60 +206,86 @@ class Arrays:
     def __init__(self, folder: str, shards: int, units: int, min_docs: int):
         self.folder, self.n_shards, self.units, self.min_docs = folder, shards, units, min_docs
         self.unit, self.shards = -1, {}
+        self.reads = 0
 
     def of(self, unit: int) -> dict[int, Shard]:
         if unit != self.unit:
             self.shards = {}
             self.shards = {r["shard"]: Shard(r["levels"], r["prints"], r["counts"], r["last"], self.min_docs) for r in _read_unit(self.folder, unit)}
             self.unit = unit
+            self.reads += 1
         return self.shards
 
-    def last_of(self, hashes: list[bytes]) -> dict[bytes, int]:
-        """Of the hashes held by enough documents: the largest id that holds each."""
-        pairs = _pairs(hashes)
-        shard = np.frombuffer(b"".join(h[:4] for h in hashes), ">u4").astype(np.int64) % self.n_shards
-        order = np.lexsort((shard, shard % self.units))
-        cuts = np.flatnonzero(np.diff(shard[order])) + 1
-        out: dict[bytes, int] = {}
-        for part in np.split(order, cuts) if len(order) else []:
+    def shard_of(self, pairs: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(pairs).view(">u4").reshape(len(pairs), -1)[:, 0].astype(np.int64) % self.n_shards
+
+    def answer(self, unit: int, pairs: np.ndarray) -> np.ndarray:
+        """For hashes of one unit, whether enough documents hold each, and the largest id of those."""
+        out, shard = np.zeros(len(pairs), ANSWER), self.shard_of(pairs)
+        order = np.argsort(shard, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
             s = int(shard[part[0]])
-            held = self.of(s % self.units).get(s)
+            held = self.of(unit).get(s)
             if held is None:
                 raise RuntimeError(f"shard {s} of the line arrays is missing in {self.folder}")
             hit, last = held.last_of(pairs[part])
-            out.update(zip((hashes[i] for i in part[hit].tolist()), last.tolist(), strict=True))
+            out["hit"][part[hit]], out["last"][part[hit]] = True, last
         return out
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[pa.RecordBatch]]:
-    """Batches together, up to TEXT_BYTES of text."""
-    held, size = [], 0
-    for b in batches:
-        held.append(b)
-        size += b.column(b.schema.get_field_index(column)).nbytes
-        if size >= TEXT_BYTES:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def _probe(batches: Iterator[pa.RecordBatch], arrays: Arrays, min_chars: int) -> Iterator[pa.RecordBatch]:
-    for held in _gathered(batches, "text"):
-        seen: dict[bytes, bytes] = {}  # hash of each key
-        for b in held:
-            for t in b.column(b.schema.get_field_index("text")).to_pylist():
-                for k in map(line_key, (t or b"").split(b"\n")):
-                    if k not in seen and long_enough(k, min_chars):
-                        seen[k] = _hash(k)
-        found = arrays.last_of(list(seen.values()))
-        last_of = {k: found[h] for k, h in seen.items() if h in found}
-        del seen, found
-        for b in held:
+ANSWER = np.dtype([("last", np.int64), ("hit", np.bool_)])
+
+
+def _texts(b: pa.RecordBatch) -> list[bytes]:
+    return [t or b"" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+
+
+def _chunk_keys(chunk: list[pa.RecordBatch], min_chars: int) -> list[bytes]:
+    """The distinct keys of a chunk that count, in the order in which they first occur."""
+    found: dict[bytes, bool] = {}
+    for b in chunk:
+        for t in _texts(b):
+            for k in map(line_key, t.split(b"\n")):
+                if k not in found:
+                    found[k] = long_enough(k, min_chars)
+    return [k for k, long in found.items() if long]
+
+
+class Chunk:
+    """Some rows, compressed, and the hashes of their keys in order of unit."""
+
+    def __init__(self, rows: list[pa.RecordBatch], arrays: Arrays, min_chars: int):
+        hashes = _pairs([_hash(k) for k in _chunk_keys(rows, min_chars)])
+        unit = arrays.shard_of(hashes) % arrays.units
+        self.order = np.argsort(unit, kind="stable").astype(np.int32)
+        self.hashes, unit = hashes[self.order], unit[self.order]
+        self.units, starts = np.unique(unit, return_index=True)
+        self.ends = np.append(starts, len(unit))
+        self.answers = np.zeros(len(hashes), ANSWER)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for b in rows:
+                out.write_batch(b)
+        self.rows = sink.getvalue()
+        self.nbytes = self.rows.size + self.hashes.nbytes + self.order.nbytes + self.answers.nbytes
+
+    def ask(self, arrays: Arrays, unit: int) -> None:
+        i = int(np.searchsorted(self.units, unit))
+        if i < len(self.units) and self.units[i] == unit:
+            part = slice(self.ends[i], self.ends[i + 1])
+            self.answers[part] = arrays.answer(unit, self.hashes[part])
+
+    def reduced(self, min_chars: int) -> Iterator[pa.RecordBatch]:
+        """The rows again, with the lines that stay."""
+        batches = list(pa.ipc.open_stream(self.rows))
+        keys = _chunk_keys(batches, min_chars)
+        hit = self.answers["hit"]
+        last_of = {keys[i]: last for i, last in zip(self.order[hit].tolist(), self.answers["last"][hit].tolist(), strict=True)}
+        for b in batches:
             names = b.schema.names
             out, total, dropped = [], [], []
-            for doc, t in zip(b.column(names.index("doc_id")).to_pylist(), b.column(names.index("text")).to_pylist(), strict=True):
-                me, lines = NO_ID if doc is None else doc, (t or b"").split(b"\n")
+            for doc, t in zip(b.column(names.index("doc_id")).to_pylist(), _texts(b), strict=True):
+                me, lines = NO_ID if doc is None else doc, t.split(b"\n")
                 kept = [x for x in lines if last_of.get(line_key(x), me) == me]
                 out.append(b"\n".join(kept))
                 total.append(len(lines))
@@ -267,6 +296,39 @@ def _probe(batches: Iterator[pa.RecordBatch], arrays: Arrays, min_chars: int) ->
             )
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], arrays: Arrays, min_chars: int) -> Iterator[Chunk]:
+    held, size = [], 0
+    for b in slices(batches, size=CHUNK_BYTES):
+        held.append(b)
+        size += b.nbytes
+        if size >= CHUNK_BYTES:
+            yield Chunk(held, arrays, min_chars)
+            held, size = [], 0
+    if held:
+        yield Chunk(held, arrays, min_chars)
+
+
+def _answered(chunks: list[Chunk], arrays: Arrays, min_chars: int) -> Iterator[pa.RecordBatch]:
+    """Asks unit by unit for all chunks together, then gives their rows back, each chunk freed after its own."""
+    for unit in sorted({int(u) for c in chunks for u in c.units}):
+        for c in chunks:
+            c.ask(arrays, unit)
+    chunks.reverse()
+    while chunks:
+        yield from chunks.pop().reduced(min_chars)
+
+
+def _probe(batches: Iterator[pa.RecordBatch], arrays: Arrays, min_chars: int) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for c in _chunks(batches, arrays, min_chars):
+        held.append(c)
+        size += c.nbytes
+        if size >= HELD_BYTES:
+            yield from _answered(held, arrays, min_chars)
+            held, size = [], 0
+    yield from _answered(held, arrays, min_chars)
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """``docs`` with text reduced to the lines that stay, and n_lines (before), n_dropped."""
     docs = docs.select(*[c for c, n in zip(columns(docs), docs.columns, strict=True) if n.lower() not in ("n_lines", "n_dropped")])

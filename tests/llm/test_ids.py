@@ -2,7 +2,6 @@
 
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -63,9 +62,28 @@ def test_a_missing_shard_is_an_error(spark, tmp_path):
     folder, shards, units = line_dedup.line_arrays(docs, shard_keys=8, batch_bytes=64)
     assert shards >= 8 and units >= 4
     arrays = line_dedup.Arrays(folder, shards, units, 3)
-    keys = [line_dedup._hash(f"line number {i:05d} of some length".encode()) for i in range(64)]
-    assert arrays.last_of(keys) == {}
-    held = arrays.of(0)
-    held.pop(next(iter(held)))
+    keys = line_dedup._pairs([line_dedup._hash(f"line number {i:05d} of some length".encode()) for i in range(64)])
+    unit = arrays.shard_of(keys) % units
+    for u in range(units):
+        assert not arrays.answer(u, keys[unit == u])["hit"].any()
+    arrays.of(0).clear()
     with pytest.raises(RuntimeError, match="missing"):
-        arrays.last_of([k for k in keys if int(np.frombuffer(k[:4], ">u4")[0]) % shards % units == 0])
+        arrays.answer(0, keys[unit == 0])
+
+
+@pytest.mark.parametrize("copies", [1, 8])
+def test_a_task_reads_each_unit_once_however_much_text_it_has(spark, tmp_path, monkeypatch, copies):
+    lines = [f"line number {i:05d} of some length" for i in range(64)]
+    rows = [(i, "\n".join(lines[i % 7 :: 3]), "en", "a") for i in range(40 * copies)]
+    docs = data.documents(spark, tmp_path, rows)
+    folder, shards, units = line_dedup.line_arrays(docs, shard_keys=8, batch_bytes=64)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "text": [r[1].encode() for r in rows]})
+    monkeypatch.setattr(line_dedup, "CHUNK_BYTES", 2000)
+    arrays = line_dedup.Arrays(folder, shards, units, 3)
+    out = list(line_dedup._probe(iter([batch]), arrays, 20))
+    assert len(out) > 5 and sum(b.num_rows for b in out) == len(rows)
+    assert arrays.reads == units >= 4
+    monkeypatch.setattr(line_dedup, "HELD_BYTES", 4000)  # what a task holds stays bounded: then it reads them again
+    again = line_dedup.Arrays(folder, shards, units, 3)
+    assert pa.Table.from_batches(line_dedup._probe(iter([batch]), again, 20)) == pa.Table.from_batches(out)
+    assert again.reads > units
