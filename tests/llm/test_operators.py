@@ -3,6 +3,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -620,3 +621,40 @@ def test_convolution_against_plain_loops():
             feats += list(np.max(conv, axis=0) + b)
         z = np.maximum(feats, 0) @ m.out + m.out_bias
         assert abs(s - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_url_evidence_decides_through_the_query(spark, tmp_path):
+    """Planted tables: a host, a domain and a suffix whose pages are bad block, also where a host has no label; the SQL agrees on every row."""
+    hosts = [("bad.mixed.com", 40, 40), ("ok.mixed.com", 0, 60), ("new.spam.com", 0, 0), ("fresh.bad", 0, 0), ("calm.info", 0, 0)]
+    hosts += [(f"h{i}.spam.com", 12, 12) for i in range(6)] + [(f"d{i}.bad", 8, 8) for i in range(30)]
+    hosts += [(f"d{i}.info", i % 2, 10) for i in range(20)] + [(f"d{i}.com", i % 3 == 0, 10) for i in range(20)]
+    pages, labels, n = [], [], 0
+    for host, bad, count in hosts:
+        pages.append((10_000 + len(pages), f"http://{host}/about"))  # no document, so no label
+        for i in range(count):
+            n += 1
+            pages.append((10_000 + len(pages), f"http://{host}/{n}"))
+            labels.append((n, 1, int(i < bad)))
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    got = url_filter.query(spark, str(tmp_path)).toPandas().sort_values("page_id").reset_index(drop=True)
+    verdict = got.groupby("host").verdict.agg(set)
+    assert verdict["bad.mixed.com"] == verdict["h0.spam.com"] == verdict["d0.bad"] == {"block"}
+    assert verdict["ok.mixed.com"] == verdict["calm.info"] == verdict["d1.info"] == verdict["d1.com"] == {"allow"}
+    assert verdict["new.spam.com"] == verdict["fresh.bad"] == {"block"}  # by their domain and their suffix
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = con.execute(url_filter.SQL).df().sort_values("page_id").reset_index(drop=True)
+    assert (got.verdict == want.verdict).all() and (got.bound - want.bound).abs().max() < 2e-6
+
+
+def test_url_posterior_beats_the_overall_rate_on_held_out_labels(spark):
+    """Log loss of labels that took no part in the fit, for hosts that differ."""
+    rng = np.random.default_rng(4)
+    rows = [(f"h{h}.d{h % 12}.com", int(rng.random() < p)) for h, p in enumerate(rng.beta(0.6, 1.4, 60)) for _ in range(16)]
+    fit, held = rows[::2], rows[1::2]
+    rate = {r.host: r.rate for r in url_filter.host_reputation(spark.createDataFrame(fit, "host string, bad int")).collect()}
+    overall = sum(b for _, b in fit) / len(fit)
+    loss = lambda of: -np.mean([np.log(of(h) if b else 1 - of(h)) for h, b in held])
+    assert loss(rate.get) < 0.9 * loss(lambda h: overall)
