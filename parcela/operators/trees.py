@@ -20,9 +20,13 @@ from parcela.sources.shared import written
 
 
 def inner_edges(edges: DataFrame, plans: DataFrame, weight: str = "connections") -> DataFrame:
-    """plan_id, district, u, v, w: edges inside a district, without those of weight 0."""
-    a = plans.select("plan_id", F.col("node").alias("u"), "district")
-    b = plans.select(F.col("plan_id").alias("p2"), F.col("node").alias("v"), F.col("district").alias("d2"))
+    """plan_id, district, u, v, w: edges inside a district, without those of weight 0.
+
+    Plans compress to a few bytes a hundred rows, so that Spark would take the
+    rows of many for small enough to be held by the driver and every task.
+    """
+    a = plans.select("plan_id", F.col("node").alias("u"), "district").hint("merge")
+    b = plans.select(F.col("plan_id").alias("p2"), F.col("node").alias("v"), F.col("district").alias("d2")).hint("merge")
     e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col(weight).cast("double").alias("w")).filter("w <> 0")
     j = e.join(a, "u").join(b, (F.col("plan_id") == F.col("p2")) & (e.v == b.v)).filter(F.col("district") == F.col("d2"))
     return j.select("plan_id", "district", "u", e.v, "w")
@@ -75,10 +79,10 @@ def _flip(e: DataFrame) -> DataFrame:
 def _star_round(e: DataFrame) -> DataFrame:
     """Large-star and small-star over edges u > v of every plan and district: each node's larger neighbours move to the least it knows, then its smaller ones."""
     both = e.unionByName(_flip(e))
-    least = both.groupBy(*STARS).agg(F.min("v").alias("least")).withColumn("least", F.least("u", "least"))
+    least = both.groupBy(*STARS).agg(F.min("v").alias("least")).withColumn("least", F.least("u", "least")).hint("merge")
     large = written(both.filter("v > u").join(least, STARS).select("plan_id", "district", F.col("v").alias("u"), F.col("least").alias("v")).distinct(), "large_star")
     low = large.groupBy(*STARS).agg(F.min("v").alias("least"))
-    moved = large.join(low, STARS).filter("v <> least").select("plan_id", "district", F.col("v").alias("u"), F.col("least").alias("v"))
+    moved = large.join(low.hint("merge"), STARS).filter("v <> least").select("plan_id", "district", F.col("v").alias("u"), F.col("least").alias("v"))
     return written(moved.unionByName(low.withColumnRenamed("least", "v")).distinct(), "small_star")
 
 
@@ -98,7 +102,7 @@ def component_labels_by_rounds(edges: DataFrame, plans: DataFrame) -> DataFrame:
             break
         before = now
     roots = e.select("plan_id", "district", F.col("u").alias("node"), F.col("v").alias("component"))  # every node hangs on its least
-    rows = plans.select("plan_id", "district", "node").join(roots, ["plan_id", "district", "node"], "left")
+    rows = plans.select("plan_id", "district", "node").join(roots.hint("merge"), ["plan_id", "district", "node"], "left")
     return rows.select("plan_id", "district", F.col("node").cast("long").alias("node"), F.coalesce("component", "node").cast("long").alias("component"))
 
 

@@ -11,6 +11,7 @@ from parcela.operators import cuts
 from parcela.operators import trees as R
 from parcela.plans import multiscale as M
 from parcela.plans.forest import LocalGraph, kruskal_tree
+from parcela.sources import shared
 
 from . import grid
 
@@ -240,3 +241,20 @@ def test_pairs_of_edges_over_many_trees(spark):
         got = {(r.tree_id, (r.u1, r.v1), (r.u2, r.v2)) for r in rows}
         assert got == want and len(rows) == len(got) and all(r.first + r.second + r.third == 16 for r in rows)
     assert want == set() and len(trees) == 25
+
+
+def test_components_by_rounds_broadcast_no_plans(spark, monkeypatch):
+    """Rows of plans are few bytes as files, whatever their number: no join of a round may hold a side in the driver."""
+    steps = []
+
+    def kept(df, label):
+        steps.append(df._jdf.queryExecution().executedPlan().toString())
+        return shared.written(df, label)
+
+    monkeypatch.setattr(R, "written", kept)
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(20)], "src long, dst long, connections double")
+    plans = shared.written(spark.range(21).selectExpr("1 AS plan_id", "id AS node", "cast(id / 7 AS int) AS district"), "plans")
+    got = R.component_labels_by_rounds(edges, plans)
+    assert {(r.node, r.component) for r in got.collect()} == {(i, i // 7 * 7) for i in range(21)}
+    steps.append(got._jdf.queryExecution().executedPlan().toString())
+    assert len(steps) > 4 and not [s for s in steps if "Broadcast" in s]
