@@ -86,13 +86,37 @@ def _star_round(e: DataFrame) -> DataFrame:
     return written(moved.unionByName(low.withColumnRenamed("least", "v")).distinct(), "small_star")
 
 
+#: Ids side by side that a task labels before the rounds.
+CHUNK = 1 << 16
+
+
 def component_labels_by_rounds(edges: DataFrame, plans: DataFrame) -> DataFrame:
     """As ``component_labels``, for districts that are too large for a task: alternating stars, all plans and districts at once.
 
-    A round is joins and aggregates on (plan, district, node), written to the
-    shared folder; their number grows with the logarithm of the nodes.
+    Where ids are dense, stretches of ``CHUNK`` of them are labelled first, and
+    what is connected in one goes on as a single node. A round is joins and
+    aggregates on (plan, district, node), written to the shared folder; their
+    number grows with the logarithm of the nodes.
     """
-    links = inner_edges(edges, plans).filter("u <> v")
+    ids = plans.agg(F.count_distinct("node"), F.min("node"), F.max("node")).first()
+    links = inner_edges(edges, plans).filter("u <> v").select("plan_id", "district", "u", "v")
+    if not ids[0] or ids[2] - ids[1] > 16 * ids[0]:
+        return _by_stars(links, plans)
+    chunk = lambda c: F.floor(F.col(c) / CHUNK)
+    place = F.struct(F.col("district").alias("d"), chunk("node").alias("c"))
+    first = component_labels(edges, plans.withColumn("district", place)).select("plan_id", F.col("district.d").alias("district"), "node", F.col("component").alias("part"))
+    first = written(first, "chunks")
+    across = links.filter(chunk("u") != chunk("v"))
+    for end in ("u", "v"):
+        name = first.select("plan_id", "district", F.col("node").alias(end), F.col("part").alias(f"{end}_part")).hint("merge")
+        across = across.join(name, ["plan_id", "district", end])
+    across = across.select("plan_id", "district", F.col("u_part").alias("u"), F.col("v_part").alias("v")).distinct()
+    roots = _by_stars(across, first.filter("node = part").select("plan_id", "district", "node")).withColumnRenamed("node", "part")
+    return first.join(roots.hint("merge"), ["plan_id", "district", "part"]).select("plan_id", "district", "node", "component")
+
+
+def _by_stars(links: DataFrame, plans: DataFrame) -> DataFrame:
+    """plan_id, district, node, component: of the rows of plans, linked by links(plan_id, district, u, v)."""
     e = written(links.select("plan_id", "district", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64(*STARS, "v").cast("decimal(38,0)"))).first()
     before = state(e)

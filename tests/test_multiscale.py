@@ -258,3 +258,14 @@ def test_components_by_rounds_broadcast_no_plans(spark, monkeypatch):
     assert {(r.node, r.component) for r in got.collect()} == {(i, i // 7 * 7) for i in range(21)}
     steps.append(got._jdf.queryExecution().executedPlan().toString())
     assert len(steps) > 4 and not [s for s in steps if "Broadcast" in s]
+
+
+def test_components_by_rounds_over_stretches_of_ids(spark, monkeypatch):
+    """Labelled a few ids at a time first; ids far apart go without."""
+    monkeypatch.setattr(R, "CHUNK", 3)
+    nodes, edges, plans = grid.frames(spark)
+    odd = plans.filter("plan_id < 9").withColumn("district", F.col("district") % 2 + F.col("node") % 2)
+    want = {tuple(r) for r in R.component_labels(edges, odd).select("plan_id", "district", "node", "component").collect()}
+    for k in (1, 1000):
+        far = R.component_labels_by_rounds(edges.withColumns({"src": F.col("src") * k, "dst": F.col("dst") * k}), odd.withColumn("node", F.col("node") * k))
+        assert {(r.plan_id, r.district, r.node // k, r.component // k) for r in far.collect()} == want
