@@ -252,6 +252,7 @@ def test_components_by_rounds_broadcast_no_plans(spark, monkeypatch):
         return shared.written(df, label)
 
     monkeypatch.setattr(R, "written", kept)
+    monkeypatch.setattr(R, "CHUNK", 4)
     edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(20)], "src long, dst long, connections double")
     plans = shared.written(spark.range(21).selectExpr("1 AS plan_id", "id AS node", "cast(id / 7 AS int) AS district"), "plans")
     got = R.component_labels_by_rounds(edges, plans)
