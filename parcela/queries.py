@@ -913,12 +913,12 @@ for _name, _sample in (("g5_wilson_tree", "wilson_tree"), ("g6_kruskal_tree", "k
     register(_name, SPANNING, NATION)(seeded(_tree(_sample), "u long, v long", _spanning))
 
 
-def _sound(g, plans, low, high, population="pop"):
+def _sound(g, plans, low, high, population="pop", labels=R.component_labels):
     """plan_id, districts, pop, balanced, parts (connected ones of all districts), nodes: found from rows (plan_id, node, district)."""
     pops = O.district_sums(g.nodes, plans, population).groupBy("plan_id").agg(
         F.count("*").alias("districts"), F.sum(population).alias("pop"), F.bool_and(F.col(population).between(low, high)).alias("balanced")
     )
-    parts = R.component_labels(g.edges, plans).groupBy("plan_id").agg(F.count_distinct("district", "component").alias("parts"), F.count("*").alias("nodes"))
+    parts = labels(g.edges, plans).groupBy("plan_id").agg(F.count_distinct("district", "component").alias("parts"), F.count("*").alias("nodes"))
     return pops.join(parts, "plan_id")
 
 
@@ -999,27 +999,35 @@ def _levels(g):
     return LocalGraph.from_tables(nodes, g.edges.toPandas(), g.spec), [multiscale.codes(nodes.block), multiscale.codes(nodes.part)]
 
 
-def _built(spark, sf_dir, rules=lambda local, units, ideal: ()):
+#: Customers up to which every task holds the lattice for plans of several levels.
+LOCAL_NODES = 20_000
+
+
+def _built(spark, sf_dir, rules=lambda units, ideal: ()):
     from parcela.plans import multiscale
 
     g = _blocks(S.customer_lattice(spark, sf_dir))
-    local, units = _levels(g)
-    total = float(local.pop.sum())
+    n, total = g.nodes.agg(F.count("*"), F.sum("pop").cast("double")).first()
     b = C.Population.around(total, 4, 0.25)
-    rows = multiscale.random_plans(spark.range(6).withColumnRenamed("id", "seed").repartition(6), local, units, 4, b.low, b.high, rules(local, units, total / 4))
-    return g, written(rows.withColumnRenamed("seed", "plan_id"), "multiscale"), b, total / 4
+    seeds = spark.range(6).withColumnRenamed("id", "seed").repartition(6)
+    if n <= LOCAL_NODES:
+        local, units = _levels(g)
+        rows = multiscale.random_plans(seeds, local, units, 4, b.low, b.high, rules(units, total / 4))
+    else:
+        rows = multiscale.random_plans_by_units(seeds, g, ["block", "part"], 4, b.low, b.high, lambda units: rules(units, total / 4))
+    return g, written(rows.withColumnRenamed("seed", "plan_id"), "multiscale"), b, total / 4, R.component_labels if n <= LOCAL_NODES else R.component_labels_by_rounds
 
 
 @register("m7_multiscale_plans", SOUND.format(d=4, seeds=6, more=", true AS whole_blocks, true AS whole_parts, true AS drawn"), CUSTOMER)
 def m7(spark, sf_dir):
     """Sound plans of four districts in which three units of a level are cut at most, with a probability of their cuts."""
-    g, rows, b, _ = _built(spark, sf_dir)
+    g, rows, b, _, labels = _built(spark, sf_dir)
     cut = lambda unit, name: (
         rows.join(g.nodes.select(F.col("id").alias("node"), unit), "node").groupBy("plan_id", unit).agg(F.count_distinct("district").alias("k"))
         .groupBy("plan_id").agg((F.sum((F.col("k") > 1).cast("int")) <= 3).alias(name))
     )
     drawn = rows.groupBy("plan_id").agg((F.min("log_probability") == F.max("log_probability")).alias("same"), F.max("log_probability").alias("p"))
-    out = _sound(g, rows.select("plan_id", "node", "district"), b.low, b.high).join(cut("block", "whole_blocks"), "plan_id").join(cut("part", "whole_parts"), "plan_id")
+    out = _sound(g, rows.select("plan_id", "node", "district"), b.low, b.high, labels=labels).join(cut("block", "whole_blocks"), "plan_id").join(cut("part", "whole_parts"), "plan_id")
     return out.join(drawn, "plan_id").select(F.col("plan_id").alias("seed"), "districts", "pop", "balanced", "parts", "nodes", "whole_blocks", "whole_parts", (F.col("same") & (F.col("p") <= 0)).alias("drawn"))
 
 
@@ -1028,11 +1036,11 @@ def m3_constrained(spark, sf_dir):
     """Plans built under constraints: blocks meet few districts, and what a district uses of a block is connected; held against the constraints on finished plans."""
     from parcela.plans import multiscale
 
-    g, rows, b, ideal = _built(spark, sf_dir, lambda local, units, ideal: (multiscale.allowed_excess(units[0], ideal, 0), multiscale.contiguous_traversals(units[0])))
+    g, rows, b, ideal, labels = _built(spark, sf_dir, lambda units, ideal: (multiscale.allowed_excess(units[0], ideal, 0), multiscale.contiguous_traversals(units[0])))
     plans = rows.select("plan_id", "node", "district")
     excess = C.AllowedExcess("block", ideal, 0).check(g.nodes, plans).withColumnRenamed("ok", "excess")
     whole = C.ContiguousTraversals("block").check(g.nodes, plans, g.edges).withColumnRenamed("ok", "traversals")
-    return _sound(g, plans, b.low, b.high).join(excess, "plan_id").join(whole, "plan_id").withColumnRenamed("plan_id", "seed")
+    return _sound(g, plans, b.low, b.high, labels=labels).join(excess, "plan_id").join(whole, "plan_id").withColumnRenamed("plan_id", "seed")
 
 
 # ---- cuts of trees: two combs on the customer lattice

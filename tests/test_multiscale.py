@@ -270,3 +270,40 @@ def test_components_by_rounds_over_stretches_of_ids(spark, monkeypatch):
     for k in (1, 1000):
         far = R.component_labels_by_rounds(edges.withColumns({"src": F.col("src") * k, "dst": F.col("dst") * k}), odd.withColumn("node", F.col("node") * k))
         assert {(r.plan_id, r.district, r.node // k, r.component // k) for r in far.collect()} == want
+
+
+@pytest.mark.parametrize(("k", "low", "high"), [(2, 5, 7), (3, 3, 5)])
+def test_plans_from_insides_of_opened_units_are_those_of_an_enumeration(k, low, high):
+    """As ``random_plans_by_units`` draws them: counties as single nodes, insides by asking."""
+    import pandas as pd
+
+    want = {canonical(a) for a in partitions(12, k, low, high, SIX_EDGES) if by_cuts(a, [COUNTY, SUB], SIX_EDGES)}
+    first = {c: int(np.flatnonzero(COUNTY == c)[0]) for c in range(3)}
+    part = np.array([first[c] for c in COUNTY])
+    coarse = pd.DataFrame({"piece": [first[c] for c in range(3)], "pop": 4.0, "unit": range(3), "nodes": 4})
+    e = pd.DataFrame([(a, b, 1.0, part[a], part[b]) for a, b in SIX_EDGES], columns=["src", "dst", "w", "p", "q"])
+    far = e[e.p != e.q]
+    links = far.assign(lo=far[["p", "q"]].min(axis=1), hi=far[["p", "q"]].max(axis=1)).groupby(["lo", "hi"], as_index=False).w.sum().rename(columns={"lo": "p", "hi": "q"})
+    nodes = pd.DataFrame({"id": range(12), "pop": 1.0, "piece": part, "units": [[str(s)] for s in SUB]})
+    inside = {x: (nodes[nodes.piece == x], e[(e.p == x) | (e.q == x)]) for x in first.values()}
+    got = set()
+    for seed in range(600):
+        s, fetched = M._Building(np.random.default_rng(seed), [(np.zeros(3, np.int32), {}, 0.0, 0)], [0]), {}
+        while (asked := M._go_on(s, coarse, links, fetched, k, low, high, lambda units: (), 100, 10_000)) is not None:
+            fetched = {x: inside[x] for x in asked}
+        whole, split, log_p, n = s.stack[-1]
+        plan = [split.get(x, whole[COUNTY[x]]) for x in range(12)]
+        assert min(plan) > 0 and n == k - 1 and log_p <= 0
+        got.add(canonical(plan))
+    assert got <= want and len(got) > len(want) // 2
+
+
+@pytest.mark.parametrize("name", ["m7_multiscale_plans"])
+def test_plans_of_a_lattice_that_no_task_holds(spark, monkeypatch, name):
+    from parcela import queries
+
+    monkeypatch.setattr(queries, "LOCAL_NODES", 0)
+    monkeypatch.setattr(queries, "_levels", lambda g: pytest.fail("the lattice went through the driver"))
+    rows = queries.QUERIES[name](spark, "/root/testdata/sf0.01").collect()
+    assert len({r.seed for r in rows}) == len(rows) == 6
+    assert all(r.districts == r.parts == 4 and r.nodes == 1500 and r.pop == 15000 and r.balanced and r.whole_blocks and r.whole_parts and r.drawn for r in rows)
