@@ -36,9 +36,10 @@ class GraphArrays:
     edges: dict[str, np.ndarray]
 
     @classmethod
-    def of(cls, graph: Graph) -> GraphArrays | None:
-        """None for a graph over the bound."""
-        if graph.edges.limit(LOCAL_EDGES + 1).count() > LOCAL_EDGES or graph.nodes.limit(LOCAL_EDGES + 1).count() > LOCAL_EDGES:
+    def of(cls, graph: Graph, bound: int | None = None) -> GraphArrays | None:
+        """None for a graph of more edges or nodes than the bound."""
+        bound = LOCAL_EDGES if bound is None else bound
+        if graph.edges.limit(bound + 1).count() > bound or graph.nodes.limit(bound + 1).count() > bound:
             return None
         n = graph.nodes.toPandas().sort_values("id", ignore_index=True)
         e = graph.edges.toPandas()

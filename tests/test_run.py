@@ -194,3 +194,14 @@ def test_a_one_tree_move_ends_where_every_district_is_a_node(spark, tmp_path):
     alone = np.arange(1, 17)
     out = list(chain.run_chain(g, alone, 1, 1, 20, 10, 5, {"two_tree": 0.0, "one_tree": 1.0}, {}))
     assert [x[0] for x in out] == [1, 10, 20] and (out[-1][1].assign == alone).all()
+
+
+def test_few_plans_over_a_graph_above_their_bound_go_by_rows(spark, monkeypatch):
+    """No task holds the graph then, and the sums are the same."""
+    from parcela import queries
+
+    run = lambda: {tuple(r) for r in queries.QUERIES["a6_district_population"](spark, "/root/testdata/sf0.001").select("plan_id", "district", "pop").collect()}
+    want = run()
+    monkeypatch.setattr(queries, "FEW_PLANS_EDGES", 100)
+    monkeypatch.setattr(A, "district_sums", lambda *a: pytest.fail("the graph went to tasks"))
+    assert run() == want and len(want) == 44
