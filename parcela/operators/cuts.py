@@ -1,7 +1,8 @@
 """Cuts of many trees(tree_id, u, v) at once: what hangs off each node, edges and nodes that may be cut, and the probability of a cut.
 
-A tree is one group's own work, once, for what hangs off its nodes; all the rest
-are filters and aggregates over these rows.
+A tree is one group's own work, once, for what hangs off its nodes (``hanging``
+takes large ones with dense ids in pieces); all the rest are filters and
+aggregates over these rows.
 """
 
 from __future__ import annotations
@@ -13,17 +14,64 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parcela.operators.trees import label_groups
 from parcela.plans.multiscale import Balance, splitting_sums
+from parcela.sources.shared import written
+
+#: Ids side by side whose pieces of a tree are walked by themselves.
+CHUNK = 1 << 16
 
 
 def hanging(trees: DataFrame, nodes: DataFrame, population: str = "pop") -> DataFrame:
     """tree_id, node, nbr, own, pop, total: for both ends of every edge, the people of ``node``, those beyond ``nbr``, and those of the tree."""
-    return sides(trees, nodes, population).select("tree_id", "node", "nbr", "own", "pop", "total")
+    columns = ("tree_id", "node", "nbr", "own", "pop", "total")
+    ends = _ends(trees, nodes, population)
+    span = nodes.agg(F.count("*"), F.min("id"), F.max("id")).first()
+    if span[0] <= CHUNK or span[2] - span[1] > 16 * span[0]:
+        return _walks(ends).select(*columns)
+    ends = written(ends, "ends")
+    chunk = lambda c: F.floor(F.col(c) / CHUNK)
+    # what a stretch of ids connects is one node of a smaller tree
+    members = ends.select("tree_id", F.explode(F.array(*[F.struct(F.col(c).alias("node"), F.col(f"p{c}").alias("p")) for c in ("u", "v")])).alias("n")).select("tree_id", "n.*").distinct()
+    inside = ends.filter(chunk("u") == chunk("v")).select("tree_id", chunk("u").alias("c"), "u", "v")
+    alone = members.select("tree_id", chunk("node").alias("c"), F.col("node").alias("u"), F.col("node").alias("v"))
+    parts = written(label_groups(inside.unionByName(alone), ["tree_id", "c"]).select("tree_id", "node", F.col("component").alias("part")), "tree_parts")
+    people = members.join(parts.hint("merge"), ["tree_id", "node"]).groupBy("tree_id", "part").agg(F.sum("p").alias("p"))
+    placed = ends
+    for c in ("u", "v"):
+        placed = placed.join(parts.select("tree_id", F.col("node").alias(c), F.col("part").alias(f"{c}_part")).hint("merge"), ["tree_id", c])
+    placed = written(placed, "tree_ends")
+    across = placed.filter("u_part <> v_part")
+    small = across.select("tree_id", F.col("u_part").alias("u"), F.col("v_part").alias("v"))
+    for c in ("u", "v"):
+        small = small.join(people.withColumnsRenamed({"part": c, "p": f"p{c}"}).hint("merge"), ["tree_id", c])
+    beyond = _walks(small.select("tree_id", "u", "v", "pu", "pv")).select("tree_id", F.col("node").alias("part"), F.col("nbr").alias("other"), F.col("pop").alias("pv"))
+    # each part by itself, with what is beyond its ends as leaves
+    turned = across.select("tree_id", F.col("v_part").alias("part"), F.col("u_part").alias("other"), F.col("v").alias("u"), F.col("u").alias("v"), F.col("pv").alias("pu"))
+    leaves = across.select("tree_id", F.col("u_part").alias("part"), F.col("v_part").alias("other"), "u", "v", "pu").unionByName(turned).join(beyond.hint("merge"), ["tree_id", "part", "other"])
+    own = placed.filter("u_part = v_part").withColumnRenamed("u_part", "part").select("tree_id", "part", "u", "v", "pu", "pv")
+    rows = own.unionByName(leaves.select("tree_id", "part", "u", "v", "pu", "pv")).select(F.struct("tree_id", "part").alias("tree_id"), "u", "v", "pu", "pv")
+    out = _walks(rows).filter(chunk("node") == chunk("tree_id.part"))
+    return out.select("tree_id.tree_id", *columns[1:])
 
 
 def sides(trees: DataFrame, nodes: DataFrame, population: str = "pop") -> DataFrame:
     """As ``hanging``, with enter, leave, inner: the stretch of a walk over the tree that holds what is beyond ``nbr``, or (inner false) what is not."""
-    kind = trees.schema["tree_id"].dataType
+    return _walks(_ends(trees, nodes, population))
+
+
+def _ends(trees: DataFrame, nodes: DataFrame, population: str) -> DataFrame:
+    """tree_id, u, v, and their people pu, pv."""
+    pops = nodes.select(F.col("id").alias("x"), F.col(population).cast("double").alias("p"))
+    ends = trees.select("tree_id", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    for c in ("u", "v"):
+        ends = ends.join(pops.withColumnsRenamed({"x": c, "p": f"p{c}"}), c)
+    return ends
+
+
+def _walks(ends: DataFrame) -> DataFrame:
+    """``sides`` of trees, each in one task."""
+    kind = ends.schema["tree_id"].dataType
     long, double = T.LongType(), T.DoubleType()
     schema = T.StructType([T.StructField("tree_id", kind), *[T.StructField(c, t) for c, t in (("node", long), ("nbr", long), ("own", double), ("pop", double), ("total", double), ("enter", long), ("leave", long), ("inner", T.BooleanType()))]])
 
@@ -58,10 +106,6 @@ def sides(trees: DataFrame, nodes: DataFrame, population: str = "pop") -> DataFr
         stretch = [np.tile(enter[child], 2), np.tile(enter[child] + size[child] - 1, 2), np.repeat([True, False], len(child))]
         return pa.table([t.column("tree_id").take(pa.array(np.zeros(k, int))), ids[node], ids[nbr], own[node], pop, np.full(k, total), *stretch], names=schema.names)
 
-    pops = nodes.select(F.col("id").alias("x"), F.col(population).cast("double").alias("p"))
-    ends = trees.select("tree_id", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
-    for c in ("u", "v"):
-        ends = ends.join(pops.withColumnsRenamed({"x": c, "p": f"p{c}"}), c)
     return ends.groupBy("tree_id").applyInArrow(one, schema)
 
 

@@ -56,17 +56,22 @@ def component_labels(edges: DataFrame, plans: DataFrame) -> DataFrame:
     """plan_id, district, node, component: the least node connected to each inside its district."""
     links = inner_edges(edges, plans).select("plan_id", "district", "u", "v")
     rows = links.unionByName(plans.select("plan_id", "district", F.col("node").alias("u"), F.col("node").alias("v")))
-    schema = T.StructType([T.StructField(c, plans.schema[c].dataType) for c in ("plan_id", "district")] + [T.StructField(c, T.LongType()) for c in ("node", "component")])
+    return label_groups(rows, ["plan_id", "district"])
+
+
+def label_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, node, component: the least node connected to each by the links(u, v) of its group, which hold (x, x) for every node."""
+    schema = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in keys] + [T.StructField(c, T.LongType()) for c in ("node", "component")])
 
     def label(t: pa.Table) -> pa.Table:  # in Arrow, where a plan's id of any type passes as it is
         uf = UnionFind()
         for u, v in zip(t.column("u").to_pylist(), t.column("v").to_pylist(), strict=True):
             uf.join(u, v)
         nodes = sorted(uf.up)
-        first = t.select(["plan_id", "district"]).take(pa.array(np.zeros(len(nodes), np.int64)))
+        first = t.select(keys).take(pa.array(np.zeros(len(nodes), np.int64)))
         return first.append_column("node", pa.array(nodes, pa.int64())).append_column("component", pa.array([uf.find(x) for x in nodes], pa.int64()))
 
-    return rows.groupBy("plan_id", "district").applyInArrow(label, schema)
+    return rows.groupBy(*keys).applyInArrow(label, schema)
 
 
 STARS = ["plan_id", "district", "u"]

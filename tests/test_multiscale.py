@@ -307,3 +307,15 @@ def test_plans_of_a_lattice_that_no_task_holds(spark, monkeypatch, name):
     rows = queries.QUERIES[name](spark, "/root/testdata/sf0.01").collect()
     assert len({r.seed for r in rows}) == len(rows) == 6
     assert all(r.districts == r.parts == 4 and r.nodes == 1500 and r.pop == 15000 and r.balanced and r.whole_blocks and r.whole_parts and r.drawn for r in rows)
+
+
+def test_hanging_of_trees_in_pieces(spark, monkeypatch):
+    """As of whole trees, whatever the stretches of ids; no task gets a whole tree."""
+    nodes, _, _ = grid.frames(spark)
+    g = local(16, grid.EDGES)
+    df = spark.createDataFrame([(t, *grid.EDGES[e]) for t in range(6) for e in kruskal_tree(g, list(range(16)), np.random.default_rng(t))], "tree_id int, u long, v long")
+    rows = lambda: sorted(map(tuple, cuts.hanging(df, nodes.withColumn("pop", F.col("id") + 1)).collect()))
+    want, walk, sizes = rows(), cuts._walks, []
+    monkeypatch.setattr(cuts, "CHUNK", 5)
+    monkeypatch.setattr(cuts, "_walks", lambda ends: sizes.append(ends.groupBy("tree_id").count().agg(F.max("count")).first()[0]) or walk(ends))
+    assert rows() == want and len(want) == 6 * 30 and len(sizes) == 2 and max(sizes) < 15
