@@ -233,9 +233,10 @@ def best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
 
 
 def bin_of(score):
-    """Of the log odds, from -BINS * BIN_END to BINS * BIN_END - 1."""
-    odds = F.log(score / (1 - score)) * BINS
-    return F.least(F.greatest(F.floor(odds), F.lit(-BINS * BIN_END)), F.lit(BINS * BIN_END - 1)).cast("int")
+    """Of the log odds, from -BINS * BIN_END to BINS * BIN_END - 1; those of 0 and 1 aren't finite, and are in the outer bins."""
+    low, high = F.lit(-BINS * BIN_END), F.lit(BINS * BIN_END - 1)
+    odds = F.when((score > 0) & (score < 1), F.floor(F.log(score / (1 - score)) * BINS)).when(score >= 1, high).otherwise(low)
+    return F.least(F.greatest(odds, low), high).cast("int")
 
 
 def histogram_threshold(hist: pd.DataFrame) -> float:

@@ -69,6 +69,28 @@ def test_stages(spark, tmp_path):
     assert Counter(map(tuple, whole.select(*key).collect())) == Counter(map(tuple, packed.select(*key).collect()))
 
 
+def test_scores_of_one_calibrate(spark, tmp_path, monkeypatch):
+    """A labelled document outside the sample whose score is 1, as texts with much evidence get it from single floats."""
+    monkeypatch.setattr(toxicity, "MAX_POSITIVE", 40)
+    monkeypatch.setattr(toxicity, "MAX_NEGATIVE", 80)
+
+    def surer(*args, f=toxicity.train):
+        model = f(*args)
+        model.out, model.out_bias = model.out * 20, model.out_bias * 20
+        return model
+
+    monkeypatch.setattr(toxicity, "train", surer)
+    rows, labels = toxic_corpus(600)
+    docs = data.documents(spark, tmp_path, rows)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    clean = {r.doc_id for r in corpus_pipeline.remove_toxic(spark, docs, str(tmp_path)).select("doc_id").collect()}
+    bad = {i for i, _, y in labels if y}
+    assert len(bad & clean) < 0.1 * len(bad) and len(clean) > 0.8 * (len(rows) - len(bad))
+    ends = spark.createDataFrame([(0.0,), (1.0,), (0.5,), (1e-12,), (1 - 1e-12,)], "s double").select(toxicity.bin_of(F.col("s")))
+    end = toxicity.BINS * toxicity.BIN_END
+    assert [r[0] for r in ends.collect()] == [-end, end - 1, 0, -end, end - 1]
+
+
 def test_the_rest_works_without_the_corpus_operators(tmp_path):
     shutil.copytree(ROOT / "parcela", tmp_path / "parcela", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copytree(ROOT / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
