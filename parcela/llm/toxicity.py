@@ -136,7 +136,7 @@ class Model:
         if not len(docs):
             return np.zeros(0)
         z = np.maximum(self.pooled([self.lookup[d] for d in docs]), 0) @ self.out + self.out_bias + self.shift
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))  # in single floats all beyond 17 would be 1
 
 
 class _Adam:
@@ -294,8 +294,9 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 3) -> Model | float:
         for t in texts:
             yield pd.Series([b.astype(np.int32).tobytes() for b in buckets_of(list(t), shingler)])
 
-    sample = found.select("doc_id", "toxic", hashed("text").alias("words")).toPandas().sort_values("doc_id", ignore_index=True)
-    sample = sample.drop_duplicates("doc_id", ignore_index=True)
+    # and as many rows: however often an id is repeated, one of its texts is fitted
+    hashes = found.select("doc_id", "toxic", hashed("text").alias("words"))
+    sample = hashes.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("words").alias("words")).toPandas().sort_values("doc_id", ignore_index=True)
     words = [np.frombuffer(w, np.int32) for w in sample.words]
     y = sample.toxic.to_numpy().astype(np.float32)
     if not 0 < y.sum() < len(y):

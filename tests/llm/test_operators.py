@@ -607,6 +607,36 @@ def test_long_texts_are_scored_whole_and_not_fitted(spark, tmp_path):
     assert s[1000] > s[1001] and s[1002] > 0.5
 
 
+def test_strong_scores_stay_apart_through_the_query(spark, tmp_path, monkeypatch):
+    """Log odds from 17 on, where a score in single floats is 1."""
+
+    def surer(*args, f=toxicity.train):
+        model = f(*args)
+        model.out, model.out_bias = model.out * 3, model.out_bias * 3
+        return model
+
+    monkeypatch.setattr(toxicity, "train", surer)
+    rows, labels = toxic_corpus(600)
+    data.documents(spark, tmp_path, rows)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = toxicity.query(spark, str(tmp_path)).toPandas()
+    strong = got.score[got.score > 1 - 1e-7]
+    assert len(got) == 600 and (got.score < 1).all() and strong.nunique() > 20
+
+
+def test_repeated_rows_reach_the_fit_once(spark, tmp_path, monkeypatch):
+    rows, labels = toxic_corpus(400)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = data.documents(spark, tmp_path, rows * 5)
+    read = []
+    monkeypatch.setattr(type(docs), "toPandas", lambda self, f=type(docs).toPandas: read.append(x := f(self)) or x)
+    model = toxicity.fit(docs, lab)
+    sample = read[0]
+    assert "words" in sample and sample.doc_id.is_unique and 100 < len(sample) < 400
+    once = toxicity.fit(data.documents(spark, tmp_path, rows, name="once"), lab)
+    assert (model.embedding == once.embedding).all() and (model.out == once.out).all()
+
+
 def test_convolution_against_plain_loops():
     rng = np.random.default_rng(0)
     m = toxicity.Model(np.arange(50, dtype=np.int32), rng.normal(size=(50, toxicity.DIM)), [rng.normal(size=(w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS], [rng.normal(size=toxicity.FILTERS) for _ in toxicity.WIDTHS], rng.normal(size=toxicity.FILTERS * len(toxicity.WIDTHS)), 0.1)
